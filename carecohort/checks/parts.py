@@ -352,6 +352,11 @@ _TIMES = {
 }
 
 
+def six(expression: str) -> str:
+    """Six decimals; a negative zero is shown as zero."""
+    return f"case when round({expression}, 6) = 0 then 0::double else round(cast({expression} as double), 6) end"
+
+
 def shown(names) -> str:
     """Select list writing dates and times as text and rounding measurements."""
     out = []
@@ -360,10 +365,10 @@ def shown(names) -> str:
             out.append(f"strftime({n}, '%Y-%m-%d') as {n}")
         elif n in _TIMES:
             out.append(f"strftime({n}, '%Y-%m-%d %H:%M:%S') as {n}")
+        elif n.endswith(("_chol", "_years", "_bp")) or n.startswith(("ln_", "xb", "pce_", "so_", "log_odds", "prevents_")):
+            out.append(f"{six(n)} as {n}")
         elif n == "age_yrs" or n.endswith("_flag") or n in ("egfr", "patient_encounter_row_num"):
             out.append(f"cast({n} as int) as {n}")
-        elif n.endswith(("_chol", "_years", "_bp")) or n.startswith(("ln_", "xb", "pce_", "so_", "log_odds", "prevents_")):
-            out.append(f"round(cast({n} as double), 6) as {n}")
         else:
             out.append(n)
     return ", ".join(out)

@@ -26,25 +26,36 @@ def natural_log(value: Column) -> Column:
     )
 
 
+def _once(value: Column, build) -> Column:
+    """``build(value)`` with the value computed once, for report-sized rows only."""
+    return F.element_at(F.transform(F.array(value), build), 1)
+
+
 def significant(value: Column, digits: int) -> Column:
     """Round to a number of significant digits; 0 stays 0."""
-    v = value.cast("double")
-    places = F.lit(digits - 1) - F.floor(F.log10(F.abs(v)))
-    # Dividing by a power of ten keeps results such as 0.07 exact.
-    up = F.round(v * F.pow(F.lit(10.0), places)) / F.pow(F.lit(10.0), places)
-    down = F.round(v / F.pow(F.lit(10.0), -places)) * F.pow(F.lit(10.0), -places)
-    return F.when(v == 0, F.lit(0.0)).when(places >= 0, up).otherwise(down)
+
+    def rounded(v):
+        places = F.lit(float(digits - 1)) - F.floor(F.log10(F.abs(v)))
+        # Dividing by a power of ten keeps results such as 0.07 exact.
+        up = F.round(v * F.pow(F.lit(10.0), places)) / F.pow(F.lit(10.0), places)
+        down = F.round(v / F.pow(F.lit(10.0), -places)) * F.pow(F.lit(10.0), -places)
+        return F.when(v == 0, F.lit(0.0)).when(places >= 0, up).otherwise(down)
+
+    return _once(value.cast("double"), rounded)
 
 
 def number_text(value: Column) -> Column:
     """Number as report text: no trailing ``.0``, exponents like ``1e-05``."""
-    text = value.cast("string")
-    mantissa = F.regexp_replace(F.regexp_extract(text, r"^([^E]+)E", 1), r"\.0$", "")
-    sign = F.when(text.contains("E-"), "-").otherwise("+")
-    power = F.lpad(F.regexp_extract(text, r"E-?(\d+)$", 1), 2, "0")
-    return F.when(
-        text.contains("E"), F.concat(mantissa, F.lit("e"), sign, power)
-    ).otherwise(F.regexp_replace(text, r"\.0$", ""))
+
+    def written(text):
+        mantissa = F.regexp_replace(F.regexp_extract(text, r"^([^E]+)E", 1), r"\.0$", "")
+        sign = F.when(text.contains("E-"), "-").otherwise("+")
+        power = F.lpad(F.regexp_extract(text, r"E-?(\d+)$", 1), 2, "0")
+        return F.when(
+            text.contains("E"), F.concat(mantissa, F.lit("e"), sign, power)
+        ).otherwise(F.regexp_replace(text, r"\.0$", ""))
+
+    return _once(value.cast("string"), written)
 
 
 def with_interval(value: Column, low: Column, high: Column) -> Column:

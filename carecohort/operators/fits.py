@@ -9,84 +9,118 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .discrimination import Z95
 from .evaluation import BY
 
-MAX_STEPS = 25
+MAX_STEPS = 40
 TOLERANCE = 1e-9
 TIES_PER_ROW = 4096
 
 
-def _per_series(values: dict[str, float]) -> Column:
-    """Coefficient of the row's series (a dozen literals)."""
-    flat = [x for s, v in values.items() for x in (F.lit(s), F.lit(float(v)))]
-    return F.create_map(*flat)[F.col(BY)]
+def _with_series_values(rows: DataFrame, **values: dict[str, float]) -> DataFrame:
+    """Attach one number per series and name; the joined table has a dozen rows."""
+    names = sorted({s for v in values.values() for s in v})
+    records = F.array(*[
+        F.struct(
+            F.lit(s).alias(BY),
+            *[F.lit(float(v.get(s, 0.0))).alias(name) for name, v in values.items()],
+        )
+        for s in names
+    ])
+    table = rows.sparkSession.range(1).select(F.inline(records))
+    return rows.join(F.broadcast(table), [BY])
 
 
-def _clip(step: float) -> float:
-    return max(-5.0, min(5.0, step))
+def _newton(evaluate, start: dict) -> dict:
+    """Maximise one small concave likelihood per key; damped Newton steps.
 
+    ``evaluate(points)`` runs one distributed aggregation and returns, per key, the
+    log-likelihood, score and information at the key's point.  A step that lowers
+    the likelihood is halved.  Returns (estimate, information) of the keys that
+    could be fitted.
+    """
+    point, kept, done = dict(start), {}, {}
+    for _ in range(MAX_STEPS):
+        for key, (loglik, score, info) in evaluate(point).items():
+            if key in done:
+                continue
+            here = point[key]
+            if key in kept and not loglik >= kept[key][0] - 1e-9 * abs(kept[key][0]):
+                best, at, step = kept[key]
+                kept[key] = (best, at, step / 2)
+                point[key] = at + step / 2
+                continue
+            try:
+                step = np.linalg.solve(info, score)
+            except np.linalg.LinAlgError:
+                done[key] = None
+                continue
+            kept[key] = (loglik, here, step)
+            point[key] = here + step
+            if np.max(np.abs(step)) < TOLERANCE:
+                done[key] = (point[key], info)
+        if len(done) == len(start):
+            break
+    return {key: fit for key, fit in done.items() if fit is not None}
 
-def _series(rows: DataFrame) -> list[str]:
-    return [r[0] for r in rows.select(BY).distinct().collect()]  # a dozen at most
+
+def _wald(fit, position: int) -> tuple:
+    """Estimate and 95 % limits of one coefficient; unknown if it was not fitted."""
+    if fit is None:
+        return (None, None, None)
+    estimate, info = fit
+    se = math.sqrt(np.linalg.inv(info)[position, position])
+    value = float(estimate[position])
+    return (value, value - Z95 * se, value + Z95 * se)
 
 
 def logistic_calibration(rows: DataFrame) -> DataFrame:
     """Calibration intercept (slope fixed at 1) and slope, with Wald intervals, per series."""
-    names = _series(rows)
-    fixed = dict.fromkeys(names, 0.0)
-    free = {s: (0.0, 1.0) for s in names}
-    x = F.col("lp")
-    stats: dict[str, dict] = {}
-    for _ in range(MAX_STEPS):
-        p1 = 1 / (1 + F.exp(-(_per_series(fixed) + x)))
-        eta = _per_series({s: a for s, (a, _) in free.items()}) + _per_series(
-            {s: b for s, (_, b) in free.items()}
-        ) * x
-        p2 = 1 / (1 + F.exp(-eta))
-        y, w = F.col("outcome"), F.col("_p2") * (1 - F.col("_p2"))
-        sums = (
-            rows.withColumns({"_p1": p1, "_p2": p2})
-            .groupBy(BY)
-            .agg(
-                F.sum(y - F.col("_p1")).alias("u"),
-                F.sum(F.col("_p1") * (1 - F.col("_p1"))).alias("i"),
-                F.sum(y - F.col("_p2")).alias("ua"),
-                F.sum((y - F.col("_p2")) * x).alias("ub"),
-                F.sum(w).alias("iaa"),
-                F.sum(w * x).alias("iab"),
-                F.sum(w * x * x).alias("ibb"),
-            )
-            .collect()
-        )
-        largest = 0.0
-        for r in sums:
+    start, centre = {}, {}
+    for r in rows.groupBy(BY).agg(F.avg("outcome").alias("y"), F.avg("lp").alias("x")).collect():
+        centre[r[BY]] = r["x"]
+        if 0 < r["y"] < 1:
+            start[r[BY], "fixed"] = np.zeros(1)
+            start[r[BY], "free"] = np.array([math.log(r["y"] / (1 - r["y"])), 0.0])
+    y, x = F.col("outcome"), F.col("lp") - F.col("centre")  # centring leaves the slope alone
+    eta = {"fixed": F.col("shift") + F.col("lp"), "free": F.col("a") + F.col("b") * x}
+
+    def evaluate(point):
+        def values(kind, i):
+            return {s: v[i] for (s, k), v in point.items() if k == kind}
+
+        frame = _with_series_values(
+            rows, centre=centre, shift=values("fixed", 0), a=values("free", 0), b=values("free", 1)
+        ).select(BY, y.alias("y"), x.alias("x"), *[e.alias(f"eta_{k}") for k, e in eta.items()])
+        sums = []
+        for k in eta:
+            e = F.col(f"eta_{k}")
+            p = 1 / (1 + F.exp(-e))
+            softplus = F.greatest(e, F.lit(0.0)) + F.log1p(F.exp(-F.abs(e)))
+            sums += [
+                F.sum(F.col("y") * e - softplus).alias(f"{k}_l"),
+                F.sum(F.col("y") - p).alias(f"{k}_u0"),
+                F.sum((F.col("y") - p) * F.col("x")).alias(f"{k}_u1"),
+                F.sum(p * (1 - p)).alias(f"{k}_i0"),
+                F.sum(p * (1 - p) * F.col("x")).alias(f"{k}_i1"),
+                F.sum(p * (1 - p) * F.col("x") * F.col("x")).alias(f"{k}_i2"),
+            ]
+        out = {}
+        for r in frame.groupBy(BY).agg(*sums).collect():  # one row per series
             s = r[BY]
-            det = r["iaa"] * r["ibb"] - r["iab"] ** 2
-            if not r["i"] or not det > 0:
-                continue
-            step = _clip(r["u"] / r["i"])
-            da = _clip((r["ibb"] * r["ua"] - r["iab"] * r["ub"]) / det)
-            db = _clip((r["iaa"] * r["ub"] - r["iab"] * r["ua"]) / det)
-            fixed[s] += step
-            a, b = free[s]
-            free[s] = (a + da, b + db)
-            stats[s] = {"se": math.sqrt(1 / r["i"]), "se_slope": math.sqrt(r["iaa"] / det)}
-            largest = max(largest, abs(step), abs(da), abs(db))
-        if largest < TOLERANCE:
-            break
-    out = []
-    for s in names:
-        if s in stats:
-            a, b, se, ses = fixed[s], free[s][1], stats[s]["se"], stats[s]["se_slope"]
-            out.append((s, a, a - Z95 * se, a + Z95 * se, b, b - Z95 * ses, b + Z95 * ses))
-        else:
-            out.append((s, *[None] * 6))
+            if (s, "fixed") in point:
+                out[s, "fixed"] = (r["fixed_l"], np.array([r["fixed_u0"]]), np.array([[r["fixed_i0"]]]))
+                info = np.array([[r["free_i0"], r["free_i1"]], [r["free_i1"], r["free_i2"]]])
+                out[s, "free"] = (r["free_l"], np.array([r["free_u0"], r["free_u1"]]), info)
+        return out
+
+    fits = _newton(evaluate, start) if start else {}
     return rows.sparkSession.createDataFrame(
-        out,
+        [(s, *_wald(fits.get((s, "fixed")), 0), *_wald(fits.get((s, "free")), 1)) for s in centre],
         f"{BY} string, intercept double, intercept_low double, intercept_high double, "
         "slope double, slope_low double, slope_high double",
     )
@@ -100,30 +134,19 @@ def cox_calibration(rows: DataFrame) -> DataFrame:
     event; the terms of a heavily tied time are spread over several rows.
     """
     centre = {r[BY]: r["m"] for r in rows.groupBy(BY).agg(F.avg("lp").alias("m")).collect()}
-    names = list(centre)
-    beta = dict.fromkeys(names, 0.0)
-    info: dict[str, float] = {}
-    if not names:
-        return _cox_frame(rows, [])
-    x = F.col("lp") - _per_series(centre)
-    points = rows.select(BY, "years", "outcome", x.alias("x"))
-    for _ in range(MAX_STEPS):
-        sums = _efron_sums(points, beta).collect()
-        largest = 0.0
-        for r in sums:
-            if not r["info"] or not r["info"] > 0:
-                continue
-            step = _clip(r["score"] / r["info"])
-            beta[r[BY]] += step
-            info[r[BY]] = r["info"]
-            largest = max(largest, abs(step))
-        if largest < TOLERANCE:
-            break
-    return _cox_frame(rows, [
-        (s, beta[s], beta[s] - Z95 / math.sqrt(info[s]), beta[s] + Z95 / math.sqrt(info[s]))
-        if s in info else (s, None, None, None)
-        for s in names
-    ])
+    start = {s: np.zeros(1) for s in centre}
+
+    def evaluate(point):
+        placed = _with_series_values(
+            rows, centre=centre, beta={s: v[0] for s, v in point.items()}
+        ).select(BY, "years", "outcome", "beta", (F.col("lp") - F.col("centre")).alias("x"))
+        return {
+            r[BY]: (r["loglik"], np.array([r["score"]]), np.array([[r["info"]]]))
+            for r in _efron_sums(placed).collect()  # one row per series
+        }
+
+    fits = _newton(evaluate, start) if start else {}
+    return _cox_frame(rows, [(s, *_wald(fits.get(s), 0)) for s in centre])
 
 
 def _cox_frame(rows: DataFrame, values) -> DataFrame:
@@ -132,12 +155,11 @@ def _cox_frame(rows: DataFrame, values) -> DataFrame:
     )
 
 
-def _efron_sums(points: DataFrame, beta: dict[str, float]) -> DataFrame:
-    """Score and information of the partial likelihood at ``beta``, per series."""
+def _efron_sums(points: DataFrame) -> DataFrame:
+    """Partial log-likelihood, its score and information at the rows' ``beta``, per series."""
     x, event = F.col("x"), F.col("outcome") == 1
-    weight = F.exp(_per_series(beta) * x)
     moments = {"0": F.col("w"), "1": F.col("w") * x, "2": F.col("w") * x * x}
-    by_time = points.withColumn("w", weight).groupBy(BY, "years").agg(
+    by_time = points.withColumn("w", F.exp(F.col("beta") * x)).groupBy(BY, "years", "beta").agg(
         F.sum("outcome").alias("d"),
         F.sum(F.when(event, x)).alias("sx"),
         *[F.sum(m).alias(f"t{k}") for k, m in moments.items()],
@@ -160,11 +182,14 @@ def _efron_sums(points: DataFrame, beta: dict[str, float]) -> DataFrame:
         "tie", F.explode(F.sequence("start", F.least(F.col("start") + TIES_PER_ROW, F.col("d")) - 1))
     ).select(
         BY,
+        "beta",
         F.when(F.col("tie") == 0, F.col("sx")).otherwise(0.0).alias("sx"),
+        F.ln(left["0"]).alias("log_sum"),
         (left["1"] / left["0"]).alias("mean"),
         (left["2"] / left["0"]).alias("square"),
     )
     return terms.groupBy(BY).agg(
+        (F.sum(F.col("beta") * F.col("sx")) - F.sum("log_sum")).alias("loglik"),
         (F.sum("sx") - F.sum("mean")).alias("score"),
         F.sum(F.col("square") - F.col("mean") * F.col("mean")).alias("info"),
     )

@@ -74,10 +74,12 @@ def visit_timeline(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def first_visits(timeline: DataFrame, profile: DataFrame, outcome: str, need_egfr: bool) -> DataFrame:
-    """One row per patient: the earliest eligible visit day with all predictors.
+def candidate_days(
+    timeline: DataFrame, profile: DataFrame, outcome: str, need_egfr: bool
+) -> DataFrame:
+    """Eligible visit days with every predictor at hand, one row per patient and day.
 
-    Total order: visit date, encounter id, newest panel, newest eGFR, newest
+    Choice within a day: lowest encounter id, newest panel, newest eGFR, newest
     smoking day in the look-back (else the newest of all).
     """
     event = f"_{outcome}_dx"
@@ -87,13 +89,10 @@ def first_visits(timeline: DataFrame, profile: DataFrame, outcome: str, need_egf
     fresh_egfr = within_lookback(F.col("egfr_row.egfr_date"), visit, codes.LOOKBACK_DAYS)
     if need_egfr:
         ready = ready & fresh_egfr
-    by_date = Window.partitionBy("pat_id").orderBy("contact_date")
     return (
         timeline.where(ready)
         .join(profile, ["pat_id"])
         .where(visit_allowed(event) & (has_known_onset() | smoked))
-        .withColumn("patient_encounter_row_num", F.row_number().over(by_date))
-        .where(F.col("patient_encounter_row_num") == 1)
         .withColumns(
             {
                 "smoking_status_date": F.when(smoked, F.col("smoked_on")).otherwise(F.col("last_smoking_date")),
@@ -105,12 +104,20 @@ def first_visits(timeline: DataFrame, profile: DataFrame, outcome: str, need_egf
             }
         )
         .select(
-            *ELIGIBLE_COLUMNS, "systolic_bp_time", "systolic_bp", "panel.*",
-            "patient_encounter_row_num", "egfr_row", f"{outcome}_date",
+            *ELIGIBLE_COLUMNS, "systolic_bp_time", "systolic_bp", "panel.*", "egfr_row",
+            f"{outcome}_date",
         )
     )
 
 
+def first_visits(candidates: DataFrame) -> DataFrame:
+    """The earliest candidate day of each patient: the index visit."""
+    by_date = Window.partitionBy("pat_id").orderBy("contact_date")
+    return candidates.withColumn("patient_encounter_row_num", F.row_number().over(by_date)).where(
+        F.col("patient_encounter_row_num") == 1
+    )
+
+
 def with_flags(index_visits: DataFrame, outcome: str) -> DataFrame:
     """0/1 predictors and outcomes as of the index visit."""
     visit, event = F.col("contact_date"), F.col(f"{outcome}_date")

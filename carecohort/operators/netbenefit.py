@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evaluation import BY
+from .ranking import in_buckets
 
 
 def kaplan_meier(rows: DataFrame, by=(BY,)) -> DataFrame:
@@ -52,12 +53,12 @@ DETAIL_TOTAL_CVD = [0.0, 0.25]
 
 
 def _reached(rows: DataFrame, thresholds, strict: bool = False) -> DataFrame:
-    """Add ``reached``: how many thresholds (ascending) the risk reaches."""
-    count = F.lit(0)
-    for t in thresholds:
-        hit = F.col("risk") > t if strict else F.col("risk") >= t
-        count = count + hit.cast("int")
-    return rows.withColumn("reached", count)
+    """Add ``reached``: how many thresholds (ascending) the risk reaches, or exceeds."""
+    placed = in_buckets(rows, "risk", thresholds, "reached")
+    count = F.col("reached").cast("int")
+    if strict:
+        count = count - F.col("risk").isin(*thresholds).cast("int")
+    return placed.withColumn("reached", count)
 
 
 def _with_grid(per_series: DataFrame, thresholds) -> DataFrame:
@@ -74,8 +75,8 @@ def _benefit(treated_cases, treated_noncases):
     return treated_cases - odds * treated_noncases
 
 
-def survival_decision_curve(rows: DataFrame, horizon: float, thresholds=None) -> DataFrame:
-    """Net benefit by threshold for the model, treating all and treating none.
+def survival_decision_curve(rows: DataFrame, horizons, thresholds=None) -> DataFrame:
+    """Net benefit by horizon and threshold for the model, treating all and treating none.
 
     The event probability among patients at or above a threshold is 1 - S(horizon)
     of their Kaplan-Meier curve; if follow-up ends earlier the last value holds.
@@ -91,32 +92,55 @@ def survival_decision_curve(rows: DataFrame, horizon: float, thresholds=None) ->
         cells.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("reached"))))
         .groupBy(BY, "step", "years").agg(F.sum("n").alias("n"), F.sum("events").alias("events"))
     )
-    curve = _survival(times, (BY, "step")).groupBy(BY, "step").agg(
-        F.sum("n").alias("n"),
-        F.max_by(
-            F.col("survival"), F.when(F.col("years") <= horizon, F.col("years"))
-        ).alias("survival"),
+
+    def event_by(horizon):
+        followed = F.when(F.col("years") <= horizon, F.col("years"))
+        # nobody followed to any time before the horizon: no event seen
+        return 1 - F.coalesce(F.max_by("survival", followed), F.lit(1.0))
+
+    points = (
+        _survival(times, (BY, "step"))
+        .groupBy(BY, "step")
+        .agg(
+            F.sum("n").alias("n"),
+            F.array(*[
+                F.struct(F.lit(h).alias("horizon"), event_by(h).alias("event")) for h in horizons
+            ]).alias("_h"),
+        )
+        .select(BY, "step", "n", F.inline("_h"))
     )
-    event = 1 - F.coalesce("survival", F.lit(1.0))  # no follow-up time before the horizon
-    points = curve.select(BY, "step", "n", event.alias("event"))
     everyone = points.where(F.col("step") == 0).select(
-        BY, F.col("n").alias("total"), F.col("event").alias("overall")
+        BY, "horizon", F.col("n").alias("total"), F.col("event").alias("overall")
     )
-    # thresholds x series rows from here on
-    joined = _with_grid(everyone, thresholds).join(points, [BY, "step"], "left")
+    # thresholds x horizons x series rows from here on
+    joined = _with_grid(everyone, thresholds).join(points, [BY, "horizon", "step"], "left")
     positive = F.col("n") / F.col("total")
     model = _benefit(F.col("event") * positive, (1 - F.col("event")) * positive)
     treat_all = _benefit(F.col("overall"), 1 - F.col("overall"))
-    return _long(joined, model, treat_all)
+    return _long(joined, model, treat_all, ["horizon"])
+
+
+def in_views(curve: DataFrame, views) -> DataFrame:
+    """Repeat curve rows under each view showing them.
+
+    ``views`` lists (name, thresholds) or (name, horizon, thresholds).
+    """
+    shown = []
+    for name, *horizon, thresholds in views:
+        inside = F.col("threshold").isin(*thresholds)
+        if horizon:
+            inside = inside & (F.col("horizon") == horizon[0])
+        shown.append(F.when(inside, F.lit(name)))
+    return curve.withColumn("view", F.explode(F.array_compact(F.array(*shown))))
 
 
-def _long(frame: DataFrame, model, treat_all) -> DataFrame:
+def _long(frame: DataFrame, model, treat_all, keep=()) -> DataFrame:
     strategies = F.array(
         F.struct(F.lit("model").alias("strategy"), model.alias("net_benefit")),
         F.struct(F.lit("all").alias("strategy"), treat_all.alias("net_benefit")),
         F.struct(F.lit("none").alias("strategy"), F.lit(0.0).alias("net_benefit")),
     )
-    return frame.withColumn("_s", F.explode(strategies)).select(BY, "threshold", "_s.*")
+    return frame.withColumn("_s", F.explode(strategies)).select(BY, *keep, "threshold", "_s.*")
 
 
 def binary_decision_curve(rows: DataFrame, thresholds=None, strict: bool = False) -> DataFrame:

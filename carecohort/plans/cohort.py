@@ -46,11 +46,14 @@ class CohortBuild:
         """``ascvd_eligible_encounters`` / ``total_cvd_eligible_encounters``."""
         return eligibility.eligible_encounters(self.base, self.profile, outcome)
 
-    def _index(self, outcome: str, need_egfr: bool) -> DataFrame:
-        visits = written(
-            index_visit.first_visits(self.timeline, self.profile, outcome, need_egfr),
-            f"{outcome}_visits",
+    def candidates(self, outcome: str) -> DataFrame:
+        """Visit days on which an index could fall; only total CVD demands an eGFR."""
+        return index_visit.candidate_days(
+            self.timeline, self.profile, outcome, need_egfr=outcome == "total_cvd"
         )
+
+    def _index(self, outcome: str) -> DataFrame:
+        visits = written(index_visit.first_visits(self.candidates(outcome)), f"{outcome}_visits")
         return written(
             index_visit.complete_index(visits, self.base["medications"], outcome),
             f"{outcome}_index",
@@ -58,11 +61,11 @@ class CohortBuild:
 
     @cached_property
     def _ascvd_index(self) -> DataFrame:
-        return self._index("ascvd", need_egfr=False)
+        return self._index("ascvd")
 
     @cached_property
     def _total_cvd_index(self) -> DataFrame:
-        return self._index("total_cvd", need_egfr=True)
+        return self._index("total_cvd")
 
     @property
     def pce_index(self) -> DataFrame:

@@ -123,26 +123,22 @@ class Validation:
         """
         rows = self.survival_rows.where(F.col(BY) == model)
         if model == PCE_5YR:
-            wanted = [("full", 5, netbenefit.FULL_SURVIVAL), ("detail", 5, netbenefit.DETAIL_5YR)]
+            views = [("full", 5, netbenefit.FULL_SURVIVAL), ("detail", 5, netbenefit.DETAIL_5YR)]
         else:
-            wanted = [
+            views = [
                 ("full", 10, netbenefit.FULL_SURVIVAL),
                 ("detail", 5, netbenefit.DETAIL_10YR),
                 ("detail", 10, netbenefit.DETAIL_10YR),
             ]
-        return stacked([
-            netbenefit.survival_decision_curve(rows, horizon, grid)
-            .withColumns({"view": F.lit(view), "horizon": F.lit(horizon)})
-            for view, horizon, grid in wanted
-        ])
+        horizons = sorted({h for _, h, _ in views})
+        # the detail grids are part of the full one
+        return netbenefit.in_views(netbenefit.survival_decision_curve(rows, horizons), views)
 
     def binary_curves(self, model: str) -> DataFrame:
         rows = self.binary_rows.where(F.col(BY) == model)
         detail = netbenefit.DETAIL_ASCVD if model == ASCVD else netbenefit.DETAIL_TOTAL_CVD
-        return stacked([
-            netbenefit.binary_decision_curve(rows, grid).withColumn("view", F.lit(view))
-            for view, grid in (("full", netbenefit.FULL_BINARY), ("detail", detail))
-        ])
+        views = [("full", netbenefit.FULL_BINARY), ("detail", detail)]
+        return netbenefit.in_views(netbenefit.binary_decision_curve(rows), views)
 
 
 def _metric_rows(frame: DataFrame, values: dict[str, Column]) -> DataFrame:
