@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .. import codes
 from ..functions.clean import recode
 from ..functions.dates import within_lookback, year_gap
-from .phenotypes import smoking_days
 from .skew import ROWS_PER_SPLIT, join_lookup
 
 OUTCOMES = ("ascvd", "total_cvd")
@@ -44,31 +43,31 @@ def has_known_onset() -> Column:
     )
 
 
-def visit_allowed(event_column: str) -> Column:
-    """Age, no earlier statin or event, and no risk-factor onset after the visit.
+def visit_allowed() -> Column:
+    """Age, no earlier statin, and no risk-factor onset after the visit.
 
     Dates count as midnight: a result at 10:00 on the visit day is an onset after
     the visit, a statin order at 10:00 one after it too.
     """
     day = F.col("contact_date")
 
-    def before(limit):
-        return (day < F.col(limit)) | F.col(limit).isNull()
-
     def since(onset):
         return (day >= F.col(onset)) | F.col(onset).isNull()
 
-    age = year_gap(F.col("birth_date"), day)
     return (
-        age.between(codes.MIN_AGE, codes.MAX_AGE)
-        & before("statin_first_date")
-        & before(event_column)
+        year_gap(F.col("birth_date"), day).between(codes.MIN_AGE, codes.MAX_AGE)
+        & visit_before("statin_first_date")
         & since("dyslipidemia_date")
         & since("diabetes_date")
         & since("hypertension_date")
     )
 
 
+def visit_before(limit: str) -> Column:
+    """The visit precedes the date, or the date never came."""
+    return (F.col("contact_date") < F.col(limit)) | F.col(limit).isNull()
+
+
 def observation_end() -> Column:
     """Last contact, replaced by an earlier registry death, else an earlier index death."""
     last = F.col("last_discharge_or_contact_date")
@@ -93,28 +92,24 @@ def eligible_encounters(
     is a single join.
     """
     event = f"_{outcome}_dx"
-    smoking = (
-        smoking_days(tables["social_history"])
-        .groupBy("pat_id")
-        .agg(F.collect_list(F.struct("smoking_status_date", "n_records")).alias("_smoking"))
-    )
-    lookup = profile.join(smoking, ["pat_id"], "left")
     visits = join_lookup(
-        clinic_visits(tables["encounters"]), lookup, ["pat_id"], rows_per_split=rows_per_split
-    ).where(visit_allowed(event))
+        clinic_visits(tables["encounters"]), profile, ["pat_id"], rows_per_split=rows_per_split
+    ).where(visit_allowed() & visit_before(event))
 
     recent = F.filter(
-        F.coalesce("_smoking", F.array().cast("array<struct<smoking_status_date:date,n_records:bigint>>")),
+        "smoking",
         lambda s: within_lookback(s["smoking_status_date"], F.col("contact_date"), codes.LOOKBACK_DAYS),
     )
+    listed = F.when(has_known_onset(), F.col("smoking")).otherwise(F.col("recent"))
+    copies = F.sequence(F.lit(1), F.coalesce("record.n_records", F.lit(1)).cast("int"))
     return (
-        visits.withColumn("_recent", recent)
-        .where(has_known_onset() | (F.size("_recent") > 0))
-        .withColumn("_smoke", F.explode_outer(F.when(has_known_onset(), F.col("_smoking")).otherwise(F.col("_recent"))))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("_smoke.n_records", F.lit(1).cast("bigint")))))
+        visits.withColumn("recent", recent)
+        .where(has_known_onset() | (F.size("recent") > 0))
+        .withColumn("record", F.explode_outer(listed))
+        .withColumn("copy", F.explode(copies))
         .withColumns(
             {
-                "smoking_status_date": F.col("_smoke.smoking_status_date"),
+                "smoking_status_date": F.col("record.smoking_status_date"),
                 "ascvd_first_date": F.col(event),
                 "age_yrs": year_gap(F.col("birth_date"), F.col("contact_date")),
                 "last_discharge_or_contact_date": observation_end(),

@@ -8,7 +8,7 @@ results always fit on the driver, and all series are evaluated in the same jobs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import random_rank
@@ -16,20 +16,25 @@ from .ranking import random_rank
 BY = "series"
 
 
-def rows_for(
-    scored: DataFrame, series: str, outcome: str, risk: str, lp, years: str
-) -> DataFrame:
-    """Evaluation rows of one model; patients without a risk are left out."""
+def _column(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def rows_for(scored: DataFrame, series: str, outcome: str, risk: str, lp, years) -> DataFrame:
+    """Evaluation rows of one model; patients without a risk or outcome are left out.
+
+    ``lp`` and ``years`` are column names or expressions.
+    """
     rows = scored.select(
         F.lit(series).alias(BY),
         "pat_id",
         F.col(outcome).cast("int").alias("outcome"),
         F.col(risk).cast("double").alias("risk"),
-        (lp if not isinstance(lp, str) else F.col(lp)).cast("double").alias("lp"),
+        _column(lp).cast("double").alias("lp"),
         # two decimals bound the number of distinct times
-        F.round(F.col(years).cast("double"), 2).alias("years"),
+        F.round(_column(years).cast("double"), 2).alias("years"),
     )
-    return rows.where(F.col("risk").isNotNull() & ~F.isnan("risk"))
+    return rows.where(F.col("risk").isNotNull() & ~F.isnan("risk") & F.col("outcome").isNotNull())
 
 
 def misclassified(rows: DataFrame, shares, seed: int = 0) -> DataFrame:

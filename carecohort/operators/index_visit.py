@@ -16,6 +16,7 @@ from .. import codes
 from ..functions.dates import day_gap, not_after, plus_years, within_lookback, year_gap
 from .eligibility import (
     ELIGIBLE_COLUMNS, clinic_visits, has_known_onset, observation_end, visit_allowed,
+    visit_before,
 )
 from .predictors import (
     LIPIDS, active_antihypertensive, antihypertensive_courses, complete_panels, egfr_days,
@@ -74,39 +75,48 @@ def visit_timeline(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def candidate_days(
-    timeline: DataFrame, profile: DataFrame, outcome: str, need_egfr: bool
-) -> DataFrame:
-    """Eligible visit days with every predictor at hand, one row per patient and day.
+def screened_days(timeline: DataFrame, profile: DataFrame) -> DataFrame:
+    """Visit days that satisfy everything the two outcomes have in common.
 
-    Choice within a day: lowest encounter id, newest panel, newest eGFR, newest
-    smoking day in the look-back (else the newest of all).
+    The timeline is already partitioned by patient, so only the profile moves; most
+    days drop out here, before anything is written or ranked.
     """
-    event = f"_{outcome}_dx"
     visit = F.col("contact_date")
     smoked = within_lookback(F.col("smoked_on"), visit, codes.LOOKBACK_DAYS)
-    ready = within_lookback(F.col("panel.chol_date"), visit, codes.LOOKBACK_DAYS)
     fresh_egfr = within_lookback(F.col("egfr_row.egfr_date"), visit, codes.LOOKBACK_DAYS)
-    if need_egfr:
-        ready = ready & fresh_egfr
+    ready = timeline.where(within_lookback(F.col("panel.chol_date"), visit, codes.LOOKBACK_DAYS))
     return (
-        timeline.where(ready)
-        .join(profile, ["pat_id"])
-        .where(visit_allowed(event) & (has_known_onset() | smoked))
+        ready.join(profile.drop("smoking"), ["pat_id"])
+        .where(visit_allowed() & (has_known_onset() | smoked))
         .withColumns(
             {
                 "smoking_status_date": F.when(smoked, F.col("smoked_on")).otherwise(F.col("last_smoking_date")),
-                "ascvd_first_date": F.col(event),
                 "age_yrs": year_gap(F.col("birth_date"), visit),
                 "last_discharge_or_contact_date": observation_end(),
                 "egfr_row": F.when(fresh_egfr, F.col("egfr_row")),
-                f"{outcome}_date": F.col(f"_{outcome}_outcome"),
             }
         )
-        .select(
-            *ELIGIBLE_COLUMNS, "systolic_bp_time", "systolic_bp", "panel.*", "egfr_row",
-            f"{outcome}_date",
-        )
+        .select("*", "panel.*")
+        .drop("panel", "smoked_on", "last_smoking_date", "birth_date")
+    )
+
+
+def candidate_days(screened: DataFrame, outcome: str) -> DataFrame:
+    """Days on which an index visit could fall, one row per patient and day.
+
+    Only total CVD demands an eGFR.  Choice within a day: lowest encounter id,
+    newest panel, newest eGFR, newest smoking day in the look-back (else the newest
+    of all).
+    """
+    event = f"_{outcome}_dx"
+    kept = screened.where(visit_before(event))
+    if outcome == "total_cvd":
+        kept = kept.where(F.col("egfr_row").isNotNull())
+    return kept.withColumns(
+        {"ascvd_first_date": F.col(event), f"{outcome}_date": F.col(f"_{outcome}_outcome")}
+    ).select(
+        *ELIGIBLE_COLUMNS, "systolic_bp_time", "systolic_bp", "chol_date", *LIPIDS, "egfr_row",
+        f"{outcome}_date",
     )
 
 

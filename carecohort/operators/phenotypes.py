@@ -232,14 +232,24 @@ def death_onsets(deaths: DataFrame) -> DataFrame:
     )
 
 
+def smoking_summary(social_history: DataFrame) -> DataFrame:
+    """Latest smoking day and all smoking days with their record counts, per patient.
+
+    The list has one entry per calendar day at most, however many records there are.
+    """
+    day = F.struct("smoking_status_date", "n_records")
+    return smoking_days(social_history).groupBy("pat_id").agg(
+        F.max("smoking_status_date").alias("last_smoking_date"),
+        F.collect_list(day).alias("smoking"),
+    )
+
+
 def patient_profile(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per patient: demographics and every onset date of both outcomes.
 
-    All inputs are already one row per patient, so each join moves only those.
+    All inputs are already one row per patient and partitioned by patient, so the
+    joins add no exchange of their own.
     """
-    smoking = smoking_records(tables["social_history"]).groupBy("pat_id").agg(
-        F.max("smoking_status_date").alias("last_smoking_date")
-    )
     profile = demographics(tables["patients"])
     for part in (
         diagnosis_onsets(tables["diagnoses"]),
@@ -247,7 +257,7 @@ def patient_profile(tables: dict[str, DataFrame]) -> DataFrame:
         second_antihypertensive(tables["medications"]),
         dyslipidemia_onset(tables["labs"]),
         death_onsets(tables["ndi_cause_of_death"]),
-        smoking,
+        smoking_summary(tables["social_history"]),
     ):
         profile = profile.join(part, ["pat_id"], "left")
     return profile.withColumns(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import number_text
@@ -107,34 +107,37 @@ def missing(groups: DataFrame) -> DataFrame:
     return counts.unpivot(["group"], list(names), "variable", "unknown")
 
 
-def table_one(people: DataFrame, outcome: str, label: str) -> DataFrame:
+def _percent_text() -> Column:
+    """Whole percent from 10 on, one decimal below, tiny shares as ``<0.1``."""
+    p = F.col("percent")
+    rounded = F.when(p >= 10, F.round(p)).otherwise(F.round(p, 1))
+    return F.when((p > 0) & (p < 0.1), "<0.1").otherwise(number_text(rounded))
+
+
+def table_one(people: DataFrame, outcome: str, label: str, digits: int = 0) -> DataFrame:
     """Report table: one row per variable and level, one text column per group."""
     groups = grouped(people, outcome, label)
+    median, q1, q3 = (number_text(F.round(c, digits)) for c in ("median", "q1", "q3"))
     medians = continuous(groups).select(
         "group", "variable", F.lit(0).alias("part"), F.lit("").alias("level"),
-        F.concat(
-            number_text(F.round("median", 1)), F.lit(" ("), number_text(F.round("q1", 1)),
-            F.lit(", "), number_text(F.round("q3", 1)), F.lit(")"),
-        ).alias("text"),
+        F.concat(median, F.lit(" ("), q1, F.lit(", "), q3, F.lit(")")).alias("text"),
     )
     shares = categorical(groups).select(
         "group", "variable", F.lit(0).alias("part"),
         F.when(F.col("variable").isin(*YES_NO), "").otherwise(F.col("level")).alias("level"),
-        F.concat(F.col("n").cast("string"), F.lit(" ("), number_text(F.round("percent", 1)), F.lit("%)")).alias("text"),
+        F.concat(F.col("n").cast("string"), F.lit(" ("), _percent_text(), F.lit("%)")).alias("text"),
     )
     unknown = missing(groups).where(F.col("unknown") > 0).select(
         "group", "variable", F.lit(1).alias("part"), F.lit("Unknown").alias("level"),
         F.col("unknown").cast("string").alias("text"),
     )
-    order = F.create_map(*[x for i, v in enumerate(LABELS) for x in (F.lit(v), F.lit(i))])
-    names = F.create_map(*[x for v, t in LABELS.items() for x in (F.lit(v), F.lit(t))])
+    names = list(LABELS)
+    place = F.array_position(F.array(*[F.lit(v) for v in names]), F.col("variable"))
+    label_of = F.element_at(F.array(*[F.lit(LABELS[v]) for v in names]), place.cast("int"))
+    columns = ["Overall", f"Incident {label}", f"No {label}"]
     return (
         medians.unionByName(shares).unionByName(unknown)
-        .groupBy("variable", "part", "level")
-        .pivot("group", ["Overall", f"Incident {label}", f"No {label}"])
-        .agg(F.first("text"))
-        .withColumn("position", order[F.col("variable")])
-        .withColumn("label", names[F.col("variable")])
+        .groupBy("variable", "part", "level").pivot("group", columns).agg(F.first("text"))
+        .select(place.cast("int").alias("position"), "variable", label_of.alias("label"), "part", "level", *columns)
         .orderBy("position", "part", "level")
-        .select("position", "variable", "label", "level", "Overall", f"Incident {label}", f"No {label}")
     )

@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from ..operators import eligibility, index_visit, phenotypes, risk
+from ..sources.extracts import create_table
 from ..storage import written
 
 
@@ -39,18 +40,18 @@ class CohortBuild:
         return written(phenotypes.patient_profile(self.base), "profile")
 
     @cached_property
-    def timeline(self) -> DataFrame:
-        return written(index_visit.visit_timeline(self.base), "timeline")
+    def screened(self) -> DataFrame:
+        """Visit days both outcomes choose their index visits from."""
+        timeline = index_visit.visit_timeline(self.base)
+        return written(index_visit.screened_days(timeline, self.profile), "screened")
 
     def eligible(self, outcome: str) -> DataFrame:
         """``ascvd_eligible_encounters`` / ``total_cvd_eligible_encounters``."""
         return eligibility.eligible_encounters(self.base, self.profile, outcome)
 
     def candidates(self, outcome: str) -> DataFrame:
-        """Visit days on which an index could fall; only total CVD demands an eGFR."""
-        return index_visit.candidate_days(
-            self.timeline, self.profile, outcome, need_egfr=outcome == "total_cvd"
-        )
+        """Visit days on which an index visit could fall."""
+        return index_visit.candidate_days(self.screened, outcome)
 
     def _index(self, outcome: str) -> DataFrame:
         visits = written(index_visit.first_visits(self.candidates(outcome)), f"{outcome}_visits")
@@ -97,3 +98,19 @@ class CohortBuild:
     def prevent_total_cvd(self) -> DataFrame:
         people = index_visit.analysis_set(self.prevent_total_cvd_index)
         return written(risk.prevent_total_cvd_risks(people), "prevent_total_cvd")
+
+    def published_tables(self) -> dict[str, DataFrame]:
+        """Base and derived tables under the names later analyses select from."""
+        return {
+            **self.base,
+            "ascvd_eligible_encounters": self.eligible("ascvd"),
+            "total_cvd_eligible_encounters": self.eligible("total_cvd"),
+            "pce_first_eligible_encounter_with_predictors": self.pce_index,
+            "prevents_first_ascvd_eligible_encounter_with_predictors": self.prevent_ascvd_index,
+            "prevents_first_total_cvd_eligible_encounter_with_predictors": self.prevent_total_cvd_index,
+        }
+
+    def create_tables(self, folder: str | None = None) -> None:
+        """Create every published table in the catalog; existing ones are an error."""
+        for name, df in self.published_tables().items():
+            create_table(df, name, folder)
