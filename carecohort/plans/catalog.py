@@ -34,10 +34,8 @@ def presentable(df: DataFrame) -> DataFrame:
     columns = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
-        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        if isinstance(f.dataType, (T.DateType, T.TimestampNTZType)):
+            c = c.cast("string")
         elif isinstance(f.dataType, T.DoubleType):
             c = F.round(c, 6)
         columns.append(c.alias(f.name))
