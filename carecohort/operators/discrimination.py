@@ -84,7 +84,7 @@ def concordance(rows: DataFrame) -> DataFrame:
     ranks = running_sums(scores, "risk", ["one"], edges, [BY]).select(
         BY, "risk", F.col("before_one").alias("rank")
     )
-    levels = max(1, int(ranks.agg(F.max("rank")).first()[0] or 0).bit_length())
+    levels = max(1, scores.count().bit_length())  # every rank is below this power of two
     ranked = cells.join(ranks, [BY, "risk"])
 
     blocks = (
