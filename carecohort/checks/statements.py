@@ -8,7 +8,7 @@ from ..operators.eligibility import ELIGIBLE_COLUMNS
 from ..operators.netbenefit import (
     DETAIL_5YR, DETAIL_10YR, DETAIL_ASCVD, DETAIL_TOTAL_CVD, FULL_BINARY, FULL_SURVIVAL,
 )
-from ..operators.tableone import CATEGORICAL, CONTINUOUS, YES_NO
+from ..operators.tableone import CATEGORICAL, CONTINUOUS, LABELS, YES_NO
 from ..plans.catalog import PREVENT_TERMS
 from ..plans.validation import ASCVD, METRICS, MODELS, PCE_5YR, PCE_10YR, SHARES, TOTAL_CVD
 from .parts import _VALUE, PARTS, shown, six, statement
@@ -499,6 +499,14 @@ union all
 select '{_m}', case when {_flag} = 1 then 'Incident {_label}' else 'No {_label}' end, {_names}, {_egfr} from {_t}"""
 PARTS["all_groups"] = " union all ".join(f"select * from groups_{t}" for _, t, *_ in _SETS)
 
+_LONG_VALUES = " union all ".join(
+    f"select model, \"group\", '{c}' as variable, {c}::double as value from all_groups where {c} is not null"
+    for c in CONTINUOUS
+)
+_LONG_LEVELS = " union all ".join(
+    f"select model, \"group\", '{c}' as variable, cast({c} as varchar) as level from all_groups where {c} is not null"
+    for c in (*CATEGORICAL, *YES_NO)
+)
 _add(
     "table1_continuous",
     """select model, "group", variable, known,
@@ -508,10 +516,7 @@ _add(
 from (select *, row_number() over (partition by model, "group", variable order by value) as nth,
              count(*) over (partition by model, "group", variable) as known from long_values)
 group by model, "group", variable, known""",
-    long_values=" union all ".join(
-        f"select model, \"group\", '{c}' as variable, {c}::double as value from all_groups where {c} is not null"
-        for c in CONTINUOUS
-    ),
+    long_values=_LONG_VALUES,
 )
 _add(
     "table1_categorical",
@@ -520,10 +525,7 @@ _add(
          cast(sum(count(*)) over (partition by model, "group", variable) as bigint) as known
   from long_levels group by model, "group", variable, level)
 where variable in ({', '.join(f"'{c}'" for c in CATEGORICAL)}) or level = '1'""",
-    long_levels=" union all ".join(
-        f"select model, \"group\", '{c}' as variable, cast({c} as varchar) as level from all_groups where {c} is not null"
-        for c in (*CATEGORICAL, *YES_NO)
-    ),
+    long_levels=_LONG_LEVELS,
 )
 _add(
     "table1_missing",
@@ -552,6 +554,43 @@ def _text(x: str) -> str:
     return f"regexp_replace(cast({x} as varchar), '\\.0$', '')"
 
 
+def _table_one(model: str, label: str) -> str:
+    """Cells of the report table, one row per variable, part and level, then side by side."""
+
+    def quantile(p):
+        return f"(max(value) filter (nth = ceil(known * {p})) + max(value) filter (nth = floor(known * {p}) + 1)) / 2"
+
+    whole = [_text(f"round({quantile(p)})") for p in (0.5, 0.25, 0.75)]
+    share = "100.0::double * n / known"
+    cells = [
+        f"""select "group", variable, 0 as part, '' as level, {whole[0]} || ' (' || {whole[1]} || ', ' || {whole[2]} || ')' as cell
+from (select *, row_number() over (partition by "group", variable order by value) as nth,
+             count(*) over (partition by "group", variable) as known from long_values where model = '{model}')
+group by "group", variable, known""",
+        f"""select "group", variable, 0, case when variable in {tuple(YES_NO)} then '' else level end,
+  n || ' (' || case when {share} > 0 and {share} < 0.1 then '<0.1'
+    when {share} >= 10 then {_text(f'round({share})')} else {_text(f'round({share}, 1)')} end || '%)'
+from (select "group", variable, level, count(*) as n, sum(count(*)) over (partition by "group", variable) as known
+      from long_levels where model = '{model}' group by "group", variable, level)
+where variable not in {tuple(YES_NO)} or level = '1'""",
+    ]
+    cells += [
+        f"""select "group", '{c}', 1, 'Unknown', cast(count(*) - count({c}) as varchar) from all_groups
+where model = '{model}' group by "group" having count(*) > count({c})"""
+        for c in LABELS
+    ]
+    place = " ".join(f"when '{v}' then {i + 1}" for i, v in enumerate(LABELS))
+    title = " ".join(f"when '{v}' then '{t}'" for v, t in LABELS.items())
+    sides = ", ".join(
+        f'max(cell) filter ("group" = \'{g}\') as "{g}"' for g in ("Overall", f"Incident {label}", f"No {label}")
+    )
+    return f"""select case variable {place} end as position, variable, case variable {title} end as label,
+  part, level, {sides} from ({' union all '.join(cells)}) group by variable, part, level"""
+
+
+_add("table1_report", _table_one(ASCVD, "ASCVD"), long_values=_LONG_VALUES, long_levels=_LONG_LEVELS)
+
+
 def _interval(name: str) -> str:
     parts = [_text(_significant(c, 2)) for c in (name, f"{name}_low", f"{name}_high")]
     return f"{parts[0]} || ' (' || {parts[1]} || ', ' || {parts[2]} || ')'"
@@ -584,6 +623,11 @@ def _metric_parts(survival: str, binary: str) -> dict[str, str]:
     return out
 
 
+_add(
+    "metrics_long",
+    'select series, "Metric", "Value" from metric_rows',
+    **_metric_parts("survival_rows", "binary_rows"),
+)
 _POSITION = "list_position([" + ", ".join("'" + n.replace("'", "''") + "'" for n in METRICS) + "], \"Metric\")"
 _add(
     "metrics_wide",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import codes
 from ..functions.clean import recode
 from ..functions.dates import within_lookback, year_gap
-from .skew import ROWS_PER_SPLIT, join_lookup
+from .skew import ROWS_PER_SPLIT, join_lookup, numbered_copies
 
 OUTCOMES = ("ascvd", "total_cvd")
 
@@ -101,12 +101,14 @@ def eligible_encounters(
         lambda s: within_lookback(s["smoking_status_date"], F.col("contact_date"), codes.LOOKBACK_DAYS),
     )
     listed = F.when(has_known_onset(), F.col("smoking")).otherwise(F.col("recent"))
-    copies = F.sequence(F.lit(1), F.coalesce("record.n_records", F.lit(1)).cast("int"))
-    return (
+    listings = (
         visits.withColumn("recent", recent)
         .where(has_known_onset() | (F.size("recent") > 0))
         .withColumn("record", F.explode_outer(listed))
-        .withColumn("copy", F.explode(copies))
+        .withColumn("copies", F.coalesce("record.n_records", F.lit(1)))
+    )
+    return (
+        numbered_copies(listings, "copies", "copy")
         .withColumns(
             {
                 "smoking_status_date": F.col("record.smoking_status_date"),

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from .discrimination import Z95
 from .evaluation import BY
+from .skew import numbered_copies
 
 MAX_STEPS = 40
 TOLERANCE = 1e-7  # steps shrink quadratically: the estimate is far closer than this
-TIES_PER_ROW = 4096
+HEAVY_TIES = 100_000  # events at one time from which their terms are spread out
 
 
 def _with_series_values(rows: DataFrame, **values: dict[str, float]) -> DataFrame:
@@ -136,7 +137,7 @@ def cox_calibration(rows: DataFrame) -> DataFrame:
     centre = {r[BY]: r["m"] for r in rows.groupBy(BY).agg(F.avg("lp").alias("m")).collect()}
     start = {s: np.zeros(1) for s in centre}
     events = rows.groupBy(BY, "years").agg(F.sum("outcome").alias("d"))
-    heavy_ties = (events.agg(F.max("d")).first()[0] or 0) > TIES_PER_ROW
+    heavy_ties = (events.agg(F.max("d")).first()[0] or 0) > HEAVY_TIES
 
     def evaluate(point):
         placed = _with_series_values(
@@ -178,17 +179,10 @@ def _efron_sums(points: DataFrame, heavy_ties: bool) -> DataFrame:
     events = by_time.withColumns(
         {f"s{k}": F.sum(f"t{k}").over(at_risk) for k in moments}
     ).where(F.col("d") > 0)
-    step = F.lit(TIES_PER_ROW).cast("bigint")
-    chunks = events.withColumn(
-        "start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("d") - 1, step))
-    )
-    if heavy_ties:
-        chunks = chunks.repartition(BY, "years", "start")
+    ties = numbered_copies(events, "d", "tie", (BY, "years") if heavy_ties else None)
     share = F.col("tie") / F.col("d")
     left = {k: F.col(f"s{k}") - share * F.col(f"e{k}") for k in moments}
-    terms = chunks.withColumn(
-        "tie", F.explode(F.sequence("start", F.least(F.col("start") + TIES_PER_ROW, F.col("d")) - 1))
-    ).select(
+    terms = ties.select(
         BY,
         "beta",
         F.when(F.col("tie") == 0, F.col("sx")).otherwise(0.0).alias("sx"),

@@ -150,15 +150,23 @@ def first_index_death(deaths: DataFrame) -> DataFrame:
     return deaths.groupBy("pat_id").agg(F.min("death_date").alias("ndi_death_date"))
 
 
-def first_outcome(diagnoses: DataFrame, deaths: DataFrame, outcome: str) -> DataFrame:
+def _death_counts(outcome: str, count_ascvd_deaths: bool) -> Column:
+    labels = [outcome.replace("_", " ")]
+    if count_ascvd_deaths:
+        labels.append("ascvd")
+    return F.col("death_cause").isin(*labels)
+
+
+def first_outcome(
+    diagnoses: DataFrame, deaths: DataFrame, outcome: str, count_ascvd_deaths: bool = False
+) -> DataFrame:
     """Earliest outcome: event diagnosis or death-index death carrying the outcome's label.
 
-    Labels exclude each other, so deaths labelled ``ascvd`` do not count towards
-    total CVD.
+    Labels exclude each other, so by default deaths labelled ``ascvd`` do not count
+    towards total CVD, as in the published cohort; ``count_ascvd_deaths`` adds them.
     """
     by_diagnosis = diagnoses.where(is_event(outcome)).select("pat_id", F.col("contact_date").alias("day"))
-    label = outcome.replace("_", " ")
-    by_death = deaths.where(F.col("death_cause") == label).select(
+    by_death = deaths.where(_death_counts(outcome, count_ascvd_deaths)).select(
         "pat_id", F.col("death_date").alias("day")
     )
     return (
@@ -222,13 +230,15 @@ def medication_onsets(medications: DataFrame) -> DataFrame:
     )
 
 
-def death_onsets(deaths: DataFrame) -> DataFrame:
-    """First death-index date, overall and per outcome label."""
-    day, cause = F.col("death_date"), F.col("death_cause")
+def death_onsets(deaths: DataFrame, count_ascvd_deaths: bool = False) -> DataFrame:
+    """First death-index date, overall and per outcome."""
+    day = F.col("death_date")
     return deaths.groupBy("pat_id").agg(
         F.min(day).alias("ndi_death_date"),
-        F.min(F.when(cause == "ascvd", day)).alias("_ascvd_death"),
-        F.min(F.when(cause == "total cvd", day)).alias("_total_cvd_death"),
+        *[
+            F.min(F.when(_death_counts(o, count_ascvd_deaths), day)).alias(f"_{o}_death")
+            for o in ("ascvd", "total_cvd")
+        ],
     )
 
 
@@ -244,7 +254,7 @@ def smoking_summary(social_history: DataFrame) -> DataFrame:
     )
 
 
-def patient_profile(tables: dict[str, DataFrame]) -> DataFrame:
+def patient_profile(tables: dict[str, DataFrame], count_ascvd_deaths: bool = False) -> DataFrame:
     """One row per patient: demographics and every onset date of both outcomes.
 
     All inputs are already one row per patient and partitioned by patient, so the
@@ -256,7 +266,7 @@ def patient_profile(tables: dict[str, DataFrame]) -> DataFrame:
         medication_onsets(tables["medications"]),
         second_antihypertensive(tables["medications"]),
         dyslipidemia_onset(tables["labs"]),
-        death_onsets(tables["ndi_cause_of_death"]),
+        death_onsets(tables["ndi_cause_of_death"], count_ascvd_deaths),
         smoking_summary(tables["social_history"]),
     ):
         profile = profile.join(part, ["pat_id"], "left")

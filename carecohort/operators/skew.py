@@ -66,3 +66,22 @@ def join_lookup(
         .drop("_splits")
     )
     return spread.join(repeated, [*keys, _SPLIT], how).drop(_SPLIT)
+
+
+ROWS_PER_STEP = 4096
+
+
+def numbered_copies(df: DataFrame, count: str, name: str, spread_by=None) -> DataFrame:
+    """Repeat each row ``count`` times, numbered from 0 in ``name``.
+
+    Works in two steps so that no single row ever builds an array of ``count``
+    entries; with ``spread_by`` the steps are spread over the cluster in between.
+    """
+    n, step = F.col(count).cast("bigint"), F.lit(ROWS_PER_STEP).cast("bigint")
+    starts = df.where(n > 0).withColumn(
+        "_start", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1, step))
+    )
+    if spread_by:
+        starts = starts.repartition(*spread_by, "_start")
+    last = F.least(F.col("_start") + step, n) - 1
+    return starts.withColumn(name, F.explode(F.sequence(F.col("_start"), last))).drop("_start")

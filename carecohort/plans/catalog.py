@@ -415,11 +415,22 @@ def _(v):
     return v.table_one_part(tableone.missing)
 
 
+@query("table1_report")
+def _(v):
+    """Formatted characteristics table of the PREVENT ASCVD set."""
+    return tableone.table_one(*v.table_one_sets()[ASCVD])
+
+
 @query("statin_drop_in")
 def _(v):
     return v.statin_drop_in()
 
 
+@query("metrics_long")
+def _(v):
+    return v.metrics()
+
+
 @query("metrics_wide")
 def _(v):
     return v.metrics_wide()

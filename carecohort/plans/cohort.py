@@ -17,13 +17,26 @@ from ..storage import written
 
 
 class CohortBuild:
-    """All derived tables over one set of base tables."""
-
-    def __init__(self, tables: dict[str, DataFrame]):
+    """All derived tables over one set of base tables.
+
+    Two definitions of the published cohort differ from what their names suggest
+    and are kept by default: the 30-day supply rule reaches one drug class only
+    (``all_classes_checked`` applies it to all), and ASCVD deaths from the death
+    index are no total-CVD outcomes (``count_ascvd_deaths`` makes them so).
+    """
+
+    def __init__(
+        self,
+        tables: dict[str, DataFrame],
+        all_classes_checked: bool = False,
+        count_ascvd_deaths: bool = False,
+    ):
         self.base = tables
+        self.all_classes_checked = all_classes_checked
+        self.count_ascvd_deaths = count_ascvd_deaths
 
     @classmethod
-    def over_written_base(cls, tables: dict[str, DataFrame]) -> CohortBuild:
+    def over_written_base(cls, tables: dict[str, DataFrame], **options) -> CohortBuild:
         """Write the base tables first.
 
         Laboratory rows are ordered by component inside each file (no shuffle), so
@@ -33,11 +46,13 @@ class CohortBuild:
         for name, df in tables.items():
             ordered = df.sortWithinPartitions("component_id") if name == "labs" else df
             out[name] = written(ordered, name)
-        return cls(out)
+        return cls(out, **options)
 
     @cached_property
     def profile(self) -> DataFrame:
-        return written(phenotypes.patient_profile(self.base), "profile")
+        return written(
+            phenotypes.patient_profile(self.base, self.count_ascvd_deaths), "profile"
+        )
 
     @cached_property
     def screened(self) -> DataFrame:
@@ -55,10 +70,10 @@ class CohortBuild:
 
     def _index(self, outcome: str) -> DataFrame:
         visits = written(index_visit.first_visits(self.candidates(outcome)), f"{outcome}_visits")
-        return written(
-            index_visit.complete_index(visits, self.base["medications"], outcome),
-            f"{outcome}_index",
+        complete = index_visit.complete_index(
+            visits, self.base["medications"], outcome, self.all_classes_checked
         )
+        return written(complete, f"{outcome}_index")
 
     @cached_property
     def _ascvd_index(self) -> DataFrame:

@@ -263,6 +263,22 @@ def test_ascvd_deaths_do_not_count_towards_total_cvd(spark):
     t = tables(spark, deaths=deaths)
     assert phenotypes.first_outcome(t["diagnoses"], t["ndi_cause_of_death"], "ascvd").count() == 1
     assert phenotypes.first_outcome(t["diagnoses"], t["ndi_cause_of_death"], "total_cvd").count() == 0
+    counted = phenotypes.first_outcome(t["diagnoses"], t["ndi_cause_of_death"], "total_cvd", count_ascvd_deaths=True)
+    assert counted.first()["total_cvd_date"] == day("2018-02-01")
+
+
+def test_options_reach_the_index_table(spark):
+    rows = dict(
+        patients=[patient()], deaths=[{"pat_id": "p", "death_date": day("2018-02-01"), "death_cause": "ascvd"}],
+        labs=panel("2015-05-01T09:00:00") + [{"pat_id": "p", "component_id": 244, "result_time": at("2015-05-01"), "ord_value": "80"}],
+        medications=[order("C07AB02", "2015-05-25", "2015-05-25", "2015-06-04")],
+    )
+    encounter, vital = visit("2015-06-01")
+    base = tables(spark, encounters=[encounter], vitals=[vital], **rows)
+    kept = CohortBuild(base).prevent_total_cvd_index.first()
+    assert (kept["total_cvd_date"], kept["current_hypertensive_med_flag"]) == (None, 1)
+    changed = CohortBuild(base, all_classes_checked=True, count_ascvd_deaths=True).prevent_total_cvd_index.first()
+    assert (changed["total_cvd_date"], changed["current_hypertensive_med_flag"]) == (day("2018-02-01"), 0)
 
 
 def test_leap_day_index(spark):

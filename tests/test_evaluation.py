@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carecohort import api
-from carecohort.operators import calibration, discrimination, evaluation, fits, netbenefit
+from carecohort.operators import calibration, discrimination, evaluation, fits, netbenefit, skew
 from carecohort.operators.evaluation import BY
 
 SCHEMA = "series string, pat_id int, outcome int, risk double, lp double, years double"
@@ -131,9 +131,10 @@ def efron(part, beta):
     return score, info
 
 
-@pytest.mark.parametrize("ties_per_row", [3, 4096])
-def test_cox_slope_with_ties(spark, ties_per_row, monkeypatch):
-    monkeypatch.setattr(fits, "TIES_PER_ROW", ties_per_row)
+@pytest.mark.parametrize("heavy", [2, 100_000])
+def test_cox_slope_with_ties(spark, heavy, monkeypatch):
+    monkeypatch.setattr(fits, "HEAVY_TIES", heavy)
+    monkeypatch.setattr(skew, "ROWS_PER_STEP", 3)
     rows = make(120, 9)
     got = {r[BY]: r for r in fits.cox_calibration(spark.createDataFrame(rows, SCHEMA)).collect()}
     for s in ("m1", "m2"):
@@ -236,6 +237,16 @@ def test_missing_risk_is_left_out(spark):
     assert calibration.expected_observed(rows).first()["n_used"] == 2
 
 
+def test_measures_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    for measure in (
+        discrimination.auc, discrimination.concordance, fits.logistic_calibration, fits.cox_calibration,
+        calibration.expected_observed, calibration.binned_calibration, calibration.smoothed_calibration,
+        netbenefit.kaplan_meier, netbenefit.binary_decision_curve,
+    ):
+        assert measure(empty).count() == 0
+
+
 def test_named_column_functions(spark, rows):
     data = spark.createDataFrame(of(rows, "m1"), SCHEMA).withColumnRenamed("pat_id", "who").withColumn(
         "mean_xb", F.lit(-1.0)

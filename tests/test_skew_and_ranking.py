@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from carecohort.operators.ranking import bucket_edges, random_rank, running_sums
-from carecohort.operators.skew import hot_keys, join_lookup
+from carecohort.operators import skew
+from carecohort.operators.skew import hot_keys, join_lookup, numbered_copies
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +79,11 @@ def test_random_rank_does_not_depend_on_partitions(spark):
     one = random_rank(df.repartition(1), "pat_id").collect()
     many = random_rank(df.repartition(13), "pat_id").collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, many))
+
+
+@pytest.mark.parametrize("spread", [None, ("k",)])
+def test_numbered_copies(spark, monkeypatch, spread):
+    monkeypatch.setattr(skew, "ROWS_PER_STEP", 3)
+    df = spark.createDataFrame([("a", 7), ("b", 1), ("c", 0), ("d", 3)], "k string, n int")
+    got = Counter((r["k"], r["i"]) for r in numbered_copies(df, "n", "i", spread).collect())
+    assert got == Counter([("a", i) for i in range(7)] + [("b", 0)] + [("d", i) for i in range(3)])
