@@ -58,15 +58,16 @@ def visit_timeline(tables: dict[str, DataFrame]) -> DataFrame:
     )
     for source, day, payload in (
         (panels, "chol_date", F.struct("chol_date", *LIPIDS).alias("panel")),
-        (egfrs, "egfr_date", F.struct("egfr_result.result_time", "egfr_date", "egfr_result.egfr").alias("egfr_row")),
+        (egfrs, "egfr_date", F.struct("result_time", "egfr_date", "egfr").alias("egfr_row")),
         (smoking, "smoking_status_date", F.col("smoking_status_date").alias("smoked_on")),
     ):
         part = source.select("pat_id", F.col(day).alias("day"), F.lit(0).alias("is_visit"), payload)
         days = days.unionByName(part, allowMissingColumns=True)
     so_far = (
-        Window.partitionBy("pat_id").orderBy("day", "is_visit")
+        Window.partitionBy("pat_id").orderBy("day", "is_visit", "egfr_row")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    # a day may hold several eGFRs: the order ends with the latest, then the highest
     newest = {c: F.last(c, ignorenulls=True).over(so_far) for c in ("panel", "egfr_row", "smoked_on")}
     return days.withColumns(newest).where(F.col("is_visit") == 1).select(
         "pat_id", F.col("day").alias("contact_date"),

@@ -119,20 +119,19 @@ def egfr_results(labs: DataFrame, patients: DataFrame) -> DataFrame:
 
 
 def egfr_days(labs: DataFrame, patients: DataFrame) -> DataFrame:
-    """Latest applicable eGFR of each patient and day.
+    """Latest applicable eGFR of each patient, day and component group (five groups).
 
-    Reduced to one row per day and component group before patients are joined.
+    Reduced to those few rows per day before patients are joined.
     """
     newest = (
         _numeric_egfr(labs)
         .groupBy("pat_id", "_group", "egfr_date")
-        .agg(F.max(F.struct("result_time", "egfr")).alias("egfr_result"))
+        .agg(F.max(F.struct("result_time", "egfr")).alias("newest"))
     )
     return (
         newest.join(patients.select(*_PERSON), ["pat_id"], "left")
         .where(_applies())
-        .groupBy("pat_id", "egfr_date")
-        .agg(F.max("egfr_result").alias("egfr_result"))
+        .select("pat_id", "egfr_date", "newest.result_time", "newest.egfr")
     )
 
 

@@ -47,7 +47,7 @@ def read_extract(
 
 def rejected_lines(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """Lines whose number of fields differs from the header's."""
-    return _text_scan(spark, path, sep, keep_bad=True).where(F.col(BAD_LINE).isNotNull())
+    return lower_names(_text_scan(spark, path, sep, keep_bad=True)).where(F.col(BAD_LINE).isNotNull())
 
 
 def read_by_prefix(

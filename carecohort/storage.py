@@ -14,20 +14,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_local_folders: dict[str, str] = {}
+_local_folders: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Shared folder named by the session; a private one only in local mode."""
+    """Shared folder named by the session; a private one in local mode if none is named."""
     named = spark.conf.get(_SETTING, None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_SETTING} to a folder every executor can reach")
     app = spark.sparkContext.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = "file://" + tempfile.mkdtemp(prefix="carecohort-")
-    return _local_folders[app]
+    if app not in _local_folders:  # removed when Python exits
+        _local_folders[app] = tempfile.TemporaryDirectory(
+            prefix="carecohort-", ignore_cleanup_errors=True
+        )
+    return "file://" + _local_folders[app].name
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -366,3 +366,9 @@ def test_result_does_not_depend_on_partitions(random_registry, spark):
     few = CohortBuild({n: df.repartition(1) for n, df in b.base.items()})
     assert few.pce_index.exceptAll(b.pce_index).count() == 0
     assert b.pce_index.agg(F.count(F.lit(1))).first() == few.pce_index.agg(F.count(F.lit(1))).first()
+
+
+def test_analysis_set_filter_reaches_the_scan(random_registry):
+    b, _ = random_registry
+    plan = index_visit.analysis_set(b.pce_index, by_race=True)._jdf.queryExecution().executedPlan().toString()
+    assert "In(sex, [female,male])" in plan and "In(raceth, [nh black,nh white])" in plan
