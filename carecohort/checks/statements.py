@@ -37,6 +37,11 @@ _add(
 from orders join lineitem on o_orderkey = l_orderkey""",
 )
 _table("ndi_match_cause", "ndi_cause_of_death", ["pat_id", "death_date", "death_cause"])
+_table("death_index_files", "ndi_cause_of_death", ["pat_id", "death_date", "death_cause"])
+_table(
+    "delimited_scan", "encounters",
+    ["pat_id", "pat_enc_csn_id", "contact_date", "department_name", "product_type_nm"],
+)
 _add(
     "lab_clean_cast",
     f"""select component_id, ord_value, count(*) as n_results, any_value({_VALUE}) as value

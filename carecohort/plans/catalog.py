@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +16,9 @@ from ..operators import (
 from ..operators.deaths import match_deaths
 from ..operators.evaluation import BY
 from ..sources import starschema
-from ..sources.extracts import lower_names, stacked
+from ..schemas import DEATH_KEYS
+from ..sources.extracts import lower_names, read_by_prefix, read_extract, stacked
+from ..storage import shared_folder
 from .cohort import CohortBuild
 from .validation import ASCVD, PCE_5YR, PCE_10YR, TOTAL_CVD, Validation
 
@@ -94,6 +98,41 @@ def ndi_match_cause(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["ndi_match_cause"] = ndi_match_cause
 
 
+def _as_text_file(df: DataFrame, name: str, sep: str) -> str:
+    """Write a table the way extracts arrive: delimited, with an upper-case header line."""
+    app = df.sparkSession.sparkContext.applicationId
+    path = f"{shared_folder(df.sparkSession)}/{app}/{name}-{uuid.uuid4().hex[:12]}"
+    df.toDF(*[c.upper() for c in df.columns]).write.option("header", True).option("sep", sep).csv(path)
+    return path
+
+
+@query("delimited_scan")
+def _(v):
+    """Encounters read back from a tab-delimited file holding repeats and other columns."""
+    rows = v.build.base["encounters"].withColumn("note", F.explode(F.array(F.lit("a,b"), F.lit('"c"'))))
+    path = _as_text_file(rows, "encounters", "\t")
+    wanted = v.build.base["encounters"].schema
+    return read_extract(rows.sparkSession, path, wanted).distinct()
+
+
+def death_index_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Death matching from comma-delimited files: text columns picked by name and prefix."""
+    manifest = _as_text_file(starschema.death_manifest(spark, folder), "ndi", ",")
+    causes = _as_text_file(starschema.death_causes(spark, folder), "ndi_cause", ",")
+    return presentable(match_deaths(
+        read_by_prefix(spark, manifest, (*DEATH_KEYS, "ndi_status_code")),
+        read_by_prefix(
+            spark, causes,
+            (*DEATH_KEYS, "ndi_month_death", "ndi_day_death", "ndi_cause_underlying"),
+            ("ndi_cause_record",),
+        ),
+        starschema.patients(spark, folder),
+    ))
+
+
+QUERIES["death_index_files"] = death_index_files
+
+
 @query("lab_clean_cast")
 def _(v):
     """Every distinct result text with its number, per component."""
