@@ -14,104 +14,161 @@ from carecohort.plans.catalog import presentable
 from carecohort.plans.cohort import CohortBuild
 
 
-def build(spark, encounters_and_vitals, **rows):
-    rows.setdefault("patients", [patient()])
-    return CohortBuild(
-        tables(
-            spark, encounters=[e for e, _ in encounters_and_vitals],
-            vitals=[v for _, v in encounters_and_vitals], **rows,
+# --- hand-made patients: one registry, one patient per case -------------------------
+
+CASES: dict[str, dict] = {}
+
+
+def case(name, *visits, person=None, **rows):
+    """Register a patient; ids in the rows are replaced by the case name."""
+    CASES[name] = dict(visits=visits, person=person or {}, rows=rows)
+    return name
+
+
+def smoke(*days):
+    return [{"contact_date": day(d), "smoking_tob_use_nm": "Every Day"} for d in days]
+
+
+class Results:
+    """Collected cohort tables of all cases, by case name."""
+
+    def __init__(self, spark):
+        rows = dict(patients=[], encounters=[], vitals=[])
+        for name, c in CASES.items():
+            rows["patients"].append(patient(name, **c["person"]))
+            for encounter, vital in c["visits"]:
+                enc = f"{name}-{encounter['pat_enc_csn_id']}"
+                rows["encounters"].append({**encounter, "pat_id": name, "pat_enc_csn_id": enc})
+                rows["vitals"].append({**vital, "pat_enc_csn_id": enc})
+            for table, extra in c["rows"].items():
+                rows.setdefault(table, []).extend({**r, "pat_id": name} for r in extra)
+        build = CohortBuild(tables(spark, **rows))
+        self.eligible = {n: [] for n in CASES}
+        for r in build.eligible("ascvd").collect():
+            self.eligible[r["pat_id"]].append(r)
+        self.pce, self.ascvd, self.total_cvd = (
+            {r["pat_id"]: r for r in df.collect()}
+            for df in (build.pce_index, build.prevent_ascvd_index, build.prevent_total_cvd_index)
         )
-    )
 
 
-def index_day(b):
-    row = b.pce_index.first()
+@pytest.fixture(scope="module")
+def results(spark):
+    return Results(spark)
+
+
+JUNE = visit("2015-06-01")
+MAY_PANEL = panel("2015-05-01T09:00:00")
+
+
+def egfr(when, value):
+    return {"component_id": 244, "result_time": at(when), "ord_value": value}
+
+
+def statin(when):
+    return [{"order_inst": at(when), "atc_code": "C10AA05"}]
+
+
+def dx(when, code):
+    return [{"contact_date": day(when), "current_icd10_list": code}]
+
+
+case("onset_at_ten", JUNE, labs=panel("2015-06-01T10:00:00"))
+case("onset_at_midnight", JUNE, labs=panel("2015-06-01T00:00:00"))
+case("statin_at_midnight", JUNE, labs=MAY_PANEL, medications=statin("2015-06-01T00:00:00"))
+case("statin_at_ten", JUNE, labs=MAY_PANEL, medications=statin("2015-06-01T10:00:00"))
+case("panel_180_days", JUNE, labs=panel("2014-12-03T09:00:00"))
+case("panel_181_days", JUNE, labs=panel("2014-12-02T09:00:00"))
+case(
+    "three_panels", JUNE,
+    labs=panel("2015-04-01T09:00:00") + panel("2015-05-01T09:00:00", ldl="100") + panel("2015-05-20T09:00:00", hdl="n/a"),
+)
+case(
+    "four_visits", visit("2015-06-01", "e0", reading="9/5"), visit("2015-07-01", "e3"),
+    visit("2015-07-01", "e2"), visit("2015-08-01", "e1"), labs=MAY_PANEL,
+)
+case("nearly_forty", visit("2015-01-01"), person={"birth_date": day("1975-12-31")}, labs=panel("2014-12-01T09:00:00"))
+case("later_onset", JUNE, labs=MAY_PANEL, diagnoses=dx("2016-01-01", "I10"))
+case("smoking_records", JUNE, labs=MAY_PANEL, social_history=smoke("2015-05-01", "2015-05-01", "2019-01-01"))
+LOW_PANEL = panel("2015-05-01T09:00:00", ldl="100")
+case("only_smoking", JUNE, labs=LOW_PANEL, social_history=smoke("2015-05-01", "2014-01-01"))
+case("only_old_smoking", JUNE, labs=LOW_PANEL, social_history=smoke("2014-01-01"))
+case("old_smoking", JUNE, labs=MAY_PANEL, social_history=smoke("2014-01-01"))
+case(
+    "egfr_days", JUNE,
+    labs=MAY_PANEL + [egfr("2015-05-02T08:00:00", "70"), egfr("2015-05-02T18:00:00", "75"), egfr("2015-05-02T18:00:00", "74"), egfr("2015-07-01T08:00:00", "80")],
+)
+case("egfr_181_days", JUNE, labs=MAY_PANEL + [egfr("2014-12-02T08:00:00", "70")])
+case("no_event", JUNE, labs=MAY_PANEL)
+case("event_after_contact", JUNE, labs=MAY_PANEL, diagnoses=dx("2021-03-01", "Z1, I21.4"))
+case("event_far_out", JUNE, labs=MAY_PANEL, diagnoses=dx("2025-12-01", "Z1, I21.4"))
+INDEX_DEATH = [{"death_date": day("2018-02-01"), "death_cause": "ascvd"}]
+case("index_death", JUNE, labs=MAY_PANEL, deaths=INDEX_DEATH)
+case("both_deaths", JUNE, person={"death_date": day("2019-01-01")}, labs=MAY_PANEL, deaths=INDEX_DEATH)
+
+
+def index_day(results, name):
+    row = results.pce.get(name)
     return row and str(row["contact_date"])
 
 
 # --- timing rules ---------------------------------------------------------------
 
 
-def test_result_later_on_the_visit_day_is_an_onset_after_the_visit(spark):
-    b = build(spark, [visit("2015-06-01")], labs=panel("2015-06-01T10:00:00"))
-    assert b.eligible("ascvd").count() == 0
+def test_result_later_on_the_visit_day_is_an_onset_after_the_visit(results):
+    assert results.eligible["onset_at_ten"] == []
 
 
-def test_result_at_midnight_is_not_after_the_visit(spark):
-    b = build(spark, [visit("2015-06-01")], labs=panel("2015-06-01T00:00:00"))
-    assert index_day(b) == "2015-06-01"
+def test_result_at_midnight_is_not_after_the_visit(results):
+    assert index_day(results, "onset_at_midnight") == "2015-06-01"
 
 
-@pytest.mark.parametrize("hour, kept", [("00", False), ("10", True)])
-def test_statin_on_the_visit_day(spark, hour, kept):
-    statin = {"pat_id": "p", "order_inst": at(f"2015-06-01T{hour}:00:00"), "atc_code": "C10AA05"}
-    b = build(spark, [visit("2015-06-01")], labs=panel("2015-05-01T09:00:00"), medications=[statin])
-    assert (b.eligible("ascvd").count() == 1) is kept
+def test_statin_on_the_visit_day(results):
+    assert results.eligible["statin_at_midnight"] == []
+    assert len(results.eligible["statin_at_ten"]) == 1
 
 
-@pytest.mark.parametrize("lab_day, found", [("2014-12-03", True), ("2014-12-02", False)])
-def test_lookback_is_180_days(spark, lab_day, found):
-    b = build(spark, [visit("2015-06-01")], labs=panel(f"{lab_day}T09:00:00"))
-    assert b.eligible("ascvd").count() == 1
-    assert (index_day(b) is not None) is found
+def test_lookback_is_180_days(results):
+    assert len(results.eligible["panel_180_days"]) == len(results.eligible["panel_181_days"]) == 1
+    assert index_day(results, "panel_180_days") == "2015-06-01"
+    assert index_day(results, "panel_181_days") is None
 
 
-def test_newest_complete_panel_wins(spark):
-    labs = panel("2015-04-01T09:00:00") + panel("2015-05-01T09:00:00", ldl="100") + panel("2015-05-20T09:00:00", hdl="n/a")
-    row = build(spark, [visit("2015-06-01")], labs=labs).pce_index.first()
+def test_newest_complete_panel_wins(results):
+    row = results.pce["three_panels"]
     assert (row["chol_date"], row["ldl_chol"]) == (day("2015-05-01"), 100.0)
 
 
-def test_first_visit_with_a_pressure_and_the_lowest_encounter(spark):
-    visits = [visit("2015-06-01", "e0", reading="9/5"), visit("2015-07-01", "e3"), visit("2015-07-01", "e2"), visit("2015-08-01", "e1")]
-    row = build(spark, visits, labs=panel("2015-05-01T09:00:00")).pce_index.first()
-    assert (str(row["contact_date"]), row["pat_enc_csn_id"]) == ("2015-07-01", "e2")
+def test_first_visit_with_a_pressure_and_the_lowest_encounter(results):
+    row = results.pce["four_visits"]
+    assert (str(row["contact_date"]), row["pat_enc_csn_id"]) == ("2015-07-01", "four_visits-e2")
 
 
-def test_age_is_a_difference_of_years(spark):
-    b = build(
-        spark, [visit("2015-01-01")], labs=panel("2014-12-01T09:00:00"),
-        patients=[patient(birth_date=day("1975-12-31"))],
-    )
-    assert b.eligible("ascvd").first()["age_yrs"] == 40
+def test_age_is_a_difference_of_years(results):
+    assert results.eligible["nearly_forty"][0]["age_yrs"] == 40
 
 
-def test_later_onset_excludes_an_otherwise_eligible_visit(spark):
-    dx = {"pat_id": "p", "contact_date": day("2016-01-01"), "current_icd10_list": "I10"}
-    b = build(spark, [visit("2015-06-01")], labs=panel("2015-05-01T09:00:00"), diagnoses=[dx])
-    assert b.eligible("ascvd").count() == 0
+def test_later_onset_excludes_an_otherwise_eligible_visit(results):
+    assert results.eligible["later_onset"] == []
 
 
 # --- smoking -----------------------------------------------------------------------
 
 
-def smoke(*days):
-    return [{"pat_id": "p", "contact_date": day(d), "smoking_tob_use_nm": "Every Day"} for d in days]
-
-
-def test_eligible_rows_repeat_per_smoking_record(spark):
-    b = build(
-        spark, [visit("2015-06-01")], labs=panel("2015-05-01T09:00:00"),
-        social_history=smoke("2015-05-01", "2015-05-01", "2019-01-01"),
-    )
-    got = Counter(str(r["smoking_status_date"]) for r in b.eligible("ascvd").collect())
+def test_eligible_rows_repeat_per_smoking_record(results):
+    got = Counter(str(r["smoking_status_date"]) for r in results.eligible["smoking_records"])
     assert got == {"2015-05-01": 2, "2019-01-01": 1}
-    assert b.pce_index.count() == 1 and str(b.pce_index.first()["smoking_status_date"]) == "2015-05-01"
+    assert str(results.pce["smoking_records"]["smoking_status_date"]) == "2015-05-01"
 
 
-def test_smoking_alone_qualifies_only_within_lookback(spark):
-    low = panel("2015-05-01T09:00:00", ldl="100")
-    recent = build(spark, [visit("2015-06-01")], labs=low, social_history=smoke("2015-05-01", "2014-01-01"))
-    rows = recent.eligible("ascvd").collect()
-    assert [str(r["smoking_status_date"]) for r in rows] == ["2015-05-01"]
-    assert recent.pce_index.first()["current_smoker_flag"] == 1
-    old = build(spark, [visit("2015-06-01")], labs=low, social_history=smoke("2014-01-01"))
-    assert old.eligible("ascvd").count() == 0 and old.pce_index.count() == 0
+def test_smoking_alone_qualifies_only_within_lookback(results):
+    assert [str(r["smoking_status_date"]) for r in results.eligible["only_smoking"]] == ["2015-05-01"]
+    assert results.pce["only_smoking"]["current_smoker_flag"] == 1
+    assert results.eligible["only_old_smoking"] == [] and "only_old_smoking" not in results.pce
 
 
-def test_old_smoking_record_is_shown_but_not_current(spark):
-    b = build(spark, [visit("2015-06-01")], labs=panel("2015-05-01T09:00:00"), social_history=smoke("2014-01-01"))
-    row = b.pce_index.first()
+def test_old_smoking_record_is_shown_but_not_current(results):
+    row = results.pce["old_smoking"]
     assert str(row["smoking_status_date"]) == "2014-01-01" and row["current_smoker_flag"] == 0
 
 
@@ -192,52 +249,37 @@ def test_egfr_of_an_unknown_patient(spark):
     assert predictors.egfr_results(t["labs"], t["patients"]).count() == 1
 
 
-def test_latest_egfr_within_lookback(spark):
-    def egfr(when, value):
-        return {"pat_id": "p", "component_id": 244, "result_time": at(when), "ord_value": value}
-
-    labs = panel("2015-05-01T09:00:00") + [egfr("2015-05-02T08:00:00", "70"), egfr("2015-05-02T18:00:00", "75"), egfr("2015-07-01T08:00:00", "80")]
-    b = build(spark, [visit("2015-06-01")], labs=labs)
-    assert b.prevent_ascvd_index.first()["egfr"] == 75 and b.prevent_total_cvd_index.first()["egfr"] == 75
-    late = build(spark, [visit("2015-06-01")], labs=panel("2015-05-01T09:00:00") + [egfr("2014-12-02T08:00:00", "70")])
-    assert late.pce_index.count() == 1
-    assert late.prevent_ascvd_index.count() == 0 and late.prevent_total_cvd_index.count() == 0
+def test_latest_egfr_within_lookback(results):
+    assert results.ascvd["egfr_days"]["egfr"] == 75 and results.total_cvd["egfr_days"]["egfr"] == 75
+    assert "egfr_181_days" in results.pce
+    assert "egfr_181_days" not in results.ascvd and "egfr_181_days" not in results.total_cvd
 
 
 # --- outcomes and follow-up ------------------------------------------------------------
 
 
-def followed(spark, dx=None, deaths=(), **changes):
-    diagnoses = [{"pat_id": "p", "contact_date": day(dx), "current_icd10_list": "Z1, I21.4"}] if dx else []
-    return build(
-        spark, [visit("2015-06-01")], labs=panel("2015-05-01T09:00:00"), patients=[patient(**changes)],
-        diagnoses=diagnoses, deaths=list(deaths),
-    ).pce_index.first()
-
-
-def test_followup_without_event(spark):
-    row = followed(spark)
+def test_followup_without_event(results):
+    row = results.pce["no_event"]
     assert (row["ascvd_5yr_flag"], row["ascvd_10yr_flag"]) == (0, 0)
     assert row["ascvd_followup_end_date"] == day("2020-01-01") and row["ascvd_followup_years"] == 4.59
 
 
-def test_event_after_last_contact_ends_followup_itself(spark):
-    row = followed(spark, dx="2021-03-01")
+def test_event_after_last_contact_ends_followup_itself(results):
+    row = results.pce["event_after_contact"]
     assert row["ascvd_followup_end_date"] == day("2021-03-01")
     assert (row["ascvd_5yr_flag"], row["ascvd_10yr_flag"]) == (0, 1)
 
 
-def test_event_far_out_counts_by_calendar_year_but_followup_is_capped(spark):
-    row = followed(spark, dx="2025-12-01")
+def test_event_far_out_counts_by_calendar_year_but_followup_is_capped(results):
+    row = results.pce["event_far_out"]
     assert row["ascvd_10yr_flag"] == 1 and row["ascvd_followup_end_date"] == day("2025-06-01")
 
 
-def test_deaths_before_last_contact_end_observation(spark):
-    index_death = [{"pat_id": "p", "death_date": day("2018-02-01"), "death_cause": "ascvd"}]
-    row = followed(spark, deaths=index_death)
+def test_deaths_before_last_contact_end_observation(results):
+    row = results.pce["index_death"]
     assert row["last_discharge_or_contact_date"] == day("2018-02-01")
     assert row["ascvd_date"] == day("2018-02-01") and row["ascvd_5yr_flag"] == 1
-    row = followed(spark, deaths=index_death, death_date=day("2019-01-01"))
+    row = results.pce["both_deaths"]
     assert row["last_discharge_or_contact_date"] == day("2019-01-01")
     assert row["ascvd_followup_end_date"] == day("2018-02-01")
 
