@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from .. import codes, coefficients
-from ..operators.discrimination import Z95
 from ..operators.eligibility import ELIGIBLE_COLUMNS
+from ..operators.evaluation import Z95
 from ..operators.netbenefit import (
     DETAIL_5YR, DETAIL_10YR, DETAIL_ASCVD, DETAIL_TOTAL_CVD, FULL_BINARY, FULL_SURVIVAL,
 )
@@ -328,11 +328,21 @@ from joined"""
 
 
 def _concordance(part: str) -> str:
+    """Every usable pair; risks count downwards where a Cox score at zero is negative."""
     return f"""
-select e.series, count(*)::double as usable, count(*) filter (e.risk > o.risk)::double as concordant,
-       count(*) filter (e.risk = o.risk)::double as tied,
-       (count(*) filter (e.risk > o.risk) + 0.5::double * count(*) filter (e.risk = o.risk)) / count(*) as cindex
-from {part} e join {part} o on e.series = o.series and e.outcome = 1 and o.years > e.years group by e.series"""
+with slope as (
+  select series, sum(case when l = 0 then sx else 0 end) - sum((s1 - l / d * e1) / (s0 - l / d * d)) as score
+  from (select *, unnest(range(d::bigint))::double as l from (
+    select series, years, d, e1, e1 as sx, sum(n) over later as s0, sum(x) over later as s1
+    from (select series, years, count(*) as n, sum(risk) as x, sum(outcome)::double as d, sum(risk * outcome) as e1
+          from {part} group by series, years)
+    window later as (partition by series order by years desc)) where d > 0)
+  group by series),
+turned as (select r.*, risk * case when score < 0 then -1 else 1 end as mark from {part} r left join slope using (series))
+select e.series, count(*)::double as usable, count(*) filter (e.mark > o.mark)::double as concordant,
+       count(*) filter (e.mark = o.mark)::double as tied,
+       (count(*) filter (e.mark > o.mark) + 0.5::double * count(*) filter (e.mark = o.mark)) / count(*) as cindex
+from turned e join turned o on e.series = o.series and e.outcome = 1 and o.years > e.years group by e.series"""
 
 
 def _logistic(part: str) -> str:

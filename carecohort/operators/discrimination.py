@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evaluation import BY
+from .evaluation import BY, Z95
+from .fits import fitted_direction
 from .ranking import bucket_edges, running_sums
 
-Z95 = 1.959963984540054  # 97.5 % point of the standard normal distribution
-
 
 def auc(rows: DataFrame) -> DataFrame:
     """AUC with DeLong's 95 % interval per series.
@@ -63,12 +62,14 @@ def auc(rows: DataFrame) -> DataFrame:
     )
 
 
-def concordance(rows: DataFrame) -> DataFrame:
+def concordance(rows: DataFrame, as_fitted: bool = True) -> DataFrame:
     """Harrell's c-index per series.
 
     A pair is usable when one member has an event and the other is followed
-    strictly longer; it is concordant when the event member has the higher risk,
-    and an equal risk counts one half.
+    strictly longer; it is concordant when the event member has the higher
+    predictor, and an equal risk counts one half.  The predictor is the risk as a
+    Cox model would use it: reversed if its coefficient came out negative.  With
+    ``as_fitted`` False it is the risk itself.
 
     Pairs are never formed.  With risks replaced by their rank, the ranks below
     ``r`` are the disjoint union of one dyadic block per set bit of ``r``; each
@@ -108,10 +109,18 @@ def concordance(rows: DataFrame) -> DataFrame:
         later = F.coalesce(F.sum("n").over(longer), F.lit(0)).cast("double")
         return table.withColumn("_p", F.col("d") * later).groupBy(BY).agg(F.sum("_p").alias(name))
 
-    return (
+    counted = (
         pairs(whole, [BY], "usable")
-        .join(pairs(blocks, [BY, "level", "block"], "concordant"), [BY], "left")
+        .join(pairs(blocks, [BY, "level", "block"], "below"), [BY], "left")
         .join(pairs(cells, [BY, "risk"], "tied"), [BY], "left")
+    )
+    concordant = F.col("below")
+    if as_fitted:
+        counted = counted.join(fitted_direction(rows), [BY], "left")
+        above = F.col("usable") - F.col("below") - F.col("tied")
+        concordant = F.when(F.col("direction") < 0, above).otherwise(F.col("below"))
+    return (
+        counted.withColumn("concordant", concordant)
         .withColumn(
             "cindex", F.try_divide(F.col("concordant") + F.col("tied") / 2, F.col("usable"))
         )

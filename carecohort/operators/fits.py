@@ -13,8 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .discrimination import Z95
-from .evaluation import BY
+from .evaluation import BY, Z95
 from .skew import numbered_copies
 
 MAX_STEPS = 40
@@ -136,8 +135,7 @@ def cox_calibration(rows: DataFrame) -> DataFrame:
     """
     centre = {r[BY]: r["m"] for r in rows.groupBy(BY).agg(F.avg("lp").alias("m")).collect()}
     start = {s: np.zeros(1) for s in centre}
-    events = rows.groupBy(BY, "years").agg(F.sum("outcome").alias("d"))
-    heavy_ties = (events.agg(F.max("d")).first()[0] or 0) > HEAVY_TIES
+    heavy_ties = _has_heavy_ties(rows)
 
     def evaluate(point):
         placed = _with_series_values(
@@ -158,6 +156,23 @@ def _cox_frame(rows: DataFrame, values) -> DataFrame:
     )
 
 
+def fitted_direction(rows: DataFrame) -> DataFrame:
+    """Sign of the Cox coefficient the risk itself would get, per series.
+
+    The partial likelihood is concave, so the sign is that of its slope at zero:
+    one pass, no fit.
+    """
+    points = rows.select(BY, "years", "outcome", F.lit(0.0).alias("beta"), F.col("risk").alias("x"))
+    return _efron_sums(points, _has_heavy_ties(rows)).select(
+        BY, F.signum("score").alias("direction")
+    )
+
+
+def _has_heavy_ties(rows: DataFrame) -> bool:
+    events = rows.groupBy(BY, "years").agg(F.sum("outcome").alias("d"))
+    return (events.agg(F.max("d")).first()[0] or 0) > HEAVY_TIES
+
+
 def _efron_sums(points: DataFrame, heavy_ties: bool) -> DataFrame:
     """Partial log-likelihood, its score and information at the rows' ``beta``, per series.
 

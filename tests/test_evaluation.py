@@ -51,7 +51,7 @@ def test_auc_matches_all_pairs(frame, rows):
         var = won.mean(axis=1).var(ddof=1) / len(cases) + won.mean(axis=0).var(ddof=1) / len(controls)
         r = got[s]
         assert r["auc"] == pytest.approx(auc)
-        assert r["auc_high"] - r["auc"] == pytest.approx(discrimination.Z95 * math.sqrt(var))
+        assert r["auc_high"] - r["auc"] == pytest.approx(evaluation.Z95 * math.sqrt(var))
 
 
 def test_auc_direction_follows_the_medians(spark, rows):
@@ -69,7 +69,8 @@ def test_auc_of_equal_scores_is_one_half(spark):
 @pytest.mark.parametrize("ties", [True, False])
 def test_concordance_matches_all_pairs(spark, ties):
     rows = make(150, 5, ties)
-    got = {r[BY]: r for r in discrimination.concordance(spark.createDataFrame(rows, SCHEMA)).collect()}
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {r[BY]: r for r in discrimination.concordance(frame, as_fitted=False).collect()}
     for s in ("m1", "m2"):
         part = of(rows, s)
         usable = concordant = tied = 0
@@ -91,6 +92,16 @@ def test_concordance_ignores_monotone_changes(spark, rows):
     assert a == b
 
 
+def test_concordance_turns_a_risk_that_predicts_backwards(spark, rows):
+    backwards = [(s, i, y, -p, lp, t) for s, i, y, p, lp, t in rows]
+    a = {r[BY]: r["cindex"] for r in discrimination.concordance(spark.createDataFrame(rows, SCHEMA)).collect()}
+    b = {r[BY]: r["cindex"] for r in discrimination.concordance(spark.createDataFrame(backwards, SCHEMA)).collect()}
+    assert a == pytest.approx(b)
+    for s, sign in ((s, efron([(*r[:4], r[3], r[5]) for r in of(rows, s)], 0.0)[0]) for s in ("m1", "m2")):
+        plain = discrimination.concordance(spark.createDataFrame(of(rows, s), SCHEMA), as_fitted=False).first()["cindex"]
+        assert a[s] == pytest.approx(plain if sign >= 0 else 1 - plain)
+
+
 def test_concordance_without_events(spark):
     df = spark.createDataFrame([("m", i, 0, 0.1 * i, 0.0, float(i)) for i in range(5)], SCHEMA)
     r = discrimination.concordance(df).first()
@@ -140,7 +151,7 @@ def test_cox_slope_with_ties(spark, heavy, monkeypatch):
     for s in ("m1", "m2"):
         score, info = efron(of(rows, s), got[s]["slope"])
         assert score == pytest.approx(0, abs=1e-5)
-        assert got[s]["slope_high"] - got[s]["slope"] == pytest.approx(discrimination.Z95 / math.sqrt(info), rel=1e-6)
+        assert got[s]["slope_high"] - got[s]["slope"] == pytest.approx(evaluation.Z95 / math.sqrt(info), rel=1e-6)
 
 
 def test_fits_without_events_are_unknown(spark):
