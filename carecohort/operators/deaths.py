@@ -28,17 +28,16 @@ def match_deaths(manifest: DataFrame, causes: DataFrame, patients: DataFrame) ->
     """
     confirmed = manifest.where(F.col("ndi_status_code") == "1").select(*DEATH_KEYS).distinct()
     people = patients.select("pat_id", "pat_mrn_id").distinct()
-    records = join_lookup(causes, confirmed, DEATH_KEYS)
+    matched = join_lookup(confirmed, people, ["pat_mrn_id"])
     label = (
         F.when(any_column_matches(causes, "ndi_cause", DEATH_PATTERN_ASCVD), "ascvd")
         .when(any_column_matches(causes, "ndi_cause", DEATH_PATTERN_TOTAL_CVD), "total cvd")
         .otherwise("other")
     )
-    dated = records.select(
-        "pat_mrn_id",
+    return join_lookup(causes, matched, DEATH_KEYS).select(
+        "pat_id",
         date_from_parts(
             F.col("ndi_year_death_full"), F.col("ndi_month_death"), F.col("ndi_day_death")
         ).alias("death_date"),
         label.alias("death_cause"),
     )
-    return join_lookup(dated, people, ["pat_mrn_id"]).select("pat_id", "death_date", "death_cause")

@@ -19,7 +19,7 @@ from ..sources import starschema
 from ..schemas import DEATH_KEYS
 from ..sources.extracts import lower_names, read_by_prefix, read_extract, stacked
 from ..storage import shared_folder
-from .cohort import CohortBuild
+from .cohort import ASCVD_TABLE, PCE_TABLE, TOTAL_CVD_TABLE, CohortBuild
 from .validation import ASCVD, PCE_5YR, PCE_10YR, TOTAL_CVD, Validation
 
 _open: dict[tuple[str, str], Validation] = {}
@@ -205,9 +205,9 @@ def _(v):
         for name, df in (
             ("ascvd_eligible_encounters", v.build.eligible("ascvd")),
             ("total_cvd_eligible_encounters", v.build.eligible("total_cvd")),
-            ("pce_first_eligible_encounter_with_predictors", v.build.pce_index),
-            ("prevents_first_ascvd_eligible_encounter_with_predictors", v.build.prevent_ascvd_index),
-            ("prevents_first_total_cvd_eligible_encounter_with_predictors", v.build.prevent_total_cvd_index),
+            (PCE_TABLE, v.build.pce_index),
+            (ASCVD_TABLE, v.build.prevent_ascvd_index),
+            (TOTAL_CVD_TABLE, v.build.prevent_total_cvd_index),
         )
     ])
 

@@ -9,13 +9,19 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import eligibility, index_visit, phenotypes, risk
+from ..schemas import BASE_TABLES
 from ..sources.extracts import create_table
 from ..storage import written
 
 
+PCE_TABLE = "pce_first_eligible_encounter_with_predictors"
+ASCVD_TABLE = "prevents_first_ascvd_eligible_encounter_with_predictors"
+TOTAL_CVD_TABLE = "prevents_first_total_cvd_eligible_encounter_with_predictors"
+
+
 class CohortBuild:
     """All derived tables over one set of base tables.
 
@@ -120,12 +126,35 @@ class CohortBuild:
             **self.base,
             "ascvd_eligible_encounters": self.eligible("ascvd"),
             "total_cvd_eligible_encounters": self.eligible("total_cvd"),
-            "pce_first_eligible_encounter_with_predictors": self.pce_index,
-            "prevents_first_ascvd_eligible_encounter_with_predictors": self.prevent_ascvd_index,
-            "prevents_first_total_cvd_eligible_encounter_with_predictors": self.prevent_total_cvd_index,
+            PCE_TABLE: self.pce_index,
+            ASCVD_TABLE: self.prevent_ascvd_index,
+            TOTAL_CVD_TABLE: self.prevent_total_cvd_index,
         }
 
     def create_tables(self, folder: str | None = None) -> None:
         """Create every published table in the catalog; existing ones are an error."""
         for name, df in self.published_tables().items():
             create_table(df, name, folder)
+
+
+class PublishedCohort(CohortBuild):
+    """The cohort of an earlier session, read from the tables it created."""
+
+    def __init__(self, spark: SparkSession):
+        super().__init__({name: spark.table(name) for name in BASE_TABLES})
+        self._spark = spark
+
+    def eligible(self, outcome: str) -> DataFrame:
+        return self._spark.table(f"{outcome}_eligible_encounters")
+
+    @property
+    def pce_index(self) -> DataFrame:
+        return self._spark.table(PCE_TABLE)
+
+    @property
+    def prevent_ascvd_index(self) -> DataFrame:
+        return self._spark.table(ASCVD_TABLE)
+
+    @property
+    def prevent_total_cvd_index(self) -> DataFrame:
+        return self._spark.table(TOTAL_CVD_TABLE)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql.utils import AnalysisException
 
 from carecohort import schemas, storage
-from carecohort.plans.cohort import CohortBuild
+from carecohort.plans.cohort import CohortBuild, PublishedCohort
 from carecohort.sources import extracts
 
 FILES = {
@@ -83,6 +83,9 @@ def test_create_tables(spark, paths, tmp_path):
         assert len(extracts.table_names(spark)) == 13
         assert "pce_first_eligible_encounter_with_predictors" in extracts.table_names(spark)
         assert len(spark.table("pce_first_eligible_encounter_with_predictors").columns) == 43
+        later = PublishedCohort(spark)
+        assert later.pce_index.columns == build.pce_index.columns
+        assert later.pce.count() == build.pce.count() and later.eligible("ascvd").count() == build.eligible("ascvd").count()
         with pytest.raises(AnalysisException):
             extracts.create_table(spark.range(1), "patients", str(tmp_path / "tables"))
     finally:
