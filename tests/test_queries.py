@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registered
+from carecohort.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -32,7 +33,7 @@ def text(v):
     return "" if v is None else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sql, name):
     df = registered.queries()[name](spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()
