@@ -32,7 +32,7 @@ from carecohort.storage import written
 CHUNK = 4
 #: Chance that a pair at the threshold differs in more codes than the join allows.
 MISS = 1e-6
-#: Pivots per key and round; more rounds follow as long as there is something to compare.
+#: Pivots per key in the second round; they double from round to round until nothing is left to compare.
 PIVOTS = 16
 #: Nodes up to which a round broadcasts them to thin out the texts before their shuffle.
 BROADCAST_NODES = 50_000
@@ -174,15 +174,13 @@ def _links(docs, classes, chunks, words, share, id_col, text_col) -> DataFrame |
         _index_keys(chunks), f"node {classes.schema['node'].dataType.simpleString()}, keys array<bigint>"
     )
     keyed = keyed.select("node", F.explode("keys").alias("key"))
-    shared = written(
-        keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("_m"))
-        .where(F.col("_m") > 1).drop("_m"),
-        "keys",
-    )
-    members = written(keyed.join(shared, "key"), "members")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
+    members = written(keyed.join(written(shared, "keys"), "key"), "members")
     if members.isEmpty():
         return None
-    needed = members.select("node").distinct()
+    # A text that others were made from meets all of them, so it makes the best pivot.
+    needed = written(members.groupBy("node").agg(F.sum("m").alias("met")), "met")
+    members = members.drop("m").join(needed, "node")
     texts = docs.select(_node(id_col, text_col).alias("node"), F.col(text_col).alias("text"))
     texts = written(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")
     signatures = classes.select("node", "signature")
@@ -198,6 +196,8 @@ def _links(docs, classes, chunks, words, share, id_col, text_col) -> DataFrame |
             .where(distance < 2 * chunks).select("a", "b")
         )
         near = written(near, "candidates")
+        if near.isEmpty():
+            return near
         ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
         mine = texts
         if ends.count() <= BROADCAST_NODES:  # else all texts of members are shuffled
@@ -205,46 +205,64 @@ def _links(docs, classes, chunks, words, share, id_col, text_col) -> DataFrame |
         both = near.join(side(mine, "text", "b", "_tb"), "b").join(side(mine, "text", "a", "_ta"), "a")
         return written(both.where(linked("_ta", "_tb")).select("a", "b"), "links")
 
-    pairs = members.where(F.col("pivot") != F.col("node")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    tested = written(pairs.distinct(), "pairs")
-    links = confirmed(tested)
-    open_members = members.where(F.col("pivot") != F.col("node")).select("key", "node")
+    open_members = members.withColumn("component", F.col("node"))
+    tested: DataFrame | None = None
+    links: DataFrame | None = None
+    pivots_per_key = 1
     while True:
-        of = connected_components(links)
-        open_members = open_members.join(of, "node", "left").select(
-            "key", "node", F.coalesce("component", "node").alias("component")
-        )
+        open_members = written(open_members, "members")
         groups = open_members.groupBy("key", "component").agg(
-            F.count(F.lit(1)).alias("size"), F.min("node").alias("first")
+            F.count(F.lit(1)).alias("size"), F.max(F.struct("met", "node")).alias("first")
         )
         groups = written(groups, "groups")
-        largest = groups.groupBy("key").agg(
-            F.max(F.struct("size", "component")).alias("most"), F.count(F.lit(1)).alias("n")
-        ).where(F.col("n") > 1)
-        # every group but a key's largest sends one pivot, the smallest groups first
-        small = groups.join(largest, "key").where(F.col("component") != F.col("most.component"))
-        ranked = small.selectExpr(
-            "key", "component", "first",
-            "row_number() over (partition by key order by size, component) as at",
-        )
-        pivots = written(
-            ranked.where(F.col("at") <= PIVOTS).select("key", F.col("component").alias("own"), F.col("first").alias("pivot")),
-            "pivots",
-        )
+        if tested is None:  # the first round has one pivot per key, which meets all others
+            pivots = groups.groupBy("key").agg(F.max("first").alias("first"))
+            pivots = pivots.select("key", F.col("first.node").alias("own"), F.col("first.node").alias("pivot"))
+        else:
+            largest = groups.groupBy("key").agg(
+                F.max(F.struct("size", "component")).alias("most"), F.count(F.lit(1)).alias("n")
+            ).where(F.col("n") > 1)
+            # every group but a key's largest may send a pivot, those first that meet most
+            small = groups.join(largest, "key").where(F.col("component") != F.col("most.component"))
+            ranked = small.selectExpr(
+                "key", "component as own", "first.node as pivot",
+                "row_number() over (partition by key order by first desc) as at",
+            )
+            pivots = ranked.where(F.col("at") <= pivots_per_key).drop("at")
+        pivots = written(pivots, "pivots")
         if pivots.isEmpty():
             return links
         met = open_members.join(pivots, "key").where(F.col("component") != F.col("own"))
         pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(pairs)
-        links = links.union(confirmed(pairs))
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        found = confirmed(pairs)
+        tested = pairs if tested is None else tested.union(pairs)
+        linked_any = not found.isEmpty()
+        if linked_any or links is None:
+            links = found if links is None else links.union(found)
         # pivots have met all that differs from them; keys without any are settled
         used = pivots.select("key", F.col("pivot").alias("node"))
-        open_members = written(
-            open_members.select("key", "node").join(pivots.select("key").distinct(), "key", "left_semi")
-            .join(used, ["key", "node"], "left_anti"),
-            "members",
+        left = open_members.join(pivots.select("key").distinct(), "key", "left_semi").join(
+            used, ["key", "node"], "left_anti"
         )
+        open_members = _merged(left, open_members, found) if linked_any else left
+        pivots_per_key = max(PIVOTS, 2 * pivots_per_key)
+
+
+def _merged(members: DataFrame, before: DataFrame, found: DataFrame) -> DataFrame:
+    """Members with the components that new links make of those of ``before``."""
+    of = before.select("node", "component").distinct()
+    side = lambda end: of.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    crossing = found.join(side("a"), "a", "left").join(side("b"), "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")
+    )
+    crossing = written(crossing.where(F.col("a") != F.col("b")).distinct(), "merges")
+    new = connected_components(crossing).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    return members.join(new, "component", "left").select(
+        "key", "node", "met", F.coalesce("_to", "component").alias("component")
+    )
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, id_col: str = "doc_id",
