@@ -3,8 +3,8 @@
 The distinct five-word sequences of a text are hashed once.  The upper seven bits of a hash
 choose one of 128 bins, and each bin keeps its smallest value.  An empty bin takes the value
 of a bin that is not empty, tried in an order of its own that depends on nothing but the
-bin (optimal densification).  The fingerprint is the low eight bits of all bins, as 256
-hexadecimal digits.
+bin (optimal densification).  The fingerprint is the low eight bits of each bin's value, hashed
+with the bin, as 256 hexadecimal digits.
 """
 
 from __future__ import annotations
@@ -54,7 +54,9 @@ def with_fingerprint(df: DataFrame, text_col: str, name: str, words: int = WORDS
         rest = F.array_min(F.transform(m, lambda x: F.struct(F.xxhash64(b, bin_of(x)).alias("o"), x.alias("x"))))["x"]
         return F.coalesce(value, *tries, rest)
 
-    digits = F.transform(v, lambda x, b: F.lpad(F.hex(filled(x, b).bitwiseAND(F.lit(255).cast("bigint"))), 2, "0"))
+    # A bin's code hashes the value with the bin, or bins that share a value would agree by chance together.
+    code = lambda x, b: F.xxhash64(filled(x, b), b).bitwiseAND(F.lit(255).cast("bigint"))
+    digits = F.transform(v, lambda x, b: F.lpad(F.hex(code(x, b)), 2, "0"))
     df = df.withColumn(name, F.when(F.size(m) > 0, F.lower(F.array_join(digits, ""))).otherwise(F.lit("")))
     return df.drop(w, s, m, v, h, f"{m}b")
 
