@@ -26,13 +26,13 @@ import zlib
 
 import numpy as np
 
-BLOCK = 8192
-LANES = 1024
+BLOCK = 4096
+LANES = 2048
 _SEGMENT = 128
 _GAIN = 24
-_SLOTS = 8192
+_SLOTS = 4096
 _FULL = 1 << 24
-_LIMIT = _FULL - (1 << 18)  # predictions leave order 0 at least 2**18 shares
+_MOST = 7 << 13  # highest hit rate: two of them leave order 0 at least 2**18 shares
 _HEAD = struct.Struct("<4sIIII")
 _U32 = np.uint64(0xFFFFFFFF)
 _SHIFT, _PART, _SHORT = np.uint64(32), np.uint64(24), np.uint64(2**32)
@@ -43,9 +43,9 @@ class _Model:
         lanes, self.width = len(sizes), int(sizes.max(initial=1))
         self.lane = np.arange(lanes)
         self.counts = (np.arange(self.width) < sizes[:, None]).astype(np.int32)
-        # a context's entry: id predicted + 1 in the upper bits, confidence 1 to 7 below; 0: none yet
-        self.after1 = np.zeros(lanes * self.width, np.int32)
-        self.after2 = np.zeros(lanes * _SLOTS, np.int32)
+        # a context's entry: number of the id predicted, from 1, over three bits of confidence
+        self.after1 = np.zeros(lanes * self.width, np.int64)
+        self.after2 = np.zeros(lanes * _SLOTS, np.int64)
         self.rate1 = np.tile(np.array([0] + [8192] * 7), lanes)
         self.rate2 = np.tile(np.array([0] + [16384] * 7), lanes)
         self.weight = np.full(lanes, 128)
@@ -67,32 +67,31 @@ class _Model:
         self.add_up()
 
     def predict(self, n: int):
-        """Predicted ids of order 1 and 2, and their shares of 2**24."""
-        a, b = self.before[:n], self.last[:n]
-        self.at1 = self.base1[:n] + b
-        self.at2 = self.base2[:n] + ((a * 40503 + b * 10007) & (_SLOTS - 1))
+        """Numbers of the ids that order 1 and 2 predict (0: none), and their shares of 2**24."""
+        self.at1 = self.base1[:n] + self.last[:n]
+        self.at2 = self.base2[:n] + ((self.before[:n] * 40503 + self.last[:n]) & (_SLOTS - 1))
         s1, s2 = self.after1[self.at1], self.after2[self.at2]
-        k1, k2 = s1 & 7, s2 & 7
-        self.r1, self.r2 = self.base_r[:n] + k1, self.base_r[:n] + k2
+        self.r1, self.r2 = self.base_r[:n] + (s1 & 7), self.base_r[:n] + (s2 & 7)
         p1, p2 = self.rate1[self.r1], self.rate2[self.r2]
-        c1, c2 = (s1 >> 3) - 1, (s2 >> 3) - 1
+        c1, c2 = s1 >> 3, s2 >> 3
         agree = c1 == c2
         top = np.where(agree, p1 + ((p2 - p1) * self.weight[:n] >> 8), p2)
-        f2 = np.minimum(top << 8, _LIMIT)
-        f1 = np.minimum(((65536 - top) * p1 >> 16) * ~agree << 8, _LIMIT - f2)
-        self.seen = s1, s2, k1, k2, p1, p2, c1, c2
-        return c1, c2, f1, f2
-
-    def update(self, n: int, x: np.ndarray):
-        s1, s2, k1, k2, p1, p2, c1, c2 = self.seen
-        hit1, hit2 = x == c1, x == c2
-        new = ((x + 1) << 3 | 1).astype(np.int32)
-        self.after1[self.at1] = np.where(hit1, s1 + (k1 < 7), np.where(k1 > 2, s1 - (k1 >> 1), new))
-        self.after2[self.at2] = np.where(hit2, s2 + (k2 < 7), np.where(k2 > 2, s2 - (k2 >> 1), new))
-        self.rate1[self.r1] = p1 + ((hit1 * 65536 - p1) >> 4)
-        self.rate2[self.r2] = p2 + ((hit2 * 65536 - p2) >> 4)
-        w = self.weight[:n]
-        w += ((hit2 * 256 - w) >> 5) * (hit1 ^ hit2)
+        rest = (65536 - top) * p1 >> 8
+        rest[agree] = 0
+        self.seen = s1, s2, p1, p2, c1, c2
+        return c1, c2, rest, top << 8
+
+    def update(self, n: int, x: np.ndarray, x1: np.ndarray):
+        """``x1`` is ``x`` counted from 1."""
+        s1, s2, p1, p2, c1, c2 = self.seen
+        hit1, hit2 = x1 == c1, x1 == c2
+        new = x1 << 3 | 1
+        self.after1[self.at1] = np.where(hit1, np.minimum(s1 + 1, s1 | 7), new)
+        self.after2[self.at2] = np.where(hit2, np.minimum(s2 + 1, s2 | 7), new)
+        self.rate1[self.r1] = p1 + (hit1 * _MOST - p1 >> 4)
+        self.rate2[self.r2] = p2 + (hit2 * _MOST - p2 >> 4)
+        told = np.flatnonzero(hit1 ^ hit2)
+        self.weight[told] += hit2[told] * 256 - self.weight[told] >> 5
         self.before[:n] = self.last[:n]
         self.last[:n] = x
 
@@ -109,6 +108,8 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         return []
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     lengths = np.array([len(blocks[i]) for i in order])
+    if lengths[0] > BLOCK:
+        raise ValueError(f"a block holds {BLOCK} ids at most")
     active = _active(lengths)
     alphabets, ranks = [], np.zeros((max(len(active), 1), len(blocks)), np.int64)
     for lane, i in enumerate(order):
@@ -129,10 +130,12 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             share = _divided(_FULL - known, model.total[:n])
             at = model.base[:n] + x
             first = model.flat[at]
-            by2 = (x == c2) & (f2 > 0)
-            by1 = (x == c1) & (f1 > 0) & ~by2
-            begin = np.where(by2, 0, np.where(by1, f2, known + first * share))
-            size = np.where(by2, f2, np.where(by1, f1, (model.flat[at + 1] - first) * share))
+            begin = known + first * share
+            size = (model.flat[at + 1] - first) * share
+            x1 = x + 1
+            by1, by2 = np.flatnonzero((x1 == c1) & (f1 > 0)), np.flatnonzero((x1 == c2) & (f2 > 0))
+            begin[by1], size[by1] = f2[by1], f1[by1]
+            begin[by2], size[by2] = 0, f2[by2]
             r = span[:n] >> _PART
             new = low[:n] + r * begin.view(np.uint64)
             over = np.flatnonzero(new < low[:n])
@@ -144,7 +147,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             place[short] += lanes
             low[short] <<= _SHIFT
             span[short] <<= _SHIFT
-            model.update(n, x)
+            model.update(n, x, x1)
         seen = [(model.lane[:n], ranks[t, :n]) for t, n in enumerate(part, start)]
         model.learn(np.concatenate([s[0] for s in seen]), np.concatenate([s[1] for s in seen]))
     out[place], out[place + lanes] = low >> _SHIFT, low & _U32
@@ -219,11 +222,12 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
             target = np.minimum(_divided(np.maximum(v - known, 0), share), total - 1)
             at = np.searchsorted(search, target + model.lane[:n] * step, side="right") - 1
             first = model.flat[at]
-            by2 = v < f2
-            by1 = ~by2 & (v < known)
-            x = np.where(by2, c2, np.where(by1, c1, at - model.base[:n]))
-            begin = np.where(by2, 0, np.where(by1, f2, known + first * share))
-            size = np.where(by2, f2, np.where(by1, f1, (model.flat[at + 1] - first) * share))
+            begin = known + first * share
+            size = (model.flat[at + 1] - first) * share
+            x = at - model.base[:n]
+            by1, by2 = np.flatnonzero(v < known), np.flatnonzero(v < f2)
+            x[by1], begin[by1], size[by1] = c1[by1] - 1, f2[by1], f1[by1]
+            x[by2], begin[by2], size[by2] = c2[by2] - 1, 0, f2[by2]
             value[:n] -= r * begin.view(np.uint64)
             r *= size.view(np.uint64)
             span[:n] = r
@@ -232,7 +236,7 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
             place[short] += lanes
             span[short] <<= _SHIFT
             ranks[t, :n] = x
-            model.update(n, x)
+            model.update(n, x, x + 1)
         seen = [(model.lane[:n], ranks[t, :n]) for t, n in enumerate(part, start)]
         model.learn(np.concatenate([s[0] for s in seen]), np.concatenate([s[1] for s in seen]))
     done: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes

@@ -17,7 +17,9 @@ block can be decoded alone.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,7 @@ from carecohort.llm.token_coder import BLOCK, LANES, decode_blocks, encode_block
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Words whose ids a task remembers; beyond, it starts anew.
-REMEMBERED_WORDS = 300_000
-
+REMEMBERED_WORDS = 500_000
 _BLOCKS = (
     "range_id int, block_no int, n_tokens int, doc_ids array<bigint>, doc_ends array<int>, payload binary"
 )
@@ -42,8 +43,10 @@ _BLOCKS = (
 class WordTokenizer:
     """Ids of whole texts, found once per distinct word.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are
-    those of its pieces between spaces and line ends, one after the other.
+    The tokenizer drops white space and never merges across it, so a text's ids are those of
+    its pieces between spaces and line ends, one after the other.  Pieces that are a word of
+    Latin letters with marks behind it are two pieces; the word goes to the tokenizer's model
+    as its own normaliser and splitter would hand it over, letter by letter.
     """
 
     def __init__(self, path: str):
@@ -52,17 +55,66 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian 32-bit integers."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+        self.words: dict[str, bytes] = {}
+        self.letters: dict[int, str] = {}
+        for code in (*range(65, 91), *range(97, 123), *range(0xC0, 0x250)):
+            plain = self.tokenizer.normalizer.normalize_str(chr(code))
+            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)
+            if plain.isalpha() and len(plain) == len(pieces) == 1:
+                self.letters[code] = pieces[0][0]
+        # a word of such letters, and marks that never join what is before them
+        self.plain = re.compile(f"([{''.join(map(chr, self.letters))}]+)([.,;:!?]*)").fullmatch
+
+    def _whole(self, pieces: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in coded]
+
+    def _learn(self, new: set[str]) -> None:
         if len(self.known) > REMEMBERED_WORDS:
             self.known = {}
+        if len(self.words) > REMEMBERED_WORDS:
+            self.words = {}
+        known, words, letters = self.known, self.words, self.letters
+        plain, model = self.plain, self.tokenizer.model
+        others = []
+        for piece in new:
+            match = plain(piece)
+            if not match:
+                others.append(piece)
+                continue
+            word, marks = match.groups()
+            word = word.lower() if word.isascii() else word.translate(letters)
+            ids = words.get(word)
+            if ids is None:
+                ids = words[word] = array("I", [t.id for t in model.tokenize(word)]).tobytes()
+            if marks:
+                if marks not in words:
+                    words[marks] = self._whole([marks])[0]
+                ids += words[marks]
+            known[piece] = ids
+        known.update(zip(others, self._whole(others), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids as 32-bit integers in the machine's byte order, which is little-endian."""
+        pieces = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
-        new = list(set().union(*words) - known.keys())
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, w)) for w in words]
+        new = {p for text in pieces for p in text if p not in known}
+        if new:
+            self._learn(new)
+            if self.known is not known:  # started anew
+                known = self.known
+                self._learn({p for text in pieces for p in text if p not in known})
+        return [b"".join(map(known.__getitem__, p)) for p in pieces]
+
+
+#: Tokenizers of a Python worker, which outlives its tasks.
+_loaded: dict[str, WordTokenizer] = {}
+
+
+def _tokenizer(path: str) -> WordTokenizer:
+    if path not in _loaded:
+        _loaded[path] = WordTokenizer(path)
+    return _loaded[path]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], size: int = 4 << 20):
@@ -90,7 +142,7 @@ def write_token_files(
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part = WordTokenizer(tokenizer_path), TaskContext.get().partitionId()
+        tokenizer, part = _tokenizer(tokenizer_path), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         held: list[bytes] = []
         ends: list[tuple[int | None, int]] = []
