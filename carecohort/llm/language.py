@@ -166,10 +166,11 @@ def learn_language(
              F.xxhash64(F.col(id_col), F.col(text_col)).alias("_at"))
     if labelled.groupBy("lang").agg(F.count(F.lit(1))).limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_at", "text"))
-    sample = labelled.withColumn("_rank", rank).where(F.col("_rank") <= per_language)
-    # at most MAX_LANGUAGES * per_language rows
-    rows = sorted(sample.select("_rank", "lang", "text").collect())
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_at"))
+    chosen = labelled.select("lang", "_at").withColumn("_rank", rank).where(F.col("_rank") <= per_language)
+    # at most MAX_LANGUAGES * per_language rows, here without and then with their texts
+    sample = labelled.join(F.broadcast(chosen.drop("_rank").distinct()), ["lang", "_at"]).dropDuplicates(["lang", "_at"])
+    rows = sorted(sample.select("_at", "lang", "text").collect())
     return fit_language([(r.text, r.lang) for r in rows], landmarks=landmarks)
 
 
