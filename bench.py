@@ -37,6 +37,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_SHARED_DIR", f"file://{os.getcwd()}/spark-warehouse/_bench"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -8,28 +8,19 @@ lost executor costs a re-read of a file, not a rebuild of the cohort.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_local_folders: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Shared folder named by the session; a private one in local mode if none is named."""
+    """Shared folder named by the session, else one in the warehouse, which executors share too."""
     named = spark.conf.get(_SETTING, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_SETTING} to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_folders:  # removed when Python exits
-        _local_folders[app] = tempfile.TemporaryDirectory(
-            prefix="carecohort-", ignore_cleanup_errors=True
-        )
-    return "file://" + _local_folders[app].name
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

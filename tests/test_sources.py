@@ -103,3 +103,17 @@ def test_written_tables_go_to_the_shared_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     df = storage.written(spark.range(5), "numbers")
     assert df.count() == 5 and all(f.startswith(folder) for f in df.inputFiles())
+
+
+def test_unset_folder_resolves_under_the_warehouse(spark):
+    from carecohort.storage import shared_folder
+
+    class Unset:
+        """A session whose folder isn't set."""
+
+        class conf:
+            @staticmethod
+            def get(key, *default):
+                return default[0] if key == "spark.checkpoint.dir" else spark.conf.get(key, *default)
+
+    assert shared_folder(Unset) == spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
