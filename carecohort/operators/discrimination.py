@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evaluation import BY, Z95
+from .evaluation import BY, Z95, followed
 from .fits import fitted_direction
 from .ranking import bucket_edges, running_sums
 
@@ -77,6 +77,7 @@ def concordance(rows: DataFrame, as_fitted: bool = True) -> DataFrame:
     are aggregated by follow-up time (two decimals, capped at ten years), so a
     window over one block stays small however many patients share it.
     """
+    rows = followed(rows)
     edges = bucket_edges(rows, ["risk"])[0]
     cells = rows.groupBy(BY, "risk", "years").agg(
         F.count(F.lit(1)).alias("n"), F.sum("outcome").alias("d")

@@ -38,6 +38,16 @@ def rows_for(scored: DataFrame, series: str, outcome: str, risk: str, lp, years)
     return rows.where(F.col("risk").isNotNull() & ~F.isnan("risk") & F.col("outcome").isNotNull())
 
 
+def followed(rows: DataFrame) -> DataFrame:
+    """Rows whose follow-up is known; survival measures use no others."""
+    return rows.where(F.col("years").isNotNull() & ~F.isnan("years") & (F.col("years") >= 0))
+
+
+def with_predictor(rows: DataFrame) -> DataFrame:
+    """Rows whose linear predictor is known; fits on it use no others."""
+    return rows.where(F.col("lp").isNotNull() & ~F.isnan("lp"))
+
+
 def misclassified(rows: DataFrame, shares, seed: int = 0) -> DataFrame:
     """Copies of the rows in which a share of the non-cases is counted as cases.
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evaluation import BY, Z95
+from .evaluation import BY, Z95, followed, with_predictor
 from .skew import numbered_copies
 
 MAX_STEPS = 40
@@ -80,6 +80,7 @@ def _wald(fit, position: int) -> tuple:
 
 def logistic_calibration(rows: DataFrame) -> DataFrame:
     """Calibration intercept (slope fixed at 1) and slope, with Wald intervals, per series."""
+    rows = with_predictor(rows)
     start, centre = {}, {}
     for r in rows.groupBy(BY).agg(F.avg("outcome").alias("y"), F.avg("lp").alias("x")).collect():
         centre[r[BY]] = r["x"]
@@ -133,6 +134,7 @@ def cox_calibration(rows: DataFrame) -> DataFrame:
     risk-set sums are running totals.  Efron's correction has one term per tied
     event; the terms of a heavily tied time are spread over several rows.
     """
+    rows = with_predictor(followed(rows))
     centre = {r[BY]: r["m"] for r in rows.groupBy(BY).agg(F.avg("lp").alias("m")).collect()}
     start = {s: np.zeros(1) for s in centre}
     heavy_ties = _has_heavy_ties(rows)
@@ -162,6 +164,7 @@ def fitted_direction(rows: DataFrame) -> DataFrame:
     The partial likelihood is concave, so the sign is that of its slope at zero:
     one pass, no fit.
     """
+    rows = followed(rows)
     points = rows.select(BY, "years", "outcome", F.lit(0.0).alias("beta"), F.col("risk").alias("x"))
     return _efron_sums(points, _has_heavy_ties(rows)).select(
         BY, F.signum("score").alias("direction")

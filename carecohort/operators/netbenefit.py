@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evaluation import BY
+from .evaluation import BY, followed
 from .ranking import in_buckets
 
 
@@ -15,6 +15,7 @@ def kaplan_meier(rows: DataFrame, by=(BY,)) -> DataFrame:
     Follow-up is rounded to two decimals, so a group has about a thousand rows
     after the first aggregation, whatever the number of patients.
     """
+    rows = followed(rows)
     times = rows.groupBy(*by, "years").agg(
         F.count(F.lit(1)).alias("n"), F.sum("outcome").alias("events")
     )
@@ -82,6 +83,7 @@ def survival_decision_curve(rows: DataFrame, horizons, thresholds=None) -> DataF
     of their Kaplan-Meier curve; if follow-up ends earlier the last value holds.
     With nobody above the threshold the model's net benefit is unknown.
     """
+    rows = followed(rows)
     thresholds = sorted(thresholds or FULL_SURVIVAL)
     # (threshold count, time) cells: at most 101 x a thousand per series.
     cells = _reached(rows, thresholds).groupBy(BY, "reached", "years").agg(
