@@ -7,11 +7,12 @@ chunk is indexed once per code left out, and all pairs within that distance meet
 of these keys.  The number of chunks is chosen from the similarity threshold so that
 linked documents exceed the distance with a probability below one in a million.
 
-Documents with equal shingle sets are one class.  Within a key, classes are compared with
-a pivot, then only classes of different components with further pivots, until no pair of
-different components under one key is left unchecked: links between members of a
-component can't change the result, so none that matters is lost, and a key shared by a
-third of all classes costs a few rows for each, never their pairs.
+Documents with equal shingle sets are one class.  Within a key, all classes first meet one
+pivot, the class that meets most others, on full sets; what it links is one component.
+Only classes of different components then need a comparison, which tasks make in blocks:
+signatures first, under the first key that a pair shares, then the full sets of the classes
+that have a partner left.  A task gives no pairs but the links that join components, fewer
+than its classes, so no table holds a key's pairs, and no link that matters is lost.
 """
 
 from __future__ import annotations
@@ -32,10 +33,12 @@ from carecohort.storage import written
 CHUNK = 4
 #: Chance that a pair at the threshold differs in more codes than the join allows.
 MISS = 1e-6
-#: Pivots per key in the second round; they double from round to round until nothing is left to compare.
-PIVOTS = 16
-#: Nodes up to which a round broadcasts them to thin out the texts before their shuffle.
-BROADCAST_NODES = 50_000
+#: Rows of a block whose signatures a task compares with another block's; more rows make more blocks.
+CELL_ROWS = 512
+#: The same for blocks whose full sets are compared, and shingles of such a block.
+TEXT_CELL_ROWS = 192
+TEXT_CELL_SHINGLES = 250_000
+_COLUMNS = 4096
 _SEED = 20_011
 
 
@@ -112,7 +115,8 @@ def _index_keys(chunks: int):
             flat = keys.reshape(-1).view(np.int64)
             offsets = np.arange(len(codes) + 1, dtype=np.int32) * chunks * CHUNK
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["node", "keys"]
+                [batch.column("node"), batch.column("n"), pa.ListArray.from_arrays(offsets, pa.array(flat))],
+                ["node", "n", "keys"],
             )
 
     return run
@@ -170,99 +174,206 @@ def near_duplicate_nodes(docs: DataFrame, words: int, share: int, id_col: str, t
 
 def _links(docs, classes, chunks, words, share, id_col, text_col) -> DataFrame | None:
     """Confirmed links (a, b) that connect what all links connect; None if there are none."""
-    keyed = classes.select("node", "signature").mapInArrow(
-        _index_keys(chunks), f"node {classes.schema['node'].dataType.simpleString()}, keys array<bigint>"
+    node_type = classes.schema["node"].dataType.simpleString()
+    keyed = classes.select("node", "n", "signature").mapInArrow(
+        _index_keys(chunks), f"node {node_type}, n bigint, keys array<bigint>"
     )
-    keyed = keyed.select("node", F.explode("keys").alias("key"))
+    keyed = keyed.select("node", "n", F.posexplode("keys").alias("slot", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
     members = written(keyed.join(written(shared, "keys"), "key"), "members")
     if members.isEmpty():
         return None
     # A text that others were made from meets all of them, so it makes the best pivot.
     needed = written(members.groupBy("node").agg(F.sum("m").alias("met")), "met")
-    members = members.drop("m").join(needed, "node")
+    members = members.drop("m")
     texts = docs.select(_node(id_col, text_col).alias("node"), F.col(text_col).alias("text"))
     texts = written(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    signatures = classes.select("node", "signature")
+
+    pivots = members.join(needed, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("first"))
+    pivots = written(pivots.select("key", F.col("first.node").alias("pivot")), "pivots")
+    met = members.join(pivots, "key").where(F.col("node") != F.col("pivot"))
+    pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    links = _confirmed(pairs, classes, texts, chunks, words, share)
+    component = written(connected_components(links), "components")
+
+    # a pivot has met all texts under its key
+    rest = members.join(pivots.withColumnRenamed("pivot", "node"), ["key", "node"], "left_anti")
+    rest = rest.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = written(rest.withColumn("cid", F.xxhash64("component")).drop("component"), "rest")
+    near = _cells(rest, CELL_ROWS, None).join(classes.select("node", "signature"), "node")
+    near = _in_cells(near).mapInArrow(
+        _near_in_cell(chunks, share), f"key bigint, node {node_type}, n bigint, cid bigint"
+    )
+    near = written(near.distinct(), "near")
+    full = _in_cells(_cells(near, TEXT_CELL_ROWS, TEXT_CELL_SHINGLES).join(texts, "node"))
+    more = full.mapInArrow(_linked_in_cell(words, share), f"a {node_type}, b {node_type}")
+    return links.union(written(more.distinct(), "links"))
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, chunks: int, words: int, share: int) -> DataFrame:
+    """Those of (a, b) that are linked; ``pairs`` are distinct."""
     distance = F.size(F.filter(F.zip_with("_sa", "_sb", lambda x, y: x != y), lambda x: x))
-    linked = _linked(words, share)
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Those of (a, b) that are linked; ``pairs`` are distinct."""
-        side = lambda df, c, end, name: df.select(F.col("node").alias(end), F.col(c).alias(name))
-        near = (
-            pairs.join(side(signatures, "signature", "b", "_sb"), "b")
-            .join(side(signatures, "signature", "a", "_sa"), "a")
-            .where(distance < 2 * chunks).select("a", "b")
-        )
-        near = written(near, "candidates")
-        if near.isEmpty():
-            return near
-        ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        mine = texts
-        if ends.count() <= BROADCAST_NODES:  # else all texts of members are shuffled
-            mine = texts.join(F.broadcast(ends), "node", "left_semi")
-        both = near.join(side(mine, "text", "b", "_tb"), "b").join(side(mine, "text", "a", "_ta"), "a")
-        return written(both.where(linked("_ta", "_tb")).select("a", "b"), "links")
-
-    open_members = members.withColumn("component", F.col("node"))
-    tested: DataFrame | None = None
-    links: DataFrame | None = None
-    pivots_per_key = 1
-    while True:
-        open_members = written(open_members, "members")
-        groups = open_members.groupBy("key", "component").agg(
-            F.count(F.lit(1)).alias("size"), F.max(F.struct("met", "node")).alias("first")
-        )
-        groups = written(groups, "groups")
-        if tested is None:  # the first round has one pivot per key, which meets all others
-            pivots = groups.groupBy("key").agg(F.max("first").alias("first"))
-            pivots = pivots.select("key", F.col("first.node").alias("own"), F.col("first.node").alias("pivot"))
-        else:
-            largest = groups.groupBy("key").agg(
-                F.max(F.struct("size", "component")).alias("most"), F.count(F.lit(1)).alias("n")
-            ).where(F.col("n") > 1)
-            # every group but a key's largest may send a pivot, those first that meet most
-            small = groups.join(largest, "key").where(F.col("component") != F.col("most.component"))
-            ranked = small.selectExpr(
-                "key", "component as own", "first.node as pivot",
-                "row_number() over (partition by key order by first desc) as at",
-            )
-            pivots = ranked.where(F.col("at") <= pivots_per_key).drop("at")
-        pivots = written(pivots, "pivots")
-        if pivots.isEmpty():
-            return links
-        met = open_members.join(pivots, "key").where(F.col("component") != F.col("own"))
-        pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        found = confirmed(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        linked_any = not found.isEmpty()
-        if linked_any or links is None:
-            links = found if links is None else links.union(found)
-        # pivots have met all that differs from them; keys without any are settled
-        used = pivots.select("key", F.col("pivot").alias("node"))
-        left = open_members.join(pivots.select("key").distinct(), "key", "left_semi").join(
-            used, ["key", "node"], "left_anti"
-        )
-        open_members = _merged(left, open_members, found) if linked_any else left
-        pivots_per_key = max(PIVOTS, 2 * pivots_per_key)
+    sketches = lambda end: classes.select(
+        F.col("node").alias(end), F.col("signature").alias(f"_s{end}"), F.col("n").alias(f"_n{end}")
+    )
+    near = (
+        pairs.join(sketches("b"), "b").join(sketches("a"), "a")
+        .where((100 * F.least("_na", "_nb") >= share * F.greatest("_na", "_nb")) & (distance < 2 * chunks))
+        .select("a", "b")
+    )
+    near = written(near, "candidates")
+    text = lambda end: texts.select(F.col("node").alias(end), F.col("text").alias(f"_t{end}"))
+    both = near.join(text("b"), "b").join(text("a"), "a")
+    return written(both.where(_linked(words, share)("_ta", "_tb")).select("a", "b"), "links")
+
 
+def _cells(members: DataFrame, rows: int, shingles: int | None) -> DataFrame:
+    """Members of keys with several components, once per cell (key, x, y) they are compared in.
 
-def _merged(members: DataFrame, before: DataFrame, found: DataFrame) -> DataFrame:
-    """Members with the components that new links make of those of ``before``."""
-    of = before.select("node", "component").distinct()
-    side = lambda end: of.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-    crossing = found.join(side("a"), "a", "left").join(side("b"), "b", "left").select(
-        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")
+    A key's largest component is cut into blocks, all its other members into blocks of their
+    own; every block of others meets each block of either kind, so that two members of
+    different components share a cell, and no block of the largest meets another of it.
+    A block has about ``rows`` rows and ``shingles`` shingles at most, or one longer text.
+    """
+    parts = members.groupBy("key", "cid").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    keys = parts.groupBy("key").agg(
+        F.max(F.struct("size", "n", "cid")).alias("most"), F.sum("size").alias("size"), F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("parts"),
+    ).where(F.col("parts") > 1)
+
+    def blocks(size: Column, n: Column) -> Column:
+        by_rows = F.ceil(size / rows)
+        return (by_rows if shingles is None else F.greatest(by_rows, F.ceil(n / shingles))).cast("int")
+
+    keys = keys.select(
+        "key", F.col("most.cid").alias("most"), blocks(F.col("size"), F.col("n")).alias("all_blocks"),
+        blocks(F.col("most.size"), F.col("most.n")).alias("most_blocks"),
+        blocks(F.col("size") - F.col("most.size"), F.col("n") - F.col("most.n")).alias("other_blocks"),
     )
-    crossing = written(crossing.where(F.col("a") != F.col("b")).distinct(), "merges")
-    new = connected_components(crossing).select(F.col("node").alias("component"), F.col("component").alias("_to"))
-    return members.join(new, "component", "left").select(
-        "key", "node", "met", F.coalesce("_to", "component").alias("component")
+    found = members.join(written(keys, "keys"), "key")
+    spread = F.xxhash64("node", F.lit(7))
+    in_most = F.col("cid") == F.col("most")
+    mine = F.pmod(spread, F.when(in_most, F.col("most_blocks")).otherwise(F.col("other_blocks"))).cast("int")
+    found = found.withColumn("block", mine)
+    cell = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    with_most = F.transform(upto("most_blocks"), lambda i: cell(-1 - i, F.col("block")))
+    with_others = F.transform(upto("other_blocks"), lambda i: cell(F.least(i, F.col("block")), F.greatest(i, F.col("block"))))
+    of_most = F.transform(upto("other_blocks"), lambda i: cell(-1 - F.col("block"), i))
+    cells = (
+        F.when(F.col("all_blocks") == 1, F.array(cell(F.lit(0), F.lit(0))))
+        .when(in_most, of_most).otherwise(F.concat(with_most, with_others))
     )
+    return found.select(*members.columns, F.explode(cells).alias("cell")).select(*members.columns, "cell.x", "cell.y")
+
+
+def _in_cells(rows: DataFrame) -> DataFrame:
+    """Rows of a cell next to each other in one partition."""
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+
+def _each_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell, of cells that lie next to each other."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        of = np.stack([batch.column(c).to_numpy() for c in ("key", "x", "y")], axis=1)
+        edges = np.flatnonzero((of[1:] != of[:-1]).any(axis=1)) + 1
+        for start, end in zip([0, *edges], [*edges, len(of)], strict=True):
+            if held and tuple(of[start]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = tuple(of[start])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near_in_cell(chunks: int, share: int):
+    """Members (key, node, n, cid) with a partner of another component within the distance.
+
+    A pair counts under the first key that it shares, so that it is looked at once.
+    """
+
+    def marked(codes: np.ndarray, n: np.ndarray, cid: np.ndarray, slot: int) -> np.ndarray:
+        order = np.argsort(n, kind="stable")
+        codes, n, cid = codes[order], n[order], cid[order]
+        upto = np.searchsorted(100 * n, 100 * n * 100 // share, side="right")
+        keep = np.zeros(len(n), bool)
+        for i in range(len(n) - 1):
+            j = np.arange(i + 1, upto[i])
+            j = j[cid[j] != cid[i]]
+            same = codes[j] == codes[i]
+            close = same.sum(axis=1) > len(codes[i]) - 2 * chunks
+            j, same = j[close], same[close].reshape(-1, chunks, CHUNK)
+            if len(j):
+                wrong = CHUNK - same.sum(axis=2)
+                first = (wrong <= 1).argmax(axis=1)
+                left_out = same[np.arange(len(j)), first].argmin(axis=1)  # 0 if all agree
+                here = j[first * CHUNK + left_out == slot]
+                keep[here] = True
+                keep[i] |= len(here) > 0
+        back = np.zeros(len(n), bool)
+        back[order] = keep
+        return back
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _each_cell(batches):
+            if cell.num_rows < 2:
+                continue
+            codes = cell.column("signature").combine_chunks().flatten().to_numpy().astype(np.uint16)
+            keep = marked(
+                codes.reshape(cell.num_rows, -1), cell.column("n").to_numpy(), cell.column("cid").to_numpy(),
+                cell.column("slot")[0].as_py(),
+            )
+            if keep.any():
+                yield from cell.select(["key", "node", "n", "cid"]).filter(pa.array(keep)).to_batches()
+
+    return run
+
+
+def _linked_in_cell(words: int, share: int):
+    """Links (a, b) that connect the components which linked texts of a cell connect."""
+
+    def common(sets: list[np.ndarray]) -> np.ndarray:
+        """Sizes of the intersections of all sets with each other."""
+        of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        place = np.cumsum(count > 1) - 1
+        inside = count[at] > 1
+        of, at = of[inside], place[at[inside]]
+        order = np.argsort(at, kind="stable")
+        of, at = of[order], at[order]
+        out = np.zeros((len(sets), len(sets)), np.float64)
+        for start in range(0, int(at[-1]) + 1 if len(at) else 0, _COLUMNS):
+            lo, hi = np.searchsorted(at, [start, start + _COLUMNS])
+            held = np.zeros((len(sets), _COLUMNS), np.float32)
+            held[of[lo:hi], at[lo:hi] - start] = 1
+            out += held @ held.T
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _each_cell(batches):
+            if cell.num_rows < 2:
+                continue
+            sets = list(shingle_sets(cell.column("text").to_pylist(), words))
+            sizes = np.array([len(s) for s in sets])
+            both = common(sets)
+            linked = 100 * both >= share * (sizes[:, None] + sizes[None, :] - both)
+            label = np.unique(cell.column("cid").to_numpy(), return_inverse=True)[1]
+            a, b = [], []
+            for i in range(len(sets)):
+                for other in np.unique(label[linked[i] & (label != label[i])]):
+                    a.append(i)
+                    b.append(int(np.flatnonzero(linked[i] & (label == other))[0]))
+                    label[label == other] = label[i]
+            if a:
+                node = cell.column("node").combine_chunks()
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], ["a", "b"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, share: int = 80, id_col: str = "doc_id",
