@@ -34,11 +34,14 @@ CHUNK = 4
 #: Chance that a pair at the threshold differs in more codes than the join allows.
 MISS = 1e-6
 #: Rows of a block whose signatures a task compares with another block's; more rows make more blocks.
-CELL_ROWS = 512
+CELL_ROWS = 2048
 #: The same for blocks whose full sets are compared, and shingles of such a block.
-TEXT_CELL_ROWS = 192
+TEXT_CELL_ROWS = 768
 TEXT_CELL_SHINGLES = 250_000
-_COLUMNS = 4096
+_COLUMNS = 2048
+#: Texts up to which a broadcast of their hashes thins out the documents before their shuffle
+#: (8 bytes each); more are found by the shuffle alone.
+BROADCAST_TEXTS = 500_000
 _SEED = 20_011
 
 
@@ -187,7 +190,6 @@ def _links(docs, classes, chunks, words, share, id_col, text_col) -> DataFrame |
     needed = written(members.groupBy("node").agg(F.sum("m").alias("met")), "met")
     members = members.drop("m")
     texts = docs.select(_node(id_col, text_col).alias("node"), F.col(text_col).alias("text"))
-    texts = written(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")
 
     pivots = members.join(needed, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("first"))
     pivots = written(pivots.select("key", F.col("first.node").alias("pivot")), "pivots")
@@ -205,7 +207,8 @@ def _links(docs, classes, chunks, words, share, id_col, text_col) -> DataFrame |
         _near_in_cell(chunks, share), f"key bigint, node {node_type}, n bigint, cid bigint"
     )
     near = written(near.distinct(), "near")
-    full = _in_cells(_cells(near, TEXT_CELL_ROWS, TEXT_CELL_SHINGLES).join(texts, "node"))
+    mine = _texts_of(texts, near.select("node").distinct())
+    full = _in_cells(_cells(near, TEXT_CELL_ROWS, TEXT_CELL_SHINGLES).join(mine, "node"))
     more = full.mapInArrow(_linked_in_cell(words, share), f"a {node_type}, b {node_type}")
     return links.union(written(more.distinct(), "links"))
 
@@ -222,17 +225,29 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, chunks: i
         .select("a", "b")
     )
     near = written(near, "candidates")
-    text = lambda end: texts.select(F.col("node").alias(end), F.col("text").alias(f"_t{end}"))
+    ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    mine = written(_texts_of(texts, ends), "texts")
+    text = lambda end: mine.select(F.col("node").alias(end), F.col("text").alias(f"_t{end}"))
     both = near.join(text("b"), "b").join(text("a"), "a")
     return written(both.where(_linked(words, share)("_ta", "_tb")).select("a", "b"), "links")
 
 
+def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of ``nodes``, each once."""
+    nodes = written(nodes, "nodes")
+    if nodes.count() <= BROADCAST_TEXTS:
+        hashes = nodes.select(F.xxhash64("node").alias("_h")).distinct()
+        texts = texts.withColumn("_h", F.xxhash64("node")).join(F.broadcast(hashes), "_h", "left_semi").drop("_h")
+    return texts.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
 def _cells(members: DataFrame, rows: int, shingles: int | None) -> DataFrame:
     """Members of keys with several components, once per cell (key, x, y) they are compared in.
 
     A key's largest component is cut into blocks, all its other members into blocks of their
     own; every block of others meets each block of either kind, so that two members of
     different components share a cell, and no block of the largest meets another of it.
+    A single block of others meets itself beside any block of the largest.
     A block has about ``rows`` rows and ``shingles`` shingles at most, or one longer text.
     """
     parts = members.groupBy("key", "cid").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
@@ -262,7 +277,8 @@ def _cells(members: DataFrame, rows: int, shingles: int | None) -> DataFrame:
     of_most = F.transform(upto("other_blocks"), lambda i: cell(-1 - F.col("block"), i))
     cells = (
         F.when(F.col("all_blocks") == 1, F.array(cell(F.lit(0), F.lit(0))))
-        .when(in_most, of_most).otherwise(F.concat(with_most, with_others))
+        .when(in_most, of_most)
+        .when(F.col("other_blocks") == 1, with_most).otherwise(F.concat(with_most, with_others))
     )
     return found.select(*members.columns, F.explode(cells).alias("cell")).select(*members.columns, "cell.x", "cell.y")
 
@@ -346,7 +362,7 @@ def _linked_in_cell(words: int, share: int):
         of, at = of[inside], place[at[inside]]
         order = np.argsort(at, kind="stable")
         of, at = of[order], at[order]
-        out = np.zeros((len(sets), len(sets)), np.float64)
+        out = np.zeros((len(sets), len(sets)), np.float32)  # exact below 2 ** 24
         for start in range(0, int(at[-1]) + 1 if len(at) else 0, _COLUMNS):
             lo, hi = np.searchsorted(at, [start, start + _COLUMNS])
             held = np.zeros((len(sets), _COLUMNS), np.float32)
