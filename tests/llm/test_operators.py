@@ -199,16 +199,20 @@ def test_language_held_out(spark):
     assert right[0] > 0.98 and right[1] > 150
 
 
-def test_near_copies_of_an_absent_text(spark):
+@pytest.mark.parametrize("rows", [2048, 5])
+def test_near_copies_of_an_absent_text(spark, monkeypatch, rows):
+    monkeypatch.setattr(near_dup, "CELL_ROWS", rows)
+    monkeypatch.setattr(near_dup, "TEXT_CELL_ROWS", rows)
+    monkeypatch.setattr(near_dup, "BROADCAST_TEXTS", 0 if rows == 5 else 500_000)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in rng.integers(0, 5000, 120)]
-    rows = []
+    table = []
     for i in range(60):
         words = base.copy()
         for at in rng.integers(0, 120, rng.integers(0, 4)):
             words[at] = f"new{rng.integers(0, 10**6)}"
-        rows.append((i, " ".join(words)))
-    sets = [{tuple(t.split()[j : j + 3]) for j in range(118)} for _, t in rows]
+        table.append((i, " ".join(words)))
+    sets = [{tuple(t.split()[j : j + 3]) for j in range(118)} for _, t in table]
     parent = list(range(60))
 
     def root(x):
@@ -221,7 +225,7 @@ def test_near_copies_of_an_absent_text(spark):
             if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
-    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string"), 3, 85).collect()
+    got = near_dup.near_duplicates(spark.createDataFrame(table, "doc_id int, text string"), 3, 85).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: root(i) for i in range(60)}
 
 
