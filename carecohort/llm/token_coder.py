@@ -44,8 +44,8 @@ class _Model:
         self.lane = np.arange(lanes)
         self.counts = (np.arange(self.width) < sizes[:, None]).astype(np.int32)
         # a context's entry: number of the id predicted, from 1, over three bits of confidence
-        self.after1 = np.zeros(lanes * self.width, np.int64)
-        self.after2 = np.zeros(lanes * _SLOTS, np.int64)
+        self.after1 = np.zeros(lanes * self.width, np.uint16)
+        self.after2 = np.zeros(lanes * _SLOTS, np.uint16)
         self.rate1 = np.tile(np.array([0] + [8192] * 7), lanes)
         self.rate2 = np.tile(np.array([0] + [16384] * 7), lanes)
         self.weight = np.full(lanes, 128)
@@ -70,9 +70,9 @@ class _Model:
         """Numbers of the ids that order 1 and 2 predict (0: none), and their shares of 2**24."""
         self.at1 = self.base1[:n] + self.last[:n]
         self.at2 = self.base2[:n] + ((self.before[:n] * 40503 + self.last[:n]) & (_SLOTS - 1))
-        s1, s2 = self.after1[self.at1], self.after2[self.at2]
+        s1, s2 = self.after1.take(self.at1).astype(np.int64), self.after2.take(self.at2).astype(np.int64)
         self.r1, self.r2 = self.base_r[:n] + (s1 & 7), self.base_r[:n] + (s2 & 7)
-        p1, p2 = self.rate1[self.r1], self.rate2[self.r2]
+        p1, p2 = self.rate1.take(self.r1), self.rate2.take(self.r2)
         c1, c2 = s1 >> 3, s2 >> 3
         agree = c1 == c2
         top = np.where(agree, p1 + ((p2 - p1) * self.weight[:n] >> 8), p2)
@@ -129,9 +129,9 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             known = f1 + f2
             share = _divided(_FULL - known, model.total[:n])
             at = model.base[:n] + x
-            first = model.flat[at]
+            first = model.flat.take(at)
             begin = known + first * share
-            size = (model.flat[at + 1] - first) * share
+            size = (model.flat.take(at + 1) - first) * share
             x1 = x + 1
             by1, by2 = np.flatnonzero((x1 == c1) & (f1 > 0)), np.flatnonzero((x1 == c2) & (f2 > 0))
             begin[by1], size[by1] = f2[by1], f1[by1]
@@ -168,8 +168,8 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 
 
 def _divided(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Quotients of whole numbers that aren't negative."""
-    return (a.view(np.uint64) // b.view(np.uint64)).view(np.int64)
+    """Quotients of whole numbers from 0 to 2**25, which doubles give exactly."""
+    return (a / b).astype(np.int64)
 
 
 def _ranked(ids: np.ndarray):
@@ -208,10 +208,10 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
     code, place = code.ravel(), np.arange(lanes) + 2 * lanes
     span = np.full(lanes, 2**64 - 1, np.uint64)
     ranks = np.zeros((max(len(active), 1), lanes), np.int64)
-    step = 1 << 20
+    lane_at = (model.lane << 17).astype(np.int32)  # frequencies of a lane add up to less than 2**17
     for start in range(0, len(active), _SEGMENT):
         part = active[start : start + _SEGMENT]
-        search = (model.sums + model.lane[:, None] * step).ravel()
+        search = (model.sums + lane_at[:, None]).ravel()
         for t, n in enumerate(part, start):
             c1, c2, f1, f2 = model.predict(n)
             known = f1 + f2
@@ -220,10 +220,10 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
             r = span[:n] >> _PART
             v = (value[:n] // r).view(np.int64)
             target = np.minimum(_divided(np.maximum(v - known, 0), share), total - 1)
-            at = np.searchsorted(search, target + model.lane[:n] * step, side="right") - 1
-            first = model.flat[at]
+            at = np.searchsorted(search, target.astype(np.int32) + lane_at[:n], side="right") - 1
+            first = model.flat.take(at)
             begin = known + first * share
-            size = (model.flat[at + 1] - first) * share
+            size = (model.flat.take(at + 1) - first) * share
             x = at - model.base[:n]
             by1, by2 = np.flatnonzero(v < known), np.flatnonzero(v < f2)
             x[by1], begin[by1], size[by1] = c1[by1] - 1, f2[by1], f1[by1]

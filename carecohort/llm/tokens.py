@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,15 +64,16 @@ class WordTokenizer:
             if plain.isalpha() and len(plain) == len(pieces) == 1:
                 self.letters[code] = pieces[0][0]
         # a word of such letters, and marks that never join what is before them
-        self.plain = re.compile(f"([{''.join(map(chr, self.letters))}]+)([.,;:!?]*)").fullmatch
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        marks = [m for m in "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~" if split(f"a{m}{m}")[0][0] == split("a")[0][0]]
+        letters, marks = "".join(map(chr, self.letters)), re.escape("".join(marks))
+        self.plain = re.compile(f"([{letters}]+)([{marks}]*)" if marks else f"([{letters}]+)()").fullmatch
 
     def _whole(self, pieces: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in coded]
 
-    def _learn(self, new: set[str]) -> None:
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known = {}
+    def _learn(self, new: list[str]) -> None:
         if len(self.words) > REMEMBERED_WORDS:
             self.words = {}
         known, words, letters = self.known, self.words, self.letters
@@ -96,15 +98,24 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as 32-bit integers in the machine's byte order, which is little-endian."""
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = {p for text in pieces for p in text if p not in known}
-        if new:
-            self._learn(new)
-            if self.known is not known:  # started anew
-                known = self.known
-                self._learn({p for text in pieces for p in text if p not in known})
-        return [b"".join(map(known.__getitem__, p)) for p in pieces]
+        lines = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
+        pieces = pc.split_pattern(lines, " ")
+        numbered = pieces.values.dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        new = [p for p in distinct if p not in self.known]
+        if new and len(self.known) > REMEMBERED_WORDS:
+            self.known, new = {}, distinct
+        self._learn(new)
+        ids = [self.known[p] for p in distinct]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = numbered.indices.to_numpy()
+        ends = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(sizes[at], out=ends[1:])
+        begins = np.cumsum(sizes) - sizes
+        source = np.repeat(begins[at] - ends[:-1], sizes[at]) + np.arange(ends[-1])
+        stream = np.frombuffer(b"".join(ids), "<u4")[source]
+        edges = ends[pieces.offsets.to_numpy()]
+        return [stream[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
 
 
 #: Tokenizers of a Python worker, which outlives its tasks.
