@@ -118,7 +118,8 @@ def smoothed_calibration(rows: DataFrame, knots: int = 10, points: int = 80) ->
 
     A cubic regression spline with a curvature penalty chosen by generalised
     cross-validation.  Spark sums the basis cross-products in one pass; the driver
-    solves a ``knots`` by ``knots`` system.  It is a smoother of the same family as
+    solves a ``knots`` by ``knots`` system.  A series of two distinct risks gets a line, of
+    one risk a single point.  It is a smoother of the same family as
     the usual plotting default, not the same numbers.
     """
     spark = rows.sparkSession
@@ -129,7 +130,10 @@ def smoothed_calibration(rows: DataFrame, knots: int = 10, points: int = 80) ->
     for s in summary.collect():  # one row per series
         part = rows.where(F.col(BY) == s[BY])
         at = np.array(sorted(set(part.approxQuantile("risk", [i / (knots - 1) for i in range(knots)], 0.001))))
-        if len(at) < 4 or s["high"] <= s["low"]:
+        if len(at) < 2:  # one risk: its rate
+            rate = part.agg(F.avg("outcome").cast("double")).first()[0]
+            half = 1.96 * (rate * (1 - rate) / s["n"]) ** 0.5
+            out.append((s[BY], float(s["low"]), rate, rate - half, rate + half))
             continue
         scale = s["high"] - s["low"]
         z = (F.col("risk") - s["low"]) / scale

@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from .evaluation import BY, Z95, followed, with_predictor
 from .skew import numbered_copies
 
-MAX_STEPS = 40
 TOLERANCE = 1e-7  # steps shrink quadratically: the estimate is far closer than this
-HEAVY_TIES = 100_000  # events at one time from which their terms are spread out
+NO_GAIN = 1e-9  # relative gain in likelihood that counts as none
 
 
 def _with_series_values(rows: DataFrame, **values: dict[str, float]) -> DataFrame:
@@ -40,31 +39,43 @@ def _newton(evaluate, start: dict) -> dict:
 
     ``evaluate(points)`` runs one distributed aggregation and returns, per key, the
     log-likelihood, score and information at the key's point.  A step that lowers
-    the likelihood is halved.  Returns (estimate, information) of the keys that
-    could be fitted.
+    the likelihood is halved.  Steps go on until they are shorter than the tolerance.
+    A key has no finite estimate if its information is singular, or if its steps keep
+    their length while the likelihood gains nothing (separated outcomes).  Every other
+    evaluation gains likelihood or shortens the step, so the loop ends.  Returns
+    (estimate, information) of the keys with an estimate.
     """
     point, kept, done = dict(start), {}, {}
-    for _ in range(MAX_STEPS):
-        for key, (loglik, score, info) in evaluate(point).items():
-            if key in done:
+    while len(done) < len(start):
+        found = evaluate(point)
+        for key in [k for k in start if k not in done]:
+            if key not in found:
+                done[key] = None
                 continue
+            loglik, score, info = found[key]
             here = point[key]
-            if key in kept and not loglik >= kept[key][0] - 1e-9 * abs(kept[key][0]):
-                best, at, step = kept[key]
-                kept[key] = (best, at, step / 2)
-                point[key] = at + step / 2
+            best, at, last, known = kept.get(key, (None, None, None, None))
+            if best is not None and not loglik >= best - NO_GAIN * abs(best):
+                last = last / 2
+                kept[key] = (best, at, last, known)
+                point[key] = at + last
+                if not np.max(np.abs(last)) >= TOLERANCE:  # nothing better can be told apart
+                    done[key] = (at, known)
                 continue
             try:
                 step = np.linalg.solve(info, score)
             except np.linalg.LinAlgError:
                 done[key] = None
                 continue
-            kept[key] = (loglik, here, step)
+            length = np.max(np.abs(step))
+            if not np.isfinite(length):
+                done[key] = None
+            elif length < TOLERANCE:
+                done[key] = (here + step, info)
+            elif best is not None and loglik - best <= NO_GAIN * (1 + abs(best)) and length > np.max(np.abs(last)) / 2:
+                done[key] = None
+            kept[key] = (loglik, here, step, info)
             point[key] = here + step
-            if np.max(np.abs(step)) < TOLERANCE:
-                done[key] = (point[key], info)
-        if len(done) == len(start):
-            break
     return {key: fit for key, fit in done.items() if fit is not None}
 
 
@@ -132,12 +143,11 @@ def cox_calibration(rows: DataFrame) -> DataFrame:
 
     Rows are reduced to one row per series and follow-up time (two decimals), where
     risk-set sums are running totals.  Efron's correction has one term per tied
-    event; the terms of a heavily tied time are spread over several rows.
+    event; the terms of one time are spread over several tasks.
     """
     rows = with_predictor(followed(rows))
     centre = {r[BY]: r["m"] for r in rows.groupBy(BY).agg(F.avg("lp").alias("m")).collect()}
     start = {s: np.zeros(1) for s in centre}
-    heavy_ties = _has_heavy_ties(rows)
 
     def evaluate(point):
         placed = _with_series_values(
@@ -145,7 +155,7 @@ def cox_calibration(rows: DataFrame) -> DataFrame:
         ).select(BY, "years", "outcome", "beta", (F.col("lp") - F.col("centre")).alias("x"))
         return {
             r[BY]: (r["loglik"], np.array([r["score"]]), np.array([[r["info"]]]))
-            for r in _efron_sums(placed, heavy_ties).collect()  # one row per series
+            for r in _efron_sums(placed).collect()  # one row per series
         }
 
     fits = _newton(evaluate, start) if start else {}
@@ -166,20 +176,15 @@ def fitted_direction(rows: DataFrame) -> DataFrame:
     """
     rows = followed(rows)
     points = rows.select(BY, "years", "outcome", F.lit(0.0).alias("beta"), F.col("risk").alias("x"))
-    return _efron_sums(points, _has_heavy_ties(rows)).select(
+    return _efron_sums(points).select(
         BY, F.signum("score").alias("direction")
     )
 
 
-def _has_heavy_ties(rows: DataFrame) -> bool:
-    events = rows.groupBy(BY, "years").agg(F.sum("outcome").alias("d"))
-    return (events.agg(F.max("d")).first()[0] or 0) > HEAVY_TIES
-
-
-def _efron_sums(points: DataFrame, heavy_ties: bool) -> DataFrame:
+def _efron_sums(points: DataFrame) -> DataFrame:
     """Partial log-likelihood, its score and information at the rows' ``beta``, per series.
 
-    With ``heavy_ties`` the correction terms are spread over the cluster first.
+    The correction has a term per event; they are spread over the cluster.
     """
     x, event = F.col("x"), F.col("outcome") == 1
     moments = {"0": F.col("w"), "1": F.col("w") * x, "2": F.col("w") * x * x}
@@ -197,7 +202,7 @@ def _efron_sums(points: DataFrame, heavy_ties: bool) -> DataFrame:
     events = by_time.withColumns(
         {f"s{k}": F.sum(f"t{k}").over(at_risk) for k in moments}
     ).where(F.col("d") > 0)
-    ties = numbered_copies(events, "d", "tie", (BY, "years") if heavy_ties else None)
+    ties = numbered_copies(events, "d", "tie", (BY, "years"))
     share = F.col("tie") / F.col("d")
     left = {k: F.col(f"s{k}") - share * F.col(f"e{k}") for k in moments}
     terms = ties.select(

@@ -8,26 +8,29 @@ and the result is the plain join's.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_SPLIT = 1_000_000
-# At most this many keys are split.  A key outside the list holds fewer rows
-# than each of these, i.e. less than 1/4096 of the table.
-MAX_HOT_KEYS = 4096
-NULL_KEY_SPLITS = 64
+# A key is hot if it holds more than ROWS_PER_SPLIT rows and more than one in so many of the
+# rows of all such keys.  Fewer keys than this number can, however large the table.
+SHARES = 4096
 
 _SPLIT = "_split"
 
 
 def hot_keys(rows: DataFrame, keys, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
-    """The heaviest keys with the number of splits each needs (at most 4096 rows)."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    """The hot keys with the number of splits each needs: fewer than ``SHARES`` rows."""
+    large = (
+        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        .where((F.col("_n") > rows_per_split) & _known(keys))
+    )
+    # one row per rows_per_split rows of the table at most
+    total = F.sum("_n").over(Window.partitionBy(F.lit(0)))
     return (
-        counts.where((F.col("_n") > rows_per_split) & _known(keys))
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_split).cast("int").alias("_splits"))
+        large.withColumn("_limit", F.greatest(F.lit(rows_per_split), total / SHARES))
+        .where(F.col("_n") > F.col("_limit"))
+        .select(*keys, F.ceil(F.col("_n") / F.col("_limit")).cast("bigint").alias("_splits"))
     )
 
 
@@ -47,22 +50,22 @@ def join_lookup(
 ) -> DataFrame:
     """Join ``rows`` to ``lookup`` on ``keys`` with hot keys split (inner or left).
 
-    The split number is a hash of the row, not a random draw: a re-run task puts
-    the same row in the same split.
+    The split number is a hash of the row's place in its partition, so repeated rows
+    are split as well.  ``rows`` should be read from files (or projected or filtered from
+    them): then a re-run task finds the same rows in the same places.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
     keys = list(keys)
-    hot = F.broadcast(hot_keys(rows, keys, rows_per_split))  # <= MAX_HOT_KEYS rows
-    row_hash = F.xxhash64(*rows.columns)
+    hot = F.broadcast(hot_keys(rows, keys, rows_per_split))  # < SHARES rows
+    place = F.xxhash64("_place")
     # Rows without a key match nothing; a left join keeps them, spread out.
-    split = F.when(_known(keys), F.pmod(row_hash, F.coalesce("_splits", F.lit(1)))).otherwise(
-        F.pmod(row_hash, F.lit(NULL_KEY_SPLITS))
-    )
-    spread = rows.join(hot, keys, "left").withColumn(_SPLIT, split.cast("int")).drop("_splits")
+    split = F.when(_known(keys), F.pmod(place, F.coalesce("_splits", F.lit(1)))).otherwise(place)
+    placed = rows.withColumn("_place", F.monotonically_increasing_id())
+    spread = placed.join(hot, keys, "left").withColumn(_SPLIT, split).drop("_splits", "_place")
     repeated = (
         lookup.join(hot, keys, "left")
-        .withColumn(_SPLIT, F.explode(F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1)))
+        .withColumn(_SPLIT, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_splits", F.lit(1)) - 1)))
         .drop("_splits")
     )
     return spread.join(repeated, [*keys, _SPLIT], how).drop(_SPLIT)

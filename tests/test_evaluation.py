@@ -142,10 +142,9 @@ def efron(part, beta):
     return score, info
 
 
-@pytest.mark.parametrize("heavy", [2, 100_000])
-def test_cox_slope_with_ties(spark, heavy, monkeypatch):
-    monkeypatch.setattr(fits, "HEAVY_TIES", heavy)
-    monkeypatch.setattr(skew, "ROWS_PER_STEP", 3)
+@pytest.mark.parametrize("step", [3, 4096])
+def test_cox_slope_with_ties(spark, step, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_STEP", step)
     rows = make(120, 9)
     got = {r[BY]: r for r in fits.cox_calibration(spark.createDataFrame(rows, SCHEMA)).collect()}
     for s in ("m1", "m2"):
@@ -154,6 +153,36 @@ def test_cox_slope_with_ties(spark, heavy, monkeypatch):
         assert got[s]["slope_high"] - got[s]["slope"] == pytest.approx(evaluation.Z95 / math.sqrt(info), rel=1e-6)
 
 
+def test_separated_outcomes_have_no_estimate(spark):
+    df = spark.createDataFrame([("m", i, int(i > 5), 0.05 * i, 0.1 * i, float(12 - i)) for i in range(12)], SCHEMA)
+    assert fits.logistic_calibration(df).first()["slope"] is None
+    assert fits.cox_calibration(df).first()["slope"] is None
+
+
+def test_fits_may_take_many_steps():
+    calls = []
+
+    def evaluate(points):  # -sqrt(1 + u^2): full steps from afar overshoot and are halved
+        calls.append(points)
+        u = {k: x[0] - 300 for k, x in points.items()}
+        return {k: (-math.sqrt(1 + v * v), np.array([-v / math.sqrt(1 + v * v)]),
+                    np.array([[(1 + v * v) ** -1.5]])) for k, v in u.items()}
+
+    fit = fits._newton(evaluate, {"a": np.array([0.0])})["a"]
+    assert len(calls) > 40 and fit[0][0] == pytest.approx(300, abs=1e-6)
+
+
+@pytest.mark.parametrize("risks", [[0.2], [0.1, 0.3], [0.1, 0.2, 0.3]])
+def test_smoothing_few_distinct_risks(spark, risks):
+    rows = [("m", i, int(i % 4 == 0), risks[i % len(risks)], 0.0, 1.0) for i in range(120)]
+    got = calibration.smoothed_calibration(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert got and {min(r["risk"] for r in got), max(r["risk"] for r in got)} == {risks[0], risks[-1]}
+    for risk in (risks[0], risks[-1]):
+        of = [r[2] for r in rows if r[3] == risk]
+        near = min(got, key=lambda r: abs(r["risk"] - risk))["observed"]
+        assert near == pytest.approx(sum(of) / len(of), abs=0.3)
+
+
 def test_fits_without_events_are_unknown(spark):
     df = spark.createDataFrame([("m", i, 0, 0.1, 0.1 * i, 1.0) for i in range(6)], SCHEMA)
     assert fits.cox_calibration(df).first()["slope"] is None

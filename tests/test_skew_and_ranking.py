@@ -35,12 +35,26 @@ def test_hot_keys_are_split_in_proportion(skewed):
     assert found == {k: -(-n // 100) for k, n in counts.items() if n > 100}
 
 
-def test_hot_key_rows_land_on_several_splits(skewed, spark):
-    _, facts, _ = skewed
-    hot = hot_keys(facts, ["k"], 10)
-    split = F.pmod(F.xxhash64("k", "v"), F.col("_splits"))
-    used = facts.join(hot, ["k"]).where("k = 1").select(split).distinct().count()
-    assert used > 10
+def test_repeated_rows_of_a_hot_key_are_split(spark):
+    facts = spark.createDataFrame([(1, 5)] * 1000 + [(None, 5)] * 500, "k int, v int").coalesce(1)
+    lookup = spark.createDataFrame([(1, "a")], "k int, name string")
+    joined = join_lookup(facts, lookup, ["k"], "left", 100)
+    assert Counter(map(tuple, joined.collect())) == {(1, 5, "a"): 1000, (None, 5, None): 500}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = join_lookup(facts, lookup, ["k"], "left", 100).groupBy("k", F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert Counter(r["k"] for r in parts)[1] > 1 and Counter(r["k"] for r in parts)[None] > 1
+
+
+def test_keys_below_a_share_of_the_table_are_not_hot(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SHARES", 4)
+    facts = spark.createDataFrame([(1,)] * 60 + [(2,)] * 30 + [(3,)] * 10, "k int")
+    found = {r["k"]: r["_splits"] for r in hot_keys(facts, ["k"], 5).collect()}
+    assert found == {1: 3, 2: 2}
 
 
 def test_running_sums_match_a_sort(spark):
