@@ -22,6 +22,8 @@ TRAIN_PER_LANGUAGE = 300
 LANDMARKS_PER_LANGUAGE = 32
 #: Languages fitted at most, the most frequent first; beyond, a fit is refused.
 MAX_LANGUAGES = 200
+#: Groups of input partitions whose smallest hashes are found apart.
+GROUPS = 16
 RIDGE = 1e-2
 ORDERS = (1, 2, 3)
 _BITS = 18
@@ -166,10 +168,13 @@ def learn_language(
              F.xxhash64(F.col(id_col), F.col(text_col)).alias("_at"))
     if labelled.groupBy("lang").agg(F.count(F.lit(1))).limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_at"))
-    chosen = labelled.select("lang", "_at").withColumn("_rank", rank).where(F.col("_rank") <= per_language)
+    # the smallest hashes of a group of input partitions first, so that few rows of a language meet
+    chosen = labelled.select("lang", "_at", (F.spark_partition_id() % GROUPS).alias("_group"))
+    for of in (["lang", "_group"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*of).orderBy("_at"))
+        chosen = chosen.withColumn("_rank", rank).where(F.col("_rank") <= per_language)
     # at most MAX_LANGUAGES * per_language rows, here without and then with their texts
-    sample = labelled.join(F.broadcast(chosen.drop("_rank").distinct()), ["lang", "_at"]).dropDuplicates(["lang", "_at"])
+    sample = labelled.join(F.broadcast(chosen.select("lang", "_at").distinct()), ["lang", "_at"]).dropDuplicates(["lang", "_at"])
     rows = sorted(sample.select("_at", "lang", "text").collect())
     return fit_language([(r.text, r.lang) for r in rows], landmarks=landmarks)
 
