@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..codes import DEATH_PATTERN_ASCVD, DEATH_PATTERN_TOTAL_CVD
 from ..functions.dates import date_from_parts
 from ..schemas import DEATH_KEYS
+from ..storage import written
 from .skew import join_lookup
 
 
@@ -26,7 +27,8 @@ def match_deaths(manifest: DataFrame, causes: DataFrame, patients: DataFrame) ->
     The label is exclusive: ``ascvd`` wins over ``total cvd``, which is left for
     heart failure alone; every other cause is ``other``.
     """
-    confirmed = manifest.where(F.col("ndi_status_code") == "1").select(*DEATH_KEYS).distinct()
+    # written, since the split join takes its rows from files
+    confirmed = written(manifest.where(F.col("ndi_status_code") == "1").select(*DEATH_KEYS).distinct(), "confirmed")
     people = patients.select("pat_id", "pat_mrn_id").distinct()
     matched = join_lookup(confirmed, people, ["pat_mrn_id"])
     label = (
