@@ -15,7 +15,7 @@ from carecohort.storage import written
 
 #: A line found on this many sites or more is removed everywhere.
 MIN_SITES = 4
-#: Shorter lines (after trimming) are never removed.
+#: Shorter lines (after trimming) stay in the registered query, as its SQL says.
 MIN_CHARS = 10
 LG_K = 12
 _ERROR = 1.04 / 2 ** (LG_K / 2)
@@ -31,7 +31,7 @@ def _hash(line: Column, min_chars: int) -> Column:
     return F.when(F.length(trimmed) >= min_chars, F.xxhash64(trimmed))
 
 
-def widespread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS,
+def widespread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = 1,
                      text_col: str = "text", site_col: str = "source") -> DataFrame:
     """Hashes (``line``) of lines that occur on at least ``min_sites`` sites; null is no site."""
     hashes = F.filter(
@@ -53,12 +53,12 @@ def widespread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int
     return exact.union(guess.where(F.col("sites") > min_sites + margin).select("line"))
 
 
-def remove_widespread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS,
+def remove_widespread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = 1,
                             id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, text without widespread lines.
 
     Lines are compared without outer blanks; lines under ``min_chars`` characters always
-    stay.  A null text stays null with no lines; a text that loses all lines is empty.  Rows
+    stay, by default blank ones only.  A null text stays null with no lines; a text that loses all lines is empty.  Rows
     without a site lose lines, but count for no line.  Repeated rows are treated alike; a null
     id is an id like any other.  Other columns are not read.
     """

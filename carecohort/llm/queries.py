@@ -46,7 +46,7 @@ def op7_hamming_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_widespread_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.remove_widespread_lines(table(spark, sf_dir, "documents"), min_chars=line_dedup.MIN_CHARS)
 
 
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,6 +157,13 @@ def test_license_rules(spark):
     assert got[4].unmatched == "gpl-see"
 
 
+def test_short_lines_spread_too(spark):
+    rows = [(i, f"Menu\n\n \nbody {i}", f"site{i % 5}") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.remove_widespread_lines(docs).collect()}
+    assert got == {i: (1, f"\n \nbody {i}") for i in range(10)}
+
+
 def test_secret_candidates(spark, docs, plain):
     texts = dict(plain)
     for r in QUERIES["op3_secret_forest"](spark, FOLDER).collect():
