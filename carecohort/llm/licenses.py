@@ -111,9 +111,23 @@ MENTIONS = (
 )
 
 # An SPDX tag at the end of a line is a sentence of its own; others end at . ! ? ; : before a
-# blank, or at a blank line.
+# blank, or at a line that is blank but for comment signs.
 _TAG = r"spdx-license-identifier: ([a-z0-9.\-]+)[ \t]*(\n|$)"
-_END = r"[.!?;:]+\s+|\n\s*\n"
+_END = r"[.!?;:]+\s+|\n[\s*/#;%!-]*\n"
+# Comment signs that would end a sentence, at the start of a line.
+_SIGNS = r"(?m)^[ \t]*[;!]+(?=\s)"
+# Places within known notices where such a sign ends no sentence.
+_INSIDE = [
+    (r"is free software", "[;:]", r"you can redistribute"),
+    (r"free software foundation", "[;:]", r"either version"),
+    (r"any warranty", "[;:]", r"without even the implied"),
+    (r"along with this (?:program|library)", "[.;:]", r"if not"),
+    (r"public license v", "[.]", r"2[.]0"),
+    (r"(?:inc|ltd|corp|co)", "[.]", r"nor the names"),
+]
+_GAP = "[^a-z0-9]+"
+_JOIN = "|".join(rf"(\b{a.replace(' ', _GAP)}){sign}(?={_GAP}{b.replace(' ', _GAP)})" for a, sign, b in _INSIDE)
+_KEEP = "".join(f"${i + 1}" for i in range(len(_INSIDE)))
 
 
 def _marker(identifier: str) -> str:
@@ -121,7 +135,8 @@ def _marker(identifier: str) -> str:
 
 
 def _sentences(lower: Column) -> Column:
-    return F.split(F.regexp_replace(lower, _TAG, " . spdx license identifier $1 . "), _END)
+    tagged = F.regexp_replace(lower, _TAG, " . spdx license identifier $1 . ")
+    return F.split(F.regexp_replace(F.regexp_replace(tagged, _SIGNS, ""), _JOIN, _KEEP + " "), _END)
 
 
 def sentence_identifiers(text: Column) -> Column:

@@ -157,6 +157,85 @@ def test_license_rules(spark):
     assert got[4].unmatched == "gpl-see"
 
 
+GPL = """This program is free software{colon} you can redistribute it and/or modify
+it under the terms of the GNU {kind}General Public License as published by
+the Free Software Foundation{comma} either version {version} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {kind}General Public License for more details.
+
+You should have received a copy of the GNU {kind}General Public License
+along with this program{end}"""
+SEE = ".  If not, see <https://www.gnu.org/licenses/>."
+WRITE = "; if not, write to the Free Software\nFoundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301, USA."
+BSD = """Copyright (c) 2001, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+{endorse}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT DAMAGES (INCLUDING PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED."""
+ENDORSE = """3. Neither the name of {} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+GNU = " gpl-warranty gpl-see gpl-received"
+NOTICES = [
+    (GPL.format(colon=":", comma=",", kind="", version=3, end=SEE), "GPL-3.0-or-later", "gpl-free" + GNU),
+    (GPL.format(colon=";", comma=";", kind="", version=2, end=WRITE), "GPL-2.0-or-later", "gpl2-free" + GNU),
+    (GPL.format(colon=":", comma=",", kind="Affero ", version=3, end=SEE), "AGPL-3.0-or-later", "agpl3-free" + GNU),
+    (GPL.format(colon=";", comma=";", kind="Lesser ", version="2.1", end=WRITE).replace("program", "library"), "LGPL", "lgpl-free" + GNU),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not "
+     "distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0", "mpl2-form mpl2-copy"),
+    ("""Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""", "Apache-2.0", "apache2-grant apache2-use apache2-copy apache2-warranty apache2-see"),
+    (BSD.format(endorse=""), "All-Rights-Reserved BSD-2-Clause", "rights bsd-grant bsd-source bsd-binary bsd-warranty"),
+    *((BSD.format(endorse=ENDORSE.format(n)), "All-Rights-Reserved BSD-3-Clause",
+       "rights bsd-grant bsd-source bsd-binary bsd-endorse bsd-warranty") for n in ("the copyright holder", "Some Inc.")),
+    ("""Copyright (c) 2004, Some One
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES.""", "ISC", "isc-grant isc-warranty"),
+]
+
+
+@pytest.mark.parametrize("sign", ["", " * ", "# ", "// ", "-- ", ";; "])
+def test_canonical_notices(spark, sign):
+    texts = ["\n".join((sign + line).rstrip() for line in text.split("\n")) for text, _, _ in NOTICES]
+    texts = [f"/*\n{t}\n */\nint x;" if sign == " * " else t for t in texts]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert [(r.licenses, r.sentences, r.unmatched) for r in sorted(got)] == [(name, ids, "") for _, name, ids in NOTICES]
+
+
 def test_short_lines_spread_too(spark):
     rows = [(i, f"Menu\n\n \nbody {i}", f"site{i % 5}") for i in range(10)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
