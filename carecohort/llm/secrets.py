@@ -1,6 +1,8 @@
 """Secret scanning: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least 16 key characters with a digit.  The forest sees its
+A candidate is what is assigned to a name that holds a secret word or quoted after it, a key
+block in PEM form, a known prefix with what follows, or a run of at least 16 key characters,
+whichever begins first.  The forest sees its
 length, how its characters change from one to the next, how much of it dictionary words
 cover, the path or source of the document and the words beside it.  It is trained from
 labelled findings: given ones, or those that narrow rules settle either way.
@@ -22,17 +24,33 @@ TRAIN_FINDINGS = 20_000
 TREES, DEPTH = 20, 6
 SEED = 7
 
-_KEY = r"A-Za-z0-9+/_=\-"
-_RUN = rf"(?=[A-Za-z+/_=\-]{{0,200}}[0-9])[{_KEY}]{{{MIN_LENGTH},}}"
-
 # Words that name secrets, words that name other long strings, words of code and prose.
-SECRET_WORDS = "token|secret|passw(or)?d|passwd|pwd|api_?key|access_?key|auth|bearer|credential|private"
+SECRET_WORDS = "token|secret|passw(?:or)?d|passwd|pwd|api_?key|access_?key|auth|bearer|credential|private"
 OTHER_WORDS = "commit|sha1|sha256|sha512|md5|checksum|digest|hash|uuid|guid|isbn|serial|build|revision|etag|example|order|invoice|phone|card"
 DICTIONARY = (
     "the|and|that|with|this|from|have|for|not|are|was|test|example|sample|dummy|change|your|here|user|name|data|file|"
     "value|string|null|true|false|https?|www|com|org|index|page|image|static|assets|src|lib|main|version|config|"
     "default|key|token|secret|password|admin|local|host|abc|xyz|foo|bar|lorem|ipsum"
 )
+PREFIXES = "AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|xox[abp]-|AIza|eyJ"
+
+_KEY = r"A-Za-z0-9+/_=\-"
+_NAME = r"\w.+/\-"
+#: A name with a secret word, then a sign of assignment, which may follow a type (``pwd: str = ``).
+_NAMED = rf"(?<![{_NAME}])(?=[{_NAME}]*?(?i:{SECRET_WORDS}))[{_NAME}]++[\"'\])]*+"
+_ASSIGNED = r"[ \t]*(?::[ \t]*[\w.\[\]?|&*]+[ \t]*=(?!=)|[:!]?={1,3}>?|:(?!:))"
+#: Each alternative captures what stays before the candidate, if anything, and the candidate.
+_FOUND = "|".join((
+    rf"({_NAMED}(?:{_ASSIGNED}\s*|[ \t]*)[A-Za-z@$]{{0,2}}([\"'`]))(?!\2)(?!-----BEGIN)([^\n]+?)(?<!\\)(?=\2)",
+    rf"({_NAMED}{_ASSIGNED}[ \t]*(?i:(?:bearer|basic)[ \t]+)?[\"'`]?)(?!-----BEGIN)"
+    r"([^\s\"'`;,<>]*[^\s\"'`;,<>.:)}\]])",
+    r"(-----BEGIN [A-Z0-9 ]++-----(?:[\w+/=\s:,.()\\-]*?-----END [A-Z0-9 ]++-----)?)",
+    rf"(?<![{_KEY}])(eyJ[{_KEY}]{{4,}}+(?:[.][{_KEY}]++){{0,2}}|(?:{PREFIXES})[{_KEY}]{{4,}}+)",
+    rf"(?<![{_KEY}])([{_KEY}]{{{MIN_LENGTH},}}+)",
+))
+# Marks around candidates; a text's own are blanked first, which moves nothing.
+_OPEN, _CLOSE = "\x01", "\x02"
+
 FEATURES = (
     "length", "digits", "upper", "symbols", "distinct", "class_changes", "vowel_changes", "repeats",
     "dictionary", "hex_only", "digits_only", "uuid", "known_prefix", "test_path", "assigned", "quoted",
@@ -43,30 +61,30 @@ FEATURES = (
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """One row per candidate: doc_id, start (code points before it), candidate, before, after, path.
 
-    ``before`` and ``after`` hold up to 40 and 20 characters beside it.  Texts are split
-    before each candidate, so one pass of the pattern finds all of them.
+    ``before`` and ``after`` hold up to 40 and 20 characters beside it, and none of another
+    candidate's mark.  One pass of the pattern marks all candidates of a text.
     """
-    parts = F.split(F.concat(F.lit(" "), F.col(text_col)), rf"(?<![{_KEY}])(?={_RUN})")
+    text = F.translate(F.col(text_col), _OPEN + _CLOSE, "  ")
+    marked = F.regexp_replace(text, _FOUND, f"$1$4{_OPEN}$3$5$6$7$8{_CLOSE}")
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     rows = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"), path.alias("path"), parts.alias("_parts"))
+        F.col(id_col).alias("doc_id"), path.alias("path"), F.split(marked, _OPEN).alias("_parts"))
     rows = rows.where(F.size("_parts") > 1)
-    # running lengths: characters of the text before each part
+    # running lengths: characters of the text before each part, without the closing marks
     starts = F.aggregate(
-        "_parts", F.array(F.lit(-1).cast("bigint")),
-        lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(p)),
+        "_parts", F.array(F.lit(0).cast("bigint")),
+        lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(F.replace(p, F.lit(_CLOSE), F.lit("")))),
     )
     found = rows.withColumn("_starts", starts).select(
         "doc_id", "path", "_parts", "_starts", F.explode(F.sequence(F.lit(1), F.size("_parts") - 1)).alias("_i"))
-    part = F.get("_parts", F.col("_i"))
     found = found.select(
-        "doc_id", "path", F.get("_starts", F.col("_i")).alias("start"), part.alias("_part"),
-        F.right(F.get("_parts", F.col("_i") - 1), F.lit(40)).alias("before"),
+        "doc_id", "path", F.get("_starts", F.col("_i")).alias("start"),
+        F.split(F.get("_parts", F.col("_i")), _CLOSE).alias("_part"),
+        F.right(F.replace(F.get("_parts", F.col("_i") - 1), F.lit(_CLOSE), F.lit("")), F.lit(40)).alias("before"),
     )
-    run = F.regexp_extract("_part", rf"^[{_KEY}]+", 0)
     return found.select(
-        "doc_id", "start", run.alias("candidate"), "before",
-        F.substring("_part", F.length(run) + 1, F.lit(20)).alias("after"), "path",
+        "doc_id", "start", F.get("_part", F.lit(0)).alias("candidate"), "before",
+        F.substring(F.get("_part", F.lit(1)), 1, 20).alias("after"), "path",
     )
 
 
@@ -82,7 +100,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "length": F.least(n, F.lit(200)).cast("double"),
         "digits": share("[0-9]"),
         "upper": share("[A-Z]"),
-        "symbols": share(r"[+/_=\-]"),
+        "symbols": share("[^A-Za-z0-9]"),
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(64)),
         "class_changes": share(changes),
         "vowel_changes": share("[aeiou][b-df-hj-np-tv-z]|[b-df-hj-np-tv-z][aeiou]", low),
@@ -91,11 +109,11 @@ def with_features(found: DataFrame) -> DataFrame:
         "hex_only": flag(low.rlike("^[0-9a-f]+$")),
         "digits_only": flag(c.rlike("^[0-9]+$")),
         "uuid": flag(low.rlike("^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$")),
-        "known_prefix": flag(c.rlike("^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|xox[abp]-|AIza|eyJ)")),
+        "known_prefix": flag(c.rlike(rf"^({PREFIXES}|-----BEGIN [A-Z0-9 ]*PRIVATE KEY)")),
         "test_path": flag(F.lower("path").rlike("test|example|sample|fixture|vendor|[.]lock")),
-        "assigned": flag(before.rlike(r"[:=]\s*[\"']?$")),
-        "quoted": flag(before.rlike("[\"']$")),
-        "secret_word": flag(before.rlike(rf"({SECRET_WORDS})[^a-z\n]{{0,20}}$")),
+        "assigned": flag(before.rlike(r"([:=]>?\s*([a-z@$]{0,2}[\"'`])?|(bearer|basic) +)$")),
+        "quoted": flag(before.rlike("[\"'`]$")),
+        "secret_word": flag(before.rlike(rf"({SECRET_WORDS})([_.\-]\w*)?[^a-z\n]{{0,20}}([a-z@$]{{0,2}}[\"'`])?$")),
         "other_word": flag(before.rlike(rf"({OTHER_WORDS})[^a-z\n]{{0,20}}$")),
     }
     return found.withColumns({f: values[f].cast("double") for f in FEATURES})
@@ -106,6 +124,7 @@ def settled_label() -> Column:
     named = (F.col("secret_word") == 1) & (F.col("assigned") == 1)
     random = (F.col("digits") > 0.1) & (F.col("digits_only") == 0) & (F.col("distinct") > 0.2) & (F.col("repeats") < 0.3)
     plain = (F.col("digits_only") == 1) | (F.col("uuid") == 1) | (F.col("dictionary") > 0.5) | (F.col("repeats") > 0.6)
+    plain = plain | F.col("candidate").rlike("^-----BEGIN ")  # private ones are settled before
     return F.when((F.col("known_prefix") == 1) | (named & random & (F.col("dictionary") < 0.3)), 1.0).when(
         plain | (F.col("other_word") == 1), 0.0)
 

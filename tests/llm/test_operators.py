@@ -251,6 +251,36 @@ def test_secret_candidates(spark, docs, plain):
         assert r.secret == ("token = " in texts[r.doc_id][max(0, r.start - 9) : r.start].lower())
 
 
+def test_wide_secret_candidates(spark):
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow+/\nabcd==\n-----END RSA PRIVATE KEY-----"
+    jwt, late, letters = "eyJhbGciOi.eyJzdWIi.c2ln-_x", "q" * 300 + "7", "QwZxKjVbPmRtYlHgAbCd"
+    texts = [
+        ('password = "hunter2x!"', ["hunter2x!"]), ("pwd: Tr0ub4dor&3.", ["Tr0ub4dor&3"]),
+        ("api_key='abc123def456', other = 5", ["abc123def456"]), (f"a {letters} b {late} c", [letters, late]),
+        (f"\U0001f600 \x01 key\n{pem}\nend", [pem]), (f"x {jwt}, AKIA1234ABCD", [jwt, "AKIA1234ABCD"]),
+        ('DATABASE_PASSWORD_PROD=ab!c;uid=5 {"secret": "two words"}', ["ab!c", "two words"]),
+        ('pwd: str = "a\\"b" token "q1"', ['a\\"b', "q1"]), ("Authorization: Bearer zz9", ["zz9"]),
+        ('password = ""  short words and the token of it', []), ("", []),
+        ("url?token=abc&x=1 /path/to/secret=xyz1", ["abc&x=1", "xyz1"]),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id int, text string")
+    got = sorted(secrets.candidates(docs, path_col=None).collect(), key=lambda r: (r.doc_id, r.start))
+    for i, (text, wanted) in enumerate(texts):
+        assert [r.candidate for r in got if r.doc_id == i] == wanted
+    for r in got:
+        text = texts[r.doc_id][0].replace("\x01", " ")
+        assert text[r.start :].startswith(r.candidate) and text[: r.start].endswith(r.before)
+        assert text[r.start + len(r.candidate) :].startswith(r.after)
+
+
+def test_short_passwords_are_secrets(spark, docs):
+    more = spark.createDataFrame([(-1, 'password = "hunter2x!"'), (-2, "pwd: Tr0ub4dor&3"), (-3, "api_key='abq123def456'"),
+                                  (-4, "secret = QwZxKjVbPmRtYlHg")], "doc_id bigint, text string")
+    rows = docs.select("doc_id", "text", "source").unionByName(more.withColumn("source", F.lit("x")))
+    got = {r.doc_id: r.secret for r in secrets.scan_secrets(rows).where("doc_id < 0").collect()}
+    assert got == {-1: True, -2: True, -3: True, -4: True}
+
+
 def test_items_in_several_passes(spark, docs):
     bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     one, many = (decontaminate.decontaminate(docs, bench, per_pass=p) for p in (20_000, 7))
