@@ -3,31 +3,99 @@
 Rows of a source form blocks.  Block ``j`` of a source with weight ``w`` may start in slot
 ``floor(j / w)`` and must be done by ``ceil((j + 1) / w)``; each slot goes to the released
 block with the earliest deadline.  At any slot every source that still has rows is less
-than one block away from its share.  Weights are whole numbers of slots per period, after
-which the schedule repeats, so one period is worked out and all blocks look theirs up.
+than one block away from its share.  Weights are exact ratios of whole numbers, nothing is
+rounded; a source without rows left takes no slots.  Each slot depends on those before, so
+one task works the order out, block by block, with one entry per source in memory.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carecohort.llm.common import running_offsets, shuffle_partitions
+from carecohort.storage import written
 
-#: Rows per block; slots per period (more if there are more than a tenth as many sources).
+#: Rows per block; blocks handed on at a time.
 BLOCK_ROWS = 16
-PERIOD = 1000
+BATCH = 65_536
 #: Sources beyond this number are refused; they are listed on the driver.
 MAX_SOURCES = 100_000
 #: Default weights: rows of a source to this power.
 ALPHA = 0.7
 
 
+def whole_numerators(weights: Mapping) -> dict:
+    """Whole numbers in exactly the ratios of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * scale) for s, w in exact.items()}
+    common = math.gcd(*whole.values()) or 1
+    return {s: w // common for s, w in whole.items()}
+
+
+def block_order(numerators: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of all blocks, earliest deadline first.
+
+    A source's share is its numerator over the sum of all.
+    """
+    total = sum(numerators)
+    waiting = [(0, i, 0) for i, n in enumerate(blocks) if n]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int, int]] = []
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, i, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * total // numerators[i]), i, j, release))
+        deadline, i, j, release = heapq.heappop(ready)
+        if deadline <= slot:
+            raise AssertionError("a deadline was missed")
+        yield i, j, release, deadline, slot
+        if j + 1 < blocks[i]:
+            heapq.heappush(waiting, ((j + 1) * total // numerators[i], i, j + 1))
+        slot += 1
+
+
+_PLAN = "_no int, _block bigint, _release bigint, _deadline bigint, _slot bigint, _first bigint"
+
+
+def _plan(spark: SparkSession, numerators: list[int], rows: list[int], block_rows: int) -> DataFrame:
+    """Release, deadline, slot and place of the first row of every block."""
+    blocks = [-(-n // block_rows) for n in rows]
+    total = sum(numerators)
+    if any(b * total // w >= 2**63 - 1 for b, w in zip(blocks, numerators, strict=True)):
+        raise ValueError("a weight is so small that slots pass 64 bits")
+
+    def ordered(_batches):
+        names = ["_no", "_block", "_release", "_deadline", "_slot", "_first"]
+        types = [pa.int32()] + [pa.int64()] * 5
+        first, out = 0, []
+        for i, j, *times in block_order(numerators, blocks):
+            out.append((i, j, *times, first))
+            first += min(block_rows, rows[i] - j * block_rows)
+            if len(out) == BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    return written(spark.range(0, 1, 1, 1).mapInArrow(ordered, _PLAN), "mix_plan")
+
+
 def whole_weights(weights: Mapping, period: int) -> dict:
-    """Slots per period for each source: largest remainders, one at least."""
+    """Slots per period for each source: largest remainders, one at least.
+
+    Rounds; the mix itself uses :func:`whole_numerators`.
+    """
     total = sum(weights.values())
     share = {s: w / total * period for s, w in weights.items()}
     slots = {s: max(1, int(x)) for s, x in share.items()}
@@ -59,11 +127,12 @@ def one_period(slots: list[int]) -> list[tuple[int, int]]:
 
 
 def scheduled(docs: DataFrame, weights: Mapping | None = None, block_rows: int = BLOCK_ROWS,
-              period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with ``_mix``: struct of block, release, deadline, slot and row in the block.
+              id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """``docs`` with ``_mix``: struct of block, release, deadline, slot and position in the mix.
 
     Rows of a source are ordered by a hash of their id.  Sources that ``weights`` does not
     name are refused; without ``weights`` a source weighs its rows to the power 0.7.
+    Floats weigh what they hold exactly; fractions and decimals may be given too.
     """
     spark = docs.sparkSession
     counted = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n"))
@@ -72,18 +141,15 @@ def scheduled(docs: DataFrame, weights: Mapping | None = None, block_rows: int =
         raise ValueError(f"more than {MAX_SOURCES} sources")
     if weights is None:
         weights = {s: n**ALPHA for s, n in counts.items()}
-    if missing := [s for s in counts if not weights.get(s, 0) > 0]:
+    if missing := [s for s in counts if not 0 < weights.get(s, 0) < math.inf]:
         raise ValueError(f"sources without a weight: {missing[:5]}")
-    names = sorted(weights, key=lambda s: (s is not None, s))
-    slots = whole_weights({s: weights[s] for s in names}, max(period, 10 * len(names))) if names else {}
-    length = sum(slots.values())
-    plan = one_period([slots[s] for s in names])
+    # names without a positive weight are none of the table's
+    names = sorted((s for s in weights if weights[s] > 0), key=lambda s: (s is not None, s))
+    whole = whole_numerators({s: weights[s] for s in names}) if names else {}
+    plan = _plan(spark, [whole[s] for s in names], [counts.get(s, 0) for s in names], block_rows)
     kind = docs.schema[source_col].dataType.simpleString()
-    # both lists are bounded by MAX_SOURCES and ten times that
-    shares = spark.createDataFrame([(s, i, slots[s]) for i, s in enumerate(names)], f"_name {kind}, _no int, _slots int")
-    period_slots = spark.createDataFrame(
-        [(s, j, t) for t, (s, j) in enumerate(plan)], "_no int, _block_in_period bigint, _slot_in_period bigint"
-    )
+    # bounded by MAX_SOURCES
+    shares = spark.createDataFrame([(s, i) for i, s in enumerate(names)], f"_name {kind}, _no int")
     rows = docs.join(F.broadcast(shares), F.col(source_col).eqNullSafe(F.col("_name"))).drop("_name")
     rows = rows.withColumn("_at", F.xxhash64(F.col(id_col)))
     buckets = shuffle_partitions(spark)
@@ -94,22 +160,16 @@ def scheduled(docs: DataFrame, weights: Mapping | None = None, block_rows: int =
     rows = rows.withColumn("_inside", F.row_number().over(inside) - 1).join(before, ["_no", "_bucket"])
     rows = rows.withColumn("_rank", F.col("_before") + F.col("_inside"))
     rows = rows.withColumn("_block", F.floor(F.col("_rank") / block_rows).cast("bigint"))
-    rows = rows.withColumn("_block_in_period", F.col("_block") % F.col("_slots"))
-    rows = rows.join(F.broadcast(period_slots), ["_no", "_block_in_period"])
-    first = F.expr(f"(_block div _slots) * {length}")
+    rows = rows.join(plan, ["_no", "_block"])
     mix = F.struct(
-        F.col("_block").alias("block"),
-        (first + F.expr(f"(_block_in_period * {length}) div _slots")).alias("release"),
-        (first + F.expr(f"((_block_in_period + 1) * {length} + _slots - 1) div _slots")).alias("deadline"),
-        (first + F.col("_slot_in_period")).alias("slot"),
-        (F.col("_rank") % block_rows).alias("row"),
-        F.lit(length).cast("bigint").alias("period"),
+        F.col("_block").alias("block"), F.col("_release").alias("release"), F.col("_deadline").alias("deadline"),
+        F.col("_slot").alias("slot"), (F.col("_first") + F.col("_rank") % block_rows).alias("position"),
     )
     return rows.select(*[F.col(c) for c in docs.columns], mix.alias("_mix"))
 
 
 def mixed_positions(docs: DataFrame, weights: Mapping | None = None, block_rows: int = BLOCK_ROWS,
-                    period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+                    id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, source, block, release, deadline, slot, position.
 
     ``position`` numbers all rows from 0 in the order of the mix.  Slots of a source that has
@@ -118,22 +178,15 @@ def mixed_positions(docs: DataFrame, weights: Mapping | None = None, block_rows:
     in any order.  An empty table gives no rows.  Other columns are not read.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"))
-    rows = scheduled(named, weights, block_rows, period, "doc_id", "source")
-    rows = rows.select("doc_id", "source", "_mix.*").withColumn("_period", F.expr("slot div period"))
-    totals = rows.groupBy("_period").agg(F.count(F.lit(1)).alias("_n"))
-    before = running_offsets(totals, ["_period"], "_n", "_before").drop("_n")
-    inside = Window.partitionBy("_period").orderBy("slot", "row")
-    return rows.withColumn("_inside", F.row_number().over(inside) - 1).join(before, "_period").select(
-        "doc_id", "source", "block", "release", "deadline", "slot",
-        (F.col("_before") + F.col("_inside")).cast("bigint").alias("position"),
-    )
+    rows = scheduled(named, weights, block_rows, "doc_id", "source")
+    return rows.select("doc_id", "source", "_mix.*")
 
 
 def in_mixed_order(docs: DataFrame, weights: Mapping | None = None, block_rows: int = BLOCK_ROWS,
-                   period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+                   id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """All rows of ``docs``, sorted in the order of the mix: written files follow it."""
-    rows = scheduled(docs, weights, block_rows, period, id_col, source_col)
+    rows = scheduled(docs, weights, block_rows, id_col, source_col)
     return (
-        rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "_mix.slot", "_mix.row")
-        .sortWithinPartitions("_mix.slot", "_mix.row").drop("_mix")
+        rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "_mix.position")
+        .sortWithinPartitions("_mix.position").drop("_mix")
     )

@@ -1,8 +1,10 @@
 """The operators against SQL, brute force, exact round trips and held-out accuracy; odd rows."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -363,6 +365,24 @@ def test_mix(spark, docs):
         assert all(abs(done[i] - t * slots[s] / 97) < 1 for i, s in enumerate("abcd"))
 
 
+@pytest.mark.parametrize("weights", [None, {"a": 0.9, "b": 0.0999, "c": 0.0001}, {"a": 1e-9, "b": 3, "c": 2.5, "d": 1}])
+def test_mix_keeps_to_the_weights_given(spark, weights):
+    sizes = {"a": 4000, "b": 700, "c": 5}
+    rows = [(i, s) for s, n in sizes.items() for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id int, source string")
+    got = sorted(mixing.mixed_positions(docs, weights, block_rows=1).collect(), key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(4705)) and len({r.slot for r in got}) == 4705
+    assert [r.slot for r in got] == sorted(r.slot for r in got)
+    given = {s: Fraction(w) for s, w in (weights or {s: n**mixing.ALPHA for s, n in sizes.items()}).items()}
+    share = {s: w / sum(given.values()) for s, w in given.items()}
+    for r in got:
+        w = share[r.source]
+        assert (r.release, r.deadline) == (math.floor(r.block / w), math.ceil((r.block + 1) / w))
+        assert r.release <= r.slot < r.deadline
+        # done before and after this slot, against the share of the slots
+        assert abs(r.block - r.slot * w) < 1 and abs(r.block + 1 - (r.slot + 1) * w) < 1
+
+
 def test_fingerprints(spark, plain):
     rows = sorted(QUERIES["op10_one_permutation_fingerprint"](spark, FOLDER).collect())
     texts = [t for _, t in plain]
