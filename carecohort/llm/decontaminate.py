@@ -9,15 +9,21 @@ document position is compared word by word only with the windows of its bucket.
 from __future__ import annotations
 
 from collections import defaultdict
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carecohort.llm.common import free_name
+from carecohort.storage import written
+
 WINDOW = 10
-#: Items searched for in one pass over the documents; more items take more passes.
+#: Items, and bytes of their text, searched for in one pass over the documents; more take more
+#: passes.  Tables take some hundred bytes a word.
 ITEMS_PER_PASS = 20_000
+PASS_BYTES = 4 << 20
+#: Longer items are cut into pieces that begin so many words apart, for the passes.
+PIECE_WORDS = 10_000
 _HITS = "n_words bigint, hit array<int>, items array<bigint>"
 
 
@@ -98,42 +104,70 @@ def _search(text: Column, sets: list[WuManber]) -> Column:
     return search(text)
 
 
-def _passes(benchmark: DataFrame, item_col: str, text_col: str, per_pass: int):
-    """Lists of at most ``per_pass`` items, fetched one list at a time."""
-    items, n = benchmark.select(F.col(item_col).cast("bigint"), F.col(text_col)), benchmark.count()
-    passes = max(1, -(-n // per_pass))
-    for k in range(passes):
-        mine = items if passes == 1 else items.where(F.pmod(F.xxhash64(*items.columns), F.lit(passes)) == k)
-        yield [tuple(r) for r in mine.toLocalIterator()]
+def _pieces(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> DataFrame:
+    """Items (``item``, ``text``, ``bytes``) cut into pieces that overlap, so that each window is in one of them."""
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for item, text in zip(batch["item"], batch["text"]):
+                words = words_of(text if isinstance(text, str) else None)
+                for i in range(0, max(1, len(words) - window + 1), PIECE_WORDS):
+                    piece = b" ".join(words[i : i + PIECE_WORDS + window - 1])
+                    out.append((item, piece.decode("utf-8", "surrogatepass"), len(piece)))
+            yield pd.DataFrame(out, columns=["item", "text", "bytes"]).astype({"item": "Int64", "bytes": "int64"})
 
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(text_col).alias("text"))
+    return written(items.mapInPandas(cut, "item bigint, text string, bytes bigint").where("bytes > 0"), "benchmark_pieces")
 
-def contamination(text: Column, benchmark: DataFrame, window: int = WINDOW, per_pass: int = ITEMS_PER_PASS,
-                  item_col: str = "item_id", item_text_col: str = "text") -> Column:
-    """Struct (n_words, hit, items) of a text column: hit word positions and items found.
 
-    The test strings are carried to the tasks ``per_pass`` at a time, each a pass of its own,
-    so what a task holds is bounded whatever the size of the benchmark.
+def with_contamination(docs: DataFrame, benchmark: DataFrame, name: str, window: int = WINDOW,
+                       per_pass: int = ITEMS_PER_PASS, text_col: str = "text", item_col: str = "item_id",
+                       item_text_col: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """``docs`` with ``name``: struct (n_words, hit, items) of hit word positions and items found.
+
+    The test strings are carried to the tasks in passes of about ``per_pass`` items and
+    ``pass_bytes`` bytes of text at most, dealt by hash.  If one pass does not hold them all, each is
+    a job of its own over the written rows and writes its hits before the next one's tables are
+    built, so driver and tasks hold one pass at a time whatever the size of the benchmark.
     """
-    found = [_search(text, windows_of(p, window)) for p in _passes(benchmark, item_col, item_text_col, per_pass)]
-    if len(found) == 1:
-        return found[0]
-    return F.struct(
-        found[0]["n_words"].alias("n_words"),
-        reduce(F.array_union, [f["hit"] for f in found]).alias("hit"),
-        F.array_sort(reduce(F.array_union, [f["items"] for f in found])).alias("items"),
-    )
+    size = benchmark.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(item_text_col)), F.lit(0))).first()
+    if size[0] <= per_pass and size[1] <= pass_bytes:
+        items = benchmark.select(F.col(item_col).cast("bigint"), F.col(item_text_col))
+        sets = windows_of([tuple(r) for r in items.toLocalIterator()], window)
+        return docs.withColumn(name, _search(F.col(text_col), sets))
+    pieces = _pieces(benchmark, window, item_col, item_text_col)
+    n, total = pieces.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    passes = max(1, -(-n // per_pass), -(-total // pass_bytes))
+    row = free_name(docs, "_row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "searched_rows")
+    hits = None
+    for k in range(passes):
+        mine = pieces.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).select("item", "text")
+        sets = windows_of([tuple(r) for r in mine.toLocalIterator()], window)
+        found = rows.select(F.col(row).alias("row"), _search(F.col(text_col), sets).alias("f")).select("row", "f.*")
+        if k:  # the first pass gives the words of all rows
+            found = found.where(F.size("hit") > 0)
+        found = written(found, "pass_hits")
+        hits = found if hits is None else hits.unionAll(found)
+    every = hits.groupBy("row").agg(
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    ).select(F.col("row").alias(row), F.struct("n_words", "hit", "items").alias(name))
+    return rows.join(every, row).drop(row)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, per_pass: int = ITEMS_PER_PASS,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                  id_col: str = "doc_id", text_col: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words; items without words have no windows; items that
     repeat a text are all reported; an item without an id marks words but is not counted
     among the items.  An empty benchmark hits nothing.  Other columns are not read.
     """
-    found = contamination(F.col(text_col), benchmark, window, per_pass)
-    rows = docs.select(F.col(id_col).alias("doc_id"), found.alias("_f"))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = with_contamination(named, benchmark, "_f", window, per_pass, pass_bytes=pass_bytes).select("doc_id", "_f")
     names = F.array_sort(F.transform("_f.items", lambda i: i.cast("string")))
     return rows.select(
         "doc_id", "_f.n_words", F.size("_f.hit").cast("bigint").alias("n_hit"),

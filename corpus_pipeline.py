@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carecohort.llm.common import free_name, table
-from carecohort.llm.decontaminate import contamination
+from carecohort.llm.decontaminate import with_contamination
 from carecohort.llm.language import UNKNOWN, language_of, learn_language
 from carecohort.llm.mixing import in_mixed_order
 from carecohort.llm.near_dup import one_of_each_group
@@ -45,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without any ten-word passage of a benchmark item."""
     name = free_name(docs, "_benchmark")
-    found = docs.withColumn(name, contamination(F.col("text"), table(spark, sf_dir, "benchmark")))
+    found = with_contamination(docs, table(spark, sf_dir, "benchmark"), name)
     return found.where(F.size(F.col(name)["hit"]) == 0).drop(name)
 
 

@@ -289,6 +289,29 @@ def test_items_in_several_passes(spark, docs):
     assert Counter(map(tuple, one.collect())) == Counter(map(tuple, many.collect()))
 
 
+def test_passes_are_bounded_and_end_before_the_next(spark, docs, monkeypatch):
+    bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    one = decontaminate.decontaminate(docs, bench).collect()
+    steps, windows_of, written = [], decontaminate.windows_of, decontaminate.written
+
+    def noted(items, window):
+        steps.append(sum(len(t) for _, t in items))
+        return windows_of(items, window)
+
+    def wrote(df, name):
+        steps.append(name)
+        return written(df, name)
+
+    monkeypatch.setattr(decontaminate, "windows_of", noted)
+    monkeypatch.setattr(decontaminate, "written", wrote)
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 15)
+    size = bench.agg(F.sum(F.octet_length("text"))).first()[0]
+    many = decontaminate.decontaminate(docs, bench, pass_bytes=size // 3).collect()
+    assert Counter(map(tuple, one)) == Counter(map(tuple, many))
+    assert steps[:2] == ["benchmark_pieces", "searched_rows"] and len(steps) >= 8
+    assert all(x < size for x in steps[2::2]) and set(steps[3::2]) == {"pass_hits"}
+
+
 def test_shards(spark, plain):
     rows = QUERIES["op5_rendezvous_shards"](spark, FOLDER).collect()
     texts = dict(plain)
