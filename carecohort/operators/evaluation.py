@@ -39,8 +39,11 @@ def rows_for(scored: DataFrame, series: str, outcome: str, risk: str, lp, years)
 
 
 def followed(rows: DataFrame) -> DataFrame:
-    """Rows whose follow-up is known; survival measures use no others."""
-    return rows.where(F.col("years").isNotNull() & ~F.isnan("years") & (F.col("years") >= 0))
+    """Rows whose follow-up is known; survival measures use no others.
+
+    Observation may end before the index visit: such negative times are follow-up like any other.
+    """
+    return rows.where(F.col("years").isNotNull() & ~F.isnan("years"))
 
 
 def with_predictor(rows: DataFrame) -> DataFrame:
