@@ -23,10 +23,10 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written."""
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{shared_folder(spark)}/{app}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
