@@ -8,17 +8,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from carecohort.llm import decontaminate, fingerprint, language, licenses, line_dedup, mixing, near_dup, secrets, sharding, tokens
+from carecohort.llm import (
+    cover_codes, decontaminate, fingerprint, language, licenses, line_dedup, mixing, near_dup, secrets, sharding, tokens,
+    warc, whitening,
+)
 from carecohort.llm.common import table
 from carecohort.storage import shared_folder
 
 SHARDS = 40
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex[:12]}"
     path = public_tokenizers.path(tokens.TOKENIZER)
-    return tokens.token_documents(table(spark, sf_dir, "documents"), folder, path)
+    return tokens.token_documents(table(spark, sf_dir, "documents"), _new_folder(spark, "tokens"), path)
 
 
 def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +63,25 @@ def op10_one_permutation_fingerprint(spark: SparkSession, sf_dir: str) -> DataFr
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_codes.coded_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"), _new_folder(spark, "warc"))
+
+
+def op13_cholesky_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         op1_token_files, op2_license_rules, op3_secret_forest, op4_wu_manber, op5_rendezvous_shards,
         op6_string_kernel_language, op7_hamming_near_dup, op8_line_spread, op9_pfair_mix,
-        op10_one_permutation_fingerprint,
+        op10_one_permutation_fingerprint, op11_cover_tree_codes, op12_warc_transactions,
+        op13_cholesky_jacobi_whitening,
     )
 }
 STATEMENTS = {
@@ -70,4 +89,6 @@ STATEMENTS = {
     "op4_wu_manber": decontaminate.SQL,
     "op7_hamming_near_dup": near_dup.SQL,
     "op8_line_spread": line_dedup.SQL,
+    "op11_cover_tree_codes": cover_codes.SQL,
+    "op12_warc_transactions": warc.SQL,
 }

@@ -59,7 +59,7 @@ def plain(docs):
 @pytest.mark.parametrize("name", sorted(STATEMENTS))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings", "pages"):
         con.sql(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     cursor = con.execute(STATEMENTS[name])
     names = [d[0] for d in cursor.description]
