@@ -310,7 +310,8 @@ def test_unknown_follow_up_is_left_out(spark):
 
     schema = "series string, pat_id int, outcome int, risk double, lp double, years double"
     known = [("m", 1, 1, 0.9, 1.0, 1.0), ("m", 2, 0, 0.2, -1.0, 2.0), ("m", 3, 1, 0.4, 0.0, 3.0)]
-    odd = [("m", 4, 1, 0.5, 0.3, None), ("m", 5, 1, 0.6, 0.2, float("nan")), ("m", 6, 1, 0.7, 0.1, -1.0)]
+    known += [("m", 6, 1, 0.7, 0.1, -1.0)]  # observation that ends before the index visit counts
+    odd = [("m", 4, 1, 0.5, 0.3, None), ("m", 5, 1, 0.6, 0.2, float("nan"))]
     some, every = (spark.createDataFrame(r, schema) for r in (known, known + odd))
     curves = [sorted(map(tuple, netbenefit.kaplan_meier(r).collect())) for r in (some, every)]
     assert curves[0] == curves[1] and curves[0]
