@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .evaluation import BY, Z95, followed
 from .fits import fitted_direction
-from .ranking import bucket_edges, running_sums
+from .ranking import bucket_edges, later_sums, running_sums
 
 
 def auc(rows: DataFrame) -> DataFrame:
@@ -73,12 +73,12 @@ def concordance(rows: DataFrame, as_fitted: bool = True) -> DataFrame:
 
     Pairs are never formed.  With risks replaced by their rank, the ranks below
     ``r`` are the disjoint union of one dyadic block per set bit of ``r``; each
-    cell is counted in its blocks and each event reads the blocks below it.  Blocks
-    are aggregated by follow-up time (two decimals, capped at ten years), so a
-    window over one block stays small however many patients share it.
+    cell is counted in its blocks and each event reads the blocks below it.  Inside
+    a block, who is followed longer is counted over buckets of time first and then
+    inside a bucket, so no task holds a whole block, whatever the times look like.
     """
     rows = followed(rows)
-    edges = bucket_edges(rows, ["risk"])[0]
+    edges, times = bucket_edges(rows, ["risk", "years"])
     cells = rows.groupBy(BY, "risk", "years").agg(
         F.count(F.lit(1)).alias("n"), F.sum("outcome").alias("d")
     )
@@ -103,12 +103,9 @@ def concordance(rows: DataFrame, as_fitted: bool = True) -> DataFrame:
 
     def pairs(table: DataFrame, keys, name: str) -> DataFrame:
         """Events times the members of the same group followed strictly longer."""
-        longer = (
-            Window.partitionBy(*keys).orderBy(F.desc("years"))
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        later = F.coalesce(F.sum("n").over(longer), F.lit(0)).cast("double")
-        return table.withColumn("_p", F.col("d") * later).groupBy(BY).agg(F.sum("_p").alias(name))
+        placed = later_sums(table, "years", ["n"], times, keys, many_groups=len(keys) > 1)
+        found = F.col("d") * F.col("later_n").cast("double")
+        return placed.groupBy(BY).agg(F.sum(found).alias(name))
 
     counted = (
         pairs(whole, [BY], "usable")

@@ -32,8 +32,7 @@ def rows_for(scored: DataFrame, series: str, outcome: str, risk: str, lp, years)
         F.col(outcome).cast("int").alias("outcome"),
         F.col(risk).cast("double").alias("risk"),
         _column(lp).cast("double").alias("lp"),
-        # two decimals bound the number of distinct times
-        F.round(_column(years).cast("double"), 2).alias("years"),
+        _column(years).cast("double").alias("years"),
     )
     return rows.where(F.col("risk").isNotNull() & ~F.isnan("risk") & F.col("outcome").isNotNull())
 

@@ -10,11 +10,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.special import digamma_step, log_gamma_step, trigamma_step
 from .evaluation import BY, Z95, followed, with_predictor
-from .skew import numbered_copies
+from .ranking import bucket_edges, later_sums
 
 TOLERANCE = 1e-7  # steps shrink quadratically: the estimate is far closer than this
 NO_GAIN = 1e-9  # relative gain in likelihood that counts as none
@@ -141,13 +142,13 @@ def logistic_calibration(rows: DataFrame) -> DataFrame:
 def cox_calibration(rows: DataFrame) -> DataFrame:
     """Cox slope of the linear predictor with its Wald interval, Efron's ties, per series.
 
-    Rows are reduced to one row per series and follow-up time (two decimals), where
-    risk-set sums are running totals.  Efron's correction has one term per tied
-    event; the terms of one time are spread over several tasks.
+    Rows are reduced to one row per series and follow-up time, where risk-set sums
+    are totals of later times and tied events enter in closed form.
     """
     rows = with_predictor(followed(rows))
     centre = {r[BY]: r["m"] for r in rows.groupBy(BY).agg(F.avg("lp").alias("m")).collect()}
     start = {s: np.zeros(1) for s in centre}
+    edges = bucket_edges(rows, ["years"])[0]
 
     def evaluate(point):
         placed = _with_series_values(
@@ -155,7 +156,7 @@ def cox_calibration(rows: DataFrame) -> DataFrame:
         ).select(BY, "years", "outcome", "beta", (F.col("lp") - F.col("centre")).alias("x"))
         return {
             r[BY]: (r["loglik"], np.array([r["score"]]), np.array([[r["info"]]]))
-            for r in _efron_sums(placed).collect()  # one row per series
+            for r in _efron_sums(placed, edges).collect()  # one row per series
         }
 
     fits = _newton(evaluate, start) if start else {}
@@ -176,45 +177,50 @@ def fitted_direction(rows: DataFrame) -> DataFrame:
     """
     rows = followed(rows)
     points = rows.select(BY, "years", "outcome", F.lit(0.0).alias("beta"), F.col("risk").alias("x"))
-    return _efron_sums(points).select(
+    return _efron_sums(points, bucket_edges(rows, ["years"])[0]).select(
         BY, F.signum("score").alias("direction")
     )
 
 
-def _efron_sums(points: DataFrame) -> DataFrame:
+def _efron_sums(points: DataFrame, edges: list[float]) -> DataFrame:
     """Partial log-likelihood, its score and information at the rows' ``beta``, per series.
 
-    The correction has a term per event; they are spread over the cluster.
+    With ``d`` events at a time, whose weights sum to ``e0``, and ``s0`` the sum over all at
+    risk, Efron's terms divide by ``s0 - l * e0 / d = (e0 / d) * (a - l)`` for ``l`` from 0 to
+    ``d - 1``, where ``a = d * s0 / e0``.  Their sums are differences of the log-gamma,
+    digamma and trigamma functions at ``a + 1`` and ``a - d + 1``.
     """
     x, event = F.col("x"), F.col("outcome") == 1
     moments = {"0": F.col("w"), "1": F.col("w") * x, "2": F.col("w") * x * x}
     by_time = points.withColumn("w", F.exp(F.col("beta") * x)).groupBy(BY, "years", "beta").agg(
-        F.sum("outcome").alias("d"),
+        F.sum("outcome").cast("double").alias("d"),
         F.sum(F.when(event, x)).alias("sx"),
-        *[F.sum(m).alias(f"t{k}") for k, m in moments.items()],
-        *[F.sum(F.when(event, m)).alias(f"e{k}") for k, m in moments.items()],
+        *[F.sum(F.when(event, m).otherwise(0.0)).alias(f"e{k}") for k, m in moments.items()],
+        *[F.sum(F.when(event, 0.0).otherwise(m)).alias(f"c{k}") for k, m in moments.items()],
+    ).withColumns({f"t{k}": F.col(f"e{k}") + F.col(f"c{k}") for k in moments})
+    placed = later_sums(by_time, "years", ["t0", "t1", "t2"], edges, [BY]).where(F.col("d") > 0)
+    # others at risk: followed longer, or censored at this time
+    others = {k: F.col(f"later_t{k}") + F.col(f"c{k}") for k in moments}
+    d, e0 = F.col("d"), F.col("e0")
+    terms = placed.select(
+        BY, "beta", "sx", "d", "e0",
+        (F.col("e1") / e0).alias("mean"), (F.col("e2") / e0).alias("square"),
+        # what the risk set's moments exceed those of the events' by, in units of a - l
+        ((others["1"] - F.col("e1") * others["0"] / e0) * d / e0).alias("more1"),
+        ((others["2"] - F.col("e2") * others["0"] / e0) * d / e0).alias("more2"),
+        (d * others["0"] / e0 + 1).alias("low"),
     )
-    # One row per distinct time: about a thousand per series.
-    at_risk = (
-        Window.partitionBy(BY).orderBy(F.desc("years"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    events = by_time.withColumns(
-        {f"s{k}": F.sum(f"t{k}").over(at_risk) for k in moments}
-    ).where(F.col("d") > 0)
-    ties = numbered_copies(events, "d", "tie", (BY, "years"))
-    share = F.col("tie") / F.col("d")
-    left = {k: F.col(f"s{k}") - share * F.col(f"e{k}") for k in moments}
-    terms = ties.select(
-        BY,
-        "beta",
-        F.when(F.col("tie") == 0, F.col("sx")).otherwise(0.0).alias("sx"),
-        F.ln(left["0"]).alias("log_sum"),
-        (left["1"] / left["0"]).alias("mean"),
-        (left["2"] / left["0"]).alias("square"),
+    low = F.col("low")
+    terms = terms.select(
+        "*", log_gamma_step(low, d).alias("logs"), digamma_step(low, d).alias("inverses"),
+        trigamma_step(low, d).alias("inverse_squares"),
     )
+    mean, more = F.col("mean"), F.col("more1")
     return terms.groupBy(BY).agg(
-        (F.sum(F.col("beta") * F.col("sx")) - F.sum("log_sum")).alias("loglik"),
-        (F.sum("sx") - F.sum("mean")).alias("score"),
-        F.sum(F.col("square") - F.col("mean") * F.col("mean")).alias("info"),
+        F.sum(F.col("beta") * F.col("sx") - d * F.ln(e0 / d) - F.col("logs")).alias("loglik"),
+        F.sum(F.col("sx") - d * mean - more * F.col("inverses")).alias("score"),
+        F.sum(
+            d * F.col("square") + F.col("more2") * F.col("inverses")
+            - d * mean * mean - 2 * mean * more * F.col("inverses") - more * more * F.col("inverse_squares")
+        ).alias("info"),
     )

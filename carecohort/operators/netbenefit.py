@@ -2,43 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .evaluation import BY, followed
-from .ranking import in_buckets
+from .ranking import bucket_edges, in_buckets, later_sums, running_sums
 
 
 def kaplan_meier(rows: DataFrame, by=(BY,)) -> DataFrame:
-    """Numbers at risk, events and survival after each distinct follow-up time.
+    """Numbers at risk, events and survival after each distinct follow-up time, as given.
 
-    Follow-up is rounded to two decimals, so a group has about a thousand rows
-    after the first aggregation, whatever the number of patients.
+    ``by`` names few groups.
     """
     rows = followed(rows)
     times = rows.groupBy(*by, "years").agg(
         F.count(F.lit(1)).alias("n"), F.sum("outcome").alias("events")
     )
-    return _survival(times, by)
+    return _survival(times, bucket_edges(rows, ["years"])[0], by)
 
 
-def _survival(times: DataFrame, by) -> DataFrame:
-    after = (
-        Window.partitionBy(*by).orderBy(F.desc("years"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    until = (
-        Window.partitionBy(*by).orderBy("years")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    risked = times.withColumn("at_risk", F.sum("n").over(after))
+def _survival(times: DataFrame, edges: list[float], by) -> DataFrame:
+    """Survival from one row per group and time; ``edges`` cut the times into even buckets."""
+    risked = later_sums(times, "years", ["n"], edges, by).withColumn("at_risk", F.col("later_n") + F.col("n"))
     kept = F.col("at_risk") - F.col("events")
-    # log(0) is NULL and skipped by sum(): the curve is 0 from that time on.
-    ended = F.max((kept == 0).cast("int")).over(until) == 1
-    log_kept = F.sum(F.ln(kept / F.col("at_risk"))).over(until)
-    return risked.withColumn(
-        "survival", F.when(ended, F.lit(0.0)).otherwise(F.exp(F.coalesce(log_kept, F.lit(0.0))))
-    )
+    # All at risk have the event only at a group's last time: the curve ends at 0 there.
+    logs = risked.withColumn("_log", F.when(kept > 0, F.ln(kept / F.col("at_risk"))).otherwise(0.0))
+    summed = running_sums(logs, "years", ["_log"], edges, by)
+    survival = F.when(kept == 0, F.lit(0.0)).otherwise(F.exp(F.col("before__log") + F.col("_log")))
+    return summed.withColumn("survival", survival).select(*by, "years", "n", "events", "at_risk", "survival")
 
 
 def _thresholds(hundredths) -> list[float]:
@@ -85,7 +76,7 @@ def survival_decision_curve(rows: DataFrame, horizons, thresholds=None) -> DataF
     """
     rows = followed(rows)
     thresholds = sorted(thresholds or FULL_SURVIVAL)
-    # (threshold count, time) cells: at most 101 x a thousand per series.
+    edges = bucket_edges(rows, ["years"])[0]
     cells = _reached(rows, thresholds).groupBy(BY, "reached", "years").agg(
         F.count(F.lit(1)).alias("n"), F.sum("outcome").alias("events")
     )
@@ -101,7 +92,7 @@ def survival_decision_curve(rows: DataFrame, horizons, thresholds=None) -> DataF
         return 1 - F.coalesce(F.max_by("survival", followed), F.lit(1.0))
 
     points = (
-        _survival(times, (BY, "step"))
+        _survival(times, edges, (BY, "step"))
         .groupBy(BY, "step")
         .agg(
             F.sum("n").alias("n"),

@@ -1,12 +1,14 @@
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from carecohort import api
-from carecohort.operators import calibration, discrimination, evaluation, fits, netbenefit, skew
+from carecohort.functions import special
+from carecohort.operators import calibration, discrimination, evaluation, fits, netbenefit
 from carecohort.operators.evaluation import BY
 
 SCHEMA = "series string, pat_id int, outcome int, risk double, lp double, years double"
@@ -26,6 +28,12 @@ def make(n=240, seed=3, ties=True):
     return out
 
 
+def daily(rows, seed=3):
+    """The rows with follow-up in days, as years without rounding."""
+    rng = random.Random(seed)
+    return [(*r[:5], rng.randrange(-400, 3653) / 365.25) for r in rows]
+
+
 @pytest.fixture(scope="module")
 def rows():
     return make()
@@ -66,9 +74,10 @@ def test_auc_of_equal_scores_is_one_half(spark):
     assert discrimination.auc(df).first()["auc"] == 0.5
 
 
+@pytest.mark.parametrize("times", [list, daily])
 @pytest.mark.parametrize("ties", [True, False])
-def test_concordance_matches_all_pairs(spark, ties):
-    rows = make(150, 5, ties)
+def test_concordance_matches_all_pairs(spark, ties, times):
+    rows = times(make(150, 5, ties))
     frame = spark.createDataFrame(rows, SCHEMA)
     got = {r[BY]: r for r in discrimination.concordance(frame, as_fitted=False).collect()}
     for s in ("m1", "m2"):
@@ -142,10 +151,9 @@ def efron(part, beta):
     return score, info
 
 
-@pytest.mark.parametrize("step", [3, 4096])
-def test_cox_slope_with_ties(spark, step, monkeypatch):
-    monkeypatch.setattr(skew, "ROWS_PER_STEP", step)
-    rows = make(120, 9)
+@pytest.mark.parametrize("times", [list, daily])
+def test_cox_slope_with_ties(spark, times):
+    rows = times(make(120, 9))
     got = {r[BY]: r for r in fits.cox_calibration(spark.createDataFrame(rows, SCHEMA)).collect()}
     for s in ("m1", "m2"):
         score, info = efron(of(rows, s), got[s]["slope"])
@@ -153,6 +161,37 @@ def test_cox_slope_with_ties(spark, step, monkeypatch):
         assert got[s]["slope_high"] - got[s]["slope"] == pytest.approx(evaluation.Z95 / math.sqrt(info), rel=1e-6)
 
 
+def test_cox_slope_of_very_many_ties(spark):
+    """Two times with 100,000 events each: the sums of Efron's terms against their explicit form."""
+    n = 100_000
+    x, z = 0.3, -0.2
+    groups = [(1.0, 1, x, n), (1.0, 0, z, n), (2.0, 1, z, n), (2.0, 0, x, 2 * n), (3.0, 0, x, 5)]
+    ids = spark.createDataFrame(groups, "years double, outcome int, lp double, n int")
+    frame = ids.withColumn("pat_id", F.explode(F.sequence(F.lit(1), "n"))).withColumns({"series": F.lit("m"), "risk": F.lit(0.1)})
+    got = fits.cox_calibration(frame).first()
+    b, share, score, info = got["slope"], np.arange(n) / n, 0.0, 0.0
+    for t in (1.0, 2.0):
+        s = [sum(k * v**j * math.exp(b * v) for y, _, v, k in groups if y >= t) for j in range(3)]
+        e = [sum(k * v**j * math.exp(b * v) for y, o, v, k in groups if y == t and o) for j in range(3)]
+        left = [s[j] - share * e[j] for j in range(3)]
+        score += sum(k * v for y, o, v, k in groups if y == t and o) - np.sum(left[1] / left[0])
+        info += np.sum(left[2] / left[0] - (left[1] / left[0]) ** 2)
+    assert abs(score / info) < 1e-6  # what another step would change
+    assert got["slope_high"] - b == pytest.approx(evaluation.Z95 / math.sqrt(info), rel=1e-6)
+
+
+@pytest.mark.parametrize("x, d", [(1.0, 1), (1.0, 40), (1.5, 7), (20.25, 3), (1e3, 900), (1e9, 2), (1e12, 5)])
+def test_special_function_steps(spark, x, d):
+    terms = [Fraction(x) + k for k in range(d)]
+    step = lambda f: f(F.lit(x), F.lit(float(d)))
+    got = spark.range(1).select(
+        step(special.log_gamma_step).alias("l"), step(special.digamma_step).alias("p"), step(special.trigamma_step).alias("t")
+    ).first()
+    assert got["l"] == pytest.approx(math.fsum(math.log(t) for t in terms), rel=1e-12, abs=1e-13)
+    assert got["p"] == pytest.approx(float(sum(1 / t for t in terms)), rel=1e-12)
+    assert got["t"] == pytest.approx(float(sum(1 / t**2 for t in terms)), rel=1e-12)
+
+
 def test_separated_outcomes_have_no_estimate(spark):
     df = spark.createDataFrame([("m", i, int(i > 5), 0.05 * i, 0.1 * i, float(12 - i)) for i in range(12)], SCHEMA)
     assert fits.logistic_calibration(df).first()["slope"] is None
@@ -219,6 +258,45 @@ def test_kaplan_meier_reaches_zero(spark):
     assert got[0] == (1.0, pytest.approx(2 / 3)) and got[1][1] == pytest.approx(2 / 3) and got[2] == (3.0, 0.0)
 
 
+def survival_at(part, horizon):
+    """Kaplan-Meier by hand; (curve, survival at the horizon)."""
+    s, curve, last = 1.0, {}, 1.0
+    for t in sorted({r[5] for r in part}):
+        risk = sum(r[5] >= t for r in part)
+        s *= 1 - sum(r[5] == t and r[2] for r in part) / risk
+        curve[t] = (risk, s)
+        if t <= horizon:
+            last = s
+    return curve, last
+
+
+@pytest.mark.parametrize("times", [list, daily])
+def test_survival_measures_at_the_times_given(spark, times):
+    rows = times(make(150, 11, False))
+    df = spark.createDataFrame(rows, SCHEMA)
+    curves = netbenefit.kaplan_meier(df).collect()
+    benefits = netbenefit.survival_decision_curve(df, [5], [0.1, 0.4]).where("strategy = 'model'").collect()
+    for s in ("m1", "m2"):
+        curve, _ = survival_at(of(rows, s), 5)
+        got = {r["years"]: (r["at_risk"], pytest.approx(r["survival"], abs=1e-12)) for r in curves if r[BY] == s}
+        assert curve == got
+        for r in (r for r in benefits if r[BY] == s):
+            above = [p for p in of(rows, s) if p[3] >= r["threshold"]]
+            event, share = 1 - survival_at(above, 5)[1], len(above) / 150
+            odds = r["threshold"] / (1 - r["threshold"])
+            assert r["net_benefit"] == pytest.approx(event * share - odds * (1 - event) * share)
+
+
+def test_times_of_one_series_are_dealt_over_tasks(spark):
+    """No window has a whole series, or a whole block of ranks, in one partition."""
+    df = spark.createDataFrame(daily(make(60, 2, False)), SCHEMA)
+    for measure in (netbenefit.kaplan_meier, discrimination.concordance):
+        plan = measure(df)._jdf.queryExecution().optimizedPlan().toString()
+        for line in plan.splitlines():
+            if "Window [" in line and "_bucket" not in line:
+                raise AssertionError(line)
+
+
 def test_survival_net_benefit(spark):
     people = [("m", 1, 1, 0.30, 0.0, 1.0), ("m", 2, 0, 0.10, 0.0, 6.0), ("m", 3, 0, 0.02, 0.0, 6.0)]
     df = spark.createDataFrame(people, SCHEMA)
