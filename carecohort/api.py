@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import calibration, netbenefit, tableone
+from .operators import calibration, netbenefit, smoothing, tableone
 from .operators.evaluation import BY, rows_for
 from .operators.ranking import random_rank
 from .operators.risk import pce_risks, prevent_ascvd_risks, prevent_total_cvd_risks
@@ -67,7 +67,7 @@ def smoothed_calibration(
     data: DataFrame, outcome: str, p: str, subject: str = "pat_id"
 ) -> DataFrame:
     """Curve and band of the smoothed calibration plot."""
-    return calibration.smoothed_calibration(_rows(data, outcome, p, subject=subject)).drop(BY)
+    return smoothing.smoothed_calibration(_rows(data, outcome, p, subject=subject)).drop(BY)
 
 
 def risk_histogram(

@@ -9,7 +9,7 @@ from ..operators.netbenefit import (
     DETAIL_5YR, DETAIL_10YR, DETAIL_ASCVD, DETAIL_TOTAL_CVD, FULL_BINARY, FULL_SURVIVAL,
 )
 from ..operators.tableone import CATEGORICAL, CONTINUOUS, LABELS, YES_NO
-from ..plans.catalog import PREVENT_TERMS
+from ..plans.catalog import FIXED_STRENGTH, PREVENT_TERMS
 from ..plans.validation import ASCVD, METRICS, MODELS, PCE_5YR, PCE_10YR, SHARES, TOTAL_CVD
 from .parts import _VALUE, PARTS, shown, six, statement
 
@@ -429,6 +429,91 @@ for _model, _y in ((PCE_5YR, 5), (PCE_10YR, 10)):
         fitted=_cox("survival_rows"),
     )
 
+# --- smoothed calibration: ten knots, the basis row by row, elimination step by step ------
+
+
+def _eliminated(name: str, size: int) -> dict[str, str]:
+    """Gauss-Jordan steps on rows ``(series, i, v)``; the last one's left block is the identity."""
+    steps = {}
+    for p in range(1, size + 1):
+        before = name if p == 1 else f"{name}_{p - 1}"
+        steps[f"{name}_{p}"] = f"""
+select a.series, a.i, case when a.i = {p} then list_transform(a.v, lambda z: z / a.v[{p}])
+       else list_transform(list_zip(a.v, b.v), lambda z: z[1] - z[2] * a.v[{p}] / b.v[{p}]) end as v
+from {before} a join {before} b on a.series = b.series and b.i = {p}"""
+    return steps
+
+
+def _spline_basis(source: str) -> str:
+    """Cardinal basis functions ``c`` at the risks of ``source``, long."""
+    return f"""
+select s.*, f.c, case when f.c = q then 1 - t when f.c = q + 1 then t else 0 end
+         + h * h / 6 * (((1 - t) ** 3 - (1 - t)) * f.f + (t ** 3 - t) * g.f) as v
+from (select *, (risk - x[q]) / (x[q + 1] - x[q]) as t, x[q + 1] - x[q] as h from (
+        select r.*, x, 1 + len(list_filter(x[2:9], lambda k: k <= risk)) as q from {source} r join knots using (series))) s
+join second f on f.series = s.series and f.i = s.q
+join second g on g.series = s.series and g.i = s.q + 1 and g.c = f.c"""
+
+
+_SPLINE = {
+    "knots": f"""
+select series, quantile_cont(risk, [{', '.join(f'{k}/9.0' for k in range(10))}]) as x
+from (select distinct series, risk from binary_rows) group by series""",
+    "bends": """
+select series, i, list_concat(
+    list_transform(range(1, 9), lambda c: case when c = i then (x[i + 2] - x[i]) / 3
+      when c = i + 1 then (x[i + 2] - x[i + 1]) / 6 when c = i - 1 then (x[i + 1] - x[i]) / 6 else 0 end),
+    list_transform(range(1, 11), lambda c: case when c = i then 1 / (x[i + 1] - x[i])
+      when c = i + 1 then -1 / (x[i + 1] - x[i]) - 1 / (x[i + 2] - x[i + 1])
+      when c = i + 2 then 1 / (x[i + 2] - x[i + 1]) else 0 end)) as v
+from knots, range(1, 9) n(i)""",
+    **_eliminated("bends", 8),
+    "second": """
+select series, e.i, c, coalesce(v[8 + c], 0) as f
+from (select series, n.i from knots, range(1, 11) n(i)) e left join (select series, i + 1 as i, v from bends_8) b using (series, i),
+     range(1, 11) m(c)""",
+    "numbered": "select row_number() over () as id, series, risk, outcome from binary_rows",
+    "at_rows": _spline_basis("numbered"),
+    "gram": "select a.series, a.c as i, b.c as j, sum(a.v * b.v) as g from at_rows a join at_rows b using (id) group by all",
+    "response": "select series, c as i, sum(v * outcome) as r from at_rows group by all",
+    "penalty": """
+select b.series, m.i as i, f.j as j, sum(b.v[8 + m.i] * f.f) as s
+from bends b join (select series, i - 1 as n, c as j, f from second) f on f.series = b.series and f.n = b.i, range(1, 11) m(i)
+group by all""",
+}
+_SPLINE["whole"] = f"""
+select series, i, list_concat(list(g + {FIXED_STRENGTH} * s order by j), list_transform(range(1, 11), lambda c: cast(c = i as double)), [any_value(r)]) as v
+from gram join penalty using (series, i, j) join response using (series, i) group by series, i"""
+_SPLINE.update(_eliminated("whole", 10))
+_SPLINE["solved"] = "select series, i, n.j, v[10 + n.j] as w, v[21] as b from whole_10, range(1, 11) n(j)"
+_SPLINE["variances"] = """
+select series, (cases - 2 * fitted + squared) / (n - freedom) as variance
+from (select series, count(*) as n, sum(outcome) as cases from binary_rows group by series)
+join (select series, sum(w * g) as freedom, sum(b * v[21] * g) as squared
+      from solved join gram using (series, i, j) join (select series, i as j, v from whole_10) using (series, j) group by series) using (series)
+join (select series, sum(v[21] * r) as fitted from whole_10 join response using (series, i) group by series) using (series)"""
+_SPLINE["grid"] = "select series, p as point, x[1] + (x[10] - x[1]) * (p - 1) / 79 as risk from knots, range(1, 81) n(p)"
+_SPLINE["at_grid"] = _spline_basis("grid")
+_SPLINE["curve"] = """
+select a.series, a.point, a.risk, a.f as observed, 1.96 * sqrt(sum(a.v * s.w * e.v) * variance) as half
+from (select *, sum(v * b) over (partition by series, point) as f
+      from at_grid join (select series, i as c, v[21] as b from whole_10) using (series, c)) a
+join solved s on s.series = a.series and s.i = a.c
+join at_grid e on e.series = a.series and e.point = a.point and e.c = s.j
+join variances d on d.series = a.series group by a.series, a.point, a.risk, a.f, variance"""
+
+_add(
+    "smoothed_calibration_system",
+    f"select series, i::int as i, j::int as j, {six('x[i]')} as knot, {six('g')} as product, {six('r')} as response "
+    "from gram join response using (series, i) join knots using (series) where j >= i",
+    **_SPLINE,
+)
+_add(
+    "smoothed_calibration_fixed",
+    f"select series, point::int as point, {_rounded('risk', 'observed')}, {six('observed - half')} as low, {six('observed + half')} as high from curve",
+    **_SPLINE,
+)
+
 # --- survival and net benefit -----------------------------------------------------------
 
 

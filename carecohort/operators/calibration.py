@@ -1,8 +1,7 @@
-"""Calibration: expected and observed cases, binned and smoothed curves, histograms."""
+"""Calibration: expected and observed cases, binned curves, histograms."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,73 +110,3 @@ def risk_histogram(rows: DataFrame, width: float) -> DataFrame:
         BY, "bin", ((F.col("bin") - 1) * width).alias("start"), "n",
         (F.col("n") / F.col("_total")).alias("share"),
     )
-
-
-def smoothed_calibration(rows: DataFrame, knots: int = 10, points: int = 80) -> DataFrame:
-    """Smoothed observed rate over a grid of risks, with a 95 % band, per series.
-
-    A cubic regression spline with a curvature penalty chosen by generalised
-    cross-validation.  Spark sums the basis cross-products in one pass; the driver
-    solves a ``knots`` by ``knots`` system.  A series of two distinct risks gets a line, of
-    one risk a single point.  It is a smoother of the same family as
-    the usual plotting default, not the same numbers.
-    """
-    spark = rows.sparkSession
-    out = []
-    summary = rows.groupBy(BY).agg(
-        F.min("risk").alias("low"), F.max("risk").alias("high"), F.count(F.lit(1)).alias("n")
-    )
-    for s in summary.collect():  # one row per series
-        part = rows.where(F.col(BY) == s[BY])
-        at = np.array(sorted(set(part.approxQuantile("risk", [i / (knots - 1) for i in range(knots)], 0.001))))
-        if len(at) < 2:  # one risk: its rate
-            rate = part.agg(F.avg("outcome").cast("double")).first()[0]
-            half = 1.96 * (rate * (1 - rate) / s["n"]) ** 0.5
-            out.append((s[BY], float(s["low"]), rate, rate - half, rate + half))
-            continue
-        scale = s["high"] - s["low"]
-        z = (F.col("risk") - s["low"]) / scale
-        nodes = (at - s["low"]) / scale
-
-        def basis(value, cube):
-            """1, z and the natural truncated-cubic terms of each inner knot."""
-            last, before = nodes[-1], nodes[-2]
-
-            def d(k):
-                return (cube(value - k) - cube(value - last)) * (1 / (last - k))
-
-            return [value * 0 + 1, value, *[d(k) - d(before) for k in nodes[:-2]]]
-
-        columns = basis(z, lambda v: F.pow(F.greatest(v, F.lit(0.0)), 3))
-        size = len(columns)
-        sums = part.agg(
-            *[F.sum(columns[i] * columns[j]).alias(f"g{i}_{j}") for i in range(size) for j in range(i, size)],
-            *[F.sum(columns[i] * F.col("outcome")).alias(f"b{i}") for i in range(size)],
-            F.sum(F.col("outcome") * F.col("outcome")).alias("yy"),
-        ).first()
-        gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)])
-        rhs = np.array([sums[f"b{i}"] for i in range(size)])
-        grid = np.linspace(0.0, 1.0, points)
-        design = np.stack(basis(grid, lambda v: np.maximum(v, 0.0) ** 3), axis=1)
-        curvature = np.gradient(np.gradient(design, grid, axis=0), grid, axis=0)
-        penalty = curvature.T @ curvature / points
-        best = None
-        for power in np.linspace(-12, 4, 49):
-            strength = s["n"] * 10.0**power
-            inverse = np.linalg.pinv(gram + strength * penalty)
-            coef = inverse @ rhs
-            freedom = float(np.trace(inverse @ gram))
-            residual = float(sums["yy"] - 2 * coef @ rhs + coef @ gram @ coef)
-            score = s["n"] * residual / max(s["n"] - freedom, 1e-9) ** 2
-            if best is None or score < best[0]:
-                best = (score, coef, inverse, residual / max(s["n"] - freedom, 1e-9))
-        _, coef, inverse, variance = best
-        fit = design @ coef
-        se = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", design, inverse, design) * variance, 0.0))
-        out += [
-            (s[BY], float(s["low"] + g * scale), float(f), float(f - 1.96 * e), float(f + 1.96 * e))
-            for g, f, e in zip(grid, fit, se)
-        ]
-    return spark.createDataFrame(
-        out, f"{BY} string, risk double, observed double, low double, high double"
-    )

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.clean import result_value
 from ..operators import (
     calibration, discrimination, eligibility, evaluation, fits, index_visit, netbenefit,
-    phenotypes, predictors, tableone,
+    phenotypes, predictors, smoothing, tableone,
 )
 from ..operators.deaths import match_deaths
 from ..operators.evaluation import BY
@@ -22,6 +22,9 @@ from ..storage import shared_folder
 from .cohort import ASCVD_TABLE, PCE_TABLE, TOTAL_CVD_TABLE, CohortBuild
 from .validation import ASCVD, PCE_5YR, PCE_10YR, TOTAL_CVD, Validation
 
+#: Weight of the curvature in ``smoothed_calibration_fixed``.
+FIXED_STRENGTH = 0.001
+
 _open: dict[tuple[str, str], Validation] = {}
 
 
@@ -492,4 +495,16 @@ def _(v):
 
 @query("smoothed_calibration")
 def _(v):
-    return calibration.smoothed_calibration(v.binary_rows)
+    return smoothing.smoothed_calibration(v.binary_rows)
+
+
+@query("smoothed_calibration_system")
+def _(v):
+    """Knots and normal equations of the smoothed curves, before any penalty."""
+    return smoothing.smoothed_calibration_system(v.binary_rows)
+
+
+@query("smoothed_calibration_fixed")
+def _(v):
+    """Smoothed curves at a given penalty."""
+    return smoothing.smoothed_calibration(v.binary_rows, strength=FIXED_STRENGTH)

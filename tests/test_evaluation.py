@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from carecohort import api
 from carecohort.functions import special
-from carecohort.operators import calibration, discrimination, evaluation, fits, netbenefit
+from carecohort.operators import calibration, discrimination, evaluation, fits, netbenefit, smoothing
 from carecohort.operators.evaluation import BY
 
 SCHEMA = "series string, pat_id int, outcome int, risk double, lp double, years double"
@@ -211,10 +211,61 @@ def test_fits_may_take_many_steps():
     assert len(calls) > 40 and fit[0][0] == pytest.approx(300, abs=1e-6)
 
 
+def test_cardinal_splines(spark):
+    knots = np.array([0.0, 0.03, 0.1, 0.35, 0.4, 0.9])
+    assert np.allclose(smoothing.basis(knots, knots), np.eye(6), atol=1e-12)
+    second, penalty = smoothing.curvatures(knots)
+    assert np.allclose(second[[0, -1]], 0)
+    line = 0.3 + 2 * knots  # no curvature, and no penalty
+    assert np.allclose(second @ line, 0, atol=1e-9) and np.allclose(penalty @ line, 0, atol=1e-9)
+    values, step = np.random.default_rng(1).normal(size=6), 1e-4
+    grid = np.arange(step, 0.9 - step, step)
+    curve = [smoothing.basis(knots, grid + d) @ values for d in (-step / 4, 0, step / 4)]
+    bent = (curve[0] - 2 * curve[1] + curve[2]) / (step / 4) ** 2
+    assert np.sum(bent**2) * step == pytest.approx(values @ penalty @ values, rel=0.01)
+    assert np.allclose(bent, np.interp(grid, knots, second @ values), atol=np.abs(bent).max() * 0.01)
+
+
+@pytest.mark.parametrize("partitions", [1, 13])
+def test_smoothing_system(spark, rows, partitions):
+    """Against the basis row by row; the same to the last digit however rows are dealt."""
+    df = spark.createDataFrame(make(400, 8, False), SCHEMA)
+    got = smoothing.calibration_systems(df.repartition(partitions))
+    again = smoothing.calibration_systems(df.repartition(5))
+    for s in ("m1", "m2"):
+        x, y = (np.array([r[k] for r in make(400, 8, False) if r[0] == s]) for k in (3, 2))
+        knots = np.quantile(np.unique(x), np.linspace(0, 1, 10))
+        design = smoothing.basis(knots, x)
+        assert np.allclose(got[s].knots, knots, atol=1e-14) and got[s].n == 400 and got[s].cases == y.sum()
+        assert np.allclose(got[s].gram, design.T @ design, atol=1e-10)
+        assert np.allclose(got[s].response, design.T @ y, atol=1e-10)
+        assert np.array_equal(got[s].gram, again[s].gram) and np.array_equal(got[s].response, again[s].response)
+
+
+@pytest.mark.parametrize("waves", [0, 3])
+def test_strength_of_the_greatest_restricted_likelihood(waves):
+    rng = np.random.default_rng(7)
+    x = rng.random(1500)
+    y = (rng.random(1500) < 0.5 + 0.4 * np.sin(waves * x * math.pi)).astype(float)
+    knots = np.quantile(x, np.linspace(0, 1, 10))
+    design, penalty = smoothing.basis(knots, x), smoothing.curvatures(knots)[1]
+    system = smoothing.System(knots, design.T @ design, design.T @ y, penalty, 1500, y.sum())
+    best = smoothing.likely_strength(system)
+
+    def loss(strength):
+        whole = design.T @ design + strength * penalty
+        fit = np.linalg.solve(whole, design.T @ y)
+        left = np.sum((y - design @ fit) ** 2) + strength * fit @ penalty @ fit
+        return 1498 * math.log(left) + np.linalg.slogdet(whole)[1] - 8 * math.log(strength)
+
+    # without a wave a line is best, and the loss only levels off
+    assert all(loss(best) <= loss(best * f) + (1e-9 if waves else 1e-2) for f in (0.01, 0.8, 1.25, 100))
+
+
 @pytest.mark.parametrize("risks", [[0.2], [0.1, 0.3], [0.1, 0.2, 0.3]])
 def test_smoothing_few_distinct_risks(spark, risks):
     rows = [("m", i, int(i % 4 == 0), risks[i % len(risks)], 0.0, 1.0) for i in range(120)]
-    got = calibration.smoothed_calibration(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = smoothing.smoothed_calibration(spark.createDataFrame(rows, SCHEMA)).collect()
     assert got and {min(r["risk"] for r in got), max(r["risk"] for r in got)} == {risks[0], risks[-1]}
     for risk in (risks[0], risks[-1]):
         of = [r[2] for r in rows if r[3] == risk]
@@ -340,7 +391,7 @@ def test_smooth_curve_follows_the_rate(spark):
     for i in range(4000):
         p = rng.random() * 0.8
         people.append(("m", i, int(rng.random() < p), p, 0.0, 1.0))
-    got = calibration.smoothed_calibration(spark.createDataFrame(people, SCHEMA)).collect()
+    got = smoothing.smoothed_calibration(spark.createDataFrame(people, SCHEMA)).collect()
     assert len(got) == 80
     for r in got[8:-8]:
         assert abs(r["observed"] - r["risk"]) < 0.06 and r["low"] < r["observed"] < r["high"]
@@ -359,7 +410,7 @@ def test_measures_of_an_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for measure in (
         discrimination.auc, discrimination.concordance, fits.logistic_calibration, fits.cox_calibration,
-        calibration.expected_observed, calibration.binned_calibration, calibration.smoothed_calibration,
+        calibration.expected_observed, calibration.binned_calibration, smoothing.smoothed_calibration,
         netbenefit.kaplan_meier, netbenefit.binary_decision_curve,
     ):
         assert measure(empty).count() == 0
