@@ -11,7 +11,7 @@ import re
 
 from .. import codes
 from ..operators.eligibility import ELIGIBLE_COLUMNS
-from ..sources.starschema import PANEL
+from ..sources.starschema import EGFR_ANYONE, EGFR_COMPONENTS, EGFR_EVERY, PANEL
 
 
 def in_list(values) -> str:
@@ -74,8 +74,11 @@ select pat_id, pat_enc_csn_id, d as contact_date,
             when h % 101 = 3 then 'E11.9' when h % 53 = 4 then 'I10' else 'Z00.0' end as current_icd10_list
 from items"""
 
+_EGFR = " ".join(f"when {place} then {component}" for place, component in EGFR_COMPONENTS.items())
 PARTS["labs"] = f"""
-select pat_id, pat_enc_csn_id, component_id,
+select pat_id, pat_enc_csn_id,
+       cast(case when component_id = {EGFR_ANYONE} then case (h // 2) % {EGFR_EVERY} {_EGFR} else {EGFR_ANYONE} end
+            else component_id end as bigint) as component_id,
        cast(d as timestamp) + (8 + l_linenumber % 8) * interval 1 hour as result_time,
        case when h % 37 = 0 then 'SEE NOTE' when h % 31 = 0 then '>1,000'
             when h % 29 = 0 then (base + (h * mult) % span) || '.6'
@@ -245,12 +248,14 @@ where {has_code('atc_code', _OTHER_CLASSES)}
 
 # --- cohort tables ----------------------------------------------------------------
 
+PARTS["smoking_dates"] = "select pat_id, smoking_status_date, count(*) as records from smokers group by all"
+
 for _outcome in ("ascvd", "total_cvd"):
     PARTS[f"{_outcome}_eligible"] = f"""
-select {', '.join('v.pat_id' if c == 'pat_id' else 'obs_end as ' + c if c.startswith('last_') else c for c in ELIGIBLE_COLUMNS)}
+select {', '.join('v.pat_id' if c == 'pat_id' else 'obs_end as ' + c if c.startswith('last_') else c for c in ELIGIBLE_COLUMNS)}, coalesce(records, 1) as published_rows
 from (
   select v.*, pe.* exclude (pat_id, last_discharge_or_contact_date), statin_first_date, ascvd_first_date,
-         dyslipidemia_date, di.* exclude (pat_id), hy.* exclude (pat_id), smoking_status_date, ndi_death_date,
+         dyslipidemia_date, di.* exclude (pat_id), hy.* exclude (pat_id), smoking_status_date, records, ndi_death_date,
          year(contact_date) - year(birth_date) as age_yrs,
          case when last_discharge_or_contact_date > death_date then death_date
               when last_discharge_or_contact_date > ndi_death_date then ndi_death_date
@@ -262,7 +267,7 @@ from (
   left join dyslipidemia dy on v.pat_id = dy.pat_id
   left join diabetes di on v.pat_id = di.pat_id
   left join hypertension hy on v.pat_id = hy.pat_id
-  left join smokers sm on v.pat_id = sm.pat_id
+  left join smoking_dates sm on v.pat_id = sm.pat_id
   left join index_deaths de on v.pat_id = de.pat_id) v
 where age_yrs between {codes.MIN_AGE} and {codes.MAX_AGE}
   and coalesce(contact_date < statin_first_date, true) and coalesce(contact_date < ascvd_first_date, true)

@@ -9,7 +9,7 @@ from ..operators.netbenefit import (
     DETAIL_5YR, DETAIL_10YR, DETAIL_ASCVD, DETAIL_TOTAL_CVD, FULL_BINARY, FULL_SURVIVAL,
 )
 from ..operators.tableone import CATEGORICAL, CONTINUOUS, LABELS, YES_NO
-from ..plans.catalog import FIXED_STRENGTH, PREVENT_TERMS
+from ..plans.catalog import EXTRA_FIELD, FIXED_STRENGTH, PREVENT_TERMS, WRONG_VALUE
 from ..plans.validation import ASCVD, METRICS, MODELS, PCE_5YR, PCE_10YR, SHARES, TOTAL_CVD
 from .parts import _VALUE, PARTS, shown, six, statement
 
@@ -73,13 +73,41 @@ _table("total_cvd_outcome", "total_cvd_outcome", ["pat_id", "total_cvd_date"])
 
 # --- cohort tables --------------------------------------------------------------------
 
-_table("ascvd_eligible", "ascvd_eligible", ELIGIBLE_COLUMNS)
-_table("total_cvd_eligible", "total_cvd_eligible", ELIGIBLE_COLUMNS)
+_table("ascvd_eligible", "ascvd_eligible", [*ELIGIBLE_COLUMNS, "published_rows"])
+_table("total_cvd_eligible", "total_cvd_eligible", [*ELIGIBLE_COLUMNS, "published_rows"])
+_BASE = ("patients", "encounters", "diagnoses", "labs", "medications", "social_history", "vitals", "ndi_cause_of_death")
+
+
+def _hit(name: str, rule: dict) -> str:
+    key, every, rest, *_ = rule[name]
+    return f"{key} % {every} = {rest}"
+
+
 _add(
-    "eligible_distinct_patients",
+    "registry_load",
     "\nunion all\n".join(
-        f"select '{name}' as table_name, count(*) as n_rows, count(distinct pat_id) as patients from {part}"
+        [
+            f"select '{t}' as table_name, 'rows' as kind, count(*) as n from {t} "
+            + (f"where not ({_hit(t, EXTRA_FIELD)})" if t in EXTRA_FIELD else "")
+            for t in _BASE if t != "ndi_cause_of_death"
+        ]
+        + [
+            "select 'ndi_cause_of_death', 'rows', count(*) from ndi_cause_of_death d join patients using (pat_id) "
+            f"where not ({_hit('patients', EXTRA_FIELD)})"
+        ]
+        + [f"select '{t}', 'fields', count(*) from {t} where {_hit(t, EXTRA_FIELD)} having count(*) > 0" for t in EXTRA_FIELD]
+        + [
+            f"select '{t}', 'type', count(*) from {t} where {_hit(t, WRONG_VALUE)} and not ({_hit(t, EXTRA_FIELD)}) having count(*) > 0"
+            for t in WRONG_VALUE
+        ]
+    ),
+)
+_add(
+    "created_tables",
+    "\nunion all\n".join(
+        f"select '{name}' as table_name, count(*) as n_rows, count(distinct {'pat_enc_csn_id' if part == 'vitals' else 'pat_id'}) as n_keys from {part}"
         for name, part in (
+            *((t, t) for t in _BASE),
             ("ascvd_eligible_encounters", "ascvd_eligible"),
             ("total_cvd_eligible_encounters", "total_cvd_eligible"),
             ("pce_first_eligible_encounter_with_predictors", "ascvd_index"),
@@ -88,6 +116,19 @@ _add(
         )
     ),
 )
+_add(
+    "eligible_distinct_patients",
+    "\nunion all\n".join(
+        f"select '{name}' as table_name, cast({n} as bigint) as n_rows, count(distinct pat_id) as patients from {part}"
+        for name, part, n in (
+            ("ascvd_eligible_encounters", "ascvd_eligible", "sum(published_rows)"),
+            ("total_cvd_eligible_encounters", "total_cvd_eligible", "sum(published_rows)"),
+            ("pce_first_eligible_encounter_with_predictors", "ascvd_index", "count(*)"),
+            ("prevents_first_ascvd_eligible_encounter_with_predictors", "prevent_ascvd_index", "count(*)"),
+            ("prevents_first_total_cvd_eligible_encounter_with_predictors", "total_cvd_index", "count(*)"),
+        )
+    ),
+)
 
 _NEAR = f"between 0 and {codes.LOOKBACK_DAYS}"
 _CANDIDATE = [
@@ -682,13 +723,14 @@ where model = '{model}' group by "group" having count(*) > count({c})"""
     place = " ".join(f"when '{v}' then {i + 1}" for i, v in enumerate(LABELS))
     title = " ".join(f"when '{v}' then '{t}'" for v, t in LABELS.items())
     sides = ", ".join(
-        f'max(cell) filter ("group" = \'{g}\') as "{g}"' for g in ("Overall", f"Incident {label}", f"No {label}")
+        f'max(cell) filter ("group" = \'{g}\') as {name}'
+        for name, g in (("overall", "Overall"), ("incident", f"Incident {label}"), ("free", f"No {label}"))
     )
-    return f"""select case variable {place} end as position, variable, case variable {title} end as label,
+    return f"""select '{model}' as model, '{label}' as outcome, case variable {place} end as position, variable, case variable {title} end as label,
   part, level, {sides} from ({' union all '.join(cells)}) group by variable, part, level"""
 
 
-_add("table1_report", _table_one(ASCVD, "ASCVD"), long_values=_LONG_VALUES, long_levels=_LONG_LEVELS)
+_add("table1_report", " union all ".join(_table_one(m, label) for m, _, _, label in _SETS), long_values=_LONG_VALUES, long_levels=_LONG_LEVELS)
 
 
 def _interval(name: str) -> str:
@@ -728,6 +770,11 @@ _add(
     'select series, "Metric", "Value" from metric_rows',
     **_metric_parts("survival_rows", "binary_rows"),
 )
+_add(
+    "report_files",
+    'select series, "Metric", "Value" from metric_rows',
+    **_metric_parts("survival_rows", "binary_rows"),
+)
 _POSITION = "list_position([" + ", ".join("'" + n.replace("'", "''") + "'" for n in METRICS) + "], \"Metric\")"
 _add(
     "metrics_wide",
@@ -749,9 +796,9 @@ from (select *, row_number() over (partition by series, outcome order by {_RANDO
 
 _add(
     "misclassified_noncases",
-    "select a.series, a.pat_id from flipped a join survival_rows b on a.pat_id = b.pat_id and a.series = b.series || '|0.01' "
+    "select a.series, a.pat_id from flipped a join all_rows b on a.pat_id = b.pat_id and split_part(a.series, '|', 1) = b.series "
     "where a.outcome = 1 and b.outcome = 0",
-    flipped=_flipped("survival_rows", [0.01]),
+    flipped=_flipped("all_rows", SHARES),
 )
 _add(
     "misclassification_sensitivity",

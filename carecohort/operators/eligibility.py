@@ -83,13 +83,15 @@ def eligible_encounters(
     profile: DataFrame,
     outcome: str,
     rows_per_split: int = ROWS_PER_SPLIT,
+    expand: bool = False,
 ) -> DataFrame:
-    """Eligible visits, one row per visit and smoking record of the patient.
+    """Eligible visits, one row per visit and smoking day of the patient.
 
-    The repeat per smoking record belongs to the published table; cohort building
-    (``index_visit``) works from patient-days and never expands it.  A patient's
-    smoking days travel in the profile row (one entry per calendar day), so there
-    is a single join.
+    The published table repeats a visit per smoking record: ``published_rows`` says how
+    many of its rows, equal in every column, a row stands for.  They are not made
+    unless ``expand`` asks for them.  Cohort building (``index_visit``) works from
+    patient-days and needs neither.  A patient's smoking days travel in the profile row (one
+    entry per calendar day), so there is a single join.
     """
     event = f"_{outcome}_dx"
     visits = join_lookup(
@@ -105,11 +107,12 @@ def eligible_encounters(
         visits.withColumn("recent", recent)
         .where(has_known_onset() | (F.size("recent") > 0))
         .withColumn("record", F.explode_outer(listed))
-        .withColumn("copies", F.coalesce("record.n_records", F.lit(1)))
+        .withColumn("published_rows", F.coalesce("record.n_records", F.lit(1)).cast("bigint"))
     )
+    if expand:
+        listings = numbered_copies(listings, "published_rows", "copy")
     return (
-        numbered_copies(listings, "copies", "copy")
-        .withColumns(
+        listings.withColumns(
             {
                 "smoking_status_date": F.col("record.smoking_status_date"),
                 "ascvd_first_date": F.col(event),
@@ -117,5 +120,5 @@ def eligible_encounters(
                 "last_discharge_or_contact_date": observation_end(),
             }
         )
-        .select(*ELIGIBLE_COLUMNS)
+        .select(*ELIGIBLE_COLUMNS, *([] if expand else ["published_rows"]))
     )

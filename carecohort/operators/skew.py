@@ -71,6 +71,32 @@ def join_lookup(
     return spread.join(repeated, [*keys, _SPLIT], how).drop(_SPLIT)
 
 
+def join_both_split(left: DataFrame, right: DataFrame, keys, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+    """Inner join of two tables that may both hold a third of their rows under one key.
+
+    A key that is hot on a side is cut into as many parts there as it needs, and the other
+    side's rows of that key are repeated once per part: the pairs of a hot key are worked out
+    in a grid of parts, each task holding one part of either side.  Both tables should be
+    read from files, as in ``join_lookup``.
+    """
+    keys = list(keys)
+    mine = hot_keys(left, keys, rows_per_split).withColumnRenamed("_splits", "_left_parts")
+    theirs = hot_keys(right, keys, rows_per_split).withColumnRenamed("_splits", "_right_parts")
+    grid = F.broadcast(mine.join(theirs, keys, "full"))  # < 2 * SHARES rows
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        parts = lambda side: F.coalesce(f"_{side}_parts", F.lit(1).cast("bigint"))
+        place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts(own))
+        return (
+            df.where(_known(keys)).join(grid, keys, "left").withColumn(f"_{own}", place)
+            .withColumn(f"_{other}", F.explode(F.sequence(F.lit(0).cast("bigint"), parts(other) - 1)))
+            .drop("_left_parts", "_right_parts")
+        )
+
+    parts = ["_left", "_right"]
+    return dealt(left, "left", "right").join(dealt(right, "right", "left"), [*keys, *parts]).drop(*parts)
+
+
 ROWS_PER_STEP = 4096
 
 

@@ -66,9 +66,12 @@ class CohortBuild:
         timeline = index_visit.visit_timeline(self.base)
         return written(index_visit.screened_days(timeline, self.profile), "screened")
 
-    def eligible(self, outcome: str) -> DataFrame:
-        """``ascvd_eligible_encounters`` / ``total_cvd_eligible_encounters``."""
-        return eligibility.eligible_encounters(self.base, self.profile, outcome)
+    def eligible(self, outcome: str, expand: bool = False) -> DataFrame:
+        """``ascvd_eligible_encounters`` / ``total_cvd_eligible_encounters``.
+
+        Equal rows are one row with their number in ``published_rows``, or repeated with ``expand``.
+        """
+        return eligibility.eligible_encounters(self.base, self.profile, outcome, expand=expand)
 
     def candidates(self, outcome: str) -> DataFrame:
         """Visit days on which an index visit could fall."""
@@ -120,21 +123,25 @@ class CohortBuild:
         people = index_visit.analysis_set(self.prevent_total_cvd_index)
         return written(risk.prevent_total_cvd_risks(people), "prevent_total_cvd")
 
-    def published_tables(self) -> dict[str, DataFrame]:
+    def published_tables(self, expand: bool = False) -> dict[str, DataFrame]:
         """Base and derived tables under the names later analyses select from."""
         return {
             **self.base,
-            "ascvd_eligible_encounters": self.eligible("ascvd"),
-            "total_cvd_eligible_encounters": self.eligible("total_cvd"),
+            "ascvd_eligible_encounters": self.eligible("ascvd", expand),
+            "total_cvd_eligible_encounters": self.eligible("total_cvd", expand),
             PCE_TABLE: self.pce_index,
             ASCVD_TABLE: self.prevent_ascvd_index,
             TOTAL_CVD_TABLE: self.prevent_total_cvd_index,
         }
 
-    def create_tables(self, folder: str | None = None) -> None:
-        """Create every published table in the catalog; existing ones are an error."""
-        for name, df in self.published_tables().items():
-            create_table(df, name, folder)
+    def create_tables(self, folder: str | None = None, expand: bool = False, buckets: int | None = None) -> None:
+        """Create every published table in the catalog; existing ones are an error.
+
+        With ``buckets``, tables with a patient id are clustered by it, so that joins per
+        patient between them need no exchange.
+        """
+        for name, df in self.published_tables(expand).items():
+            create_table(df, name, folder, "pat_id" if "pat_id" in df.columns else None, buckets)
 
 
 class PublishedCohort(CohortBuild):
@@ -144,7 +151,8 @@ class PublishedCohort(CohortBuild):
         super().__init__({name: spark.table(name) for name in BASE_TABLES})
         self._spark = spark
 
-    def eligible(self, outcome: str) -> DataFrame:
+    def eligible(self, outcome: str, expand: bool = False) -> DataFrame:
+        """The created table as it is, with repeated rows or with their number."""
         return self._spark.table(f"{outcome}_eligible_encounters")
 
     @property

@@ -155,9 +155,9 @@ def test_later_onset_excludes_an_otherwise_eligible_visit(results):
 # --- smoking -----------------------------------------------------------------------
 
 
-def test_eligible_rows_repeat_per_smoking_record(results):
-    got = Counter(str(r["smoking_status_date"]) for r in results.eligible["smoking_records"])
-    assert got == {"2015-05-01": 2, "2019-01-01": 1}
+def test_eligible_rows_stand_for_smoking_records(results):
+    got = Counter((str(r["smoking_status_date"]), r["published_rows"]) for r in results.eligible["smoking_records"])
+    assert got == {("2015-05-01", 2): 1, ("2019-01-01", 1): 1}
     assert str(results.pce["smoking_records"]["smoking_status_date"]) == "2015-05-01"
 
 
@@ -361,10 +361,12 @@ def same(df, sql_final, views):
 @pytest.mark.parametrize("outcome", ["ascvd", "total_cvd"])
 def test_random_eligible(random_registry, outcome):
     b, views = random_registry
-    sql = f"select {shown(eligibility.ELIGIBLE_COLUMNS)} from {outcome}_eligible"
+    sql = f"select {shown([*eligibility.ELIGIBLE_COLUMNS, 'published_rows'])} from {outcome}_eligible"
     assert same(b.eligible(outcome), sql, views) > 50
     split = eligibility.eligible_encounters(b.base, b.profile, outcome, rows_per_split=20)
     same(split, sql, views)
+    same(b.eligible(outcome, expand=True),
+         f"select {shown(eligibility.ELIGIBLE_COLUMNS)} from {outcome}_eligible, lateral (select unnest(range(published_rows)))", views)
 
 
 def test_random_index_tables(random_registry):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from carecohort.operators.ranking import bucket_edges, random_rank, running_sums
 from carecohort.operators import skew
-from carecohort.operators.skew import hot_keys, join_lookup, numbered_copies
+from carecohort.operators.skew import hot_keys, join_both_split, join_lookup, numbered_copies
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +57,26 @@ def test_keys_below_a_share_of_the_table_are_not_hot(spark, monkeypatch):
     assert found == {1: 3, 2: 2}
 
 
+def test_both_sides_of_a_hot_key_are_dealt_over_a_grid(spark, tmp_path):
+    rows = [(1 if i % 3 == 0 else i, i) for i in range(90)] + [(None, 1), (1, 0)]
+    for name, shift in (("a", 0), ("b", 5)):
+        spark.createDataFrame([(k, v + shift) for k, v in rows], f"k int, {name} int").write.parquet(f"{tmp_path}/{name}")
+    a, b = (spark.read.parquet(f"{tmp_path}/{n}") for n in "ab")
+    plain = Counter(map(tuple, a.join(b, "k").collect()))
+    split = join_both_split(a, b, ["k"], 5)
+    assert Counter(map(tuple, split.collect())) == plain and sum(plain.values()) > 900
+    assert join_both_split(a.limit(0), b, ["k"], 5).count() == 0
+    changed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        parts = join_both_split(a, b, ["k"], 5).where("k = 1").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k in changed:
+            spark.conf.unset(k)
+    assert len(parts) > 2 and max(r["count"] for r in parts) < 900
+
+
 def test_running_sums_match_a_sort(spark):
     rng = random.Random(2)
     cells = [(g, round(rng.gauss(0, 1), 3), rng.randrange(1, 5)) for g in "ab" for _ in range(300)]

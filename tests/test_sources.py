@@ -69,6 +69,50 @@ def test_bad_values_become_null_and_bad_lines_are_listed(spark, tmp_path):
     assert [r["pat_id"] for r in extracts.rejected_lines(spark, str(path)).collect()] == ["p2"]
 
 
+def test_quarantine(spark, tmp_path):
+    path = tmp_path / "labs.txt"
+    path.write_text('PAT_ID\tNOTE\tCOMPONENT_ID\tDAY\np1\t"two\nlines, ""quoted"""\t7\t2015-01-01\np2\tx\nbad\tx\t1\t2015-01-01\tmore\np3\ty\tseven\tnever\np4\t\t\t\n')
+    schema = schemas._struct(pat_id=schemas._STR, component_id=schemas._LONG, day=schemas._DATE, note=schemas._STR)
+    rows, rejects = extracts.read_checked(spark, str(path), schema, multi_line=True)
+    got = {r["pat_id"]: tuple(r)[1:] for r in rows.collect()}
+    assert set(got) == {"p1", "p3", "p4"} and got["p3"][:2] == (None, None) and got["p4"] == (None, None, None)
+    assert got["p1"][0] == 7 and got["p1"][2] == 'two\nlines, "quoted"'
+    listed = sorted((r["reason"], r["column"] or "", r["value"] or "", (r["line"] or "").split("\t")[0]) for r in rejects.collect())
+    assert listed == [
+        ("fields", "", "", "bad"), ("fields", "", "", "p2"), ("type", "component_id", "seven", ""), ("type", "day", "never", ""),
+    ]
+    assert all(r["file"].endswith("labs.txt") for r in rejects.collect())
+
+
+def test_registry_with_rejects(spark, paths, tmp_path):
+    with open(paths["labs"], "a") as f:
+        f.write("p9\te1\n")
+    t = extracts.read_registry(spark, paths, str(tmp_path / "rejects"), multi_line=("patients",))
+    assert t["labs"].count() == 1 and t["patients"].count() == 2
+    assert [(r["extract"], r["reason"]) for r in spark.read.parquet(str(tmp_path / "rejects")).collect()] == [("labs", "fields")]
+
+
+def test_clustered_tables_join_without_an_exchange(spark, tmp_path):
+    spark.sql("create database if not exists clustered")
+    spark.catalog.setCurrentDatabase("clustered")
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        for name in ("visits", "profile"):
+            df = spark.range(400).selectExpr("cast(id % 50 as string) as pat_id", f"id as {name}_n")
+            extracts.create_table(df, name, str(tmp_path), "pat_id", 8)
+        joined = spark.table("visits").join(spark.table("profile").groupBy("pat_id").count(), "pat_id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and joined.count() == 400
+    finally:
+        for k in changed:
+            spark.conf.unset(k)
+        for name in extracts.table_names(spark):
+            spark.sql(f"drop table {name}")
+        spark.catalog.setCurrentDatabase("default")
+
+
 def test_prefix_selection(spark, paths):
     df = extracts.read_by_prefix(spark, paths["ndi_cause"], ("pat_mrn_id",), ("ndi_cause_record",))
     assert df.columns == ["pat_mrn_id", "ndi_cause_record_1", "ndi_cause_record_2"]
