@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import codes
-from ..functions.clean import contains_any, recode, result_value
+from ..functions.clean import contains_any, recode
+from .results import VALUE, watched_results
 
 _TS = "timestamp_ntz"
 
@@ -75,13 +76,13 @@ def first_event(diagnoses: DataFrame, outcome: str) -> DataFrame:
 
 def dyslipidemia_onset(labs: DataFrame) -> DataFrame:
     """Time of the first lipid result at or above its limit."""
-    value = result_value(F.col("ord_value"))
+    value = F.col(VALUE)
     high = F.lit(False)
     for components, limit in codes.DYSLIPIDEMIA_LIMITS:
         high = high | (F.col("component_id").isin(*components) & (value >= limit))
     watched = [c for components, _ in codes.DYSLIPIDEMIA_LIMITS for c in components]
     return (
-        labs.where(F.col("component_id").isin(*watched) & high)
+        watched_results(labs).where(F.col("component_id").isin(*watched) & high)
         .groupBy("pat_id").agg(F.min("result_time").alias("dyslipidemia_date"))
     )
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import codes
-from ..functions.clean import leading_digits, result_value
+from ..functions.clean import leading_digits
 from ..functions.dates import day_gap
 from .phenotypes import is_antihypertensive, started_on
+from .results import VALUE, watched_results
 from .skew import join_lookup
 
 LIPIDS = ("hdl_chol", "ldl_chol", "total_chol")
@@ -20,18 +21,12 @@ def cholesterol_panels(labs: DataFrame) -> DataFrame:
     Three conditional means in one aggregation: a pivot would group (and shuffle)
     once more by the lipid.
     """
-    value = F.col("_value")
+    value = F.col(VALUE)
     ids = {"hdl_chol": codes.HDL, "ldl_chol": codes.LDL, "total_chol": codes.TOTAL_CHOLESTEROL}
     wanted = [c for components in ids.values() for c in components]
     return (
-        labs.where(F.col("component_id").isin(*wanted))
-        .select(
-            "pat_id",
-            "component_id",
-            F.to_date("result_time").alias("chol_date"),
-            result_value(F.col("ord_value")).alias("_value"),
-        )
-        .where(value > 0)
+        watched_results(labs).where(F.col("component_id").isin(*wanted) & (value > 0))
+        .withColumn("chol_date", F.to_date("result_time"))
         .groupBy("pat_id", "chol_date")
         .agg(
             *[
@@ -94,15 +89,14 @@ def _applies() -> Column:
 def _numeric_egfr(labs: DataFrame) -> DataFrame:
     wanted = [c for components, _ in _egfr_groups().values() for c in components]
     return (
-        labs.where(F.col("component_id").isin(*wanted))
+        watched_results(labs).where(F.col("component_id").isin(*wanted))
         .select(
             "pat_id",
             "result_time",
             F.to_date("result_time").alias("egfr_date"),
-            result_value(F.col("ord_value")).alias("egfr"),
+            F.col(VALUE).alias("egfr"),
             _egfr_group().alias("_group"),
         )
-        .where(F.col("egfr").isNotNull())
     )
 
 

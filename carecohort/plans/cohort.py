@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import eligibility, index_visit, phenotypes, risk
+from ..operators.results import watched_results
 from ..schemas import BASE_TABLES
 from ..sources.extracts import create_table
 from ..storage import written
@@ -54,16 +55,22 @@ class CohortBuild:
             out[name] = written(ordered, name)
         return cls(out, **options)
 
+    @cached_property
+    def measured(self) -> dict[str, DataFrame]:
+        """Base tables with laboratory results scanned and cleaned once, for the three tables made of them."""
+        results = watched_results(self.base["labs"]).sortWithinPartitions("component_id")
+        return {**self.base, "labs": written(results, "results")}
+
     @cached_property
     def profile(self) -> DataFrame:
         return written(
-            phenotypes.patient_profile(self.base, self.count_ascvd_deaths), "profile"
+            phenotypes.patient_profile(self.measured, self.count_ascvd_deaths), "profile"
         )
 
     @cached_property
     def screened(self) -> DataFrame:
         """Visit days both outcomes choose their index visits from."""
-        timeline = index_visit.visit_timeline(self.base)
+        timeline = index_visit.visit_timeline(self.measured)
         return written(index_visit.screened_days(timeline, self.profile), "screened")
 
     def eligible(self, outcome: str, expand: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from registry import random_rows, tables
 
 from carecohort.operators import eligibility, index_visit, phenotypes, predictors
+from carecohort.operators.results import watched_results
 
 
 @pytest.fixture(scope="module")
@@ -60,6 +61,16 @@ def test_component_filter_reaches_the_scan(base):
     assert "pat_enc_csn_id" not in panels.split("ReadSchema")[1].split("\n")[0]
 
 
+def test_results_are_cleaned_once(base, spark, tmp_path):
+    results = watched_results(base["labs"])
+    assert plan(results).count("FileScan") == 1
+    results.write.parquet(f"{tmp_path}/results")
+    clean = {**base, "labs": spark.read.parquet(f"{tmp_path}/results")}
+    for tables_of in (phenotypes.patient_profile, index_visit.visit_timeline):
+        assert tables_of(clean).exceptAll(tables_of(base)).count() == 0
+        assert "ord_value" not in plan(tables_of(clean))
+
+
 def test_study_window_reaches_the_scan(base):
     assert re.search(
         r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(contact_date,2013-07-01\)",
