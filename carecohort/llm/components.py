@@ -8,30 +8,51 @@ from pyspark.sql import functions as F
 from carecohort.storage import written
 
 
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct links (node, to) from the greater to the smaller name."""
+    return rows.where(F.col("node") != F.col("to")).select(
+        F.greatest("node", "to").alias("node"), F.least("node", "to").alias("to")
+    ).distinct()
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    """Every greater neighbour of a node is linked to the smallest of the node and its neighbours."""
+    both = links.union(links.select(F.col("to").alias("node"), F.col("node").alias("to")))
+    least = both.groupBy("node").agg(F.least(F.min("to"), F.min("node")).alias("_least"))
+    greater = links.select(F.col("to").alias("node"), F.col("node").alias("_other"))
+    return _pairs(greater.join(least, "node").select(F.col("_other").alias("node"), F.col("_least").alias("to")))
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours are linked to the smallest of them."""
+    least = links.groupBy("node").agg(F.min("to").alias("_least"))
+    smaller = links.join(least, "node").select(F.col("to").alias("node"), F.col("_least").alias("to"))
+    return _pairs(smaller.union(least.select("node", F.col("_least").alias("to"))))
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b); a component is its smallest node.
 
-    Each round a component that touches one with a smaller name takes that name; at least
-    half of the components with links vanish per round.  Every round is written, so lost
-    executors cost a re-read.
+    Links are drawn in to the smallest node by large and small stars in turn, until only
+    stars are left: their number of rounds grows with the logarithm of a chain's length, and a
+    star takes one.  Every round is written, so lost executors cost a re-read.  Nodes linked with
+    nothing but themselves are components of their own.
     """
-    both = links.select(F.col("a"), F.col("b")).union(links.select(F.col("b"), F.col("a")))
-    labels = written(
-        both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels"
-    )
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("to"))
+    stars, seen = written(_pairs(ends), "links"), None
     while True:
-        of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-        crossing = (
-            links.join(of("a"), "a").join(of("b"), "b").where(F.col("ca") != F.col("cb"))
-            .select(F.greatest("ca", "cb").alias("component"), F.least("ca", "cb").alias("to"))
-        )
-        moves = written(crossing.groupBy("component").agg(F.min("to").alias("to")), "moves")
-        if moves.isEmpty():
-            return labels
-        # a component that moves to one that moves as well goes there at once
-        onward = moves.select(F.col("component").alias("to"), F.col("to").alias("_on"))
-        moves = moves.join(onward, "to", "left").select("component", F.coalesce("_on", "to").alias("_to"))
-        labels = written(
-            labels.join(moves, "component", "left").select("node", F.coalesce("_to", "component").alias("component")),
-            "labels",
-        )
+        stars = written(_small_star(_large_star(stars)), "links")
+        # order does not matter to either sum; equal sums of two seeds end the rounds
+        now = stars.agg(
+            F.count(F.lit(1)), F.sum(F.xxhash64("node", "to").cast("decimal(38,0)")),
+            F.sum(F.xxhash64(F.lit(1), "node", "to").cast("decimal(38,0)")),
+        ).first()
+        if now == seen:
+            break
+        seen = now
+    nodes = ends.select("node").union(ends.select("to")).distinct()
+    return written(
+        nodes.join(stars.select("node", F.col("to").alias("component")), "node", "left")
+        .withColumn("component", F.coalesce("component", "node")),
+        "components",
+    )

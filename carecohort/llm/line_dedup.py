@@ -15,8 +15,6 @@ from carecohort.storage import written
 
 #: A line found on this many sites or more is removed everywhere.
 MIN_SITES = 4
-#: Shorter lines (after trimming) stay in the registered query, as its SQL says.
-MIN_CHARS = 10
 LG_K = 12
 _ERROR = 1.04 / 2 ** (LG_K / 2)
 
@@ -57,7 +55,7 @@ def remove_widespread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_cha
                             id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, text without widespread lines.
 
-    Lines are compared without outer blanks; lines under ``min_chars`` characters always
+    Lines are compared without outer blanks (tabs and carriage returns count as text); lines under ``min_chars`` characters always
     stay, by default blank ones only.  A null text stays null with no lines; a text that loses all lines is empty.  Rows
     without a site lose lines, but count for no line.  Repeated rows are treated alike; a null
     id is an id like any other.  Other columns are not read.
@@ -84,7 +82,7 @@ def remove_widespread_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_cha
 SQL = f"""
 WITH d AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT DISTINCT source, trim(unnest(lines), ' ') AS line FROM d WHERE source IS NOT NULL),
-w AS (SELECT line FROM l WHERE length(line) >= {MIN_CHARS} GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}),
+w AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}),
 x AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
 k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t, count(*) AS n FROM x WHERE trim(line, ' ') NOT IN (SELECT line FROM w) GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(lines) END AS n_lines, len(lines) - coalesce(n, 0) AS n_removed,

@@ -91,44 +91,9 @@ def _plan(spark: SparkSession, numerators: list[int], rows: list[int], block_row
     return written(spark.range(0, 1, 1, 1).mapInArrow(ordered, _PLAN), "mix_plan")
 
 
-def whole_weights(weights: Mapping, period: int) -> dict:
-    """Slots per period for each source: largest remainders, one at least.
-
-    Rounds; the mix itself uses :func:`whole_numerators`.
-    """
-    total = sum(weights.values())
-    share = {s: w / total * period for s, w in weights.items()}
-    slots = {s: max(1, int(x)) for s, x in share.items()}
-    by_rest = sorted(share, key=lambda s: (slots[s] - share[s], str(s)))
-    for i in range(max(0, period - sum(slots.values()))):
-        slots[by_rest[i % len(by_rest)]] += 1
-    while (over := sum(slots.values()) - period) > 0:
-        for s in sorted(slots, key=lambda s: (-slots[s], str(s)))[:over]:
-            slots[s] -= 1
-    return slots
-
-
-def one_period(slots: list[int]) -> list[tuple[int, int]]:
-    """(source, block) of each slot of a period, earliest deadline first."""
-    period = sum(slots)
-    released: list[list[tuple[int, int, int]]] = [[] for _ in range(period)]
-    for s, n in enumerate(slots):
-        for j in range(n):
-            released[j * period // n].append((-(-(j + 1) * period // n), s, j))
-    out, ready = [], []
-    for t in range(period):
-        for x in released[t]:
-            heapq.heappush(ready, x)
-        deadline, s, j = heapq.heappop(ready)
-        if deadline <= t:
-            raise AssertionError("a deadline was missed")
-        out.append((s, j))
-    return out
-
-
 def scheduled(docs: DataFrame, weights: Mapping | None = None, block_rows: int = BLOCK_ROWS,
               id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with ``_mix``: struct of block, release, deadline, slot and position in the mix.
+    """Rows as ``row``, a struct of all columns of ``docs``, and ``mix``: block, release, deadline, slot and position.
 
     Rows of a source are ordered by a hash of their id.  Sources that ``weights`` does not
     name are refused; without ``weights`` a source weighs its rows to the power 0.7.
@@ -150,13 +115,17 @@ def scheduled(docs: DataFrame, weights: Mapping | None = None, block_rows: int =
     kind = docs.schema[source_col].dataType.simpleString()
     # bounded by MAX_SOURCES
     shares = spark.createDataFrame([(s, i) for i, s in enumerate(names)], f"_name {kind}, _no int")
-    rows = docs.join(F.broadcast(shares), F.col(source_col).eqNullSafe(F.col("_name"))).drop("_name")
-    rows = rows.withColumn("_at", F.xxhash64(F.col(id_col)))
+    # the caller's columns travel in a struct, where no helper's name can clash with theirs
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("_source"),
+        F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col)).alias("_at"),
+    )
+    rows = rows.join(F.broadcast(shares), F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
     buckets = shuffle_partitions(spark)
     rows = rows.withColumn("_bucket", F.floor(F.shiftrightunsigned("_at", 1) / F.lit(2.0**63) * buckets))
     totals = rows.groupBy("_no", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = running_offsets(totals, ["_bucket"], "_n", "_before", ["_no"]).drop("_n")
-    inside = Window.partitionBy("_no", "_bucket").orderBy("_at", id_col)
+    inside = Window.partitionBy("_no", "_bucket").orderBy("_at", "_id")
     rows = rows.withColumn("_inside", F.row_number().over(inside) - 1).join(before, ["_no", "_bucket"])
     rows = rows.withColumn("_rank", F.col("_before") + F.col("_inside"))
     rows = rows.withColumn("_block", F.floor(F.col("_rank") / block_rows).cast("bigint"))
@@ -165,7 +134,7 @@ def scheduled(docs: DataFrame, weights: Mapping | None = None, block_rows: int =
         F.col("_block").alias("block"), F.col("_release").alias("release"), F.col("_deadline").alias("deadline"),
         F.col("_slot").alias("slot"), (F.col("_first") + F.col("_rank") % block_rows).alias("position"),
     )
-    return rows.select(*[F.col(c) for c in docs.columns], mix.alias("_mix"))
+    return rows.select("row", mix.alias("mix"))
 
 
 def mixed_positions(docs: DataFrame, weights: Mapping | None = None, block_rows: int = BLOCK_ROWS,
@@ -175,11 +144,11 @@ def mixed_positions(docs: DataFrame, weights: Mapping | None = None, block_rows:
     ``position`` numbers all rows from 0 in the order of the mix.  Slots of a source that has
     no rows left stay empty and the other sources move up.  A null source is a source of its
     own; null ids come in hash order like others; rows that repeat an id take their places
-    in any order.  An empty table gives no rows.  Other columns are not read.
+    in any order.  Blocks of equal deadline go by source name (null first), then by number.  An empty table gives no rows.  Other columns are not read.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"))
     rows = scheduled(named, weights, block_rows, "doc_id", "source")
-    return rows.select("doc_id", "source", "_mix.*")
+    return rows.select("row.*", "mix.*")
 
 
 def in_mixed_order(docs: DataFrame, weights: Mapping | None = None, block_rows: int = BLOCK_ROWS,
@@ -187,6 +156,6 @@ def in_mixed_order(docs: DataFrame, weights: Mapping | None = None, block_rows:
     """All rows of ``docs``, sorted in the order of the mix: written files follow it."""
     rows = scheduled(docs, weights, block_rows, id_col, source_col)
     return (
-        rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "_mix.position")
-        .sortWithinPartitions("_mix.position").drop("_mix")
+        rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "mix.position")
+        .sortWithinPartitions("mix.position").select("row.*")
     )

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carecohort.llm.common import free_name
 from carecohort.llm.components import connected_components
 from carecohort.llm.shingles import mix, shingle_sets
 from carecohort.storage import written
@@ -417,10 +418,11 @@ def one_of_each_group(docs: DataFrame, words: int = 5, share: int = 80, id_col:
     The row of the smallest doc_id stays; of rows that repeat its id and text, one.
     """
     found = near_duplicate_nodes(docs, words, share, id_col, text_col)
-    stay = found.where(F.col("node") == F.col("component")).select(F.col("node").alias("_near_dup_node")).distinct()
-    marked = docs.withColumn("_near_dup_node", _node(id_col, text_col))
-    kept = marked.join(stay, "_near_dup_node", "left_semi")
-    return kept.dropDuplicates(["_near_dup_node"]).drop("_near_dup_node")
+    name = free_name(docs, "_near_dup_node")
+    stay = found.where(F.col("node") == F.col("component")).select(F.col("node").alias(name)).distinct()
+    marked = docs.withColumn(name, _node(id_col, text_col))
+    kept = marked.join(stay, name, "left_semi")
+    return kept.dropDuplicates([name]).drop(name)
 
 
 SQL = r"""

@@ -40,31 +40,32 @@ def with_shards(docs: DataFrame, weights: Sequence[float], order: Sequence[Colum
 
     Slots follow ``order``, whose first column must split a shard's rows evenly (a file's
     number, say); without it, a hash of the id and the columns ``ties``, then these
-    themselves.  Columns of these names are replaced.
+    themselves.  Columns of these two names are replaced, all others stay as they are.
     """
+    by, tied = [f"_order{i}" for i in range(len(order))], [f"_tie{i}" for i in range(len(ties))]
+    # the caller's columns travel in a struct, where no helper's name can clash with theirs
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")])
     key = F.col(id_col).cast("bigint")
-    by = [f"_order{i}" for i in range(len(order))]
     rows = docs.select(
-        *[c for c in docs.columns if c not in ("shard", "slot")],
-        rendezvous_shard(key, weights).cast("int").alias("shard"),
-        *[o.alias(n) for o, n in zip(order, by, strict=True)],
+        whole.alias("_row"), key.alias("_key"), rendezvous_shard(key, weights).cast("int").alias("shard"),
+        *[o.alias(n) for o, n in zip(order, by, strict=True)], *[F.col(t).alias(n) for t, n in zip(ties, tied, strict=True)],
     )
     if order:
         bucket = F.col("_order0")
     else:
         by = ["_mixed"]
-        rows = rows.withColumn("_mixed", F.xxhash64(key, *ties, F.lit(1)))
+        rows = rows.withColumn("_mixed", F.xxhash64("_key", *tied, F.lit(1)))
         buckets = shuffle_partitions(docs.sparkSession)
         bucket = F.floor(F.shiftrightunsigned("_mixed", 1) / F.lit(2.0**63) * buckets)
     rows = rows.withColumn("_bucket", bucket)
     totals = rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = running_offsets(totals, ["_bucket"], "_n", "_before", ["shard"]).drop("_n")
-    inside = Window.partitionBy("shard", "_bucket").orderBy(*by, key, *ties)
+    inside = Window.partitionBy("shard", "_bucket").orderBy(*by, "_key", *tied)
     same = rows["shard"].eqNullSafe(before["shard"]) & rows["_bucket"].eqNullSafe(before["_bucket"])
     numbered = rows.withColumn("_inside", F.row_number().over(inside) - 1)
     joined = numbered.join(before, same).drop(before["shard"], before["_bucket"])
     slot = (F.col("_before") + F.col("_inside")).cast("bigint")
-    return joined.withColumn("slot", slot).drop("_bucket", "_before", "_inside", *by)
+    return joined.select("_row.*", "shard", slot.alias("slot"))
 
 
 def file_order(docs: DataFrame) -> list[Column]:

@@ -16,8 +16,10 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from carecohort.llm import decontaminate, fingerprint, language, licenses, line_dedup, mixing, near_dup, secrets, sharding, tokens
+from carecohort.llm import components
 from carecohort.llm.components import connected_components
 from carecohort.llm.queries import QUERIES, STATEMENTS
+from carecohort.storage import written
 from carecohort.llm.token_coder import BLOCK, decode_blocks, encode_blocks
 
 FOLDER = "/root/testdata/sf0.001"
@@ -370,6 +372,17 @@ def test_near_copies_of_an_absent_text(spark, monkeypatch, rows):
     assert {r.doc_id: r.component_id for r in got} == {i: root(i) for i in range(60)}
 
 
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(components, "written", lambda df, name: (rounds.append(name), written(df, name))[1])
+    order = np.random.default_rng(4).permutation(1000).tolist()
+    for names in (range(1001), [*order, 1000]):
+        rounds.clear()
+        links = [(int(names[i]), int(names[i + 1])) for i in range(1000)] + [(5000, 5000)]
+        got = dict(connected_components(spark.createDataFrame(links, "a int, b int").repartition(3)).collect())
+        assert got == {**dict.fromkeys(range(1001), 0), 5000: 5000} and rounds.count("links") <= 25
+
+
 def test_components(spark):
     links = [(i + 1, i) for i in range(40)] + [(100, 101), (103, 102), (101, 103)]
     got = dict(connected_components(spark.createDataFrame(links, "a int, b int")).collect())
@@ -380,12 +393,25 @@ def test_mix(spark, docs):
     rows = sorted(QUERIES["op9_pfair_mix"](spark, FOLDER).collect(), key=lambda r: r.position)
     assert [r.position for r in rows] == list(range(200))
     assert all(r.release <= r.slot < r.deadline for r in rows)
-    slots = mixing.whole_weights({"a": 5, "b": 3, "c": 1.7, "d": 1e-9}, 97)
-    plan = mixing.one_period([slots[s] for s in "abcd"])
-    assert sum(slots.values()) == 97 and min(slots.values()) == 1
-    for t in range(98):
-        done = Counter(s for s, _ in plan[:t])
-        assert all(abs(done[i] - t * slots[s] / 97) < 1 for i, s in enumerate("abcd"))
+    # the whole result against the schedule worked out slot by slot
+    sizes = Counter(r.source for r in docs.select("source").collect())
+    given = {s: Fraction(n**mixing.ALPHA) for s, n in sizes.items()}
+    share = {s: w / sum(given.values()) for s, w in given.items()}
+    left, expected, slot = {s: 0 for s in given}, [], 0
+    while any(16 * left[s] < sizes[s] for s in given):
+        ready = [s for s in given if 16 * left[s] < sizes[s] and math.floor(left[s] / share[s]) <= slot]
+        if ready:
+            s = min(ready, key=lambda s: (math.ceil((left[s] + 1) / share[s]), s is not None, s))
+            expected.append((s, left[s], slot))
+            left[s] += 1
+        slot += 1
+    seen = list(dict.fromkeys((r.source, r.block, r.slot) for r in rows))
+    assert seen == expected
+    # rows of a source follow one another in the order of their ids' hashes
+    docs = docs.withColumn("at", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
+    for s in sizes:
+        ids = [r.doc_id for r in docs.where(F.col("source").eqNullSafe(F.lit(s))).orderBy("at").collect()]
+        assert [r.doc_id for r in rows if r.source == s] == ids
 
 
 @pytest.mark.parametrize("weights", [None, {"a": 0.9, "b": 0.0999, "c": 0.0001}, {"a": 1e-9, "b": 3, "c": 2.5, "d": 1}])
@@ -433,6 +459,24 @@ def test_pipeline(spark, plain):
         assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
 
 
+HELPERS = (
+    "_bucket _at _inside _block _rank _no _before _name _mix _mixed _near_dup_node _row _order0 _n row mix _key _tie0 "
+    "_source _id _first _slot position _language _benchmark node component"
+).split()
+
+
+def test_stages_leave_all_columns_alone(spark, odd):
+    """A table that holds the name of every helper column, with values of its own."""
+    table = odd.select("doc_id", "text", "lang", "source", "n_chars").withColumns(
+        {c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) for c in HELPERS}
+    )
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, FOLDER)
+        assert out.columns[: len(table.columns)] == table.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}:{'null' if r.doc_id is None else r.doc_id}" for r in rows for c in HELPERS), name
+
+
 def test_stages_on_odd_rows(spark, odd):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, odd, FOLDER)
