@@ -1,8 +1,7 @@
 """Model-validation functions over any scored DataFrame, with columns by name.
 
 Each takes a DataFrame and column names and returns a DataFrame.  ``subject``
-names the column that identifies a row's patient.  Follow-up times are read to two
-decimals, which keeps the number of distinct times small.
+names the column that identifies a row's patient.  Follow-up times are taken as they are.
 """
 
 from __future__ import annotations

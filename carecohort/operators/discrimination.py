@@ -10,14 +10,15 @@ from .fits import fitted_direction
 from .ranking import bucket_edges, later_sums, running_sums
 
 
-def auc(rows: DataFrame) -> DataFrame:
+def auc(rows: DataFrame, edges: list[float] | None = None) -> DataFrame:
     """AUC with DeLong's 95 % interval per series.
 
     Equal risks count one half.  If the controls' median risk is above the cases',
     the ROC curve is read the other way round, so that the AUC refers to the
-    direction the medians suggest.
+    direction the medians suggest.  ``edges`` are cuts of the risk, worked out here if
+    not given.
     """
-    edges = bucket_edges(rows, ["risk"])[0]
+    edges = bucket_edges(rows, ["risk"])[0] if edges is None else edges
     cells = rows.groupBy(BY, "risk").agg(
         F.sum("outcome").alias("n1"), F.sum(1 - F.col("outcome")).alias("n0")
     )
@@ -62,7 +63,9 @@ def auc(rows: DataFrame) -> DataFrame:
     )
 
 
-def concordance(rows: DataFrame, as_fitted: bool = True) -> DataFrame:
+def concordance(
+    rows: DataFrame, as_fitted: bool = True, edges: tuple[list[float], list[float]] | None = None
+) -> DataFrame:
     """Harrell's c-index per series.
 
     A pair is usable when one member has an event and the other is followed
@@ -76,9 +79,10 @@ def concordance(rows: DataFrame, as_fitted: bool = True) -> DataFrame:
     cell is counted in its blocks and each event reads the blocks below it.  Inside
     a block, who is followed longer is counted over buckets of time first and then
     inside a bucket, so no task holds a whole block, whatever the times look like.
+    ``edges`` are cuts of risk and follow-up time, worked out here if not given.
     """
     rows = followed(rows)
-    edges, times = bucket_edges(rows, ["risk", "years"])
+    edges, times = edges or bucket_edges(rows, ["risk", "years"])
     cells = rows.groupBy(BY, "risk", "years").agg(
         F.count(F.lit(1)).alias("n"), F.sum("outcome").alias("d")
     )
@@ -114,7 +118,7 @@ def concordance(rows: DataFrame, as_fitted: bool = True) -> DataFrame:
     )
     concordant = F.col("below")
     if as_fitted:
-        counted = counted.join(fitted_direction(rows), [BY], "left")
+        counted = counted.join(fitted_direction(rows, times), [BY], "left")
         above = F.col("usable") - F.col("below") - F.col("tied")
         concordant = F.when(F.col("direction") < 0, above).otherwise(F.col("below"))
     return (

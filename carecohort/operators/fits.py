@@ -1,8 +1,8 @@
 """Calibration fits by Newton's method: logistic regression and Cox regression.
 
-Each iteration is one distributed aggregation over the evaluation rows; only a
-handful of sums per series come back to the driver, which updates one or two
-coefficients per series.
+The fits of all series and of both kinds advance together: a step is one distributed
+job over their evaluation rows, of which only a handful of sums per fit come back to
+the driver.  Fits that are done take no further part.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import digamma_step, log_gamma_step, trigamma_step
+from ..sources.extracts import stacked
 from .evaluation import BY, Z95, followed, with_predictor
 from .ranking import bucket_edges, later_sums
 
@@ -38,8 +39,8 @@ def _with_series_values(rows: DataFrame, **values: dict[str, float]) -> DataFram
 def _newton(evaluate, start: dict) -> dict:
     """Maximise one small concave likelihood per key; damped Newton steps.
 
-    ``evaluate(points)`` runs one distributed aggregation and returns, per key, the
-    log-likelihood, score and information at the key's point.  A step that lowers
+    ``evaluate(points)`` runs one distributed aggregation over the keys not yet done and
+    returns, per key, the log-likelihood, score and information at the key's point.  A step that lowers
     the likelihood is halved.  Steps go on until they are shorter than the tolerance.
     A key has no finite estimate if its information is singular, or if its steps keep
     their length while the likelihood gains nothing (separated outcomes).  Every other
@@ -48,7 +49,7 @@ def _newton(evaluate, start: dict) -> dict:
     """
     point, kept, done = dict(start), {}, {}
     while len(done) < len(start):
-        found = evaluate(point)
+        found = evaluate({k: p for k, p in point.items() if k not in done})
         for key in [k for k in start if k not in done]:
             if key not in found:
                 done[key] = None
@@ -90,53 +91,70 @@ def _wald(fit, position: int) -> tuple:
     return (value, value - Z95 * se, value + Z95 * se)
 
 
-def logistic_calibration(rows: DataFrame) -> DataFrame:
-    """Calibration intercept (slope fixed at 1) and slope, with Wald intervals, per series."""
-    rows = with_predictor(rows)
-    start, centre = {}, {}
-    for r in rows.groupBy(BY).agg(F.avg("outcome").alias("y"), F.avg("lp").alias("x")).collect():
-        centre[r[BY]] = r["x"]
-        if 0 < r["y"] < 1:
+def calibrations(
+    logistic: DataFrame | None, cox: DataFrame | None, edges: list[float] | None = None
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Logistic and Cox calibration of two sets of rows, their fits advanced together.
+
+    One job finds where the fits start, then each Newton step is one job for all of
+    them.  ``edges`` are cuts of the follow-up times, worked out here if not given.
+    Frames are as :func:`logistic_calibration` and :func:`cox_calibration` give them.
+    """
+    binary = None if logistic is None else with_predictor(logistic)
+    survival = None if cox is None else with_predictor(followed(cox))
+    kinds = {"logistic": binary, "cox": survival}
+    summaries = [
+        rows.groupBy(BY).agg(F.avg("outcome").alias("y"), F.avg("lp").alias("x")).withColumn("kind", F.lit(kind))
+        for kind, rows in kinds.items() if rows is not None
+    ]
+    centre, start = {kind: {} for kind in kinds}, {}
+    for r in stacked(summaries).collect():  # one row per series
+        centre[r["kind"]][r[BY]] = r["x"]
+        if r["kind"] == "cox":
+            start[r[BY], "cox"] = np.zeros(1)
+        elif 0 < r["y"] < 1:
             start[r[BY], "fixed"] = np.zeros(1)
             start[r[BY], "free"] = np.array([math.log(r["y"] / (1 - r["y"])), 0.0])
-    y, x = F.col("outcome"), F.col("lp") - F.col("centre")  # centring leaves the slope alone
-    eta = {"fixed": F.col("shift") + F.col("lp"), "free": F.col("a") + F.col("b") * x}
+    if centre["cox"] and edges is None:
+        edges = bucket_edges(survival, ["years"])[0]
 
     def evaluate(point):
-        def values(kind, i):
-            return {s: v[i] for (s, k), v in point.items() if k == kind}
-
-        frame = _with_series_values(
-            rows, centre=centre, shift=values("fixed", 0), a=values("free", 0), b=values("free", 1)
-        ).select(BY, y.alias("y"), x.alias("x"), *[e.alias(f"eta_{k}") for k, e in eta.items()])
+        at = {kind: {s: v for (s, k), v in point.items() if k == kind} for kind in ("fixed", "free", "cox")}
         sums = []
-        for k in eta:
-            e = F.col(f"eta_{k}")
-            p = 1 / (1 + F.exp(-e))
-            softplus = F.greatest(e, F.lit(0.0)) + F.log1p(F.exp(-F.abs(e)))
-            sums += [
-                F.sum(F.col("y") * e - softplus).alias(f"{k}_l"),
-                F.sum(F.col("y") - p).alias(f"{k}_u0"),
-                F.sum((F.col("y") - p) * F.col("x")).alias(f"{k}_u1"),
-                F.sum(p * (1 - p)).alias(f"{k}_i0"),
-                F.sum(p * (1 - p) * F.col("x")).alias(f"{k}_i1"),
-                F.sum(p * (1 - p) * F.col("x") * F.col("x")).alias(f"{k}_i2"),
-            ]
+        if at["fixed"] or at["free"]:
+            sums.append(_logistic_sums(binary, centre["logistic"], at["fixed"], at["free"]))
+        if at["cox"]:
+            sums.append(_cox_sums(survival, centre["cox"], at["cox"], edges))
         out = {}
-        for r in frame.groupBy(BY).agg(*sums).collect():  # one row per series
-            s = r[BY]
-            if (s, "fixed") in point:
-                out[s, "fixed"] = (r["fixed_l"], np.array([r["fixed_u0"]]), np.array([[r["fixed_i0"]]]))
-                info = np.array([[r["free_i0"], r["free_i1"]], [r["free_i1"], r["free_i2"]]])
-                out[s, "free"] = (r["free_l"], np.array([r["free_u0"], r["free_u1"]]), info)
+        for r in stacked(sums).collect():  # one row per fit
+            key = (r[BY], r["kind"])
+            if r["kind"] == "free":
+                score, info = [r["u0"], r["u1"]], [[r["i0"], r["i1"]], [r["i1"], r["i2"]]]
+            else:
+                score, info = [r["u0"]], [[r["i0"]]]
+            if key in point:
+                out[key] = (r["loglik"], np.array(score), np.array(info))
         return out
 
-    fits = _newton(evaluate, start) if start else {}
-    return rows.sparkSession.createDataFrame(
-        [(s, *_wald(fits.get((s, "fixed")), 0), *_wald(fits.get((s, "free")), 1)) for s in centre],
-        f"{BY} string, intercept double, intercept_low double, intercept_high double, "
-        "slope double, slope_low double, slope_high double",
-    )
+    fits = _newton(evaluate, start)
+    shapes = {"logistic": (("fixed", 0, "intercept"), ("free", 1, "slope")), "cox": (("cox", 0, "slope"),)}
+
+    def frame(kind):
+        rows, parts = kinds[kind], shapes[kind]
+        if rows is None:
+            return None
+        schema = ", ".join(f"{name}{end} double" for *_, name in parts for end in ("", "_low", "_high"))
+        return rows.sparkSession.createDataFrame(
+            [(s, *[v for k, i, _ in parts for v in _wald(fits.get((s, k)), i)]) for s in centre[kind]],
+            f"{BY} string, {schema}",
+        )
+
+    return frame("logistic"), frame("cox")
+
+
+def logistic_calibration(rows: DataFrame) -> DataFrame:
+    """Calibration intercept (slope fixed at 1) and slope, with Wald intervals, per series."""
+    return calibrations(rows, None)[0]
 
 
 def cox_calibration(rows: DataFrame) -> DataFrame:
@@ -145,31 +163,46 @@ def cox_calibration(rows: DataFrame) -> DataFrame:
     Rows are reduced to one row per series and follow-up time, where risk-set sums
     are totals of later times and tied events enter in closed form.
     """
-    rows = with_predictor(followed(rows))
-    centre = {r[BY]: r["m"] for r in rows.groupBy(BY).agg(F.avg("lp").alias("m")).collect()}
-    start = {s: np.zeros(1) for s in centre}
-    edges = bucket_edges(rows, ["years"])[0]
+    return calibrations(None, rows)[1]
 
-    def evaluate(point):
-        placed = _with_series_values(
-            rows, centre=centre, beta={s: v[0] for s, v in point.items()}
-        ).select(BY, "years", "outcome", "beta", (F.col("lp") - F.col("centre")).alias("x"))
-        return {
-            r[BY]: (r["loglik"], np.array([r["score"]]), np.array([[r["info"]]]))
-            for r in _efron_sums(placed, edges).collect()  # one row per series
-        }
 
-    fits = _newton(evaluate, start) if start else {}
-    return _cox_frame(rows, [(s, *_wald(fits.get(s), 0)) for s in centre])
+def _logistic_sums(rows: DataFrame, centre: dict, fixed: dict, free: dict) -> DataFrame:
+    """Log-likelihood, score and information of both logistic fits, one row per fit."""
+    y, x = F.col("outcome"), F.col("lp") - F.col("centre")  # centring leaves the slope alone
+    wanted = {s: centre[s] for s in {*fixed, *free}}
+    frame = _with_series_values(
+        rows, centre=wanted, shift={s: v[0] for s, v in fixed.items()},
+        a={s: v[0] for s, v in free.items()}, b={s: v[1] for s, v in free.items()},
+    ).select(
+        BY, y.alias("y"), x.alias("x"), (F.col("shift") + F.col("lp")).alias("eta_fixed"),
+        (F.col("a") + F.col("b") * x).alias("eta_free"),
+    )
+    sums, fits = [], []
+    for kind in ("fixed", "free"):
+        eta, y, x = F.col(f"eta_{kind}"), F.col("y"), F.col("x")
+        p = 1 / (1 + F.exp(-eta))
+        softplus = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
+        terms = {
+            "loglik": y * eta - softplus, "u0": y - p, "u1": (y - p) * x,
+            "i0": p * (1 - p), "i1": p * (1 - p) * x, "i2": p * (1 - p) * x * x,
+        }
+        sums += [F.sum(term).alias(f"{kind}_{name}") for name, term in terms.items()]
+        fits.append(F.struct(F.lit(kind).alias("kind"), *[F.col(f"{kind}_{name}").alias(name) for name in terms]))
+    return frame.groupBy(BY).agg(*sums).select(BY, F.inline(F.array(*fits)))
 
 
-def _cox_frame(rows: DataFrame, values) -> DataFrame:
-    return rows.sparkSession.createDataFrame(
-        values, f"{BY} string, slope double, slope_low double, slope_high double"
+def _cox_sums(rows: DataFrame, centre: dict, point: dict, edges: list[float]) -> DataFrame:
+    """Log-likelihood, score and information of the Cox fits, one row per fit."""
+    placed = _with_series_values(
+        rows, centre={s: centre[s] for s in point}, beta={s: v[0] for s, v in point.items()}
+    ).select(BY, "years", "outcome", "beta", (F.col("lp") - F.col("centre")).alias("x"))
+    return _efron_sums(placed, edges).select(
+        BY, F.lit("cox").alias("kind"), "loglik", F.col("score").alias("u0"), F.col("info").alias("i0"),
+        *[F.lit(None).cast("double").alias(name) for name in ("u1", "i1", "i2")],  # one coefficient only
     )
 
 
-def fitted_direction(rows: DataFrame) -> DataFrame:
+def fitted_direction(rows: DataFrame, edges: list[float] | None = None) -> DataFrame:
     """Sign of the Cox coefficient the risk itself would get, per series.
 
     The partial likelihood is concave, so the sign is that of its slope at zero:
@@ -177,7 +210,8 @@ def fitted_direction(rows: DataFrame) -> DataFrame:
     """
     rows = followed(rows)
     points = rows.select(BY, "years", "outcome", F.lit(0.0).alias("beta"), F.col("risk").alias("x"))
-    return _efron_sums(points, bucket_edges(rows, ["years"])[0]).select(
+    edges = bucket_edges(rows, ["years"])[0] if edges is None else edges
+    return _efron_sums(points, edges).select(
         BY, F.signum("score").alias("direction")
     )
 

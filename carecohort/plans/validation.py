@@ -11,6 +11,7 @@ from ..functions.numeric import number_text, significant, with_interval
 from ..operators import calibration, discrimination, fits, netbenefit, tableone
 from ..operators.dropin import statin_drop_in
 from ..operators.evaluation import BY, misclassified, rows_for
+from ..operators.ranking import bucket_edges
 from ..sources.extracts import stacked
 from ..storage import written
 from .cohort import CohortBuild
@@ -67,7 +68,7 @@ class Validation:
 
     def metrics(self) -> DataFrame:
         """(series, Metric, Value) of all four models."""
-        return survival_metrics(self.survival_rows).unionByName(binary_metrics(self.binary_rows))
+        return report_metrics(self.survival_rows, self.binary_rows)
 
     def metrics_wide(self) -> DataFrame:
         """One row per metric, one column per model; a metric a model lacks is NULL."""
@@ -79,9 +80,9 @@ class Validation:
 
     def sensitivity(self, seed: int = 0) -> DataFrame:
         """Metrics after counting 0.5 % and 1 % of the non-cases as cases."""
-        survival = written(misclassified(self.survival_rows, SHARES, seed), "survival_flipped")
-        binary = written(misclassified(self.binary_rows, SHARES, seed), "binary_flipped")
-        rows = survival_metrics(survival).unionByName(binary_metrics(binary))
+        flipped = written(misclassified(stacked([self.survival_rows, self.binary_rows]), SHARES, seed), "flipped")
+        survival = F.substring_index(BY, "|", 1).isin(PCE_5YR, PCE_10YR)
+        rows = report_metrics(flipped.where(survival), flipped.where(~survival))
         part = F.split(F.col(BY), r"\|")
         return rows.select(
             part[0].alias("Model"), part[1].cast("double").alias("Misclassification"), "Metric", "Value"
@@ -164,25 +165,42 @@ def _interval(name: str) -> Column:
     return with_interval(*[significant(F.col(c), 2) for c in (name, f"{name}_low", f"{name}_high")])
 
 
+def report_metrics(survival: DataFrame | None, binary: DataFrame | None) -> DataFrame:
+    """(series, Metric, Value) as report text, of survival models and of binary ones.
+
+    All series share one pass for the cuts of risks and times and one job per step of
+    the fits.  Binary models get AUC, cases, calibration-in-the-large, intercept and
+    slope; survival models c-index, cases, calibration-in-the-large and Cox slope.
+    """
+    given = [rows for rows in (survival, binary) if rows is not None]
+    risks, times = bucket_edges(stacked(given), ["risk", "years"])
+    logistic, cox = fits.calibrations(binary, survival, times)
+    reports = []
+    if survival is not None:
+        frame = (
+            calibration.expected_observed(survival)
+            .join(discrimination.concordance(survival, edges=(risks, times)), [BY]).join(cox, [BY])
+        )
+        reports.append(_metric_rows(frame, {
+            "Harrell's c-index": number_text(significant(F.col("cindex"), 3)), **_case_values(),
+            "Slope": _interval("slope"),
+        }))
+    if binary is not None:
+        frame = (
+            calibration.expected_observed(binary).join(discrimination.auc(binary, risks), [BY]).join(logistic, [BY])
+        )
+        reports.append(_metric_rows(frame, {
+            "AUC": _interval("auc"), **_case_values(),
+            "Intercept": _interval("intercept"), "Slope": _interval("slope"),
+        }))
+    return stacked(reports)
+
+
 def binary_metrics(rows: DataFrame) -> DataFrame:
     """AUC, cases, calibration-in-the-large, intercept and slope as report text."""
-    frame = (
-        calibration.expected_observed(rows)
-        .join(discrimination.auc(rows), [BY]).join(fits.logistic_calibration(rows), [BY])
-    )
-    return _metric_rows(frame, {
-        "AUC": _interval("auc"), **_case_values(),
-        "Intercept": _interval("intercept"), "Slope": _interval("slope"),
-    })
+    return report_metrics(None, rows)
 
 
 def survival_metrics(rows: DataFrame) -> DataFrame:
     """c-index, cases, calibration-in-the-large and Cox slope as report text."""
-    frame = (
-        calibration.expected_observed(rows)
-        .join(discrimination.concordance(rows), [BY]).join(fits.cox_calibration(rows), [BY])
-    )
-    return _metric_rows(frame, {
-        "Harrell's c-index": number_text(significant(F.col("cindex"), 3)), **_case_values(),
-        "Slope": _interval("slope"),
-    })
+    return report_metrics(rows, None)

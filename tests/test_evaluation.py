@@ -211,6 +211,33 @@ def test_fits_may_take_many_steps():
     assert len(calls) > 40 and fit[0][0] == pytest.approx(300, abs=1e-6)
 
 
+def test_fits_advance_together(spark, frame, monkeypatch):
+    """Both kinds at once: the estimates of separate runs, in as many jobs as the longest fit takes."""
+    asked, newton = [], fits._newton
+
+    def counted(evaluate, start):
+        asked.append([])
+        return newton(lambda points: (asked[-1].append(set(points)), evaluate(points))[1], start)
+
+    monkeypatch.setattr(fits, "_newton", counted)
+    # one series that has no fit beside those that do
+    single = spark.createDataFrame([("alone", i, 1, 0.3, 0.1 * i, 1.0 + i) for i in range(9)], SCHEMA)
+    logistic_rows, cox_rows = frame.unionByName(single), frame.where(F.col(BY) == "m1")
+    together = fits.calibrations(logistic_rows, cox_rows)
+    apart = fits.logistic_calibration(logistic_rows), fits.cox_calibration(cox_rows)
+    for a, b in zip(together, apart, strict=True):
+        assert a.columns == b.columns
+        a, b = ({r[BY]: r for r in f.collect()} for f in (a, b))
+        assert set(a) == set(b)
+        for s in a:
+            for x, y in zip(a[s][1:], b[s][1:], strict=True):
+                assert (x is None) == (y is None) and (x is None or x == pytest.approx(y, rel=1e-9, abs=1e-12))
+    steps = [len(calls) for calls in asked]
+    assert steps[0] == max(steps[1:])
+    # a fit that is done takes no further part
+    assert all(later <= earlier for calls in asked for earlier, later in zip(calls, calls[1:]))
+
+
 def test_cardinal_splines(spark):
     knots = np.array([0.0, 0.03, 0.1, 0.35, 0.4, 0.9])
     assert np.allclose(smoothing.basis(knots, knots), np.eye(6), atol=1e-12)
