@@ -191,13 +191,18 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _sql() -> str:
     cases = " ".join(f"WHEN regexp_full_match(s, '{p}') THEN '{n}'" for n, p in SENTENCES.items())
+    # RE2 looks ahead at nothing: what follows a sign is captured and put back
+    split = r"regexp_replace(t, '(?m)^[ \t]*[;!]+(\s)', '\1', 'g')"
+    for a, sign, b in _INSIDE:
+        before, after = a.replace(" ", _GAP), b.replace(" ", _GAP)
+        split = rf"regexp_replace({split}, '(\b{before}){sign}({_GAP}{after})', '\1 \2', 'g')"
     run = "coalesce(string_agg('<' || id || '>', '' ORDER BY i), '')"
     for name, rule in RULES:
         run = f"replace({run}, '{''.join(map(_marker, rule))}', '{_marker('@' + name)}')"
     return rf"""
 WITH m AS (
   SELECT doc_id, regexp_replace(lower(coalesce(text, '')), 'spdx-license-identifier: ([a-z0-9.\-]+)[ \t]*(\n|$)', ' . spdx license identifier \1 . ', 'g') AS t FROM documents),
-s AS (SELECT doc_id, regexp_split_to_array(t, '[.!?;:]+\s+|\n\s*\n') AS parts FROM m),
+s AS (SELECT doc_id, regexp_split_to_array({split}, '{_END}') AS parts FROM m),
 x AS (SELECT doc_id, unnest(parts) AS raw, unnest(range(len(parts))) AS i FROM s),
 y AS (SELECT doc_id, i, trim(regexp_replace(raw, '[^a-z0-9]+', ' ', 'g')) AS s FROM x WHERE regexp_matches(raw, '{"|".join(MENTIONS)}')),
 k AS (SELECT doc_id, i, CASE {cases} END AS id FROM y),

@@ -240,6 +240,17 @@ def test_canonical_notices(spark, sign):
     assert [(r.licenses, r.sentences, r.unmatched) for r in sorted(got)] == [(name, ids, "") for _, name, ids in NOTICES]
 
 
+@pytest.mark.parametrize("sign", ["", " * ", "# ", "// ", "-- ", ";; "])
+def test_canonical_notices_through_the_sql(sign):
+    texts = ["\n".join((sign + line).rstrip() for line in text.split("\n")) for text, _, _ in NOTICES]
+    texts = [f"/*\n{t}\n */\nint x;" if sign == " * " else t for t in texts]
+    with duckdb.connect() as connection:
+        connection.execute("create table documents (doc_id int, text varchar)")
+        connection.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+        got = connection.execute(f"select doc_id, licenses, sentences, unmatched from ({licenses.SQL}) order by doc_id").fetchall()
+    assert [r[1:] for r in got] == [(name, ids, "") for _, name, ids in NOTICES]
+
+
 def test_short_lines_spread_too(spark):
     rows = [(i, f"Menu\n\n \nbody {i}", f"site{i % 5}") for i in range(10)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
@@ -277,6 +288,36 @@ def test_wide_secret_candidates(spark):
         assert text[r.start + len(r.candidate) :].startswith(r.after)
 
 
+def test_very_many_candidates_of_one_text(spark):
+    """Places of 3,000 candidates of one text, whose lengths are added up in runs."""
+    secret = lambda i: f"{hashlib.md5(str(i).encode()).hexdigest()[: 16 + i % 7]}"
+    text = " ".join(f"\U0001f600 w{i} {secret(i)}" for i in range(3000))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text[:90])], "doc_id int, text string")
+    got = Counter(tuple(r) for r in secrets.candidates(docs, path_col=None).select("doc_id", "start", "candidate").collect())
+    wanted, at = Counter(), 0
+    for i in range(3000):
+        at = text.index(secret(i), at)
+        wanted[1, at, secret(i)] += 2
+        at += len(secret(i))
+    assert {k: n for k, n in got.items() if k[0] == 1} == wanted
+
+
+def test_files_of_findings_hold_no_secrets(spark, docs, monkeypatch):
+    kept, written = [], secrets.written
+
+    def noted(df, name, *rest):
+        out = written(df, name, *rest)
+        kept.append(out)
+        return out
+
+    monkeypatch.setattr(secrets, "written", noted)
+    rows = docs.select("doc_id", "text", "source").limit(50).unionByName(
+        spark.createDataFrame([(-1, 'password = "hunter2x!"', "x")], "doc_id bigint, text string, source string"))
+    secrets.scan_secrets(rows).collect()
+    assert [len(k.columns) for k in kept] and all(not {"candidate", "before", "after"} & set(k.columns) for k in kept)
+    assert not any("hunter2x!" in str(v) for k in kept for r in k.collect() for v in r)
+
+
 def test_short_passwords_are_secrets(spark, docs):
     more = spark.createDataFrame([(-1, 'password = "hunter2x!"'), (-2, "pwd: Tr0ub4dor&3"), (-3, "api_key='abq123def456'"),
                                   (-4, "secret = QwZxKjVbPmRtYlHg")], "doc_id bigint, text string")
