@@ -23,6 +23,8 @@ MIN_LENGTH = 16
 TRAIN_FINDINGS = 20_000
 TREES, DEPTH = 20, 6
 SEED = 7
+#: Parts of a text whose lengths are added up one by one.
+RUN = 256
 
 # Words that name secrets, words that name other long strings, words of code and prose.
 SECRET_WORDS = "token|secret|passw(?:or)?d|passwd|pwd|api_?key|access_?key|auth|bearer|credential|private"
@@ -70,15 +72,25 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), path.alias("path"), F.split(marked, _OPEN).alias("_parts"))
     rows = rows.where(F.size("_parts") > 1)
-    # running lengths: characters of the text before each part, without the closing marks
-    starts = F.aggregate(
-        "_parts", F.array(F.lit(0).cast("bigint")),
-        lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(F.replace(p, F.lit(_CLOSE), F.lit("")))),
+    # characters of the text before each part: whole runs of parts first, then inside a run, so
+    # that the work stays near linear in the parts of a text
+    sizes = F.transform("_parts", lambda p: F.length(F.replace(p, F.lit(_CLOSE), F.lit(""))).cast("bigint"))
+    add = lambda total, n: total + n
+    runs = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_parts") - 1) / RUN).cast("int")),
+        lambda k: F.aggregate(F.slice("_sizes", k * RUN + 1, RUN), F.lit(0).cast("bigint"), add),
     )
-    found = rows.withColumn("_starts", starts).select(
-        "doc_id", "path", "_parts", "_starts", F.explode(F.sequence(F.lit(1), F.size("_parts") - 1)).alias("_i"))
+    run_starts = F.aggregate(
+        runs, F.array(F.lit(0).cast("bigint")), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n)
+    )
+    found = rows.withColumn("_sizes", sizes).withColumn("_run_starts", run_starts).select(
+        "doc_id", "path", "_parts", "_sizes", "_run_starts",
+        F.explode(F.sequence(F.lit(1), F.size("_parts") - 1)).alias("_i"))
+    run = F.floor(F.col("_i") / RUN).cast("int")
+    inside = F.slice("_sizes", run * RUN + 1, F.col("_i") % RUN)
     found = found.select(
-        "doc_id", "path", F.get("_starts", F.col("_i")).alias("start"),
+        "doc_id", "path",
+        F.aggregate(inside, F.get("_run_starts", run), add).alias("start"),
         F.split(F.get("_parts", F.col("_i")), _CLOSE).alias("_part"),
         F.right(F.replace(F.get("_parts", F.col("_i") - 1), F.lit(_CLOSE), F.lit("")), F.lit(40)).alias("before"),
     )
@@ -129,13 +141,21 @@ def settled_label() -> Column:
         plain | (F.col("other_word") == 1), 0.0)
 
 
+def without_text(found: DataFrame, *labels: Column) -> DataFrame:
+    """Position, length, hash and features of findings, and ``labels``; the findings' own text stays out."""
+    return found.select(
+        "doc_id", "start", F.length("candidate").cast("bigint").alias("n_chars"),
+        F.sha2(F.col("candidate").cast("binary"), 256).alias("secret_sha256"),
+        F.xxhash64("candidate", "before", "doc_id", "start").alias("_at"), *FEATURES, *labels,
+    )
+
+
 def train_filter(findings: DataFrame, label: str = "label", bound: int = TRAIN_FINDINGS):
-    """Forest from labelled findings with features; the share of label 1 if there is only one label.
+    """Forest from labelled findings as :func:`without_text` gives them; the share of label 1 if there is only one label.
 
     At most ``bound`` findings are used: those with the smallest hash of candidate and context.
     """
-    labelled = findings.where(F.col(label).isNotNull()).select(*FEATURES, F.col(label).cast("double").alias("label"),
-                                                              F.xxhash64("candidate", "before", "doc_id", "start").alias("_at"))
+    labelled = findings.where(F.col(label).isNotNull()).select(*FEATURES, F.col(label).cast("double").alias("label"), "_at")
     sample = labelled.orderBy("_at", "label", *FEATURES).limit(bound)
     sample = written(sample.coalesce(1), "labelled_findings")
     counts = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}  # two rows
@@ -162,14 +182,14 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, id_col: str
     ``labelled`` holds findings as :func:`candidates` gives them, with ``label`` 1 or 0; without
     it the forest learns from findings that :func:`settled_label` settles.  Null and empty texts
     have no candidates; without any candidate there are no rows.  Repeated rows have findings of
-    their own.  A null path is no test path.  Other columns are not read.
+    their own.  A null path is no test path.  Other columns are not read.  Very long texts are
+    scanned whole.  No file holds the candidates themselves, only their hashes.
     """
     found = with_features(candidates(docs, id_col, text_col, path_col))
-    found = written(found, "findings")
-    train = with_features(labelled) if labelled is not None else found.withColumn("label", settled_label())
+    found = written(without_text(found, settled_label().alias("label")), "findings")
+    train = found if labelled is None else without_text(with_features(labelled), F.col("label"))
     scored = score_findings(found, train_filter(train))
     return scored.select(
-        "doc_id", "start", F.length("candidate").cast("bigint").alias("length"),
-        F.sha2(F.col("candidate").cast("binary"), 256).alias("secret_sha256"),
+        "doc_id", "start", F.col("n_chars").alias("length"), "secret_sha256",
         "score", (F.col("score") >= threshold).alias("secret"),
     )
