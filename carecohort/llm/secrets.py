@@ -72,25 +72,23 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), path.alias("path"), F.split(marked, _OPEN).alias("_parts"))
     rows = rows.where(F.size("_parts") > 1)
-    # characters of the text before each part: whole runs of parts first, then inside a run, so
-    # that the work stays near linear in the parts of a text
+    # characters of the text before each part: those before its run of parts, and those inside
+    # the run.  The work stays near linear in the parts of a text.  After explode() only look-ups
+    # follow: higher-order functions there would have the arrays copied for every part.
     sizes = F.transform("_parts", lambda p: F.length(F.replace(p, F.lit(_CLOSE), F.lit(""))).cast("bigint"))
-    add = lambda total, n: total + n
-    runs = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("_parts") - 1) / RUN).cast("int")),
-        lambda k: F.aggregate(F.slice("_sizes", k * RUN + 1, RUN), F.lit(0).cast("bigint"), add),
-    )
+    numbers = F.sequence(F.lit(0), F.floor((F.size("_parts") - 1) / RUN).cast("int"))
+    append_sum = lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n)
+    zero, zeros = F.lit(0).cast("bigint"), F.array(F.lit(0).cast("bigint"))
+    run = lambda k: F.slice("_sizes", k * RUN + 1, RUN)
     run_starts = F.aggregate(
-        runs, F.array(F.lit(0).cast("bigint")), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n)
-    )
-    found = rows.withColumn("_sizes", sizes).withColumn("_run_starts", run_starts).select(
-        "doc_id", "path", "_parts", "_sizes", "_run_starts",
-        F.explode(F.sequence(F.lit(1), F.size("_parts") - 1)).alias("_i"))
-    run = F.floor(F.col("_i") / RUN).cast("int")
-    inside = F.slice("_sizes", run * RUN + 1, F.col("_i") % RUN)
+        F.transform(numbers, lambda k: F.aggregate(run(k), zero, lambda total, n: total + n)), zeros, append_sum)
+    inside = F.flatten(F.transform(numbers, lambda k: F.slice(F.aggregate(run(k), zeros, append_sum), 1, RUN)))
+    found = rows.withColumn("_sizes", sizes).select(
+        "doc_id", "path", "_parts", run_starts.alias("_run_starts"), inside.alias("_inside"))
+    found = found.select("*", F.explode(F.sequence(F.lit(1), F.size("_parts") - 1)).alias("_i"))
     found = found.select(
         "doc_id", "path",
-        F.aggregate(inside, F.get("_run_starts", run), add).alias("start"),
+        (F.get("_run_starts", F.floor(F.col("_i") / RUN).cast("int")) + F.get("_inside", F.col("_i"))).alias("start"),
         F.split(F.get("_parts", F.col("_i")), _CLOSE).alias("_part"),
         F.right(F.replace(F.get("_parts", F.col("_i") - 1), F.lit(_CLOSE), F.lit("")), F.lit(40)).alias("before"),
     )
