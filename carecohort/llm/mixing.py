@@ -4,17 +4,26 @@ Rows of a source form blocks.  Block ``j`` of a source with weight ``w`` may sta
 ``floor(j / w)`` and must be done by ``ceil((j + 1) / w)``; each slot goes to the released
 block with the earliest deadline.  At any slot every source that still has rows is less
 than one block away from its share.  Weights are exact ratios of whole numbers, nothing is
-rounded; a source without rows left takes no slots.  Each slot depends on those before, so
-one task works the order out, block by block, with one entry per source in memory.
+rounded; a source without rows left takes no slots.
+
+The slots are cut into windows of about ``WINDOW_BLOCKS`` blocks, which tasks work out side
+by side.  A window begins from the blocks that are likely done at its first slot: all whose
+deadline has passed and, of those under way, as many with the earliest deadlines as the
+sources' shares add up to; from there no deadline is missed.  Windows that begin otherwise
+than the one before them ended are worked out anew from that end, until all fit: then the
+order is the one that a single pass over all slots gives.  Two orders that differ at some
+slot are alike again once the blocks they differ in are done, so few windows are repeated.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,9 +31,9 @@ from pyspark.sql import functions as F
 from carecohort.llm.common import running_offsets, shuffle_partitions
 from carecohort.storage import written
 
-#: Rows per block; blocks handed on at a time.
+#: Rows per block; blocks released in a window.
 BLOCK_ROWS = 16
-BATCH = 65_536
+WINDOW_BLOCKS = 16_384
 #: Sources beyond this number are refused; they are listed on the driver.
 MAX_SOURCES = 100_000
 #: Default weights: rows of a source to this power.
@@ -40,59 +49,141 @@ def whole_numerators(weights: Mapping) -> dict:
     return {s: w // common for s, w in whole.items()}
 
 
-def block_order(numerators: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(source, block, release, deadline, slot) of all blocks, earliest deadline first.
-
-    A source's share is its numerator over the sum of all.
-    """
-    total = sum(numerators)
-    waiting = [(0, i, 0) for i, n in enumerate(blocks) if n]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int, int]] = []
-    slot = 0
-    while waiting or ready:
-        if not ready:
-            slot = max(slot, waiting[0][0])
-        while waiting and waiting[0][0] <= slot:
-            release, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * total // numerators[i]), i, j, release))
-        deadline, i, j, release = heapq.heappop(ready)
-        if deadline <= slot:
-            raise AssertionError("a deadline was missed")
-        yield i, j, release, deadline, slot
-        if j + 1 < blocks[i]:
-            heapq.heappush(waiting, ((j + 1) * total // numerators[i], i, j + 1))
-        slot += 1
-
-
+class Schedule:
+    """Earliest deadline first over any window of slots.  A source's share is its numerator over the sum of all."""
+
+    def __init__(self, numerators: list[int], blocks: list[int]):
+        self.numerators, self.blocks, self.total = numerators, blocks, sum(numerators)
+        #: All deadlines have passed then.
+        self.end = max((self.deadline(i, n - 1) for i, n in enumerate(blocks) if n), default=0)
+
+    def release(self, i: int, j: int) -> int:
+        return j * self.total // self.numerators[i]
+
+    def deadline(self, i: int, j: int) -> int:
+        return -(-(j + 1) * self.total // self.numerators[i])
+
+    def due(self, slot: int) -> list[int]:
+        """Blocks of each source that must be done before ``slot``."""
+        return [min(n, slot * w // self.total) for w, n in zip(self.numerators, self.blocks, strict=True)]
+
+    def released(self, slot: int) -> int:
+        """Blocks that may start before ``slot``."""
+        return sum(min(n, -(-slot * w // self.total)) for w, n in zip(self.numerators, self.blocks, strict=True))
+
+    def border(self, k: int, size: int) -> int:
+        """First slot of window ``k``: ``k * size`` blocks are released before it."""
+        if k * size >= sum(self.blocks):
+            return self.end
+        return bisect_left(range(self.end), k * size, key=self.released)
+
+    def likely(self, slot: int) -> list[int]:
+        """Blocks of each source that are likely done before ``slot``; no later deadline is missed from there."""
+        done, open_, shares = self.due(slot), [], 0
+        for i, (w, n) in enumerate(zip(self.numerators, self.blocks, strict=True)):
+            if done[i] < n and (part := slot * w % self.total):
+                open_.append((self.deadline(i, done[i]), i))
+                shares += part
+        for _, i in sorted(open_)[: -(-shares // self.total)]:
+            done[i] += 1
+        return done
+
+    def ahead(self, slot: int, done: list[int]) -> bytes:
+        """``done`` as a bit for each source: whether its block under way is done."""
+        return np.packbits(np.array(done) > np.array(self.due(slot))).tobytes()
+
+    def done(self, slot: int, ahead: bytes) -> list[int]:
+        bits = np.unpackbits(np.frombuffer(ahead, np.uint8), count=len(self.blocks)).tolist()
+        return [n + b for n, b in zip(self.due(slot), bits, strict=True)]
+
+    def window(self, start: int, stop: int, done: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(source, block, release, deadline, slot) of the slots from ``start`` up to ``stop``; moves ``done`` on."""
+        waiting = [(self.release(i, j), i) for i, j in enumerate(done) if j < self.blocks[i]]
+        heapq.heapify(waiting)
+        ready: list[tuple[int, int, int]] = []
+        slot = start
+        while waiting or ready:
+            if not ready:
+                slot = max(slot, waiting[0][0])
+            if slot >= stop:
+                break
+            while waiting and waiting[0][0] <= slot:
+                release, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (self.deadline(i, done[i]), i, release))
+            deadline, i, release = heapq.heappop(ready)
+            if deadline <= slot:
+                raise AssertionError("a deadline was missed")
+            yield i, done[i], release, deadline, slot
+            done[i] += 1
+            if done[i] < self.blocks[i]:
+                heapq.heappush(waiting, (self.release(i, done[i]), i))
+            slot += 1
+
+
+_STATES = "_window bigint, _begins binary, _ends binary"
 _PLAN = "_no int, _block bigint, _release bigint, _deadline bigint, _slot bigint, _first bigint"
 
 
-def _plan(spark: SparkSession, numerators: list[int], rows: list[int], block_rows: int) -> DataFrame:
+def _fitting(windows: DataFrame, schedule: Schedule, size: int) -> DataFrame:
+    """What is done at the first slot of every window, so that each goes on where the one before it ended."""
+
+    def ends(batches):
+        for batch in batches:
+            out = []
+            for k, begins in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                start, stop = schedule.border(k, size), schedule.border(k + 1, size)
+                done = schedule.likely(start) if begins is None else schedule.done(start, begins)
+                begins = schedule.ahead(start, done)
+                for _ in schedule.window(start, stop, done):
+                    pass
+                out.append((k, begins, schedule.ahead(stop, done)))
+            if out:
+                k, begins, after = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(k, pa.int64()), pa.array(begins, pa.binary()), pa.array(after, pa.binary())],
+                    ["_window", "_begins", "_ends"],
+                )
+
+    known = written(windows.select("_window", F.lit(None).cast("binary").alias("_begins")).mapInArrow(ends, _STATES), "mix_windows")
+    while True:
+        before = known.select((F.col("_window") + 1).alias("_window"), F.col("_ends").alias("_wanted"))
+        moved = known.join(before, "_window").where("_begins <> _wanted").select("_window", F.col("_wanted").alias("_begins"))
+        moved = written(moved, "mix_moved")
+        if moved.isEmpty():
+            return known.select("_window", "_begins")
+        parts = shuffle_partitions(known.sparkSession)
+        again = moved.repartition(parts, "_window").mapInArrow(ends, _STATES)
+        known = written(known.join(moved, "_window", "left_anti").unionByName(again), "mix_windows")
+
+
+def _plan(spark: SparkSession, numerators: list[int], rows: list[int], block_rows: int, size: int) -> DataFrame:
     """Release, deadline, slot and place of the first row of every block."""
-    blocks = [-(-n // block_rows) for n in rows]
-    total = sum(numerators)
-    if any(b * total // w >= 2**63 - 1 for b, w in zip(blocks, numerators, strict=True)):
+    schedule = Schedule(numerators, [-(-n // block_rows) for n in rows])
+    if schedule.end >= 2**63 - 1:
         raise ValueError("a weight is so small that slots pass 64 bits")
+    count = -(-sum(schedule.blocks) // size)
+    windows = spark.range(0, count, 1, max(1, min(count, 16 * shuffle_partitions(spark)))).withColumnRenamed("id", "_window")
 
-    def ordered(_batches):
+    def ordered(batches):
         names = ["_no", "_block", "_release", "_deadline", "_slot", "_first"]
         types = [pa.int32()] + [pa.int64()] * 5
-        first, out = 0, []
-        for i, j, *times in block_order(numerators, blocks):
-            out.append((i, j, *times, first))
-            first += min(block_rows, rows[i] - j * block_rows)
-            if len(out) == BATCH:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+        for batch in batches:
+            for k, begins in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                start, stop = schedule.border(k, size), schedule.border(k + 1, size)
+                done = schedule.done(start, begins)
+                first, out = sum(min(n, j * block_rows) for n, j in zip(rows, done, strict=True)), []
+                for i, j, *times in schedule.window(start, stop, done):
+                    out.append((i, j, *times, first))
+                    first += min(block_rows, rows[i] - j * block_rows)
+                if out:
+                    columns = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return written(spark.range(0, 1, 1, 1).mapInArrow(ordered, _PLAN), "mix_plan")
+    return written(_fitting(windows, schedule, size).mapInArrow(ordered, _PLAN), "mix_plan")
 
 
 def scheduled(docs: DataFrame, weights: Mapping | None = None, block_rows: int = BLOCK_ROWS,
-              id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+              id_col: str = "doc_id", source_col: str = "source", window_blocks: int = WINDOW_BLOCKS) -> DataFrame:
     """Rows as ``row``, a struct of all columns of ``docs``, and ``mix``: block, release, deadline, slot and position.
 
     Rows of a source are ordered by a hash of their id.  Sources that ``weights`` does not
@@ -111,7 +202,7 @@ def scheduled(docs: DataFrame, weights: Mapping | None = None, block_rows: int =
     # names without a positive weight are none of the table's
     names = sorted((s for s in weights if weights[s] > 0), key=lambda s: (s is not None, s))
     whole = whole_numerators({s: weights[s] for s in names}) if names else {}
-    plan = _plan(spark, [whole[s] for s in names], [counts.get(s, 0) for s in names], block_rows)
+    plan = _plan(spark, [whole[s] for s in names], [counts.get(s, 0) for s in names], block_rows, window_blocks)
     kind = docs.schema[source_col].dataType.simpleString()
     # bounded by MAX_SOURCES
     shares = spark.createDataFrame([(s, i) for i, s in enumerate(names)], f"_name {kind}, _no int")
@@ -138,16 +229,17 @@ def scheduled(docs: DataFrame, weights: Mapping | None = None, block_rows: int =
 
 
 def mixed_positions(docs: DataFrame, weights: Mapping | None = None, block_rows: int = BLOCK_ROWS,
-                    id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+                    id_col: str = "doc_id", source_col: str = "source", window_blocks: int = WINDOW_BLOCKS) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, block, release, deadline, slot, position.
 
     ``position`` numbers all rows from 0 in the order of the mix.  Slots of a source that has
     no rows left stay empty and the other sources move up.  A null source is a source of its
     own; null ids come in hash order like others; rows that repeat an id take their places
-    in any order.  Blocks of equal deadline go by source name (null first), then by number.  An empty table gives no rows.  Other columns are not read.
+    in any order.  Blocks of equal deadline go by source name (null first), then by number.  An
+    empty table gives no rows.  Other columns are not read.  ``window_blocks`` changes nothing in the result.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"))
-    rows = scheduled(named, weights, block_rows, "doc_id", "source")
+    rows = scheduled(named, weights, block_rows, "doc_id", "source", window_blocks)
     return rows.select("row.*", "mix.*")
 
 

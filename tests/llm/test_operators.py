@@ -457,10 +457,11 @@ def test_mix(spark, docs):
 
 @pytest.mark.parametrize("weights", [None, {"a": 0.9, "b": 0.0999, "c": 0.0001}, {"a": 1e-9, "b": 3, "c": 2.5, "d": 1}])
 def test_mix_keeps_to_the_weights_given(spark, weights):
+    # many windows, so that their borders are met
     sizes = {"a": 4000, "b": 700, "c": 5}
     rows = [(i, s) for s, n in sizes.items() for i in range(n)]
     docs = spark.createDataFrame(rows, "doc_id int, source string")
-    got = sorted(mixing.mixed_positions(docs, weights, block_rows=1).collect(), key=lambda r: r.position)
+    got = sorted(mixing.mixed_positions(docs, weights, block_rows=1, window_blocks=97).collect(), key=lambda r: r.position)
     assert [r.position for r in got] == list(range(4705)) and len({r.slot for r in got}) == 4705
     assert [r.slot for r in got] == sorted(r.slot for r in got)
     given = {s: Fraction(w) for s, w in (weights or {s: n**mixing.ALPHA for s, n in sizes.items()}).items()}
@@ -473,6 +474,33 @@ def test_mix_keeps_to_the_weights_given(spark, weights):
         assert abs(r.block - r.slot * w) < 1 and abs(r.block + 1 - (r.slot + 1) * w) < 1
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_mix_windows_fit(seed):
+    """From what is likely done no deadline is missed, and repeated windows come to the one pass over all slots."""
+    rng = np.random.default_rng(seed)
+    numerators = [int(w) for w in 10 ** rng.uniform(0, 5, rng.integers(1, 25)) + 1]
+    blocks = [int(n) for n in rng.integers(0, 120, len(numerators))]
+    schedule = mixing.Schedule(numerators, blocks)
+    whole = list(schedule.window(0, schedule.end, [0] * len(blocks)))
+    assert len(whole) == sum(blocks) and [w[4] for w in whole] == sorted({w[4] for w in whole})
+    for size in (1, 7, 50):
+        count = -(-sum(blocks) // size)
+        borders = [schedule.border(k, size) for k in range(count + 1)]
+        assert borders == sorted(borders) and borders[-1] == schedule.end
+        begins = [schedule.ahead(t, schedule.likely(t)) for t in borders[:-1]]
+        while True:
+            parts, ends = [], []
+            for k, state in enumerate(begins):
+                done = schedule.done(borders[k], state)
+                parts.append(list(schedule.window(borders[k], borders[k + 1], done)))
+                ends.append(schedule.ahead(borders[k + 1], done))
+            fitted = begins[:1] + ends[:-1]
+            if fitted == begins:
+                break
+            begins = fitted
+        assert [b for p in parts for b in p] == whole
+
+
 def test_fingerprints(spark, plain):
     rows = sorted(QUERIES["op10_one_permutation_fingerprint"](spark, FOLDER).collect())
     texts = [t for _, t in plain]
