@@ -5,10 +5,15 @@ case, comment signs and punctuation to blanks) and mapped to the identifier of a
 licence sentence.  The identifiers, in order and without the sentences that mean nothing,
 are matched with rules: ordered runs of identifiers that make up a licence.  Longer rules
 come first and use their sentences up.
+
+An SPDX tag gives one sentence for each licence of its expression; how the expression joins
+them, and exceptions after WITH, are not told.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +43,9 @@ SENTENCES = {
     "gpl3-work": r"this (work|software|program|project) is licensed under the gnu general public license version 3( 0)?",
     "gpl2-work": r"this (work|software|program|project) is licensed under the gnu general public license version 2( 0)?",
     "agpl3-free": r"this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license .* version 3 of the license .*",
+    "gpl2-only": r"this (program|file|library) is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "lgpl21-free": r"this (library|program|file) is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or (at your option )?any later version",
+    "lgpl3-free": r"this (library|program|file) is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or (at your option )?any later version",
     "lgpl-free": r"this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license .*",
     "gpl-warranty": r"this (program|library) is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-see": r"see the gnu (lesser |affero )?general public license for more details",
@@ -50,13 +58,13 @@ SENTENCES = {
     "cc0": r"(this work is )?(licensed|released) under (cc0 1 0|the creative commons zero .*)",
     "unlicense": r"this is free and unencumbered software released into the public domain",
     "public-domain": r"(this work|this file|this software) is (hereby )?(released into|placed in|in) the public domain",
-    "spdx-mit": r"spdx license identifier mit",
-    "spdx-apache2": r"spdx license identifier apache 2 0",
-    "spdx-bsd3": r"spdx license identifier bsd 3 clause",
-    "spdx-bsd2": r"spdx license identifier bsd 2 clause",
-    "spdx-gpl3": r"spdx license identifier gpl 3 0( only| or later)?",
-    "spdx-gpl2": r"spdx license identifier gpl 2 0( only| or later)?",
-    "spdx-mpl2": r"spdx license identifier mpl 2 0",
+    "epl2-terms": r"this program and the accompanying materials are made available under the terms of the eclipse public license (v )?2 0( which .*)?",
+    "epl1-terms": r"this program and the accompanying materials are made available under the terms of the eclipse public license v1 0( which .*)?",
+    "cddl-terms": r"the contents of this file are subject to the terms of the common development and distribution license( the license)?( version 1 0)?( the license)?( you may not use .*)?",
+    "zlib-warranty": r"this software is provided as is without any express or implied warranty",
+    "zlib-liability": r"in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost": r"distributed under the boost software license version 1 0( see .*)?",
     "rights": r"(copyright .* )?all rights reserved",
 }
 
@@ -72,7 +80,11 @@ RULES = [
     ("GPL-2.0-or-later", ["gpl2-free", "gpl-warranty", "gpl-see", "gpl-received"]),
     ("AGPL-3.0-or-later", ["agpl3-free", "gpl-warranty", "gpl-see", "gpl-received"]),
     ("LGPL", ["lgpl-free", "gpl-warranty", "gpl-see", "gpl-received"]),
+    ("GPL-2.0-only", ["gpl2-only", "gpl-warranty", "gpl-see", "gpl-received"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free", "gpl-warranty", "gpl-see", "gpl-received"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free", "gpl-warranty", "gpl-see", "gpl-received"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("Zlib", ["zlib-warranty", "zlib-liability", "zlib-grant"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-warranty", "gpl-see"]),
     ("GPL-2.0-or-later", ["gpl2-free", "gpl-warranty", "gpl-see"]),
     ("MPL-2.0", ["mpl2-form", "mpl2-copy"]),
@@ -83,7 +95,15 @@ RULES = [
     ("GPL-3.0-or-later", ["gpl-free"]),
     ("GPL-2.0-or-later", ["gpl2-free"]),
     ("AGPL-3.0-or-later", ["agpl3-free"]),
+    ("GPL-2.0-only", ["gpl2-only"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free"]),
     ("LGPL", ["lgpl-free"]),
+    ("EPL-2.0", ["epl2-terms"]),
+    ("EPL-1.0", ["epl1-terms"]),
+    ("CDDL-1.0", ["cddl-terms"]),
+    ("Zlib", ["zlib-grant"]),
+    ("BSL-1.0", ["boost"]),
     ("GPL-3.0", ["gpl3-work"]),
     ("GPL-2.0", ["gpl2-work"]),
     ("MPL-2.0", ["mpl2-form"]),
@@ -94,25 +114,35 @@ RULES = [
     ("CC0-1.0", ["cc0"]),
     ("Unlicense", ["unlicense"]),
     ("Public-Domain", ["public-domain"]),
-    ("MIT", ["spdx-mit"]),
-    ("Apache-2.0", ["spdx-apache2"]),
-    ("BSD-3-Clause", ["spdx-bsd3"]),
-    ("BSD-2-Clause", ["spdx-bsd2"]),
-    ("GPL-3.0", ["spdx-gpl3"]),
-    ("GPL-2.0", ["spdx-gpl2"]),
-    ("MPL-2.0", ["spdx-mpl2"]),
     ("All-Rights-Reserved", ["rights"]),
 ]
 
-#: Every known sentence holds one of these; texts without any are not split.
+# Licence identifiers that SPDX tags may name.
+SPDX = [
+    "0BSD", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "Artistic-2.0",
+    "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0",
+    "CDDL-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-1.0", "GPL-1.0-only", "GPL-1.0-or-later", "GPL-2.0",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.0",
+    "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0",
+    "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "Python-2.0", "Unlicense",
+    "WTFPL", "X11", "Zlib",
+]
+_SPDX_SAYS = "spdx license identifier "
+_SPDX_SENTENCES = {"spdx-" + i.lower(): _SPDX_SAYS + re.sub("[^a-z0-9]+", " ", i.lower()) for i in SPDX}
+RULES += [(i, ["spdx-" + i.lower()]) for i in SPDX]
+
+#: Every known sentence holds one of these words; texts without any are not split.  No two
+#: words, which a line end may part.
 MENTIONS = (
-    "licen", "permi", "redistribut", "warrant", "copyright", "free software", "public domain",
-    "rights", "mpl was", "liable", "endorse",
+    "licen", "permi", "redistribut", "warrant", "copyright", "software", "domain",
+    "rights", "mpl", "liable", "endorse",
 )
 
-# An SPDX tag at the end of a line is a sentence of its own; others end at . ! ? ; : before a
-# blank, or at a line that is blank but for comment signs.
-_TAG = r"spdx-license-identifier: ([a-z0-9.\-]+)[ \t]*(\n|$)"
+# An SPDX tag that ends its line, but for what closes a comment, is a sentence of its own;
+# others end at . ! ? ; : before a blank, or at a line that is blank but for comment signs.
+_ID = r"[(]*[a-z0-9.+-]+[)]*"
+_TAG = rf"spdx-license-identifier:[ \t]*({_ID}(?:[ \t]+(?:and|or|with)[ \t]+{_ID})*)[ \t]*(?:\*/|-->|\*\))?[ \t]*\r?(\n|$)"
+_JOINED = r"\s+(?:and|or|with)\s+"
 _END = r"[.!?;:]+\s+|\n[\s*/#;%!-]*\n"
 # Comment signs that would end a sentence, at the start of a line.
 _SIGNS = r"(?m)^[ \t]*[;!]+(?=\s)"
@@ -144,15 +174,24 @@ def sentence_identifiers(text: Column) -> Column:
     lower = F.lower(text)
 
     def known(s: Column) -> Column:
-        first = None
+        cases = [(s == text, name) for name, text in _SPDX_SENTENCES.items()]
+        tagged = F.when(*cases[0])
+        for case in cases[1:]:
+            tagged = tagged.when(*case)
+        first = F.when(s.startswith(_SPDX_SAYS), tagged)
         for name, pattern in SENTENCES.items():
-            hit = s.rlike(f"^(?:{pattern})$")
-            first = F.when(hit, name) if first is None else first.when(hit, name)
+            first = first.when(s.rlike(f"^(?:{pattern})$"), name)
         return first
 
+    def of_expression(s: Column) -> Column:
+        """A tag's sentence as one sentence for each licence it names."""
+        named = F.split(F.replace(F.substring(s, len(_SPDX_SAYS) + 1, 2**31 - 1), F.lit("+"), F.lit("-or-later")), _JOINED)
+        return F.when(s.startswith(_SPDX_SAYS), F.transform(named, lambda e: F.concat(F.lit(_SPDX_SAYS), e))).otherwise(F.array(s))
+
     mentioned = lambda s: s.rlike("|".join(MENTIONS))
     sentences = F.transform(
-        F.filter(_sentences(lower), mentioned), lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " "))
+        F.flatten(F.transform(F.filter(_sentences(lower), mentioned), of_expression)),
+        lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " ")),
     )
     any_mention = F.lit(False)
     for m in MENTIONS:
@@ -190,7 +229,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _sql() -> str:
-    cases = " ".join(f"WHEN regexp_full_match(s, '{p}') THEN '{n}'" for n, p in SENTENCES.items())
+    tagged = " ".join(f"WHEN '{t}' THEN '{n}'" for n, t in _SPDX_SENTENCES.items())
+    cases = f"WHEN starts_with(s, '{_SPDX_SAYS}') THEN CASE s {tagged} END "
+    cases += " ".join(f"WHEN regexp_full_match(s, '{p}') THEN '{n}'" for n, p in SENTENCES.items())
     # RE2 looks ahead at nothing: what follows a sign is captured and put back
     split = r"regexp_replace(t, '(?m)^[ \t]*[;!]+(\s)', '\1', 'g')"
     for a, sign, b in _INSIDE:
@@ -201,9 +242,12 @@ def _sql() -> str:
         run = f"replace({run}, '{''.join(map(_marker, rule))}', '{_marker('@' + name)}')"
     return rf"""
 WITH m AS (
-  SELECT doc_id, regexp_replace(lower(coalesce(text, '')), 'spdx-license-identifier: ([a-z0-9.\-]+)[ \t]*(\n|$)', ' . spdx license identifier \1 . ', 'g') AS t FROM documents),
+  SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '{_TAG}', ' . spdx license identifier \1 . ', 'g') AS t FROM documents),
 s AS (SELECT doc_id, regexp_split_to_array({split}, '{_END}') AS parts FROM m),
-x AS (SELECT doc_id, unnest(parts) AS raw, unnest(range(len(parts))) AS i FROM s),
+e AS (SELECT doc_id, flatten(list_transform(parts, lambda p: CASE WHEN starts_with(p, '{_SPDX_SAYS}')
+  THEN list_transform(regexp_split_to_array(replace(substr(p, {len(_SPDX_SAYS) + 1}), '+', '-or-later'), '{_JOINED}'), lambda n: '{_SPDX_SAYS}' || n)
+  ELSE [p] END)) AS parts FROM s),
+x AS (SELECT doc_id, unnest(parts) AS raw, unnest(range(len(parts))) AS i FROM e),
 y AS (SELECT doc_id, i, trim(regexp_replace(raw, '[^a-z0-9]+', ' ', 'g')) AS s FROM x WHERE regexp_matches(raw, '{"|".join(MENTIONS)}')),
 k AS (SELECT doc_id, i, CASE {cases} END AS id FROM y),
 g AS (SELECT doc_id, count(*) AS n, string_agg(id, ' ' ORDER BY i) AS ids, {run} AS run FROM k WHERE id IS NOT NULL GROUP BY doc_id),

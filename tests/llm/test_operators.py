@@ -204,7 +204,7 @@ NOTICES = [
     (GPL.format(colon=":", comma=",", kind="", version=3, end=SEE), "GPL-3.0-or-later", "gpl-free" + GNU),
     (GPL.format(colon=";", comma=";", kind="", version=2, end=WRITE), "GPL-2.0-or-later", "gpl2-free" + GNU),
     (GPL.format(colon=":", comma=",", kind="Affero ", version=3, end=SEE), "AGPL-3.0-or-later", "agpl3-free" + GNU),
-    (GPL.format(colon=";", comma=";", kind="Lesser ", version="2.1", end=WRITE).replace("program", "library"), "LGPL", "lgpl-free" + GNU),
+    (GPL.format(colon=";", comma=";", kind="Lesser ", version="2.1", end=WRITE).replace("program", "library"), "LGPL-2.1-or-later", "lgpl21-free" + GNU),
     ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not "
      "distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0", "mpl2-form mpl2-copy"),
     ("""Licensed under the Apache License, Version 2.0 (the "License");
@@ -251,6 +251,38 @@ def test_canonical_notices_through_the_sql(sign):
     assert [r[1:] for r in got] == [(name, ids, "") for _, name, ids in NOTICES]
 
 
+TAGS = [
+    ("// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;", "Apache-2.0 MIT"), ("/* SPDX-License-Identifier: MIT */", "MIT"),
+    ("# SPDX-License-Identifier: LGPL-2.1-only", "LGPL-2.1-only"), ("# SPDX-License-Identifier:GPL-3.0-or-later\r\nx", "GPL-3.0-or-later"),
+    ("<!-- SPDX-License-Identifier: GPL-2.0+ -->\n<p>", "GPL-2.0-or-later"), ("; SPDX-License-Identifier: GPL-2.0", "GPL-2.0"),
+    (" * SPDX-License-Identifier: (MIT AND (ISC OR Zlib)) \n */", "ISC MIT Zlib"),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note\nmore", "GPL-2.0-only"),
+    ("SPDX-License-Identifier: Unheard-1.0", ""), ("An SPDX-License-Identifier: MIT tag in a sentence", ""),
+    ("This is free and unencumbered software released into the public\ndomain.", "Unlicense"),
+    ("This work is released into the\n# public\n# domain.", "Public-Domain"),
+    ("This program and the accompanying materials are made available under the\nterms of the Eclipse Public License v. 2.0 which is available at\nhttp://x", "EPL-2.0"),
+    ("Distributed under the Boost Software License, Version 1.0.\n", "BSL-1.0"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+     "version 2 as published by the Free Software Foundation.", "GPL-2.0-only"),
+    ("This software is provided 'as-is', without any express or implied\nwarranty.  In no event will the authors be held liable for any "
+     "damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding "
+     "commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. x", "Zlib"),
+]
+
+
+def test_tags_and_wrapped_lines(spark):
+    """Expressions, comment ends, -only and -or-later, mentions over a line end; the SQL agrees."""
+    rows = [(i, text) for i, (text, _) in enumerate(TAGS)]
+    got = sorted(licenses.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string")).collect())
+    with duckdb.connect() as connection:
+        connection.execute("create table documents (doc_id int, text varchar)")
+        connection.executemany("insert into documents values (?, ?)", rows)
+        names = "doc_id, n_sentences, sentences, licenses, unmatched"
+        assert [tuple(r) for r in got] == connection.execute(f"select {names} from ({licenses.SQL}) order by doc_id").fetchall()
+    for r, (text, wanted) in zip(got, TAGS, strict=True):
+        assert r.licenses == wanted, text
+
+
 def test_short_lines_spread_too(spark):
     rows = [(i, f"Menu\n\n \nbody {i}", f"site{i % 5}") for i in range(10)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
