@@ -34,6 +34,8 @@ from carecohort.llm.token_coder import BLOCK, LANES, decode_blocks, encode_block
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+#: Words, marks and numbers that tell tokenizers that drop white space from others.
+_PROBE = "ab cd\nEf  g, 12 3.x don't \u00e9A \u2014 \u00dfu (y) "
 #: Words whose ids a task remembers; beyond, it starts anew.
 REMEMBERED_WORDS = 500_000
 _BLOCKS = (
@@ -47,7 +49,9 @@ class WordTokenizer:
     The tokenizer drops white space and never merges across it, so a text's ids are those of
     its pieces between spaces and line ends, one after the other.  Pieces that are a word of
     Latin letters with marks behind it are two pieces; the word goes to the tokenizer's model
-    as its own normaliser and splitter would hand it over, letter by letter.
+    as its own normaliser and splitter would hand it over, letter by letter.  A tokenizer whose
+    ids of ``_PROBE`` are not those of its pieces, such as one that keeps blanks, or that has
+    added tokens with blanks, gets whole texts instead.
     """
 
     def __init__(self, path: str):
@@ -55,7 +59,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        probe, pieces = self._whole([_PROBE]), self._whole(re.split("[ \n]", _PROBE))
+        added = (t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.by_word = probe[0] == b"".join(pieces) and not any(re.search(r"\s", t) for t in added)
         self.known: dict[str, bytes] = {}
+        if not self.by_word:
+            return
         self.words: dict[str, bytes] = {}
         self.letters: dict[int, str] = {}
         for code in (*range(65, 91), *range(97, 123), *range(0xC0, 0x250)):
@@ -63,6 +72,7 @@ class WordTokenizer:
             pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)
             if plain.isalpha() and len(plain) == len(pieces) == 1:
                 self.letters[code] = pieces[0][0]
+        self.lowers = all(self.letters.get(c) == self.letters.get(c + 32) for c in range(65, 91))
         # a word of such letters, and marks that never join what is before them
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         marks = [m for m in "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~" if split(f"a{m}{m}")[0][0] == split("a")[0][0]]
@@ -85,7 +95,7 @@ class WordTokenizer:
                 others.append(piece)
                 continue
             word, marks = match.groups()
-            word = word.lower() if word.isascii() else word.translate(letters)
+            word = word.lower() if self.lowers and word.isascii() else word.translate(letters)
             ids = words.get(word)
             if ids is None:
                 ids = words[word] = array("I", [t.id for t in model.tokenize(word)]).tobytes()
@@ -98,6 +108,8 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as 32-bit integers in the machine's byte order, which is little-endian."""
+        if not self.by_word:
+            return self._whole(texts)
         lines = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
         pieces = pc.split_pattern(lines, " ")
         numbered = pieces.values.dictionary_encode()
