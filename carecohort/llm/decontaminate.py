@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +28,11 @@ PIECE_WORDS = 10_000
 _HITS = "n_words bigint, hit array<int>, items array<bigint>"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words of a text with A-Z lower-cased: runs of 0-9, a-z and anything beyond ASCII."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
+def words_of(text: str | bytes | None) -> list[bytes]:
+    """Words of a text or its UTF-8 with A-Z lower-cased: runs of 0-9, a-z and anything beyond ASCII."""
+    if not isinstance(text, bytes):
+        text = (text or "").encode("utf-8", "surrogatepass")
+    return text.translate(_TABLE).split()
 
 
 #: Lower-cases A-Z and blanks every other byte that no word holds.
@@ -86,11 +89,11 @@ def windows_of(items: list[tuple[int | None, str | None]], window: int = WINDOW)
 
 
 def _search(text: Column, sets: list[WuManber]) -> Column:
-    @F.pandas_udf(_HITS)
-    def search(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(_HITS)
+    def search(texts: pa.Array) -> pa.Array:
         counts, hits, found = [], [], []
-        for t in texts:
-            words = words_of(t if isinstance(t, str) else None)
+        for t in texts:  # one text at a time leaves Arrow's memory
+            words = words_of(t.as_buffer().to_pybytes() if t.is_valid else None)
             hit, items = set(), set()
             for s in sets:
                 for start, owners in s.search(words):
@@ -99,7 +102,8 @@ def _search(text: Column, sets: list[WuManber]) -> Column:
             counts.append(len(words))
             hits.append(sorted(hit))
             found.append(sorted(x for x in items if x is not None))
-        return pd.DataFrame({"n_words": counts, "hit": hits, "items": found})
+        columns = [pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(columns, ["n_words", "hit", "items"])
 
     return search(text)
 
