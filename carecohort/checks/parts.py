@@ -250,12 +250,14 @@ where {has_code('atc_code', _OTHER_CLASSES)}
 
 PARTS["smoking_dates"] = "select pat_id, smoking_status_date, count(*) as records from smokers group by all"
 
-for _outcome in ("ascvd", "total_cvd"):
-    PARTS[f"{_outcome}_eligible"] = f"""
-select {', '.join('v.pat_id' if c == 'pat_id' else 'obs_end as ' + c if c.startswith('last_') else c for c in ELIGIBLE_COLUMNS)}, coalesce(records, 1) as published_rows
+
+def eligible(outcome: str, smoking: str, shown_rows: str = "", records: str = "") -> str:
+    """Eligible visits by the rows of ``smoking``."""
+    return f"""
+select {', '.join('v.pat_id' if c == 'pat_id' else 'obs_end as ' + c if c.startswith('last_') else c for c in ELIGIBLE_COLUMNS)}{shown_rows}
 from (
   select v.*, pe.* exclude (pat_id, last_discharge_or_contact_date), statin_first_date, ascvd_first_date,
-         dyslipidemia_date, di.* exclude (pat_id), hy.* exclude (pat_id), smoking_status_date, records, ndi_death_date,
+         dyslipidemia_date, di.* exclude (pat_id), hy.* exclude (pat_id), smoking_status_date{records}, ndi_death_date,
          year(contact_date) - year(birth_date) as age_yrs,
          case when last_discharge_or_contact_date > death_date then death_date
               when last_discharge_or_contact_date > ndi_death_date then ndi_death_date
@@ -263,11 +265,11 @@ from (
   from visits v
   left join people pe on v.pat_id = pe.pat_id
   left join statins st on v.pat_id = st.pat_id
-  left join {_outcome}_dx ev on v.pat_id = ev.pat_id
+  left join {outcome}_dx ev on v.pat_id = ev.pat_id
   left join dyslipidemia dy on v.pat_id = dy.pat_id
   left join diabetes di on v.pat_id = di.pat_id
   left join hypertension hy on v.pat_id = hy.pat_id
-  left join smoking_dates sm on v.pat_id = sm.pat_id
+  left join {smoking} sm on v.pat_id = sm.pat_id
   left join index_deaths de on v.pat_id = de.pat_id) v
 where age_yrs between {codes.MIN_AGE} and {codes.MAX_AGE}
   and coalesce(contact_date < statin_first_date, true) and coalesce(contact_date < ascvd_first_date, true)
@@ -276,6 +278,12 @@ where age_yrs between {codes.MIN_AGE} and {codes.MAX_AGE}
   and (coalesce(dyslipidemia_date, diabetes_date, hypertension_date) is not null
        or date_diff('day', smoking_status_date, contact_date) between 0 and {codes.LOOKBACK_DAYS})"""
 
+
+for _outcome in ("ascvd", "total_cvd"):
+    PARTS[f"{_outcome}_eligible"] = eligible(
+        _outcome, "smoking_dates", ", coalesce(records, 1) as published_rows", ", records"
+    )
+
 _NEAR = f"between 0 and {codes.LOOKBACK_DAYS}"
 _ORDER = f"""contact_date, pat_enc_csn_id, chol_date desc, {{egfr}}
     coalesce(date_diff('day', smoking_status_date, contact_date) {_NEAR}, false) desc, smoking_status_date desc nulls last"""

@@ -11,7 +11,7 @@ from ..operators.netbenefit import (
 from ..operators.tableone import CATEGORICAL, CONTINUOUS, LABELS, YES_NO
 from ..plans.catalog import EXTRA_FIELD, FIXED_STRENGTH, PREVENT_TERMS, WRONG_VALUE
 from ..plans.validation import ASCVD, METRICS, MODELS, PCE_5YR, PCE_10YR, SHARES, TOTAL_CVD
-from .parts import _VALUE, PARTS, shown, six, statement
+from .parts import _VALUE, PARTS, eligible, shown, six, statement
 
 STATEMENTS: dict[str, str] = {}
 
@@ -73,7 +73,7 @@ _table("total_cvd_outcome", "total_cvd_outcome", ["pat_id", "total_cvd_date"])
 
 # --- cohort tables --------------------------------------------------------------------
 
-_table("ascvd_eligible", "ascvd_eligible", [*ELIGIBLE_COLUMNS, "published_rows"])
+_add("ascvd_eligible", f"select {shown(ELIGIBLE_COLUMNS)} from ascvd_eligible", ascvd_eligible=eligible("ascvd", "smokers"))
 _table("total_cvd_eligible", "total_cvd_eligible", [*ELIGIBLE_COLUMNS, "published_rows"])
 _BASE = ("patients", "encounters", "diagnoses", "labs", "medications", "social_history", "vitals", "ndi_cause_of_death")
 

@@ -55,3 +55,25 @@ def test_query(spark, sql, name):
 def test_entry(spark):
     df = registered.entry(spark)
     assert df.columns == ["sex", "raceth", "patients", "events", "mean_risk_10yr"] and df.count() > 0
+
+
+@pytest.fixture(scope="module")
+def smoked_twice(tmp_path_factory):
+    """The small tables with every current smoker's record of a day there twice more."""
+    folder = tmp_path_factory.mktemp("smoked_twice")
+    connection = duckdb.connect()
+    for t in TABLES:
+        more = " union all select * exclude (n) replace (o_orderkey + 21000000 * n as o_orderkey) " \
+            f"from '{FOLDER}/orders.parquet', range(1, 3) r(n) where o_orderkey % 3 = 0 and o_orderkey % 7 in (0, 2)"
+        source = f"select * from '{FOLDER}/{t}.parquet'" + (more if t == "orders" else "")
+        connection.execute(f"copy ({source}) to '{folder}/{t}.parquet'")
+        connection.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    return str(folder), connection
+
+
+@pytest.mark.parametrize("name", ["ascvd_eligible"])
+def test_eligible_visits_are_there_once_per_smoking_record(spark, smoked_twice, name):
+    folder, connection = smoked_twice
+    rows = [tuple(map(text, r)) for r in registered.queries()[name](spark, folder).collect()]
+    expected = Counter(tuple(map(text, r)) for r in connection.execute(registered.oracle_sql()[name]).fetchall())
+    assert Counter(rows) == expected and set(expected.values()) == {1, 3}
