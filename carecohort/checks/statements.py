@@ -73,8 +73,8 @@ _table("total_cvd_outcome", "total_cvd_outcome", ["pat_id", "total_cvd_date"])
 
 # --- cohort tables --------------------------------------------------------------------
 
-_add("ascvd_eligible", f"select {shown(ELIGIBLE_COLUMNS)} from ascvd_eligible", ascvd_eligible=eligible("ascvd", "smokers"))
-_table("total_cvd_eligible", "total_cvd_eligible", [*ELIGIBLE_COLUMNS, "published_rows"])
+for _o in ("ascvd", "total_cvd"):  # the published rows: one per smoking record
+    _add(f"{_o}_eligible", f"select {shown(ELIGIBLE_COLUMNS)} from {_o}_eligible", **{f"{_o}_eligible": eligible(_o, "smokers")})
 _BASE = ("patients", "encounters", "diagnoses", "labs", "medications", "social_history", "vitals", "ndi_cause_of_death")
 
 

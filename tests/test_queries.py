@@ -71,7 +71,7 @@ def smoked_twice(tmp_path_factory):
     return str(folder), connection
 
 
-@pytest.mark.parametrize("name", ["ascvd_eligible"])
+@pytest.mark.parametrize("name", ["ascvd_eligible", "total_cvd_eligible"])
 def test_eligible_visits_are_there_once_per_smoking_record(spark, smoked_twice, name):
     folder, connection = smoked_twice
     rows = [tuple(map(text, r)) for r in registered.queries()[name](spark, folder).collect()]
