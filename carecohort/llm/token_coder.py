@@ -1,22 +1,25 @@
 """Context-mixing range coder for token ids, run over many blocks in lockstep.
 
-Every block is coded on its own from a reset model, so blocks of a batch advance
-together: step ``t`` codes token ``t`` of all of them with a few array operations.
+Every block is coded on its own, so blocks of a batch advance together: step ``t``
+codes token ``t`` of all of them with a few array operations.
 
 Model of one block (integers only, so any machine decodes the same):
 
-* order 2 and order 1 each predict one id, the one that last followed the context,
-  with a confidence; adaptive hit rates per confidence give it a probability.  Where
-  both predict the same id their rates are mixed with a weight that moves to the
-  order that was right; otherwise order 1 shares what order 2 leaves.
-* order 0 holds adaptive frequencies of the block's ids (raised every 128 tokens)
-  and codes whatever the predictions miss.
+* order 2 and order 1 each predict one id, the one that last followed the context, with
+  a confidence: how often in a row it did, up to 3.  The two confidences and whether both
+  predict the same id choose one of 32 cells; a cell mixes the predictions by shares of
+  256, which the block's head holds.
+* order 0 holds frequencies of 4,096 of the block's ids, from its head, and codes whatever
+  the predictions miss.  At least one share of a cell is left to it.
 
-One coding step of a 64-bit range coder per token; carries are settled at the end.
+The encoder knows the whole block, so it finds contexts by sorting and counts shares and
+frequencies first; the decoder only keeps what last followed each context.
 
-Block layout (little-endian): ``CMR1``, token count, alphabet size, bytes of the
-packed alphabet, number of 32-bit code words (each 4 bytes), the alphabet (zlib, gaps
-of the sorted ids), the code words, crc32 of all before.
+One coding step of a range coder per token, in 24-bit words; carries are settled at the end.
+
+Block layout (little-endian): ``CMR2``, token count, alphabet size, bytes of the packed
+head, number of code words, the head (zlib: gaps of the sorted ids, frequencies less one,
+shares of order 2 and of order 1), the code words, 3 bytes each, crc32 of all before.
 """
 
 from __future__ import annotations
@@ -28,72 +31,13 @@ import numpy as np
 
 BLOCK = 4096
 LANES = 2048
-_SEGMENT = 128
-_GAIN = 24
-_SLOTS = 4096
-_FULL = 1 << 24
-_MOST = 7 << 13  # highest hit rate: two of them leave order 0 at least 2**18 shares
+_CONTEXTS = 4096
+_CELLS = 32
+_SHARES = 256
+_UNIT = 4096  # frequencies of a block, and what a share is divided into
+_BITS = 20  # of _SHARES * _UNIT
+_WORD, _WORD_MASK, _LEAST = 24, (1 << 24) - 1, 1 << 28
 _HEAD = struct.Struct("<4sIIII")
-_U32 = np.uint64(0xFFFFFFFF)
-_SHIFT, _PART, _SHORT = np.uint64(32), np.uint64(24), np.uint64(2**32)
-
-
-class _Model:
-    def __init__(self, sizes: np.ndarray):
-        lanes, self.width = len(sizes), int(sizes.max(initial=1))
-        self.lane = np.arange(lanes)
-        self.counts = (np.arange(self.width) < sizes[:, None]).astype(np.int32)
-        # a context's entry: number of the id predicted, from 1, over three bits of confidence
-        self.after1 = np.zeros(lanes * self.width, np.uint16)
-        self.after2 = np.zeros(lanes * _SLOTS, np.uint16)
-        self.rate1 = np.tile(np.array([0] + [8192] * 7), lanes)
-        self.rate2 = np.tile(np.array([0] + [16384] * 7), lanes)
-        self.weight = np.full(lanes, 128)
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
-        self.base1, self.base2, self.base_r = self.lane * self.width, self.lane * _SLOTS, self.lane * 8
-        self.base = self.lane * (self.width + 1)
-        self.add_up()
-
-    def add_up(self):
-        self.sums = np.zeros((len(self.counts), self.width + 1), np.int32)
-        np.cumsum(self.counts, axis=1, out=self.sums[:, 1:])
-        self.total = self.sums[:, -1].astype(np.int64)
-        self.flat = self.sums.ravel()
-
-    def learn(self, lanes: np.ndarray, symbols: np.ndarray):
-        """Raise the frequencies by a segment's symbols."""
-        np.add.at(self.counts.ravel(), lanes * self.width + symbols, np.int32(_GAIN))
-        self.add_up()
-
-    def predict(self, n: int):
-        """Numbers of the ids that order 1 and 2 predict (0: none), and their shares of 2**24."""
-        self.at1 = self.base1[:n] + self.last[:n]
-        self.at2 = self.base2[:n] + ((self.before[:n] * 40503 + self.last[:n]) & (_SLOTS - 1))
-        s1, s2 = self.after1.take(self.at1).astype(np.int64), self.after2.take(self.at2).astype(np.int64)
-        self.r1, self.r2 = self.base_r[:n] + (s1 & 7), self.base_r[:n] + (s2 & 7)
-        p1, p2 = self.rate1.take(self.r1), self.rate2.take(self.r2)
-        c1, c2 = s1 >> 3, s2 >> 3
-        agree = c1 == c2
-        top = np.where(agree, p1 + ((p2 - p1) * self.weight[:n] >> 8), p2)
-        rest = (65536 - top) * p1 >> 8
-        rest[agree] = 0
-        self.seen = s1, s2, p1, p2, c1, c2
-        return c1, c2, rest, top << 8
-
-    def update(self, n: int, x: np.ndarray, x1: np.ndarray):
-        """``x1`` is ``x`` counted from 1."""
-        s1, s2, p1, p2, c1, c2 = self.seen
-        hit1, hit2 = x1 == c1, x1 == c2
-        new = x1 << 3 | 1
-        self.after1[self.at1] = np.where(hit1, np.minimum(s1 + 1, s1 | 7), new)
-        self.after2[self.at2] = np.where(hit2, np.minimum(s2 + 1, s2 | 7), new)
-        self.rate1[self.r1] = p1 + (hit1 * _MOST - p1 >> 4)
-        self.rate2[self.r2] = p2 + (hit2 * _MOST - p2 >> 4)
-        told = np.flatnonzero(hit1 ^ hit2)
-        self.weight[told] += hit2[told] * 256 - self.weight[told] >> 5
-        self.before[:n] = self.last[:n]
-        self.last[:n] = x
 
 
 def _active(lengths: np.ndarray):
@@ -102,6 +46,60 @@ def _active(lengths: np.ndarray):
     return len(lengths) - np.searchsorted(np.sort(lengths), np.arange(steps), side="right")
 
 
+def _predictions(contexts: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Per token, what last followed its context, from 1, over two bits of confidence (0: nothing yet)."""
+    keys = np.sort(contexts << 12 | np.arange(len(contexts), dtype=np.int32))
+    order, context = (keys & BLOCK - 1).astype(np.intp), keys >> 12
+    follows = following.take(order)
+    again = context[1:] == context[:-1]
+    hit = np.zeros(len(order) + 1, np.uint8)  # of the token before, then of each
+    np.logical_and(again, follows[1:] == follows[:-1], out=hit[2:].view(bool))
+    seen = follows[:-1] << 2
+    seen += (hit[1:-1] & hit[:-2]) + hit[1:-1] + np.uint8(1)
+    seen *= again
+    out = np.zeros(len(order), np.uint16)
+    out[order[1:]] = seen
+    return out
+
+
+def _intervals(x: np.ndarray, size: int):
+    """Start and width of each token's interval, and what the head says of them."""
+    x1, at = x + np.uint16(1), x.astype(np.intp)
+    last, before = np.zeros(len(x), np.int32), np.zeros(len(x), np.int32)
+    last[1:] = x[:-1]
+    before[2:] = x[:-2]
+    s1 = _predictions(last, x1)
+    s2 = _predictions((before * 40503 + last) & (_CONTEXTS - 1), x1)
+    cell = (s2 & 3) << 2
+    cell |= s1 & 3
+    cell += ((s1 ^ s2) < 4) * np.uint16(16)
+    hit2 = x1 == s2 >> 2
+    hit1 = (x1 == s1 >> 2) & ~hit2
+    cell += hit1 * np.uint16(_CELLS)
+    cell += hit2 * np.uint16(2 * _CELLS)
+    cell = cell.astype(np.intp)
+    n0, n1, n2 = np.bincount(cell, minlength=3 * _CELLS).reshape(3, _CELLS)
+    n = np.maximum(n0 + n1 + n2, 1)
+    f2 = np.minimum(np.maximum(n2 * _SHARES // n, n2 > 0), _SHARES - 2)
+    f1 = np.minimum(np.maximum(n1 * _SHARES // n, n1 > 0), _SHARES - 1 - f2)
+    counts = np.bincount(at[cell < _CELLS], minlength=size)
+    often = 1 + counts * (_UNIT - size) // max(int(counts.sum()), 1)
+    often[np.argmax(counts)] += _UNIT - often.sum()
+    rest, none = _SHARES - f2 - f1, np.zeros(_CELLS, np.int64)
+    shares = np.concatenate([rest, none, none]).astype(np.int32).take(cell)
+    begin = (np.cumsum(often) - often).astype(np.int32).take(at)
+    begin *= shares
+    begin += np.concatenate([(f2 + f1) * _UNIT, f2 * _UNIT, none]).astype(np.int32).take(cell)
+    shares *= often.astype(np.int32).take(at)
+    shares += np.concatenate([none, f1 * _UNIT, f2 * _UNIT]).astype(np.int32).take(cell)
+    return begin, shares, (often - 1).astype("<u2").tobytes() + f2.astype("u1").tobytes() + f1.astype("u1").tobytes()
+
+
+def _packed(head: bytes) -> bytes:
+    coder = zlib.compressobj(1, zlib.DEFLATED, 12, 6, zlib.Z_HUFFMAN_ONLY)
+    return coder.compress(head) + coder.flush()
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Encode blocks of at most ``BLOCK`` ids (below 2**32) each; empty blocks are allowed."""
     if not blocks:
@@ -111,136 +109,168 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     if lengths[0] > BLOCK:
         raise ValueError(f"a block holds {BLOCK} ids at most")
     active = _active(lengths)
-    alphabets, ranks = [], np.zeros((max(len(active), 1), len(blocks)), np.int64)
+    lanes = len(blocks)
+    begins = np.zeros((lanes, max(len(active), 1)), np.int32)
+    widths = np.zeros((lanes, max(len(active), 1)), np.int32)
+    heads = []
     for lane, i in enumerate(order):
         ids, rank = _ranked(np.asarray(blocks[i], np.int64))
-        alphabets.append(ids)
-        ranks[: len(rank), lane] = rank
-    model = _Model(np.array([len(a) for a in alphabets]))
-    lanes, width = len(blocks), BLOCK * 3 // 4 + 8
-    out = np.zeros(lanes * width, np.uint64)  # a word's number, then its lane; word 0 stays free
+        gaps, model = ids.astype("<u4"), b""
+        gaps[1:] -= gaps[:-1].copy()
+        if len(rank):
+            begins[lane, : len(rank)], widths[lane, : len(rank)], model = _intervals(rank, len(ids))
+        heads.append((len(ids), _packed(gaps.tobytes() + model)))
+    begins, widths = np.ascontiguousarray(begins.T), np.ascontiguousarray(widths.T)
+    out = np.zeros(lanes * (len(active) + 2), np.int64)  # a word's number, then its lane; word 0 stays free
     place = np.arange(lanes) + lanes
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    for start in range(0, len(active), _SEGMENT):
-        part = active[start : start + _SEGMENT]
-        for t, n in enumerate(part, start):
-            x = ranks[t, :n]
-            c1, c2, f1, f2 = model.predict(n)
-            known = f1 + f2
-            share = _divided(_FULL - known, model.total[:n])
-            at = model.base[:n] + x
-            first = model.flat.take(at)
-            begin = known + first * share
-            size = (model.flat.take(at + 1) - first) * share
-            x1 = x + 1
-            by1, by2 = np.flatnonzero((x1 == c1) & (f1 > 0)), np.flatnonzero((x1 == c2) & (f2 > 0))
-            begin[by1], size[by1] = f2[by1], f1[by1]
-            begin[by2], size[by2] = 0, f2[by2]
-            r = span[:n] >> _PART
-            new = low[:n] + r * begin.view(np.uint64)
-            over = np.flatnonzero(new < low[:n])
-            out[place[over] - lanes] += np.uint64(1)
-            r *= size.view(np.uint64)
-            low[:n], span[:n] = new, r
-            short = np.flatnonzero(r < _SHORT)
-            out[place[short]] = new[short] >> _SHIFT
-            place[short] += lanes
-            low[short] <<= _SHIFT
-            span[short] <<= _SHIFT
-            model.update(n, x, x1)
-        seen = [(model.lane[:n], ranks[t, :n]) for t, n in enumerate(part, start)]
-        model.learn(np.concatenate([s[0] for s in seen]), np.concatenate([s[1] for s in seen]))
-    out[place], out[place + lanes] = low >> _SHIFT, low & _U32
-    used = place // lanes + 2
-    out = out.reshape(width, lanes)[: int(used.max())]
-    while (carry := out >> _SHIFT).any():
-        out &= _U32
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 2 * _WORD, np.int64)
+    for t, n in enumerate(active):
+        r = span[:n] >> _BITS
+        low[:n] += r * begins[t, :n]
+        r *= widths[t, :n]
+        short = np.flatnonzero(r < _LEAST)
+        span[:n] = r
+        if len(short):
+            spot, bottom = place[short], low[short]
+            out[spot] = bottom >> _WORD
+            place[short] = spot + lanes
+            low[short] = (bottom & _WORD_MASK) << _WORD
+            span[short] <<= _WORD
+    out[place] = (low + _WORD_MASK) >> _WORD  # what follows may be read as zeros
+    used = place // lanes + 1
+    out = out.reshape(-1, lanes)[: int(used.max())]
+    while (carry := out >> _WORD).any():
+        out &= _WORD_MASK
         out[:-1] += carry[1:]
-    out = out.T.astype("<u4")
+    code = np.ascontiguousarray(out.T.astype("<u4")).view("u1").reshape(lanes, -1, 4)[:, :, :3]
     done: list[bytes] = [b""] * lanes
     for lane, i in enumerate(order):
-        words = out[lane, 1 : used[lane]].tobytes()
-        gaps = zlib.compress(np.diff(alphabets[lane], prepend=0).astype("<u4").tobytes())
-        head = _HEAD.pack(b"CMR1", lengths[lane], len(alphabets[lane]), len(gaps), len(words) // 4)
-        body = head + gaps + words
+        words = code[lane, 1 : used[lane]].tobytes()
+        size, packed = heads[lane]
+        body = _HEAD.pack(b"CMR2", lengths[lane], size, len(packed), len(words) // 3) + packed + words
         done[i] = body + struct.pack("<I", zlib.crc32(body))
     return done
 
 
-def _divided(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Quotients of whole numbers from 0 to 2**25, which doubles give exactly."""
-    return (a / b).astype(np.int64)
-
-
 def _ranked(ids: np.ndarray):
-    if len(ids) and ids.max() < 1 << 17:
-        found = np.flatnonzero(np.bincount(ids))
-        table = np.empty(int(found[-1]) + 1, np.int64)
+    if len(ids) and (top := int(ids.max())) < 1 << 17:
+        there = np.zeros(top + 1, bool)
+        there[ids] = True
+        found = np.flatnonzero(there)
+        table = np.empty(len(there), np.uint16)
         table[found] = np.arange(len(found))
-        return found, table[ids]
-    return np.unique(ids, return_inverse=True)
+        return found, table.take(ids)
+    found, rank = np.unique(ids, return_inverse=True)
+    return found, rank.astype(np.uint16)
+
+
+def _parsed(i: int, payload: bytes):
+    """Token count, ids, frequencies, shares of order 2 and 1, code words."""
+    if len(payload) < _HEAD.size + 4 or zlib.crc32(payload[:-4]) != struct.unpack("<I", payload[-4:])[0]:
+        raise ValueError(f"block {i} of the batch fails its checksum")
+    magic, count, size, packed, words = _HEAD.unpack_from(payload)
+    if magic != b"CMR2":
+        raise ValueError(f"block {i} of the batch has an unknown format")
+    head = zlib.decompress(payload[_HEAD.size : _HEAD.size + packed])
+    alphabet = np.cumsum(np.frombuffer(head, "<u4", size).astype(np.int64))
+    if not count:
+        return 0, alphabet, np.full(1, _UNIT), np.zeros(_CELLS, np.int64), np.zeros(_CELLS, np.int64), np.zeros(0, "<u4")
+    often = np.frombuffer(head, "<u2", size, 4 * size).astype(np.int64) + 1
+    shares = np.frombuffer(head, "u1", 2 * _CELLS, 6 * size).astype(np.int64)
+    code = np.zeros((words, 4), "u1")
+    code[:, :3] = np.frombuffer(payload, "u1", 3 * words, _HEAD.size + packed).reshape(-1, 3)
+    return count, alphabet, often, shares[:_CELLS], shares[_CELLS:], code.view("<u4").ravel()
 
 
 def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
     """Decode blocks written by :func:`encode_blocks`; a damaged block raises ``ValueError``."""
     if not payloads:
         return []
-    parsed = []
-    for i, p in enumerate(payloads):
-        if len(p) < _HEAD.size + 4 or zlib.crc32(p[:-4]) != struct.unpack("<I", p[-4:])[0]:
-            raise ValueError(f"block {i} of the batch fails its checksum")
-        magic, count, size, gap_bytes, words = _HEAD.unpack_from(p)
-        if magic != b"CMR1":
-            raise ValueError(f"block {i} of the batch has an unknown format")
-        gaps = zlib.decompress(p[_HEAD.size : _HEAD.size + gap_bytes])
-        alphabet = np.cumsum(np.frombuffer(gaps, "<u4").astype(np.int64))
-        parsed.append((count, alphabet, np.frombuffer(p, "<u4", words, _HEAD.size + gap_bytes)))
+    parsed = [_parsed(i, p) for i, p in enumerate(payloads)]
     order = sorted(range(len(parsed)), key=lambda i: -parsed[i][0])
     lengths = np.array([parsed[i][0] for i in order])
     active = _active(lengths)
-    model = _Model(np.array([len(parsed[i][1]) for i in order]))
-    lanes = len(parsed)
-    width = max(len(p[2]) for p in parsed) + 2
-    code = np.zeros((width, lanes), np.uint64)
-    for lane, i in enumerate(order):
-        code[: len(parsed[i][2]), lane] = parsed[i][2]
-    value = (code[0] << _SHIFT) | code[1]
-    code, place = code.ravel(), np.arange(lanes) + 2 * lanes
-    span = np.full(lanes, 2**64 - 1, np.uint64)
-    ranks = np.zeros((max(len(active), 1), lanes), np.int64)
-    lane_at = (model.lane << 17).astype(np.int32)  # frequencies of a lane add up to less than 2**17
-    for start in range(0, len(active), _SEGMENT):
-        part = active[start : start + _SEGMENT]
-        search = (model.sums + lane_at[:, None]).ravel()
-        for t, n in enumerate(part, start):
-            c1, c2, f1, f2 = model.predict(n)
-            known = f1 + f2
-            total = model.total[:n]
-            share = _divided(_FULL - known, total)
-            r = span[:n] >> _PART
-            v = (value[:n] // r).view(np.int64)
-            target = np.minimum(_divided(np.maximum(v - known, 0), share), total - 1)
-            at = np.searchsorted(search, target.astype(np.int32) + lane_at[:n], side="right") - 1
-            first = model.flat.take(at)
-            begin = known + first * share
-            size = (model.flat.take(at + 1) - first) * share
-            x = at - model.base[:n]
-            by1, by2 = np.flatnonzero(v < known), np.flatnonzero(v < f2)
-            x[by1], begin[by1], size[by1] = c1[by1] - 1, f2[by1], f1[by1]
-            x[by2], begin[by2], size[by2] = c2[by2] - 1, 0, f2[by2]
-            value[:n] -= r * begin.view(np.uint64)
-            r *= size.view(np.uint64)
-            span[:n] = r
-            short = np.flatnonzero(r < _SHORT)
-            value[short] = (value[short] << _SHIFT) | code[place[short]]
-            place[short] += lanes
-            span[short] <<= _SHIFT
-            ranks[t, :n] = x
-            model.update(n, x, x + 1)
-        seen = [(model.lane[:n], ranks[t, :n]) for t, n in enumerate(part, start)]
-        model.learn(np.concatenate([s[0] for s in seen]), np.concatenate([s[1] for s in seen]))
+    lanes, lane = len(parsed), np.arange(len(parsed))
+    width = max(len(p[1]) for p in parsed) + 1
+    code = np.zeros((max(len(p[5]) for p in parsed) + 3, lanes), np.uint32)
+    # at a frequency's number its id's, from 0; where ids' frequencies start
+    found, starts = np.zeros((lanes, _UNIT), np.uint16), np.zeros((lanes, width + 1), np.uint16)
+    share2, shares = np.zeros((lanes, _CELLS), np.int64), np.zeros((lanes, _CELLS), np.int64)
+    for k, i in enumerate(order):
+        _, _, often, f2, f1, words = parsed[i]
+        code[: len(words), k] = words
+        found[k] = np.repeat(np.arange(len(often), dtype=np.uint16), often)
+        np.cumsum(often, out=starts[k, 1 : len(often) + 1], dtype=np.uint16)
+        share2[k], shares[k] = f2 * _UNIT, f2 + f1
+    value = code[0].astype(np.int64) << _WORD | code[1]
+    code, found, starts, share2, shares = (a.ravel() for a in (code, found, starts, share2, shares))
+    after1, after2 = np.zeros(lanes * width, np.uint16), np.zeros(lanes * _CONTEXTS, np.uint16)
+    base1, base2, base_f, base_s, base_c = lane * width, lane * _CONTEXTS, lane * _UNIT, lane * (width + 1), lane * _CELLS
+    inverse = np.ones(_SHARES + 1, np.int64)  # exact for what is divided, below 2**20
+    inverse[1:] = -(-(1 << 32) // np.arange(1, _SHARES + 1))
+    place = lane + 2 * lanes
+    span = np.full(lanes, 1 << 2 * _WORD, np.int64)
+    ranks = np.zeros((max(len(active), 1), lanes), np.uint16)
+    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    for t, n in enumerate(active):
+        if n < len(last):
+            last, before, value, span = last[:n], before[:n], value[:n], span[:n]
+        at1 = base1[:n] + last
+        at2 = before * 40503
+        at2 += last
+        at2 &= _CONTEXTS - 1
+        at2 += base2[:n]
+        s1, s2 = after1.take(at1), after2.take(at2)
+        cell = s2 & 3
+        cell <<= 2
+        cell |= s1 & 3
+        cell += ((s1 ^ s2) < 4) * np.uint16(16)
+        cell = cell + base_c[:n]
+        known = shares.take(cell)
+        rest = _SHARES - known
+        known *= _UNIT
+        r = span >> _BITS
+        v = (value / r).astype(np.int64)  # both below 2**53, so doubles give it exactly
+        u = v - known
+        slot = np.maximum(u, 0)
+        slot *= inverse.take(rest)
+        slot >>= 32
+        slot += base_f[:n]
+        x = found.take(slot)
+        at = x + base_s[:n]
+        first = starts.take(at)
+        at += 1
+        size = (starts.take(at) - first) * rest
+        first = first * rest
+        first += known
+        guessed = np.flatnonzero(u < 0)
+        if len(guessed):
+            f2 = share2.take(cell.take(guessed))
+            by2 = v.take(guessed) < f2
+            x[guessed] = (np.where(by2, s2.take(guessed), s1.take(guessed)) >> 2) - 1
+            size[guessed] = np.where(by2, f2, known.take(guessed) - f2)
+            first[guessed] = np.where(by2, 0, f2)
+        first *= r
+        value -= first
+        span = r
+        span *= size
+        short = np.flatnonzero(span < _LEAST)
+        if len(short):
+            spot = place.take(short)
+            value[short] = value.take(short) << _WORD | code.take(spot)
+            place[short] = spot + lanes
+            span[short] <<= _WORD
+        ranks[t, :n] = x
+        entry = x + 1
+        entry <<= 2
+        d1, d2 = s1 ^ entry, s2 ^ entry
+        entry |= 1
+        after1[at1] = np.where(d1 < 4, s1 + (d1 < 3), entry)
+        after2[at2] = np.where(d2 < 4, s2 + (d2 < 3), entry)
+        before, last = last, x.astype(np.int64)
     done: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
-    for lane, i in enumerate(order):
-        if lengths[lane]:
-            done[i] = parsed[i][1][ranks[: lengths[lane], lane]]
+    ranks = np.ascontiguousarray(ranks.T)
+    for k, i in enumerate(order):
+        if lengths[k]:
+            done[i] = parsed[i][1][ranks[k, : lengths[k]]]
     return done

@@ -36,8 +36,10 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Words, marks and numbers that tell tokenizers that drop white space from others.
 _PROBE = "ab cd\nEf  g, 12 3.x don't \u00e9A \u2014 \u00dfu (y) "
-#: Words whose ids a task remembers; beyond, it starts anew.
-REMEMBERED_WORDS = 500_000
+#: Words whose ids a Python worker remembers; beyond, it starts anew.
+REMEMBERED_WORDS = 1_000_000
+#: Words handed to the tokenizer's model in one string.
+WORDS_A_STRING = 2_000
 _BLOCKS = (
     "range_id int, block_no int, n_tokens int, doc_ids array<bigint>, doc_ends array<int>, payload binary"
 )
@@ -48,24 +50,23 @@ class WordTokenizer:
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of
     its pieces between spaces and line ends, one after the other.  Pieces that are a word of
-    Latin letters with marks behind it are two pieces; the word goes to the tokenizer's model
-    as its own normaliser and splitter would hand it over, letter by letter.  A tokenizer whose
-    ids of ``_PROBE`` are not those of its pieces, such as one that keeps blanks, or that has
-    added tokens with blanks, gets whole texts instead.
+    Latin letters with marks behind it are two pieces; the words go to the tokenizer's model
+    as its own normaliser and splitter would hand them over, letter by letter, many in a string.
+    A tokenizer whose ids of ``_PROBE`` are not those of its pieces, such as one that keeps
+    blanks, or that has added tokens with blanks, gets whole texts instead.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         probe, pieces = self._whole([_PROBE]), self._whole(re.split("[ \n]", _PROBE))
         added = (t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.by_word = probe[0] == b"".join(pieces) and not any(re.search(r"\s", t) for t in added)
-        self.known: dict[str, bytes] = {}
         if not self.by_word:
             return
-        self.words: dict[str, bytes] = {}
         self.letters: dict[int, str] = {}
         for code in (*range(65, 91), *range(97, 123), *range(0xC0, 0x250)):
             plain = self.tokenizer.normalizer.normalize_str(chr(code))
@@ -77,34 +78,58 @@ class WordTokenizer:
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         marks = [m for m in "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~" if split(f"a{m}{m}")[0][0] == split("a")[0][0]]
         letters, marks = "".join(map(chr, self.letters)), re.escape("".join(marks))
-        self.plain = re.compile(f"([{letters}]+)([{marks}]*)" if marks else f"([{letters}]+)()").fullmatch
+        self.plain = f"\\A(?P<word>[{letters}]+)(?P<marks>" + (f"[{marks}]*)\\z" if marks else ")\\z")
+        # the model alone, for words between blanks; ids that end a word tell them apart
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = WhitespaceSplit()
+        vocabulary, suffix = self.tokenizer.get_vocab(with_added_tokens=False), self.tokenizer.model.end_of_word_suffix
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.ids, self.sizes = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
     def _whole(self, pieces: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in coded]
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.words) > REMEMBERED_WORDS:
-            self.words = {}
-        known, words, letters = self.known, self.words, self.letters
-        plain, model = self.plain, self.tokenizer.model
-        others = []
-        for piece in new:
-            match = plain(piece)
-            if not match:
-                others.append(piece)
-                continue
-            word, marks = match.groups()
-            word = word.lower() if self.lowers and word.isascii() else word.translate(letters)
-            ids = words.get(word)
-            if ids is None:
-                ids = words[word] = array("I", [t.id for t in model.tokenize(word)]).tobytes()
-            if marks:
-                if marks not in words:
-                    words[marks] = self._whole([marks])[0]
-                ids += words[marks]
-            known[piece] = ids
-        known.update(zip(others, self._whole(others), strict=True))
+    def _coded(self, pieces: pa.Array):
+        """Ids of all ``pieces`` and how many each has."""
+        coded = self._whole(pieces.to_pylist())
+        return np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+
+    def _coded_words(self, words: pa.Array):
+        """The same for words of ``letters``."""
+        offsets = np.append(np.arange(0, len(words), WORDS_A_STRING, np.int32), np.int32(len(words)))
+        lists = pc.binary_join(pa.ListArray.from_arrays(offsets, words), pa.scalar(" ", words.type)).to_pylist()
+        strings = [s if self.lowers and s.isascii() else s.translate(self.letters) for s in lists]
+        ids, sizes = [], []
+        for string, coded in zip(strings, self.words.encode_batch_fast(strings, add_special_tokens=False), strict=True):
+            found, n = np.array(coded.ids, "<u4"), string.count(" ") + 1
+            ends = np.flatnonzero(self.ends_word[found]) + 1
+            if len(ends) != n or ends[-1] != len(found):
+                each = [[t.id for t in self.tokenizer.model.tokenize(w)] for w in string.split(" ")]
+                found, ends = np.array([i for e in each for i in e], "<u4"), np.cumsum([len(e) for e in each])
+            ids.append(found)
+            sizes.append(np.diff(ends, prepend=0))
+        return ids, sizes
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """Places of ``words`` among those whose ids are known, which they are from now on."""
+        places = pc.index_in(words, value_set=self.known)
+        if places.null_count and len(self.known) > REMEMBERED_WORDS:
+            self._forget()
+            places = pc.index_in(words, value_set=self.known)
+        new = words.filter(places.is_null())
+        numbers = places.fill_null(0).to_numpy().astype(np.int64)
+        if len(new):
+            numbers[places.is_null().to_numpy(zero_copy_only=False)] = np.arange(len(new)) + len(self.known)
+            ids, sizes = self._coded_words(new)
+            self.known = pa.concat_arrays([self.known, new])
+            self.ids, self.sizes = np.concatenate([self.ids, *ids]), np.concatenate([self.sizes, *sizes])
+        return numbers
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as 32-bit integers in the machine's byte order, which is little-endian."""
@@ -113,23 +138,40 @@ class WordTokenizer:
         lines = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
         pieces = pc.split_pattern(lines, " ")
         numbered = pieces.values.dictionary_encode()
-        distinct = numbered.dictionary.to_pylist()
-        new = [p for p in distinct if p not in self.known]
-        if new and len(self.known) > REMEMBERED_WORDS:
-            self.known, new = {}, distinct
-        self._learn(new)
-        ids = [self.known[p] for p in distinct]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        at = numbered.indices.to_numpy()
-        ends = np.zeros(len(at) + 1, np.int64)
-        np.cumsum(sizes[at], out=ends[1:])
-        begins = np.cumsum(sizes) - sizes
-        source = np.repeat(begins[at] - ends[:-1], sizes[at]) + np.arange(ends[-1])
-        stream = np.frombuffer(b"".join(ids), "<u4")[source]
+        distinct = numbered.dictionary
+        split = pc.extract_regex(distinct, self.plain)
+        words, marks = split.field("word"), split.field("marks")
+        words = (pc.ascii_lower(words) if self.lowers else words).filter(split.is_valid()).dictionary_encode()
+        marks = marks.filter(split.is_valid()).dictionary_encode()
+        plain = split.is_valid().to_numpy(zero_copy_only=False)
+        numbers = self._numbers(words.dictionary)
+        # stretches of ids: known words, then marks, then other pieces, then an empty one
+        parts = [
+            (self.ids, self.sizes), self._coded(marks.dictionary),
+            self._coded(distinct.filter(split.is_null())), (np.zeros(0, "<u4"), np.zeros(1, np.int64)),
+        ]
+        pool, sizes = (np.concatenate(p) for p in zip(*parts, strict=True))
+        before = np.cumsum([0, *(len(s) for _, s in parts)])
+        first, second = np.empty(len(plain), np.int64), np.full(len(plain), before[3])
+        first[plain], second[plain] = numbers[words.indices.to_numpy()], before[1] + marks.indices.to_numpy()
+        first[~plain] = np.arange(before[2], before[3])
+        pool, ends = _strung(pool, np.cumsum(sizes) - sizes, sizes, np.column_stack([first, second]).ravel())
+        ends = ends[::2]
+        stream, ends = _strung(pool, ends[:-1], np.diff(ends), numbered.indices.to_numpy())
         edges = ends[pieces.offsets.to_numpy()]
         return [stream[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def _strung(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray, numbers: np.ndarray):
+    """The stretches of ``pool`` that ``numbers`` names, one after the other, and where they start and end."""
+    n = sizes.take(numbers)
+    ends = np.zeros(len(numbers) + 1, np.int64)
+    np.cumsum(n, out=ends[1:])
+    source = np.repeat(begins.take(numbers) - ends[:-1], n)
+    source += np.arange(ends[-1])
+    return pool.take(source), ends
+
+
 #: Tokenizers of a Python worker, which outlives its tasks.
 _loaded: dict[str, WordTokenizer] = {}
 
@@ -140,7 +182,7 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _loaded[path]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], size: int = 4 << 20):
+def _pieces(batches: Iterator[pa.RecordBatch], size: int = 8 << 20):
     """(doc_id, text) lists of a few MB of text."""
     ids, texts, held = [], [], 0
     for batch in batches:

@@ -149,6 +149,35 @@ def test_words_are_coded_as_whole_texts(text):
     assert list(np.frombuffer(t.encode([text])[0], "<u4")) == t.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("remembered", [3, 1_000_000])
+def test_words_go_to_the_model_once(monkeypatch, remembered):
+    monkeypatch.setattr(tokens, "REMEMBERED_WORDS", remembered)
+    t, rng = tokens.WordTokenizer(TOKENIZER), np.random.default_rng(9)
+    t.encode(["Word word, WORD. words", "x"])
+    assert t.known.to_pylist() == ["word", "words", "x"]  # three words, however they are written
+    alphabet = list("aAbZéÉÀßŉ.,!'’-_0 9\n\t ́̌Jjİıſ東<>|")
+    for _ in range(4):
+        texts = ["".join(rng.choice(alphabet, rng.integers(0, 60))) for _ in range(300)]
+        assert t.encode(texts) == t._whole(texts)
+
+
+def test_words_the_model_cannot_end():
+    t = tokens.WordTokenizer(TOKENIZER)
+    t.ends_word[:] = False  # as of a model without a mark of a word's end
+    texts = ["Word by word, été.", "", "by"]
+    assert t.encode(texts) == t._whole(texts)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_blocks(seed):
+    rng = np.random.default_rng(seed)
+    blocks = [rng.integers(0, rng.integers(1, 5000), rng.integers(0, BLOCK + 1)) for _ in range(40)]
+    blocks += [rng.permutation(BLOCK), np.repeat(np.arange(BLOCK // 2), 2), rng.integers(0, 2**32, BLOCK)]
+    coded = encode_blocks(blocks)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, decode_blocks(coded), strict=True))
+    assert coded == [c for b in blocks for c in encode_blocks([b])]  # blocks don't depend on each other
+
+
 def test_license_rules(spark):
     mit = ("MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and "
            "associated documentation files (the \"Software\"), to deal in the Software without restriction, including sale, "
